@@ -1,11 +1,14 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from pathquant.llm import mixing, sharding, token_counts, token_output
+from pathquant.llm import html_text, langid, mixing, sharding, token_counts, token_output, warc
 
 QUERIES = {
     "op1_orc_token_ids": token_output.op1_orc_token_ids,
+    "op2_tag_path_ratios": html_text.op2_tag_path_ratios,
     "op3_offset_attribution": token_counts.op3_offset_attribution,
     "op4_weighted_fair_queueing": mixing.op4_weighted_fair_queueing,
     "op5_histogram_sort": sharding.op5_histogram_sort,
+    "op9_segmentation_marginalised_unigrams": langid.op9_segmentation_marginalised_unigrams,
+    "op10_gzip_normaliser": warc.op10_gzip_normaliser,
 }
 ORACLE = {"op4_weighted_fair_queueing": mixing.ORACLE}
