@@ -1,50 +1,10 @@
-"""Shared helpers: table loading, the shared working folder, and constant expressions."""
+"""Shared helpers: table loading and constant expressions."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a maximal run of bytes that are not ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where that is unset (tests, local runs) a temporary folder of this process is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="pathquant-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.sparkContext.setCheckpointDir(own)
-    return shared_root(spark)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and returns the written table: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from pathquant.plans.store import shared_path, shared_root, stored  # noqa: F401
 
 
 def word_count(text):

@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from pathquant.llm import html_text, langid, mixing, sharding, token_counts, token_output, warc
+from pathquant.llm import html_text, jaccard, langid, mixing, sharding, token_counts, token_output, warc
 
 QUERIES = {
     "op1_orc_token_ids": token_output.op1_orc_token_ids,
@@ -8,7 +8,8 @@ QUERIES = {
     "op3_offset_attribution": token_counts.op3_offset_attribution,
     "op4_weighted_fair_queueing": mixing.op4_weighted_fair_queueing,
     "op5_histogram_sort": sharding.op5_histogram_sort,
+    "op6_bitmap_tile_join": jaccard.op6_bitmap_tile_join,
     "op9_segmentation_marginalised_unigrams": langid.op9_segmentation_marginalised_unigrams,
     "op10_gzip_normaliser": warc.op10_gzip_normaliser,
 }
-ORACLE = {"op4_weighted_fair_queueing": mixing.ORACLE}
+ORACLE = {"op4_weighted_fair_queueing": mixing.ORACLE, "op6_bitmap_tile_join": jaccard.ORACLE}
