@@ -1,15 +1,32 @@
-"""Whole-text encoding with a tokenizer file, one instance per Python worker."""
+"""Whole-text encoding with a tokenizer file, one encoder per Python worker.
+
+Byte-level BPE never merges over a pre-token's edge. A space that other than white space follows always
+begins a pre-token, and so does a newline between two non-spaces. Texts are cut there, and the ids of each
+distinct piece of text are kept: hashes, places and ids in arrays, so that whole batches are encoded by
+array operations and only new pieces reach the tokenizer's model. Texts for which the rule can't be told
+from ASCII alone (other white space, special tokens spelled out) go to the tokenizer whole.
+"""
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
 
+from pathquant.llm.shingles import segment_hashes, text_chunks
+
 #: The pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 400_000  # entries of each cache; a full cache is emptied, so memory is bounded
+PIECES = 1_500_000  # pieces of text that a worker keeps; at more it starts anew, so memory is bounded
+PRETOKENS = 200_000  # pre-tokens that it keeps
+OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_ODD = np.zeros(256, dtype=bool)  # bytes that may begin other white space
+_ODD[[11, 12, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+_BYTES = np.arange(256, dtype=np.uint64)
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -20,12 +37,7 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Encoder:
-    """encode(text) equals ``Tokenizer.encode(text, add_special_tokens=False).ids``, as little-endian uint32 bytes.
-
-    Byte-level BPE never merges over a space that has other than white space on both sides, nor over
-    pre-tokens, so the ids of such chunks are cached. Texts for which that can't be told at once
-    (white space in a row, special tokens spelled out) go to the tokenizer whole.
-    """
+    """Gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str):
         import regex
@@ -36,62 +48,110 @@ class Encoder:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
-        self.special = [t["content"] for t in spec.get("added_tokens", ())]
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", ())]
         self.model, self.split = self.tokenizer.model, regex.compile(PRETOKEN).findall
         self.letters = {b: ord(c) for b, c in byte_alphabet().items()}
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes | None:
-        """Ids of a chunk between two single spaces, the first of them included."""
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return None
-        if len(self.chunks) >= CACHE:
-            self.chunks.clear()
-        out = self.chunks[chunk] = self._pieces(" " + chunk)
-        return out
+        self.pretokens: dict[str, list[int]] = {}
+        self._forget()
 
-    def _pieces(self, text: str) -> bytes:
-        got = []
-        for piece in self.split(text):
-            ids = self.pieces.get(piece)
+    def _forget(self):
+        self.hashes, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _piece(self, text: str) -> list[int]:
+        out: list[int] = []
+        for pretoken in self.split(text):
+            ids = self.pretokens.get(pretoken)
             if ids is None:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
-                mapped = piece.encode().decode("latin-1").translate(self.letters)
-                ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-            got.append(ids)
-        return b"".join(got)
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.byte_level or any(s in text for s in self.special):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        if not first or first[-1].isspace():
-            return self.whole(text)
-        head = self._pieces(first)
-        try:
-            return head + b"".join([self.chunks[c] for c in rest])
-        except KeyError:
-            out = [head]
-            for c in rest:
-                ids = self.chunks.get(c)
-                if ids is None:
-                    ids = self._chunk(c)
-                    if ids is None:
-                        return self.whole(text)
-                out.append(ids)
-            return b"".join(out)
+                if len(self.pretokens) >= PRETOKENS:
+                    self.pretokens.clear()
+                ids = [t.id for t in self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.letters))]
+                self.pretokens[pretoken] = ids
+            out += ids
+        return out
+
+    def _learn(self, raw: bytes, hashes, at, starts, ends):
+        """Adds new pieces, whose hashes rise, at their places ``at``."""
+        got = [self._piece(raw[a:b].decode()) for a, b in zip(starts.tolist(), ends.tolist())]
+        counts = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        total = int(counts.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + total] = np.fromiter((i for g in got for i in g), dtype=np.uint32, count=total)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts = np.insert(self.starts, at, self.used + np.cumsum(counts) - counts)
+        self.counts = np.insert(self.counts, at, counts)
+        self.used += total
+
+    def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, texts = len(data), len(offsets) - 1
+        raw = data.tobytes()
+        odd: dict[int, np.ndarray] = {}
+        if not self.byte_level:
+            suspects = np.arange(texts)
+        else:
+            places = np.flatnonzero(_ODD[data])
+            suspects = np.unique(np.searchsorted(offsets, places, side="right") - 1) if len(places) else np.zeros(0, np.int64)
+            if any(s in raw for s in self.special):
+                suspects = np.arange(texts)
+        for i in suspects.tolist():
+            part = raw[offsets[i] : offsets[i + 1]]
+            if not part:
+                continue
+            text = part.decode()
+            if not self.byte_level or OTHER_SPACE.search(text) or any(s in part for s in self.special):
+                odd[i] = self.whole(text)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(texts + 1, np.int64)
+
+        space = _SPACE[data]
+        before, after = np.ones(n, bool), np.ones(n, bool)
+        before[1:], after[:-1] = space[:-1], space[1:]
+        inner = offsets[(offsets > 0) & (offsets < n)]
+        after[inner - 1] = True
+        cut = (data == 32) & ~after | (data == 10) & ~after & ~before
+        cut[0] = True
+        cut[inner] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], n)
+        owner = np.searchsorted(offsets, starts, side="right") - 1
+        if odd:
+            plain = ~np.isin(owner, list(odd))
+            starts, ends, owner = starts[plain], ends[plain], owner[plain]
+        kinds, first, which = np.unique(segment_hashes(_BYTES[data], starts, ends), return_index=True, return_inverse=True)
+        if len(self.hashes) > PIECES:
+            self._forget()
+        at = np.searchsorted(self.hashes, kinds)
+        new = np.ones(len(kinds), bool)
+        if len(self.hashes):
+            new = self.hashes[np.minimum(at, len(self.hashes) - 1)] != kinds
+        if new.any():
+            self._learn(raw, kinds[new], at[new], starts[first[new]], ends[first[new]])
+            at = np.searchsorted(self.hashes, kinds)
+        at = at[which]
+        counts = self.counts[at]
+        done = np.cumsum(counts)
+        ids = self.ids[np.repeat(self.starts[at] - done + counts, counts) + np.arange(done[-1] if len(done) else 0)]
+        lengths = np.bincount(owner, weights=counts, minlength=texts).astype(np.int64)
+        if odd:
+            bounds = np.concatenate([[0], np.cumsum(lengths)])
+            ids = np.concatenate([x for i in range(texts) for x in (odd.get(i, ids[bounds[i] : bounds[i + 1]]),)])
+            for i, x in odd.items():
+                lengths[i] = len(x)
+        return ids, np.concatenate([[0], np.cumsum(lengths)])
+
+    def encode_column(self, column):
+        """Yields (ids, offsets of the texts' ids) for parts of an Arrow string column, in order; null: empty."""
+        for data, offsets in text_chunks(column):
+            yield self._chunk(data, offsets)
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of a tokenizer file; its caches serve all tasks of the worker."""
+    """The worker's encoder of a tokenizer file; what it has learned serves all tasks of the worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

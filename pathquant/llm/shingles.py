@@ -34,6 +34,15 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the segments [start, end) of values (uint64)."""
+    n = len(values)
+    power, inverse = _power(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((values + np.uint64(1)) * power[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of texts that lie one after another in data; for each text, its first word (and one past the last)."""
     n = len(data)
@@ -46,11 +55,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     before[0] = after[-1] = False
     before[inner], after[inner - 1] = False, False
     starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    power, inverse = _power(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[data] + np.uint64(1)) * power[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, offsets)
+    return segment_hashes(_LOWER[data], starts, ends), np.searchsorted(starts, offsets)
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -71,17 +76,25 @@ def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def shingle_sets(column, k: int):
-    """Yields the sorted distinct shingle hashes of each text of an Arrow string column; null: empty."""
+def text_chunks(column):
+    """Cuts an Arrow string column (null: empty) into chunks of whole texts: (bytes, offsets of the texts in them)."""
     import pyarrow as pa
 
     column = column.cast(pa.large_string()).fill_null("")
     _, buffer, data = column.buffers()
+    if not len(column):
+        return
     offsets = np.frombuffer(buffer, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
         end = min(end, len(column))
-        yield from _sets(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], k)
+        yield data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+
+
+def shingle_sets(column, k: int):
+    """Yields the sorted distinct shingle hashes of each text of an Arrow string column; null: empty."""
+    for data, offsets in text_chunks(column):
+        yield from _sets(data, offsets, k)

@@ -20,22 +20,27 @@ from pathquant.llm.encoding import default_path, encoder
 ROWS = 20_000
 
 
-def token_spans(enc, text: str) -> tuple[np.ndarray, np.ndarray]:
+def token_spans(enc, text: str, ids: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Character starts and ends of the text's tokens. A token that holds part of a character spans all of it."""
-    if not enc.byte_level or any(s in text for s in enc.special):
+    if ids is None:
         spans = np.array(enc.tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
         return spans[:, 0], spans[:, 1]
+    ends = np.cumsum(token_bytes(enc)[ids])
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    if text.isascii() or not len(ids):
+        return starts, ends
+    char = np.cumsum((np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0) != 0x80) - 1
+    return char[starts], char[ends - 1] + 1
+
+
+def token_bytes(enc) -> np.ndarray:
+    """Bytes of each token of a byte-level vocabulary; a special token has those of its spelling."""
     if not hasattr(enc, "lengths"):
         vocab = enc.tokenizer.get_vocab()
         enc.lengths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
             enc.lengths[i] = len(token)  # a character of the byte alphabet each byte
-    ends = np.cumsum(enc.lengths[np.frombuffer(enc.encode(text), dtype="<u4")])
-    starts = np.concatenate([[0], ends[:-1]])
-    if text.isascii():
-        return starts, ends
-    char = np.cumsum((np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0) != 0x80) - 1
-    return char[starts], char[ends - 1] + 1
+    return enc.lengths
 
 
 def allocate(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -88,16 +93,18 @@ def attribute(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
         held, rows = [], 0
         for batch in batches:
-            for row in range(batch.num_rows):
-                text = batch.column(1)[row].as_py() or ""
-                given = batch.column(2)[row].as_py() if sections_col else None
-                bounds = line_bounds(text) if given is None else np.array([*sorted({0, *(b for b in given if b is not None and 0 < b < len(text))}), len(text)], dtype=np.int64)
-                starts, ends = token_spans(enc, text) if text else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                held.append((batch.column(0)[row].as_py(), bounds, *allocate(starts, ends, bounds, rule)))
-                rows += len(bounds) - 1
-                if rows >= ROWS:
-                    yield emit(held)
-                    held, rows = [], 0
+            row = 0
+            for ids, offsets in enc.encode_column(batch.column(1)):
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                    text = batch.column(1)[row].as_py() or ""
+                    given = batch.column(2)[row].as_py() if sections_col else None
+                    bounds = line_bounds(text) if given is None else np.array([*sorted({0, *(x for x in given if x is not None and 0 < x < len(text))}), len(text)], dtype=np.int64)
+                    held.append((batch.column(0)[row].as_py(), bounds, *allocate(*token_spans(enc, text, ids[a:b] if enc.byte_level else None), bounds, rule)))
+                    rows += len(bounds) - 1
+                    row += 1
+                    if rows >= ROWS:
+                        yield emit(held)
+                        held, rows = [], 0
         if held:
             yield emit(held)
 

@@ -17,37 +17,22 @@ from pyspark.sql import functions as F
 from pathquant.llm.common import shared_path
 from pathquant.llm.encoding import default_path, encoder
 
-BATCH_BYTES = 4 << 20  # ids in one Arrow batch
-
 
 def _encoded(tokenizer: str, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
-        enc, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        tail = np.array([end_id], dtype="<u4").tobytes()
-
-        def emit(ids, got, starts):
-            data = b"".join(got)
-            lengths = np.array([len(g) // 4 for g in got], dtype=np.int32)
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            values = pa.Array.from_buffers(pa.int32(), len(data) // 4, [None, pa.py_buffer(data)])
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(lengths, pa.int64()), pa.array(starts, pa.int64()), pa.array([part] * len(got), pa.int32())], names=["doc_id", "ids", "n_tokens", "file_start", "part"])
-
-        ids, got, starts, held = [], [], [], 0
+        enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for i, text in zip(batch.column(0), batch.column(1)):
-                data = enc.encode(text.as_py() or "") + tail
-                ids.append(i.as_py())
-                got.append(data)
-                starts.append(start)
-                start += len(data) // 4
-                held += len(data)
-                if held >= BATCH_BYTES:
-                    yield emit(ids, got, starts)
-                    ids, got, starts, held = [], [], [], 0
-        if ids:
-            yield emit(ids, got, starts)
+            at = 0
+            for ids, offsets in enc.encode_column(batch.column(1)):
+                n = len(offsets) - 1
+                ids = np.insert(ids, offsets[1:], end_id).astype(np.int32)
+                offsets = offsets + np.arange(n + 1)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), lists, pa.array(np.diff(offsets)), pa.array(before + offsets[:-1]), pa.array(np.full(n, part, np.int32))], names=["doc_id", "ids", "n_tokens", "file_start", "part"])
+                before += int(offsets[-1])
+                at += n
 
     return run
 
