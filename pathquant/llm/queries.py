@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from pathquant.llm import html_text, jaccard, langid, mixing, sharding, token_counts, token_output, warc
+from pathquant.llm import decontamination, hamming, html_text, jaccard, langid, mixing, sharding, token_counts, token_output, warc
 
 QUERIES = {
     "op1_orc_token_ids": token_output.op1_orc_token_ids,
@@ -9,7 +9,9 @@ QUERIES = {
     "op4_weighted_fair_queueing": mixing.op4_weighted_fair_queueing,
     "op5_histogram_sort": sharding.op5_histogram_sort,
     "op6_bitmap_tile_join": jaccard.op6_bitmap_tile_join,
+    "op7_minhash_containment": decontamination.op7_minhash_containment,
+    "op8_multi_index_hashing": hamming.op8_multi_index_hashing,
     "op9_segmentation_marginalised_unigrams": langid.op9_segmentation_marginalised_unigrams,
     "op10_gzip_normaliser": warc.op10_gzip_normaliser,
 }
-ORACLE = {"op4_weighted_fair_queueing": mixing.ORACLE, "op6_bitmap_tile_join": jaccard.ORACLE}
+ORACLE = {"op4_weighted_fair_queueing": mixing.ORACLE, "op6_bitmap_tile_join": jaccard.ORACLE, "op7_minhash_containment": decontamination.ORACLE, "op8_multi_index_hashing": hamming.ORACLE}
