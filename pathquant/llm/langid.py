@@ -183,7 +183,7 @@ def predict(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "
             return np.array([score[0][[index[w] for w in ws]].sum(axis=0) for ws in tokens]).reshape(len(texts), len(langs))
 
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
+            texts = batch.column(source).to_pylist()
             start = 0
             while start < len(texts):
                 end, chars = start, 0
@@ -205,7 +205,8 @@ def predict(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([*given.columns[: len(kept)], pa.array(pred, pa.string()), pa.array(value, pa.float64())], names=[*kept, "lang_pred", "score"])
                 start = end
 
-    rows = docs.select(*[F.col(c).alias(k) for c, k in zip(passed, kept)], F.col(text_col).alias("text"))
+    source = passed.index(text_col) if text_col in passed else len(kept)
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(passed, kept)], *([] if text_col in passed else [F.col(text_col).alias("text")]))
     types = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in kept]
     out = rows.mapInArrow(run, ", ".join([*types, "lang_pred string", "score double"]))
     return out.toDF(*passed, "lang_pred", "score")
