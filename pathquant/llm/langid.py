@@ -12,24 +12,23 @@ document is scored on its whole text.
 from __future__ import annotations
 
 import json
-import re
 import uuid
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathquant.llm.encoding import byte_alphabet, default_path
+from pathquant.llm.shingles import segment_hashes, text_chunks, word_spans
 
 FIT_DOCS = 1_000  # documents per language that the fit reads, about
 ROUNDS = 2  # of expectation-maximisation
-WORDS = 200_000  # words in a worker's cache; a full cache is emptied
-BATCH_CHARS = 2_000_000
+WORDS = 1_000_000  # words that a worker keeps; at more it starts anew, so memory is bounded
+ROWS = 512  # documents scored at a time
 WINDOW = 16  # bytes of the longest piece that is used
-LETTER = re.compile(r"[^\W\d_]")
-SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 
 
 @lru_cache(maxsize=2)
@@ -147,10 +146,52 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     return langs, probs
 
 
+class Scorer:
+    """Scores texts by the sums over their words; keeps the words met, as hashes and rows of scores."""
+
+    def __init__(self, probs: np.ndarray, tables):
+        self.probs, self.tables = probs, tables
+        self._forget()
+
+    def _forget(self):
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.scores, self.used = np.zeros((1 << 12, self.probs.shape[1])), 0
+
+    def _learn(self, raw: bytes, hashes, at, starts, ends):
+        got = forward([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())], self.probs, self.tables)
+        while self.used + len(got) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[self.used : self.used + len(got)] = got
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.rows = np.insert(self.rows, at, self.used + np.arange(len(got)))
+        self.used += len(got)
+
+    def score(self, column) -> np.ndarray:
+        """Log probability of each text of an Arrow string column under each language."""
+        out = []
+        for data, offsets in text_chunks(column):
+            starts, ends = word_spans(data, offsets)
+            total = np.zeros((len(offsets) - 1, self.probs.shape[1]))
+            if len(starts):
+                kinds, first, which = np.unique(segment_hashes(data.astype(np.uint64), starts, ends), return_index=True, return_inverse=True)
+                if self.used > WORDS:
+                    self._forget()
+                at = np.searchsorted(self.hashes, kinds)
+                new = self.hashes[np.minimum(at, len(self.hashes) - 1)] != kinds if len(self.hashes) else np.ones(len(kinds), bool)
+                if new.any():
+                    self._learn(data.tobytes(), kinds[new], at[new], starts[first[new]], ends[first[new]])
+                    at = np.searchsorted(self.hashes, kinds)
+                texts = np.searchsorted(offsets, starts, side="right") - 1
+                cuts = np.flatnonzero(np.concatenate([[True], texts[1:] != texts[:-1]]))
+                total[texts[cuts]] = np.add.reduceat(self.scores[self.rows[at[which]]], cuts, axis=0)
+            out.append(total)
+        return np.concatenate(out) if out else np.zeros((0, self.probs.shape[1]))
+
+
 @lru_cache(maxsize=1)
-def _known_words(token: str, langs: int) -> tuple[dict[str, int], list[np.ndarray]]:
-    """The worker's scored words of one model: word -> row, and the rows."""
-    return {}, [np.zeros((0, langs))]
+def _scorer(token: str, path: str) -> list:
+    """The worker's scorer of one model: an empty list until the first task fills it."""
+    return []
 
 
 def predict(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, passed=()) -> DataFrame:
@@ -168,42 +209,23 @@ def predict(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         langs, probs = sent.value
-        tables = pieces(path)
-        index, score = _known_words(token, len(langs))
-
-        def scored(texts: list[str]):
-            tokens = [[w for w in SPLIT.split(t.lower()) if w] for t in texts]
-            if len(index) > WORDS:
-                index.clear()
-                score[0] = np.zeros((0, len(langs)))
-            new = list({w for ws in tokens for w in ws if w not in index})
-            if new:
-                score[0] = np.concatenate([score[0], forward([w.encode("utf-8", "replace") for w in new], probs, tables)])
-                index.update(zip(new, range(len(index), len(index) + len(new))))
-            return np.array([score[0][[index[w] for w in ws]].sum(axis=0) for ws in tokens]).reshape(len(texts), len(langs))
-
+        scorer = _scorer(token, path)
+        if not scorer:
+            scorer.append(Scorer(probs, pieces(path)))
         for batch in batches:
-            texts = batch.column(source).to_pylist()
-            start = 0
-            while start < len(texts):
-                end, chars = start, 0
-                while end < len(texts) and (end == start or chars < BATCH_CHARS):
-                    chars += len(texts[end] or "")
-                    end += 1
-                part = texts[start:end]
-                known = [i for i, t in enumerate(part) if langs and t and LETTER.search(t)]
-                pred, value = ["und"] * len(part), [0.0] * len(part)
-                if known:
-                    logs = scored([part[i] for i in known])
-                    top = logs.max(axis=1, keepdims=True)
-                    post = np.exp(logs - top)
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                text = part.column(source)
+                pred, value = np.array(["und"] * len(text), dtype=object), np.zeros(len(text))
+                known = np.flatnonzero(pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)) if langs else []
+                if len(known):
+                    logs = scorer[0].score(pc.utf8_lower(text.take(pa.array(known))))
+                    post = np.exp(logs - logs.max(axis=1, keepdims=True))
                     post /= post.sum(axis=1, keepdims=True)
-                    for i, row in zip(known, post):
-                        k = int(row.argmax())
-                        pred[i], value[i] = langs[k], float(min(1.0, row[k]))
-                given = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*given.columns[: len(kept)], pa.array(pred, pa.string()), pa.array(value, pa.float64())], names=[*kept, "lang_pred", "score"])
-                start = end
+                    best = post.argmax(axis=1)
+                    pred[known] = np.array(langs, dtype=object)[best]
+                    value[known] = np.minimum(1.0, post[np.arange(len(best)), best])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(pred.tolist(), pa.string()), pa.array(value)], names=[*kept, "lang_pred", "score"])
 
     source = passed.index(text_col) if text_col in passed else len(kept)
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(passed, kept)], *([] if text_col in passed else [F.col(text_col).alias("text")]))

@@ -43,18 +43,25 @@ def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of texts that lie one after another in data; for each text, its first word (and one past the last)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all words of texts that lie one after another in data."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = ~_SPACE[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[1:], after[:-1] = word[:-1], word[1:]
     inner = offsets[(offsets > 0) & (offsets < n)]
     before[0] = after[-1] = False
     before[inner], after[inner - 1] = False, False
-    starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+    return np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words; for each text, its first word (and one past the last)."""
+    starts, ends = word_spans(data, offsets)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     return segment_hashes(_LOWER[data], starts, ends), np.searchsorted(starts, offsets)
 
 
