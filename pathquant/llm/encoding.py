@@ -21,7 +21,7 @@ from pathquant.llm.shingles import segment_hashes, text_chunks
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = 1_500_000  # pieces of text that a worker keeps; at more it starts anew, so memory is bounded
 PRETOKENS = 200_000  # pre-tokens that it keeps
-OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
+OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = np.zeros(256, dtype=bool)  # bytes that may begin other white space

@@ -25,9 +25,11 @@ def token_spans(enc, text: str, ids: np.ndarray | None) -> tuple[np.ndarray, np.
     if ids is None:
         spans = np.array(enc.tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
         return spans[:, 0], spans[:, 1]
+    if not len(ids):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.cumsum(token_bytes(enc)[ids])
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    if text.isascii() or not len(ids):
+    if text.isascii():
         return starts, ends
     char = np.cumsum((np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0) != 0x80) - 1
     return char[starts], char[ends - 1] + 1
