@@ -1,8 +1,8 @@
 """Whole-text encoding with a tokenizer file, one encoder per Python worker.
 
 Byte-level BPE never merges over a pre-token's edge. A space that other than white space follows always
-begins a pre-token, and so does a newline between two non-spaces. Texts are cut there, and the ids of each
-distinct piece of text are kept: hashes, places and ids in arrays, so that whole batches are encoded by
+begins a pre-token, and so do a newline between two non-spaces and a mark after an ASCII letter. Texts are
+cut there, and the ids of each distinct piece of text are kept: hashes, places and ids in arrays, so that whole batches are encoded by
 array operations and only new pieces reach the tokenizer's model. Texts for which the rule can't be told
 from ASCII alone (other white space, special tokens spelled out) go to the tokenizer whole.
 """
@@ -12,20 +12,24 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-from pathquant.llm.shingles import segment_hashes, text_chunks
+from pathquant.llm.shingles import HashIndex, distinct, segment_hashes, text_chunks
 
 #: The pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PIECES = 1_500_000  # pieces of text that a worker keeps; at more it starts anew, so memory is bounded
-PRETOKENS = 200_000  # pre-tokens that it keeps
+PIECES = 3_000_000  # pieces of text that a worker keeps; at more it starts anew, so memory is bounded
+PRETOKENS = 400_000  # pre-tokens that it keeps
 OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = np.zeros(256, dtype=bool)  # bytes that may begin other white space
 _ODD[[11, 12, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+_LETTER, _MARK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+_MARK[[*b",.;:!?()"]] = True
 _BYTES = np.arange(256, dtype=np.uint64)
 
 
@@ -55,15 +59,17 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.hashes, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.index, self.used = HashIndex(), 0
+        self.starts, self.counts = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids = np.zeros(1 << 16, np.uint32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def _piece(self, text: str) -> list[int]:
         out: list[int] = []
-        for pretoken in self.split(text):
+        # a word after a space is a pre-token as it stands
+        for pretoken in (text,) if text[0] == " " and text[1:].isalpha() else self.split(text):
             ids = self.pretokens.get(pretoken)
             if ids is None:
                 if len(self.pretokens) >= PRETOKENS:
@@ -73,17 +79,19 @@ class Encoder:
             out += ids
         return out
 
-    def _learn(self, raw: bytes, hashes, at, starts, ends):
-        """Adds new pieces, whose hashes rise, at their places ``at``."""
+    def _learn(self, raw: bytes, hashes, starts, ends):
+        """Adds new pieces, whose hashes rise."""
         got = [self._piece(raw[a:b].decode()) for a, b in zip(starts.tolist(), ends.tolist())]
         counts = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        total = int(counts.sum())
+        total, slot = int(counts.sum()), self.index.used
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for g in got for i in g), dtype=np.uint32, count=total)
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.starts = np.insert(self.starts, at, self.used + np.cumsum(counts) - counts)
-        self.counts = np.insert(self.counts, at, counts)
+        while slot + len(got) > len(self.starts):
+            self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=total)
+        self.starts[slot : slot + len(got)] = self.used + np.cumsum(counts) - counts
+        self.counts[slot : slot + len(got)] = counts
+        self.index.add(hashes)
         self.used += total
 
     def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +121,7 @@ class Encoder:
         inner = offsets[(offsets > 0) & (offsets < n)]
         after[inner - 1] = True
         cut = (data == 32) & ~after | (data == 10) & ~after & ~before
+        cut[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
         cut[0] = True
         cut[inner] = True
         starts = np.flatnonzero(cut)
@@ -121,16 +130,14 @@ class Encoder:
         if odd:
             plain = ~np.isin(owner, list(odd))
             starts, ends, owner = starts[plain], ends[plain], owner[plain]
-        kinds, first, which = np.unique(segment_hashes(_BYTES[data], starts, ends), return_index=True, return_inverse=True)
-        if len(self.hashes) > PIECES:
+        kinds, first, which = distinct(segment_hashes(_BYTES[data], starts, ends))
+        if self.index.used > PIECES:
             self._forget()
-        at = np.searchsorted(self.hashes, kinds)
-        new = np.ones(len(kinds), bool)
-        if len(self.hashes):
-            new = self.hashes[np.minimum(at, len(self.hashes) - 1)] != kinds
+        at = self.index.find(kinds)
+        new = at < 0
         if new.any():
-            self._learn(raw, kinds[new], at[new], starts[first[new]], ends[first[new]])
-            at = np.searchsorted(self.hashes, kinds)
+            self._learn(raw, kinds[new], starts[first[new]], ends[first[new]])
+            at = self.index.find(kinds)
         at = at[which]
         counts = self.counts[at]
         done = np.cumsum(counts)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathquant.llm.encoding import byte_alphabet, default_path
-from pathquant.llm.shingles import segment_hashes, text_chunks, word_spans
+from pathquant.llm.shingles import HashIndex, distinct, segment_hashes, text_chunks, word_spans
 
 FIT_DOCS = 1_000  # documents per language that the fit reads, about
 ROUNDS = 2  # of expectation-maximisation
@@ -154,17 +154,14 @@ class Scorer:
         self._forget()
 
     def _forget(self):
-        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.scores, self.used = np.zeros((1 << 12, self.probs.shape[1])), 0
+        self.index, self.scores = HashIndex(), np.zeros((1 << 12, self.probs.shape[1]))
 
-    def _learn(self, raw: bytes, hashes, at, starts, ends):
-        got = forward([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())], self.probs, self.tables)
-        while self.used + len(got) > len(self.scores):
+    def _learn(self, raw: bytes, hashes, starts, ends):
+        got, used = forward([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())], self.probs, self.tables), self.index.used
+        while used + len(got) > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[self.used : self.used + len(got)] = got
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.rows = np.insert(self.rows, at, self.used + np.arange(len(got)))
-        self.used += len(got)
+        self.scores[used : used + len(got)] = got
+        self.index.add(hashes)
 
     def score(self, column) -> np.ndarray:
         """Log probability of each text of an Arrow string column under each language."""
@@ -173,17 +170,17 @@ class Scorer:
             starts, ends = word_spans(data, offsets)
             total = np.zeros((len(offsets) - 1, self.probs.shape[1]))
             if len(starts):
-                kinds, first, which = np.unique(segment_hashes(data.astype(np.uint64), starts, ends), return_index=True, return_inverse=True)
-                if self.used > WORDS:
+                kinds, first, which = distinct(segment_hashes(data.astype(np.uint64), starts, ends))
+                if self.index.used > WORDS:
                     self._forget()
-                at = np.searchsorted(self.hashes, kinds)
-                new = self.hashes[np.minimum(at, len(self.hashes) - 1)] != kinds if len(self.hashes) else np.ones(len(kinds), bool)
+                at = self.index.find(kinds)
+                new = at < 0
                 if new.any():
-                    self._learn(data.tobytes(), kinds[new], at[new], starts[first[new]], ends[first[new]])
-                    at = np.searchsorted(self.hashes, kinds)
+                    self._learn(data.tobytes(), kinds[new], starts[first[new]], ends[first[new]])
+                    at = self.index.find(kinds)
                 texts = np.searchsorted(offsets, starts, side="right") - 1
                 cuts = np.flatnonzero(np.concatenate([[True], texts[1:] != texts[:-1]]))
-                total[texts[cuts]] = np.add.reduceat(self.scores[self.rows[at[which]]], cuts, axis=0)
+                total[texts[cuts]] = np.add.reduceat(self.scores[at[which]], cuts, axis=0)
             out.append(total)
         return np.concatenate(out) if out else np.zeros((0, self.probs.shape[1]))
 

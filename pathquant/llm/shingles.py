@@ -43,6 +43,51 @@ def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, where each comes first, and for every hash its place among them."""
+    import pandas as pd
+
+    codes, kinds = pd.factorize(hashes)
+    first = np.empty(len(kinds), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    order = np.argsort(kinds)
+    place = np.empty(len(kinds), np.int64)
+    place[order] = np.arange(len(kinds))
+    return kinds[order], first[order], place[codes]
+
+
+class HashIndex:
+    """Numbers distinct hashes from 0 in the order of their arrival. Lookups are of sorted hashes."""
+
+    RECENT = 200_000  # hashes that wait to be merged into the large array
+
+    def __init__(self):
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.new_hashes, self.new_slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.used = 0
+
+    @staticmethod
+    def _find(hashes, slots, wanted):
+        if not len(hashes):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+        return np.where(hashes[at] == wanted, slots[at], -1)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The numbers of the hashes, -1 for those not met."""
+        return np.maximum(self._find(self.hashes, self.slots, wanted), self._find(self.new_hashes, self.new_slots, wanted))
+
+    def add(self, wanted: np.ndarray) -> None:
+        slots = self.used + np.arange(len(wanted))
+        at = np.searchsorted(self.new_hashes, wanted)
+        self.new_hashes, self.new_slots = np.insert(self.new_hashes, at, wanted), np.insert(self.new_slots, at, slots)
+        self.used += len(wanted)
+        if len(self.new_hashes) > self.RECENT:
+            at = np.searchsorted(self.hashes, self.new_hashes)
+            self.hashes, self.slots = np.insert(self.hashes, at, self.new_hashes), np.insert(self.slots, at, self.new_slots)
+            self.new_hashes, self.new_slots = self.new_hashes[:0], self.new_slots[:0]
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of all words of texts that lie one after another in data."""
     n = len(data)
