@@ -2,8 +2,10 @@
 
 A code is cut into m segments, and every segment is indexed. A query looks up its segments with growing
 radius: if all segments have been searched to radius r, every code within Hamming distance m (r + 1) - 1 has
-been met, so a query is done when its k-th verified distance is not above that. Candidates are verified by
-the distance of the whole codes.
+been met; if the first j + 1 segments have been searched to radius r and the others to r - 1, every code
+within m r + j. So a query whose k-th verified distance is known looks up only the segments that cover it,
+and is done then. Candidates are verified by the distance of the whole codes, bucket by bucket, and only
+those that can be in an answer become rows.
 
 Equal codes are one entry of the index, which keeps as many of its smallest ids as an answer can hold, and
 equal queries are searched once: a code that a third of all rows share costs no more than another.
@@ -12,7 +14,7 @@ equal queries are searched once: a code that a third of all rows share costs no
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb, log2
+from math import comb
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,28 @@ from pyspark.sql import functions as F
 from pathquant.llm.common import stored
 
 PROBES = 20_000  # masks of one radius; beyond, the open queries are compared with all codes in blocks
+BLOCK_CODES = 1 << 16  # a bucket may be split into one block for so many codes of the whole index
+
+
+def segments_for(n: int, k: int, bits: int) -> int:
+    """Number of segments with the least estimated work for n codes that are spread evenly.
+
+    The k-th neighbour's distance follows from the binomial distribution. Work is the lookups that cover it
+    and, at 0.3 each, the codes met.
+    """
+    d, reached = 0, 0.0
+    while d < bits:
+        reached += n * comb(bits, d) / 2**bits
+        if reached > k:
+            break
+        d += 1
+    best = (float("inf"), 1)
+    for m in range(1, min(16, bits) + 1):
+        w = -(-bits // m)
+        a, j = divmod(d, m)
+        probes = m * sum(comb(w, i) for i in range(min(a, w + 1))) + (j + 1) * (comb(w, a) if a <= w else 0)
+        best = min(best, (probes * (1 + 0.3 * n / 2**w), m))
+    return best[1]
 
 
 def sign_code(column):
@@ -47,7 +71,7 @@ def top_k(rows: DataFrame, queries: DataFrame, *, id_col: str, code_col: str, k:
     members = stored(few.withColumn("place", place).where(F.col("place") <= k + 1).select("code", "id", "place"), "hamming-members")
     codes = stored(members.groupBy("code").agg(F.count("*").alias("ids")), "hamming-codes")
     n = codes.count()
-    m = segments or max(1, min(16, round(bits / max(1.0, log2(max(2, n))))))
+    m = segments or segments_for(n, k, bits)
     width = -(-bits // m)
     cut = [(j, width * j, min(width, bits - width * j)) for j in range(m) if width * j < bits]
     m = len(cut)
@@ -55,41 +79,49 @@ def top_k(rows: DataFrame, queries: DataFrame, *, id_col: str, code_col: str, k:
     def segment(code, low: int, size: int):
         return F.shiftrightunsigned(code, low).bitwiseAND(F.lit((1 << size) - 1)) if size < 64 else code
 
-    index = stored(codes.select("code", "ids", F.posexplode(F.array(*[segment(F.col("code"), low, size) for _, low, size in cut])).alias("seg", "value")), "hamming-index")
+    blocks = max(1, n // BLOCK_CODES)
+    cells = codes.select("code", "ids", F.posexplode(F.array(*[segment(F.col("code"), low, size) for _, low, size in cut])).alias("seg", "value"))
+    cells = cells.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)))
+    index = stored(cells.groupBy("seg", "value", "block").agg(F.collect_list(F.struct("code", "ids")).alias("codes")).drop("block"), "hamming-index")
     asked = queries.where(F.col(code_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(code_col).alias("query")).distinct()
     asked = stored(asked, "hamming-queries")
-    open_ = stored(asked.select("query").distinct(), "hamming-open")
-    found = None  # (query, code, ids, distance)
+    # reach: the distance within which k others and the query itself are known to lie
+    open_ = stored(asked.select("query").distinct().withColumn("reach", F.lit(bits)), "hamming-open")
+    found = done = None  # (query, code, ids, distance)
     radius = 0
 
-    def best(df: DataFrame) -> DataFrame:
-        """The codes of each query that an answer can need: those to which at most k ids are nearer."""
-        nearer = F.sum("ids").over(Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1))
-        return df.withColumn("nearer", F.coalesce(nearer, F.lit(0))).where(F.col("nearer") <= k).drop("nearer")
+    def near(met: DataFrame) -> DataFrame:
+        """(query, code, ids, distance) of a bucket's codes that are within reach and among its k + 1 nearest, ties kept."""
+        all_ = F.transform("codes", lambda c: F.struct(_distance(F.col("query"), c["code"]).alias("distance"), c["code"].alias("code"), c["ids"].alias("ids")))
+        met = met.withColumn("all", F.filter(all_, lambda x: x["distance"] <= F.col("reach")))
+        last = F.get(F.array_sort(F.transform("all", lambda x: x["distance"])), F.lit(k))
+        met = met.withColumn("last", last).withColumn("x", F.explode(F.filter("all", lambda x: F.col("last").isNull() | (x["distance"] <= F.col("last")))))
+        return met.select("query", "x.code", "x.ids", "x.distance")
 
-    done = None
     while not open_.isEmpty():
-        masks = [(j, sum(1 << b for b in c)) for j, _, size in cut for c in combinations(range(size), radius)] if sum(comb(size, radius) for *_, size in cut) <= PROBES and radius <= width else None
+        masks = None
+        if radius <= width and sum(comb(size, radius) for *_, size in cut) <= PROBES:
+            masks = [(j, sum(1 << b for b in c)) for j, _, size in cut for c in combinations(range(size), radius)]
         if masks is None:
-            # the radius has grown too wide to enumerate: the open queries against every code, in blocks of codes
-            met = open_.join(codes)
-            covered = bits
+            # the radius is too wide to enumerate: the open queries against every code, a bucket of the first segment at a time
+            met = near(open_.join(index.where("seg = 0").select("codes")))
         else:
             probes = spark.createDataFrame(masks, "seg int, mask long")
             parts = F.array(*[segment(F.col("query"), low, size) for _, low, size in cut])
-            looked = open_.withColumn("parts", parts).join(F.broadcast(probes)).select("query", "seg", F.get("parts", F.col("seg")).bitwiseXOR(F.col("mask")).alias("value"))
-            met = looked.join(index, ["seg", "value"]).select("query", "code", "ids").distinct()
-            covered = m * (radius + 1) - 1
-        met = met.withColumn("distance", _distance(F.col("query"), F.col("code")))
+            looked = open_.withColumn("parts", parts).join(F.broadcast(probes), F.col("seg") <= F.col("reach") - m * radius)
+            looked = looked.select("query", "reach", "seg", F.get("parts", F.col("seg")).bitwiseXOR(F.col("mask")).alias("value"))
+            met = near(looked.join(index, ["seg", "value"]))
         if found is not None:
-            met = met.unionByName(found.join(open_, "query", "left_semi")).distinct()
-        found = stored(best(met), "hamming-found")
-        state = found.groupBy("query").agg(F.sum(F.when(F.col("distance") <= covered, F.col("ids")).otherwise(0)).alias("safe"))
-        # k others and the query itself lie within what is covered
-        ready = state.where((F.col("safe") > k) | F.lit(covered >= bits)).select("query")
-        closed = found.join(ready, "query", "left_semi")
+            met = met.unionByName(found.join(open_.select("query"), "query", "left_semi"))
+        nearer = F.sum("ids").over(Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1))
+        found = stored(met.distinct().withColumn("nearer", F.coalesce(nearer, F.lit(0))).where(F.col("nearer") <= k).drop("nearer"), "hamming-found")
+        covered = bits if masks is None or radius >= width else m * (radius + 1) - 1
+        within = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, 0)
+        known = found.withColumn("within", F.sum("ids").over(within)).where(F.col("within") > k).groupBy("query").agg(F.min("distance").alias("now"))
+        state = stored(open_.join(known, "query", "left").select("query", F.coalesce("now", F.lit(bits)).alias("reach"), (F.coalesce("now", F.lit(bits)) <= covered).alias("ready")), "hamming-state")
+        closed = found.join(state.where("ready").select("query"), "query", "left_semi")
         done = closed if done is None else done.unionByName(closed)
-        open_ = stored(open_.join(ready, "query", "left_anti"), "hamming-open")
+        open_ = state.where("NOT ready").select("query", "reach")
         radius += 1
     if done is None:
         done = spark.createDataFrame([], "query long, code long, ids long, distance int")
