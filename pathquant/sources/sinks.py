@@ -49,7 +49,7 @@ def _named(groups: DataFrame, members: DataFrame) -> DataFrame:
     """Adds the names and effective lengths of the paths of combinations, in their order."""
     keyed = groups.withColumn("_g", F.xxhash64("cluster_id", "path_ids"))
     each = keyed.select("cluster_id", "_g", F.posexplode("path_ids").alias("i", "path_id")).join(members.select("cluster_id", "path_id", "name", "effective_length"), ["cluster_id", "path_id"])
-    lists = each.groupBy("cluster_id", "_g").agg(F.array_sort(F.collect_list(F.struct("i", "name", "effective_length"))).alias("l"))
+    lists = each.groupBy("cluster_id", "_g").agg(F.array_sort(F.collect_set(F.struct("i", "name", "effective_length"))).alias("l"))
     out = keyed.join(lists, ["cluster_id", "_g"])
     return out.withColumn("names", F.transform("l", lambda x: x["name"])).withColumn("lengths", F.transform("l", lambda x: x["effective_length"])).drop("_g", "l")
 
