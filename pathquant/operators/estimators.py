@@ -37,15 +37,17 @@ def em(matrix: np.ndarray, counts: np.ndarray, max_its: int = 10_000, tolerance:
     n, total = matrix.shape[1], counts.sum()
     if total == 0:
         return np.zeros(n - 1), 0.0
+    live = matrix.any(axis=1)
+    matrix, weights = matrix[live], counts[live] / total
     share = np.full(n, float(np.float32(1 / n)))
     calm = 0
     for _ in range(max_its):
         before = share
-        joint = matrix * share
-        norm = joint.sum(axis=1, keepdims=True)
-        share = (np.divide(joint, norm, out=np.zeros_like(joint), where=norm > 0) * counts[:, None]).sum(axis=0) / total
-        big = share >= C.EM_MIN_ABUNDANCE
-        calm = calm + 1 if np.all(np.abs(share[big] - before[big]) <= tolerance * share[big]) else 0
+        norm = matrix @ share
+        norm[norm == 0] = np.inf
+        share = share * ((weights / norm) @ matrix)
+        moved = (np.abs(share - before) > tolerance * share) & (share >= C.EM_MIN_ABUNDANCE)
+        calm = 0 if moved.any() else calm + 1
         if calm == C.EM_CONVERGED_ROUNDS:
             break
     tiny = share[:-1] < C.EM_MIN_ABUNDANCE

@@ -1,4 +1,4 @@
-"""Inference per cluster: the four models as one grouped map, and what follows from its rows.
+"""Inference per cluster: the four models as one pass over clusters, and what follows from its rows.
 
 Result rows: cluster_id, kind, path_ids, posterior, counts, noise_count, total_count, sample, where kind is
 ``group`` (a path combination, or a single path, with posterior and expected counts), ``cluster`` (noise and
@@ -8,7 +8,7 @@ total) or ``sample`` (one draw of counts).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,25 +16,24 @@ from pathquant.config import HAPLOTYPE_CUT, EngineConfig
 from pathquant.operators import estimators as E
 
 RESULT = "cluster_id long, kind string, path_ids array<long>, posterior double, counts array<double>, noise_count double, total_count double, sample int"
-COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
 
 
-def _matrix(reads: pd.DataFrame, ids: list[int]):
+def _matrix(reads: dict, ids: list[int]):
     """Dense probabilities, noise and counts of a cluster; rows are read classes."""
     at = {p: i for i, p in enumerate(ids)}
-    classes, which = np.unique(reads["read_class_id"].to_numpy(), return_inverse=True)
+    classes, which = np.unique(reads["read_class_id"], return_inverse=True)
     probs = np.zeros((len(classes), len(ids)))
     noise, counts = np.zeros(len(classes)), np.zeros(len(classes))
-    noise[which], counts[which] = reads["noise_prob"].to_numpy(dtype=float), reads["read_count"].to_numpy(dtype=float)
-    live = reads["path_id"].notna().to_numpy()
-    probs[which[live], [at[int(p)] for p in reads["path_id"].to_numpy()[live]]] = reads["prob"].to_numpy(dtype=float)[live]
+    noise[which], counts[which] = reads["noise_prob"], reads["read_count"]
+    live = reads["live"]
+    probs[which[live], [at[p] for p in reads["path_id"][live].tolist()]] = reads["prob"][live]
     return probs, noise, counts
 
 
-def _estimate(cluster: int, reads: pd.DataFrame, members: pd.DataFrame, s: EngineConfig) -> list[tuple]:
-    members = members.sort_values("path_id")
-    ids = [int(p) for p in members["path_id"]]
-    if reads.empty:
+def _estimate(cluster: int, reads: dict, members: dict, s: EngineConfig) -> list[tuple]:
+    """reads and members: columns as arrays, those of members in the order of path_id."""
+    ids = members["path_id"].tolist()
+    if not len(reads["path_id"]):
         rows = [] if s.model in ("haplotypes", "haplotype-transcripts") else [(cluster, "group", [p], 1.0, [0.0], None, None, None) for p in ids]
         return [*rows, (cluster, "cluster", None, None, None, 0.0, 0.0, None)]
     probs, noise, counts = _matrix(reads, ids)
@@ -51,7 +50,7 @@ def _estimate(cluster: int, reads: pd.DataFrame, members: pd.DataFrame, s: Engin
 
     if s.model == "haplotypes":
         matrix, merged = E.collapse_reads(E.with_noise(probs, noise), counts, s.prob_precision)
-        freq = members["source_count"].to_numpy(dtype=float)
+        freq = members["source_count"].astype(float)
         if s.use_hap_gibbs:
             groups, post = E.gibbs_posteriors(matrix[:, :-1], matrix[:, -1], merged, freq, s.ploidy, rng)
         else:
@@ -87,15 +86,52 @@ def _estimate(cluster: int, reads: pd.DataFrame, members: pd.DataFrame, s: Engin
     return [*out, (cluster, "cluster", None, None, None, lost, total, None)]
 
 
-def infer(probs: DataFrame, members: DataFrame, settings: EngineConfig) -> DataFrame:
-    """probs: long-form read path probabilities; members: cluster_id, path_id, source_count, group_id, source_ids."""
+def _clusters(batches):
+    """Clusters of rows that come sorted by cluster and kind, as dictionaries of column slices."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+        ids = table.column("cluster_id").to_numpy()
+        cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+        bounds = [0, *cuts.tolist()]
+        if len(bounds) > 1:
+            yield table.slice(0, bounds[-1]), bounds
+        held = table.slice(bounds[-1]) if len(ids) else None
+    if held is not None and len(held):
+        yield held, [0, len(held)]
 
-    def run(key, reads, paths):
-        if paths.empty:
-            return pd.DataFrame(columns=COLUMNS)
-        return pd.DataFrame(_estimate(int(key[0]), reads, paths, settings), columns=COLUMNS)
 
-    return probs.groupBy("cluster_id").cogroup(members.groupBy("cluster_id")).applyInPandas(run, RESULT)
+def infer(probs: DataFrame, members: DataFrame, settings: EngineConfig) -> DataFrame:
+    """probs: long-form read path probabilities; members: cluster_id, path_id, source_count, group_id, source_ids.
+
+    Clusters are hashed to partitions and streamed one after another, many to a task. A cluster must fit in a
+    worker as a dense array of read classes by paths; ``estimators.em_frames`` has no such limit.
+    """
+    no = {t: F.lit(None).cast(t) for t in ("long", "double", "array<long>")}
+    own = members.select("cluster_id", F.lit(0).alias("kind"), F.col("path_id").cast("long").alias("path_id"), no["long"].alias("read_class_id"), no["double"].alias("read_count"), no["double"].alias("noise_prob"), no["double"].alias("prob"), F.col("source_count").cast("long").alias("source_count"), F.col("group_id").cast("long").alias("group_id"), F.col("source_ids").cast("array<long>").alias("source_ids"))
+    reads = probs.select("cluster_id", F.lit(1).alias("kind"), F.col("path_id").cast("long").alias("path_id"), F.col("read_class_id").cast("long").alias("read_class_id"), F.col("read_count").cast("double").alias("read_count"), "noise_prob", "prob", no["long"].alias("source_count"), no["long"].alias("group_id"), no["array<long>"].alias("source_ids"))
+    schema = pa.schema([("cluster_id", pa.int64()), ("kind", pa.string()), ("path_ids", pa.list_(pa.int64())), ("posterior", pa.float64()), ("counts", pa.list_(pa.float64())), ("noise_count", pa.float64()), ("total_count", pa.float64()), ("sample", pa.int32())])
+
+    def run(batches):
+        for table, bounds in _clusters(batches):
+            column = {c: table.column(c).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False) for c in table.column_names if c != "source_ids"}
+            column["live"] = table.column("path_id").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+            sources = table.column("source_ids").combine_chunks()
+            out = []
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                middle = low + int((column["kind"][low:high] == 0).sum())
+                if middle > low:
+                    order = low + np.argsort(column["path_id"][low:middle], kind="stable")
+                    paths = {c: column[c][order] for c in ("path_id", "source_count", "group_id")}
+                    paths["source_ids"] = [sources[int(i)].as_py() for i in order] if settings.model == "haplotype-transcripts" else []
+                    out += _estimate(int(column["cluster_id"][low]), {c: v[middle:high] for c, v in column.items()}, paths, settings)
+                if len(out) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return own.unionByName(reads).repartition("cluster_id").sortWithinPartitions("cluster_id", "kind").mapInArrow(run, RESULT)
 
 
 def path_abundances(result: DataFrame) -> DataFrame:

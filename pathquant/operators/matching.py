@@ -11,13 +11,16 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathquant.config import INT_MIN, EngineConfig
+from pathquant.config import FULL_LENGTH_BONUS, INT_MIN, EngineConfig
 from pathquant.functions import scoring
+from pathquant.plans.store import stored
 
 WALKS = (
     "read_id long, mate int, strand string, walk long, nodes array<long>, read_pos array<int>, matched array<int>, length int, score int, optimal int, "
@@ -78,37 +81,44 @@ def walks(alignments: DataFrame, config: EngineConfig) -> DataFrame:
     scores = np.array(scoring.MATCH_SCORES)
     use_quality, allelic = not config.score_not_qual, config.use_allelic_mapq
 
-    def rows(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                length = len(row.get("sequence") or "")
-                quality = row.get("quality")
-                quality = np.frombuffer(bytes(quality), dtype=np.uint8) if use_quality and quality is not None and len(quality) else None
-                per_base = np.ones(length, dtype=np.int64) if quality is None else scores[quality[:length]]
-                optimal = int(per_base.sum()) + (10 if quality is None else scoring.BONUSES[quality[0]] + scoring.BONUSES[quality[-1]])
-                annotation = row.get("annotation")
-                annotation = dict(annotation) if annotation is not None else {}
-                mapq = int(row.get("mapping_quality") or 0)
-                if allelic and annotation.get("allelic_mapq") is not None:
-                    mapq = min(mapq, int(float(annotation["allelic_mapq"])))
-                best: dict[tuple, tuple] = {}
-                for mappings, score in _mapping_lists(row):
-                    visits, left, right, broken = _walk(mappings)
-                    key = (tuple(v[0] for v in visits), visits[0][1], visits[-1][2], left, right)
-                    if not broken and (key not in best or best[key][0] < score):
-                        best[key] = (score, visits)
-                for n, ((nodes, first, last, left, right), (score, visits)) in enumerate(sorted(best.items())):
-                    for strand in "+-":
-                        forward = strand == "+"
-                        base = np.concatenate([[0], np.cumsum(per_base if forward else per_base[::-1])])
-                        order = visits if forward else visits[::-1]
-                        pos = np.concatenate([[0], np.cumsum([v[3] for v in order])])[:-1].astype(int)
-                        lc, rc = (left, right) if forward else (right, left)
-                        out.append((row["read_id"], row["mate"], strand, n, [v[0] if forward else v[0] ^ 1 for v in order], pos.tolist(), [int(base[min(p, length)]) for p in pos], length, score, optimal, lc, rc, int(base[min(lc, length)]), int(base[max(0, length - rc)]), first if forward else last, last if forward else first, mapq, bool("disconnected" in annotation and row.get("subpath") is not None)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in WALKS.split(", ")])
-
-    return alignments.mapInPandas(rows, WALKS)
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    schema = pa.schema([(name, types[kind]) for name, kind in (c.split() for c in WALKS.split(", "))])
+
+    def of_read(row):
+        length = len(row["sequence"] or "")
+        quality = row["quality"] if use_quality else None
+        if quality:
+            per_base = scores[np.frombuffer(quality, dtype=np.uint8)[:length]]
+            ahead, back = ([0, *np.cumsum(x).tolist()] for x in (per_base, per_base[::-1]))
+            optimal = ahead[-1] + scoring.BONUSES[quality[0]] + scoring.BONUSES[quality[-1]]
+        else:  # a match counts 1
+            ahead = back = range(length + 1)
+            optimal = length + 2 * FULL_LENGTH_BONUS
+        annotation = dict(row["annotation"] or ())
+        mapq = int(row["mapping_quality"] or 0)
+        if allelic and annotation.get("allelic_mapq") is not None:
+            mapq = min(mapq, int(float(annotation["allelic_mapq"])))
+        best: dict[tuple, tuple] = {}
+        for mappings, score in _mapping_lists(row):
+            visits, left, right, broken = _walk(mappings)
+            key = (tuple(v[0] for v in visits), visits[0][1], visits[-1][2], left, right)
+            if not broken and (key not in best or best[key][0] < score):
+                best[key] = (score, visits)
+        multimap = "disconnected" in annotation and row.get("subpath") is not None
+        for n, ((_, first, last, left, right), (score, visits)) in enumerate(sorted(best.items())):
+            for strand, base, order, lc, rc, start, end in (("+", ahead, visits, left, right, first, last), ("-", back, visits[::-1], right, left, last, first)):
+                flip = strand == "-"
+                pos = [0, *accumulate(v[3] for v in order)][:-1]
+                yield row["read_id"], row["mate"], strand, n, [v[0] ^ flip for v in order], pos, [base[min(p, length)] for p in pos], length, score, optimal, lc, rc, base[min(lc, length)], base[max(0, length - rc)], start, end, mapq, multimap
+
+    def run(batches):
+        for batch in batches:
+            out = [w for row in batch.to_pylist() for w in of_read(row)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    wanted = ["read_id", "mate", "sequence", "quality", "mapping_quality", "annotation", "score", "path", "start", "subpath"]
+    return alignments.select(*[c for c in wanted if c in alignments.columns]).mapInArrow(run, WALKS)
 
 
 def start_in_graph(walked: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -143,6 +153,7 @@ def accepted(found: DataFrame, walked: DataFrame, max_partial: int) -> DataFrame
     r = r.withColumn("drop_right", F.when(e == last, 0).otherwise(F.greatest(F.lit(0), F.col("length") - F.col("right_clip") - F.get("read_pos", e + 1))))
     r = r.withColumn("pen_left", F.when(s == 0, 0).otherwise(F.get("matched", s) - F.col("matched_left")))
     r = r.withColumn("pen_right", F.when(e == last, 0).otherwise(F.col("matched_right") - F.get("matched", e + 1)))
+    r = stored(r, "runs")  # read twice below
     starts = r.where(F.col("drop_left") <= max_partial).select(*key, s.alias("first"), e.alias("final"))
     ends = starts.select(*key, F.col("final").alias("at")).distinct()
     alive = ends.join(starts, key).where("first <= at AND at <= final").groupBy(*key, "at").agg(F.min("first").alias("main"))
@@ -219,7 +230,7 @@ def alignment_rows(alignments: DataFrame, steps: DataFrame, config: EngineConfig
     noise_score is 0 (all noise) where the best row reaches less than filt_best_score of the optimum, else the
     lowest integer (no noise from missing paths).
     """
-    walked = walks(alignments, config)
+    walked = stored(walks(alignments, config), "walks")
     matches = score_filter(accepted(runs(walked, steps), walked, config.max_partial_offset), config.max_score_diff)
     rows = single_matches(matches, config.library, bidirectional) if config.single_end else paired_matches(matches, config.library, max_fragment, bidirectional)
     read = Window.partitionBy("read_id")

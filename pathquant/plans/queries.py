@@ -471,6 +471,43 @@ def nested_independent(spark, sf):
     return inference.path_abundances(_model(spark, sf, model="haplotype-transcripts", path_info=True, ind_hap_inference=True))
 
 
+def genes(spark, sf):
+    """A pangenome of genes: an order is a gene with a node per line and two haplotype-specific transcripts, of which
+    the second skips the second node; every line but the last is a read pair over its node and the next.
+
+    Returns (alignments, nodes, steps, paths, path information).
+    """
+    line = steps(spark, sf).join(nodes(spark, sf), "node_id")
+    last = F.max("ordinal").over(Window.partitionBy("path_id"))
+    line = line.select(F.col("path_id").alias("gene"), "ordinal", last.alias("last"), (F.col("path_id") * 64 + F.col("ordinal")).alias("node_id"), (F.lit(60) + F.col("length") % 20).cast("int").alias("length"), (F.col("node_id") % 20).alias("jitter"))
+    line = stored(line, "genes")
+    walks = line.select((F.col("gene") * 2).alias("path_id"), "ordinal", "node_id", F.lit(False).alias("is_reverse"))
+    kept = line.where((F.col("ordinal") != 1) | (F.col("last") < 2))
+    second = kept.select((F.col("gene") * 2 + 1).alias("path_id"), (F.row_number().over(Window.partitionBy("gene").orderBy("ordinal")) - 1).alias("ordinal"), "node_id", F.lit(False).alias("is_reverse"))
+    all_steps = stored(walks.unionByName(second), "genes-steps")
+    names = all_steps.select("path_id").distinct().withColumn("name", F.concat(F.lit("t"), F.col("path_id").cast("string")))
+    info = names.select("name", F.floor(F.col("path_id") / 2).cast("string").alias("transcript"), F.floor(F.col("path_id") / 2).alias("group_id"), F.array(F.col("path_id") % 2, 2 + F.col("path_id") % 2).alias("source_ids"), F.lit(2).alias("source_count"))
+
+    def mapping(node, offset, back):
+        return F.struct(F.array(F.struct(F.struct(node.cast("long").alias("node_id"), offset.cast("long").alias("offset"), F.lit(back).alias("is_reverse")).alias("position"), F.array(F.struct(F.lit(30).alias("from_length"), F.lit(30).alias("to_length"))).alias("edit"))).alias("mapping"))
+
+    pair = line.where("ordinal < last").withColumn("read_id", F.col("node_id"))
+    common = [F.lit("A" * 30).alias("sequence"), F.lit(40).alias("score"), F.lit(60).alias("mapping_quality"), F.lit(None).cast("binary").alias("quality"), F.lit(None).cast("map<string,string>").alias("annotation")]
+    reads = pair.select("read_id", F.lit(1).alias("mate"), *common, mapping(F.col("node_id"), F.col("jitter"), False).alias("path"))
+    reads = reads.unionByName(pair.select("read_id", F.lit(2).alias("mate"), *common, mapping(F.col("node_id") + 1, F.col("jitter") / 2, True).alias("path")))
+    return reads, line.select("node_id", "length"), all_steps, names, info
+
+
+@query()
+def haplotype_transcripts(spark, sf):
+    """The whole nested model, from read pairs to abundances."""
+    from pathquant.plans import pipeline
+
+    reads, graph, walks, names, info = genes(spark, sf)
+    config = EngineConfig(model="haplotype-transcripts", path_info=True, library="fr", score_not_qual=True, single_path=True, frag_mean=110.0, frag_sd=30.0)
+    return pipeline.run(reads, graph, walks, names, config, info).tables["abundances"]
+
+
 @query()
 def gibbs_counts(spark, sf):
     out = _model(spark, sf, model="transcripts", num_gibbs_samples=3)
