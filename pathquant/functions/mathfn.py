@@ -153,5 +153,5 @@ def prob_to_phred(p: float) -> float:
 
 def clamp_int(value: float) -> int:
     """Rounded half away from zero, within 32 bits."""
-    value = min(max(value, -(2**31)), 2**31 - 1)
+    value = min(max(value, -(2.0**31)), 2.0**31 - 1)
     return int(math.copysign(math.floor(abs(value) + 0.5), value))

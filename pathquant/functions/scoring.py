@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pathquant.config import FULL_LENGTH_BONUS, MATCH, MISMATCH, NOISE_LOG_BASE, SCORE_LOG_BASE
+from pathquant.config import FULL_LENGTH_BONUS, INT_MIN, MATCH, MISMATCH, NOISE_LOG_BASE, SCORE_LOG_BASE
+from pathquant.functions.mathfn import clamp_int, log_sum_exp
 
 MAX_QUALITY = 255
 
@@ -132,3 +134,22 @@ def noise_prob_of_scores(scores: Column) -> Column:
     """1 - the product over scores of 1 / (1 + exp(-1e-6 score)): the chance that the read is from no path."""
     product = F.aggregate(scores, F.lit(1.0), lambda p, s: p / (1 + F.exp(-F.lit(NOISE_LOG_BASE) * s)))
     return 1 - product
+
+
+def missing_score(hits, missing) -> int:
+    """Score of one searched orientation: how far the walks that paths hold outweigh those that none holds.
+
+    hits and missing are score sums of full walks. Without missing walks the score is as large as it can be.
+    """
+    if not len(hits) or not len(missing):
+        return clamp_int(math.inf if len(hits) else -math.inf)
+    weigh = lambda scores: float(log_sum_exp(np.asarray(scores, dtype=float) * SCORE_LOG_BASE))
+    return clamp_int((weigh(hits) - weigh(missing)) / NOISE_LOG_BASE)
+
+
+def noise_score(rows) -> int:
+    """Noise of a read as a score: the least over noise rows, each a list of orientation scores; the lowest integer for none."""
+    noise = 1.0
+    for scores in rows:
+        noise = min(noise, 1 - math.prod(1 / (1 + math.exp(min(700.0, -NOISE_LOG_BASE * s))) for s in scores))
+    return clamp_int(math.log(noise) / NOISE_LOG_BASE) if noise > 0 else INT_MIN

@@ -32,6 +32,22 @@ def collapse_reads(matrix: np.ndarray, counts: np.ndarray, precision: float = 1e
     return matrix[first], np.bincount(which.ravel(), weights=counts)
 
 
+def collapse_paths(matrix: np.ndarray, precision: float = 1e-8) -> tuple[np.ndarray, list[list[int]]]:
+    """Columns that are equal to the precision become one; returns the matrix and the members of each column."""
+    _, first, which = np.unique(np.round(matrix / precision).astype(np.int64), axis=1, return_index=True, return_inverse=True)
+    members: list[list[int]] = [[] for _ in first]
+    for column, group in enumerate(which.ravel().tolist()):
+        members[group].append(column)
+    return matrix[:, first], members
+
+
+def without_noise(probs: np.ndarray, noise: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows normalised to 1 and counts scaled by 1 - noise; rows that are all noise go."""
+    live = noise < 1
+    total = probs[live].sum(axis=1, keepdims=True)
+    return np.divide(probs[live], total, out=np.zeros_like(probs[live]), where=total > 0), counts[live] * (1 - noise[live])
+
+
 def em(matrix: np.ndarray, counts: np.ndarray, max_its: int = 10_000, tolerance: float = 0.001) -> tuple[np.ndarray, float]:
     """Expected counts of the paths and of noise (last column), by expectation-maximisation."""
     n, total = matrix.shape[1], counts.sum()

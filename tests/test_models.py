@@ -84,6 +84,22 @@ def test_alignment_statistics(spark):
     assert scoring.MATCH_SCORES[0] == 0 and scoring.MATCH_SCORES[40] == 1 and scoring.BONUSES[2] == 0 and scoring.BONUSES[40] == 5
 
 
+def test_noise_scores():
+    # walks of a branching read: one orientation each holds one of four, then both ends of one index
+    forward, back = scoring.missing_score([8], [6, 6, 4]), scoring.missing_score([6], [8, 6, 4])
+    assert scoring.noise_score([[forward], [back]]) == -2164501
+    assert scoring.noise_score([[scoring.missing_score([8, 6], [6, 4])]]) == -2827626
+    assert scoring.missing_score([5], []) == 2**31 - 1 and scoring.noise_score([[2**31 - 1]]) == INT_MIN
+    assert scoring.noise_score([[-(2**31)]]) == 0
+
+
+def test_collapsing():
+    matrix, members = estimators.collapse_paths(np.array([[0.2, 0.5, 0.2], [0.1, 0.3, 0.1 + 1e-12]]))
+    assert matrix.shape == (2, 2) and sorted(map(sorted, members)) == [[0, 2], [1]]
+    rows, counts = estimators.without_noise(np.array([[0.3, 0.6], [0.0, 0.0]]), np.array([0.1, 1.0]), np.array([10.0, 4.0]))
+    assert np.allclose(rows, [[1 / 3, 2 / 3]]) and counts.tolist() == [9.0]
+
+
 def prob_rows(spark, rows, mapq=10, noise=INT_MIN, **eff):
     """rows: (path, score, align, frag); effective lengths default to 3."""
     data = [(0, 1, 1, mapq, noise, p, s, a, f, eff.get(f"p{p}", 3.0)) for p, s, a, f in rows]
