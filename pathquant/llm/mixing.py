@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pathquant.llm.common import stored, word_count
 
 RANGES = 4096  # ranges of virtual time
-BUCKET_ROWS = 20_000  # rows of one source in one window
+BUCKET_ROWS = 1_000  # rows of one source in one window, while there are at most 65,536 windows
 
 
 def targets(sizes: DataFrame, budget_share: float = 1.0, weights=(1, 2, 3), max_epochs: int = 3) -> DataFrame:
