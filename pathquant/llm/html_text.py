@@ -30,6 +30,7 @@ DROPPED = frozenset("head nav header footer aside form button select option svg
 CLOSES_P = BLOCK - frozenset("html head body td th caption".split())
 SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsbygoogle|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletters?|subscribe|signup|login|sidebars?|side|menus?|navs?|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|commentlist|discussion|replies|reply|respond|disqus|related|recommended|recommendations|share|sharing|social|widgets?|toolbar|pagination|pager|copyright|disclaimer|hidden)(?:$|[\s_-]|\d)", re.I)
+NAMED_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|adverts?|ads?|sponsored|promo|related|teaser)(?:$|[\s_-]|\d)", re.I)
 NOT_NAMED = re.compile(r"(?:^|\s)(?:has|with|without|no|is)[_-]\S*")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、]")
@@ -39,21 +40,26 @@ SMOOTH = [math.exp(-(i * i) / 2) for i in range(-2, 3)]
 def _dropped(tag: str, attributes: str) -> bool:
     if tag in DROPPED:
         return True
-    if not attributes or tag in ("html", "body", "main", "article"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
+    named = NAMED_ARTICLE if tag == "article" else NAMED
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and NAMED.search(NOT_NAMED.sub(" ", value)):
+        if name in ("class", "id") and named.search(NOT_NAMED.sub(" ", value)):
             return True
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
     return False
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of each block in page order, without what is never content."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, bool]] = []  # block-level tags and dropped elements; with: is it dropped
+def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, int]]:
+    """(path, text, characters in links, article) of each block in page order, without what is never content.
+
+    article numbers the outermost article element around the block, else the outermost main element; 0 if there is none.
+    """
+    out: list[tuple[tuple[str, ...], str, int, int]] = []
+    stack: list[tuple[str, bool, int]] = []  # block-level tags and dropped elements; with: is it dropped, its number
+    numbers = 0
     held: list[str] = []
     links = [0, 0]  # depth, characters
     dropped = 0
@@ -63,7 +69,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
-                out.append((tuple(t for t, _ in stack), text, links[1]))
+                roots = {t: n for t, _, n in reversed(stack) if t in ("article", "main")}
+                out.append((tuple(t for t, *_ in stack), text, links[1], roots.get("article") or roots.get("main") or 0))
         links[1] = 0
 
     def text(part: str):
@@ -76,7 +83,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     def pop(i: int):
         nonlocal dropped
         flush()
-        dropped -= sum(d for _, d in stack[i:])
+        dropped -= sum(d for _, d, _ in stack[i:])
         del stack[i:]
 
     at, n, lower = 0, len(page), None
@@ -127,7 +134,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in BLOCK or drop:
             flush()
             if not attributes.endswith("/") or tag in BLOCK:
-                stack.append((tag, drop))
+                numbers += 1
+                stack.append((tag, drop, numbers))
                 dropped += drop
                 links[0] = 0
     flush()
@@ -142,11 +150,11 @@ def main_text(page: str) -> str:
     length: dict = defaultdict(int)
     marks: dict = defaultdict(int)
     count: dict = defaultdict(int)
-    for path, text, linked in found:
+    for path, text, linked, _ in found:
         length[path] += max(0, len(text) - linked)
         marks[path] += len(PUNCTUATION.findall(text))
         count[path] += 1
-    ratios = [(length[p] / count[p], marks[p] / count[p]) for p, _, _ in found]
+    ratios = [(length[p] / count[p], marks[p] / count[p]) for p, *_ in found]
 
     def smooth(k: int) -> list[float]:
         values = [r[k] for r in ratios]
@@ -154,15 +162,20 @@ def main_text(page: str) -> str:
 
     fused = [a * (1 + b) for a, b in zip(smooth(0), smooth(1))]
     score: dict = defaultdict(float)
-    for (path, _, _), f in zip(found, fused):
+    for (path, *_), f in zip(found, fused):
         score[path] += f / count[path]
     mean = sum(fused) / len(fused)
     threshold = min(math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused)), 0.5 * max(fused))
     chosen = {p for p in score if score[p] >= threshold and length[p]}
     best = max(count, key=lambda p: (length[p] * (1 + marks[p]), -len(p)))
-    inside = next((i + 1 for i, t in enumerate(best) if t in ("article", "main")), None)
-    if inside is not None:
-        kept = [b for b in found if b[0][:inside] == best[:inside]]
+    weight: dict = defaultdict(int)
+    for path, text, linked, root in found:
+        if path in chosen or path == best:
+            weight[root] += max(0, len(text) - linked)
+    top = max((n for r, n in weight.items() if r), default=0)
+    if top > weight[0]:
+        # content lies in articles: in the largest, and in others of at least half its text
+        kept = [b for b in found if b[3] and 2 * weight[b[3]] >= top]
     else:
         root = best[:-1] if best and best[-1] not in ("body", "html", "div", "section", "td") else best
         deep = len(root) > 2 or root and root[-1] not in ("html", "body")

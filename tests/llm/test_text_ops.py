@@ -121,6 +121,13 @@ def test_main_text_without_article():
     assert text.startswith("Title\nSome long text") and text.endswith("\nTiny") and "Home" not in text
 
 
+def test_main_text_among_articles():
+    long = "<p>" + "A sentence of the article, with words. " * 6 + "</p>"
+    page = f"<html><body><main><article><h1>Head</h1>{long}<p>End.</p></article><article class='teaser'><p>Read this next, please, do.</p></article><article><p>Other.</p></article><section><article class='comment'>{long * 3}</article></section></main></body></html>"
+    text = html_text.main_text(page)
+    assert text.startswith("Head\nA sentence") and text.endswith("\nEnd.")
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<!--", "<script>", "plain text", "</div></p>", "<div " + "a" * 5000, "<p>" * 3000, "&#xD800; &bogus;", "<a href='x>y</a>"])
 def test_broken_pages(page):
     assert isinstance(html_text.main_text(page), str)
