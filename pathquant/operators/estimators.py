@@ -25,10 +25,12 @@ def with_noise(probs: np.ndarray, noise: np.ndarray) -> np.ndarray:
 
 
 def collapse_reads(matrix: np.ndarray, counts: np.ndarray, precision: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that are equal to the precision become one."""
+    """Rows that are equal to the precision become one. Rows are compared by a 64-bit hash of their rounded cells."""
     if not len(matrix):
         return matrix, counts
-    _, first, which = np.unique(np.round(matrix / precision).astype(np.int64), axis=0, return_index=True, return_inverse=True)
+    cells = np.round(matrix / precision).astype(np.int64).view(np.uint64)
+    odd = np.random.default_rng(matrix.shape[1]).integers(1 << 62, size=matrix.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    _, first, which = np.unique((cells * odd).sum(axis=1, dtype=np.uint64), return_index=True, return_inverse=True)
     return matrix[first], np.bincount(which.ravel(), weights=counts)
 
 
@@ -48,6 +50,28 @@ def without_noise(probs: np.ndarray, noise: np.ndarray, counts: np.ndarray) -> t
     return np.divide(probs[live], total, out=np.zeros_like(probs[live]), where=total > 0), counts[live] * (1 - noise[live])
 
 
+def _dense_step(matrix: np.ndarray, weights: np.ndarray):
+    def step(share):
+        norm = matrix @ share
+        norm[norm == 0] = np.inf
+        return (weights / norm) @ matrix
+
+    return step
+
+
+def _sparse_step(matrix: np.ndarray, weights: np.ndarray):
+    """The same over the cells that are not 0; every row has one."""
+    rows, columns = np.nonzero(matrix)
+    cells, starts, n = matrix[rows, columns], np.searchsorted(rows, np.arange(len(matrix))), matrix.shape[1]
+
+    def step(share):
+        norm = np.add.reduceat(cells * share[columns], starts)
+        norm[norm == 0] = np.inf
+        return np.bincount(columns, cells * (weights / norm)[rows], minlength=n)
+
+    return step
+
+
 def em(matrix: np.ndarray, counts: np.ndarray, max_its: int = 10_000, tolerance: float = 0.001) -> tuple[np.ndarray, float]:
     """Expected counts of the paths and of noise (last column), by expectation-maximisation."""
     n, total = matrix.shape[1], counts.sum()
@@ -56,12 +80,11 @@ def em(matrix: np.ndarray, counts: np.ndarray, max_its: int = 10_000, tolerance:
     live = matrix.any(axis=1)
     matrix, weights = matrix[live], counts[live] / total
     share = np.full(n, float(np.float32(1 / n)))
+    step = _sparse_step(matrix, weights) if matrix.size > 100_000 and np.count_nonzero(matrix) < 0.2 * matrix.size else _dense_step(matrix, weights)
     calm = 0
     for _ in range(max_its):
         before = share
-        norm = matrix @ share
-        norm[norm == 0] = np.inf
-        share = share * ((weights / norm) @ matrix)
+        share = share * step(share)
         moved = (np.abs(share - before) > tolerance * share) & (share >= C.EM_MIN_ABUNDANCE)
         calm = 0 if moved.any() else calm + 1
         if calm == C.EM_CONVERGED_ROUNDS:
@@ -182,6 +205,7 @@ def min_path_cover(cover: np.ndarray, counts: np.ndarray, weights: np.ndarray) -
     if cover.shape[1] == 1:
         return [0]
     open_ = np.where(cover.any(axis=1), counts, 0).astype(float)
+    cover = cover.astype(float)
     chosen: list[int] = []
     while open_.sum() > 0:
         gain = open_ @ cover
@@ -192,7 +216,7 @@ def min_path_cover(cover: np.ndarray, counts: np.ndarray, weights: np.ndarray) -
         if gain[best] <= 0:
             break
         chosen.append(best)
-        open_[cover[:, best]] = 0
+        open_[cover[:, best] > 0] = 0
     return sorted(chosen)
 
 

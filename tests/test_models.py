@@ -181,6 +181,14 @@ def test_em():
     assert found[0] + lost == pytest.approx(10)
 
 
+def test_em_steps_agree():
+    rng = np.random.default_rng(7)
+    matrix = rng.random((300, 40)) * (rng.random((300, 40)) < 0.1)
+    matrix[:, -1] = 0.01
+    weights, share = rng.random(300), rng.random(40)
+    assert estimators._sparse_step(matrix, weights)(share) == pytest.approx(estimators._dense_step(matrix, weights)(share))
+
+
 def test_em_frames_agree(spark):
     rng = np.random.default_rng(1)
     cells = [(0, r, int(rng.integers(1, 9)), 0.1, p, 0.0) for r in range(12) for p in range(3)]
