@@ -516,11 +516,7 @@ def gibbs_counts(spark, sf):
 
 @query()
 def gibbs_haplotypes(spark, sf):
-    """On the pooled reads of each supplier group, as the sampler's cost grows with the square of the paths."""
-    pooled = path_probs_of(spark, sf).groupBy("cluster_id", (F.col("read_class_id") % 40).alias("read_class_id"), "path_id").agg(F.sum("read_count").alias("read_count"), F.lit(0.1).alias("noise_prob"), F.avg("prob").alias("prob"))
-    read = Window.partitionBy("cluster_id", "read_class_id")
-    pooled = pooled.withColumn("read_count", F.max("read_count").over(read)).withColumn("prob", F.col("prob") / F.sum("prob").over(read) * 0.9)
-    own = members(spark, sf).select("cluster_id", "path_id", "source_count", "group_id", "source_ids")
-    out = inference.infer(pooled.where("path_id IS NOT NULL"), own, EngineConfig(model="haplotypes", use_hap_gibbs=True)).where("kind = 'group'")
+    """The haplotype sampler over all read classes of the table, with their counts and noise; reads that are all noise too."""
+    out = _model(spark, sf, model="haplotypes", use_hap_gibbs=True).where("kind = 'group'")
     return out.select("cluster_id", F.concat_ws(",", F.col("path_ids").cast("array<string>")).alias("paths"), F.round("posterior", 6).alias("posterior"))
 

@@ -33,3 +33,11 @@ def test_query(spark, name):
         columns = ", ".join(f'"{c}"' for c in sorted(want.columns))
         expected = Counter(tuple(plain(v) for v in r) for r in want.project(columns).fetchall())
         assert rows == expected, (list((rows - expected).items())[:4], list((expected - rows).items())[:4])
+
+
+def test_gibbs_haplotypes_reads_every_class(spark):
+    """The sampler's frequencies are the posteriors over all read classes, not over pooled ones."""
+    exact = {(r["cluster_id"], f"{r['first']},{r['second']}"): r["posterior"] for r in QUERIES["bounded_posterior"](spark, SF).collect()}
+    drawn = {(r["cluster_id"], r["paths"]): r["posterior"] for r in QUERIES["gibbs_haplotypes"](spark, SF).collect()}
+    assert {k for k, v in drawn.items() if v > 0.1} == {k for k, v in exact.items() if v > 0.1}
+    assert all(abs(drawn.get(k, 0.0) - exact.get(k, 0.0)) < 0.08 for k in drawn | exact)
