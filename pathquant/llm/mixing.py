@@ -7,7 +7,8 @@ sources and the order is truncated at the total budget.
 
 Both running sums are two-level prefix sums (sums of buckets, then a window inside one bucket), so no
 source, however large, lands in one task. The global order is range-sorted in equal ranges of virtual
-time; only the one range in which the budget ends needs the order of its single entries.
+time, beyond twice the targets in equal ranges of its logarithm; only the one range in which the budget
+ends needs the order of its single entries.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pathquant.llm.common import stored, word_count
 
-RANGES = 4096  # ranges of virtual time
+RANGES = 4096  # ranges of a unit of virtual time, beyond 2 of a doubling
 BUCKET_ROWS = 1_000  # rows of one source in one window, while there are at most 65,536 windows
 
 
@@ -81,12 +82,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     def finish(epoch):
         return (F.col("cum") + F.col("source_size") * epoch) / F.col("target")
 
-    place = F.floor(F.col("finish") * RANGES)
+    def place(finish):
+        return F.when(finish < 2, F.floor(finish * RANGES)).otherwise(F.floor((F.log2(finish) + 1) * RANGES))
+
     entries = stored(
         queued(facts).where((F.col("size") > 0) & (F.col("target") > 0))
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))).withColumn("finish", finish(F.col("epoch")))
-        .select("finish", "rank", "key", F.col("epoch").cast("int").alias("epoch"), "size", place.alias("place"))
-        .where(F.col("place") <= RANGES * 2),
+        .select("finish", "rank", "key", F.col("epoch").cast("int").alias("epoch"), "size", place(F.col("finish")).alias("place")),
         "mix-entries",
     )
     order = Window.orderBy("place")
@@ -104,11 +106,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         if end is None:
             return before_cut
         at = finish(F.lit(epoch))
-        early = F.floor(at * RANGES) < end["place"]
+        early = place(at) < end["place"]
         if cut is None:
             return early
         entry, limit = F.struct(at, F.col("rank"), F.col("key"), F.lit(epoch)), F.struct(F.lit(cut[0]), F.lit(cut[1]), F.lit(cut[2]), F.lit(cut[3]))
-        return early | ((F.floor(at * RANGES) == end["place"]) & (entry <= limit))
+        return early | ((place(at) == end["place"]) & (entry <= limit))
 
     live = (F.col("size") > 0) & (F.col("target") > 0)
     copies = sum((F.when(live & kept(e), 1).otherwise(0) for e in range(max_epochs)), F.lit(0))

@@ -70,6 +70,19 @@ def test_mix_comes_near_targets(spark):
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
 
 
+def test_mix_late_entries(spark, tmp_path):
+    """A source of one document far beyond its target is not taken, as in the SQL, though the rest leaves room."""
+    for n, (large, small) in enumerate([(1000, [28] * 10), (100_000, [1] * 50), (3000, [700, 300, 5, 5, 5])]):
+        rows = [(0, "w " * large, "a"), *((i + 1, "v " * x, "b" if i % 2 or n == 0 else "c") for i, x in enumerate(small))]
+        spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{n}/documents.parquet/*.parquet'")
+        got = QUERIES["op4_weighted_fair_queueing"](spark, f"{tmp_path}/{n}")
+        want = con.sql(ORACLE["op4_weighted_fair_queueing"]).project(", ".join(got.columns)).fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert sum(r["taken"] for r in got.collect()) <= large + sum(small)
+
+
 def check_shards(rows, tolerance):
     sizes, slots = Counter(), {}
     for r in rows:
