@@ -28,12 +28,13 @@ FIT_DOCS = 1_000  # documents per language that the fit reads, about
 ROUNDS = 2  # of expectation-maximisation
 WORDS = 1_000_000  # words that a worker keeps; at more it starts anew, so memory is bounded
 ROWS = 512  # documents scored at a time
-WINDOW = 16  # bytes of the longest piece that is used
+TOP = 1e250  # the largest value that the forward pass is scaled to: leaves room below for a window of rare bytes
+CELLS = 1 << 21  # cells of the tables in which the fit handles long words
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> tuple[dict[bytes, int], dict[bytes, int], int]:
-    """Pieces inside a word, pieces that end one, and their number. Every byte is a piece of either kind."""
+def pieces(path: str) -> tuple[dict[bytes, int], dict[bytes, int], int, int]:
+    """Pieces inside a word, pieces that end one, their number and the bytes of the longest. Every byte is a piece of either kind."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     back = {c: b for b, c in byte_alphabet().items()}
@@ -41,7 +42,7 @@ def pieces(path: str) -> tuple[dict[bytes, int], dict[bytes, int], int]:
     for token, i in vocab.items():
         last = token.endswith("</w>")
         raw = token.removesuffix("</w>")
-        if raw and len(raw) <= WINDOW and all(c in back for c in raw):
+        if raw and all(c in back for c in raw):
             (final if last else inner)[bytes(back[c] for c in raw)] = i
     n = max(vocab.values(), default=-1) + 1
     for b in range(256):
@@ -49,15 +50,15 @@ def pieces(path: str) -> tuple[dict[bytes, int], dict[bytes, int], int]:
             if bytes([b]) not in table:
                 table[bytes([b])] = n
                 n += 1
-    return inner, final, n
+    return inner, final, n, max(len(x) for x in (*inner, *final))
 
 
-def _edges(words: list[bytes], n: int, tables):
-    """For words of n bytes: (start, end, piece ids of the words, -1 where there is none)."""
-    inner, final, _ = tables
-    for end in range(1, n + 1):
+def _edges(words: list[bytes], n: int, tables, backward: bool = False):
+    """For words of n bytes: (start, end, piece ids of the words, -1 where there is none), by end."""
+    inner, final, _, window = tables
+    for end in range(n, 0, -1) if backward else range(1, n + 1):
         table = final if end == n else inner
-        for start in range(max(0, end - WINDOW), end):
+        for start in range(max(0, end - window), end):
             ids = np.fromiter((table.get(w[start:end], -1) for w in words), dtype=np.int64, count=len(words))
             if (ids >= 0).any():
                 yield start, end, ids
@@ -65,23 +66,23 @@ def _edges(words: list[bytes], n: int, tables):
 
 def forward(words: list[bytes], probs: np.ndarray, tables) -> np.ndarray:
     """Log probability of each word under each language; words must not be empty. probs: pieces + 1 zero row, by language."""
-    out = np.zeros((len(words), probs.shape[1]))
+    out, window = np.zeros((len(words), probs.shape[1])), tables[3]
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
     for n, rows in by_length.items():
         own = [words[i] for i in rows]
-        alpha = {0: np.ones((len(rows), probs.shape[1]))}
-        scale = np.zeros((len(rows), probs.shape[1]))
+        alpha = {0: np.full((len(rows), probs.shape[1]), TOP)}
+        scale = np.full((len(rows), probs.shape[1]), -np.log(TOP))
         for start, end, ids in _edges(own, n, tables):
             if end not in alpha:
-                if end > 1 and (end - 1) % WINDOW == 0:  # keep long words in range
-                    most = np.maximum(np.max([alpha[k] for k in range(max(0, end - WINDOW), end)], axis=0), 1e-300)
-                    for k in range(max(0, end - WINDOW), end):
-                        alpha[k] /= most
-                    scale += np.log(most)
+                if end > 1 and (end - 1) % window == 0:  # keep long words in range
+                    most = np.maximum(np.max([alpha[k] for k in range(max(0, end - window), end)], axis=0), 1e-300)
+                    for k in range(max(0, end - window), end):
+                        alpha[k] = alpha[k] / most * TOP
+                    scale += np.log(most) - np.log(TOP)
                 alpha[end] = np.zeros((len(rows), probs.shape[1]))
-                alpha.pop(end - WINDOW - 1, None)
+                alpha.pop(end - window - 1, None)
             alpha[end] += alpha[start] * probs[ids]
         with np.errstate(divide="ignore"):
             out[rows] = np.log(alpha[n]) + scale
@@ -89,13 +90,33 @@ def forward(words: list[bytes], probs: np.ndarray, tables) -> np.ndarray:
 
 
 def _expected(words: list[bytes], counts: np.ndarray, probs: np.ndarray, tables) -> np.ndarray:
-    """Expected piece counts, by language, of words with counts by language. Long words are left out of the fit."""
+    """Expected piece counts, by language, of words with counts by language. Words longer than any piece are summed as logarithms."""
     total = np.zeros_like(probs)
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        if len(w) <= 2 * WINDOW:
-            by_length.setdefault(len(w), []).append(i)
+        by_length.setdefault(len(w), []).append(i)
+    with np.errstate(divide="ignore"):
+        logs = np.log(probs)
+
+    def add(ids, value):
+        for k in range(probs.shape[1]):
+            total[:, k] += np.bincount(np.where(ids < 0, len(probs) - 1, ids), weights=value[:, k], minlength=len(probs))
+
     for n, rows in by_length.items():
+        if n > tables[3]:
+            step = max(1, CELLS // ((n + 1) * probs.shape[1]))
+            for low in range(0, len(rows), step):
+                part = rows[low : low + step]
+                own, weight = [words[i] for i in part], counts[part]
+                alpha, beta = np.full((2, n + 1, len(part), probs.shape[1]), -np.inf)
+                alpha[0] = beta[n] = 0
+                for start, end, ids in _edges(own, n, tables):
+                    alpha[end] = np.logaddexp(alpha[end], alpha[start] + logs[ids])
+                for start, end, ids in _edges(own, n, tables, backward=True):
+                    beta[start] = np.logaddexp(beta[start], beta[end] + logs[ids])
+                for start, end, ids in _edges(own, n, tables):
+                    add(ids, np.exp(alpha[start] + logs[ids] + beta[end] - alpha[n]) * weight)
+            continue
         own, weight = [words[i] for i in rows], counts[rows]
         edges = list(_edges(own, n, tables))
         alpha = [np.zeros((len(rows), probs.shape[1])) for _ in range(n + 1)]
@@ -108,9 +129,7 @@ def _expected(words: list[bytes], counts: np.ndarray, probs: np.ndarray, tables)
             beta[start] += beta[end] * probs[ids]
         share = np.divide(weight, alpha[n], out=np.zeros_like(alpha[n]), where=alpha[n] > 0)
         for start, end, ids in edges:
-            value = alpha[start] * probs[ids] * beta[end] * share
-            for k in range(probs.shape[1]):
-                total[:, k] += np.bincount(np.where(ids < 0, len(probs) - 1, ids), weights=value[:, k], minlength=len(probs))
+            add(ids, alpha[start] * probs[ids] * beta[end] * share)
     total[-1] = 0
     return total
 

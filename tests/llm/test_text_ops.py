@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import random
 import re
 import zlib
 
@@ -186,6 +187,33 @@ def test_language_id_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
 
 
+def test_fit_reads_long_words_and_pieces():
+    tables = langid.pieces(encoding.default_path("word_bpe_49k.json"))
+    assert max(map(len, (*tables[0], *tables[1]))) == tables[3] == 32
+    probs = np.random.default_rng(1).random((tables[2] + 1, 2)) * 1e-3
+    probs[-1] = 0
+    words = [b"segmentation" * 4, "\u4eca\u65e5\u306f".encode() * 9, b"ab" * 600, b"a", b"the"]
+    lengths = np.zeros(tables[2] + 1)
+    for table in tables[:2]:
+        for raw, i in table.items():
+            lengths[i] = len(raw)
+    for w in words:  # whatever the segmentation, its pieces have the bytes of the word
+        assert np.allclose(lengths @ langid._expected([w], np.array([[2.0, 3.0]]), probs, tables), [2 * len(w), 3 * len(w)])
+
+
+def test_languages_without_spaces(spark):
+    rng = random.Random(4)
+
+    def clause(base):
+        return "".join(chr(base + rng.randrange(60)) for _ in range(rng.randint(14, 40)))
+
+    rows = [(i, " ".join(clause(0x4E00 if i % 2 else 0x0E01) for _ in range(5)), "ab"[i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.where("doc_id < 40"))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs.where("doc_id >= 40"), model).collect()}
+    assert got == {i: lang for i, _, lang in rows if i >= 40}
+
+
 def test_warc_round_trip(spark, sf_dir):
     pages = spark.createDataFrame([(5, "http://a/ b", "<p>x</p>"), (2, None, "<p>x</p>"), (9, "u\r\nX: y", None), (7, "u", ""), (None, "u", "<p>x</p>"), (3, "u", "é\r\n\r\nWARC/1.1\r\n" * 5000)], "page_id long, url string, html string")
     folder = shared_path(spark, "w")
