@@ -6,7 +6,8 @@
 4. source_mixing: documents come as often as the mix takes them.
 5. sharding: the mixed documents are put into 16 shards.
 
-All but the last return the columns of documents. Rows that repeat an id are one document to stages 2 and 3.
+All but the last return the columns of documents. Stages 2 and 3 decide row by row, so that rows with a null or a
+repeated id are documents like others; of equal ids, or only null ones, in a group one row stays.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathquant.llm import decontamination, jaccard, langid, mixing, sharding
-from pathquant.llm.common import shared_path
+from pathquant.llm.common import shared_path, stored
+
+ROW = "_pipeline_row"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,15 +29,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*docs.columns)
 
 
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a key of each row, written down, as such keys differ from run to run."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.jaccard_components(docs, k=5, num=80, den=100)
-    copies = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs, "pipeline-rows")
+    groups = stored(jaccard.jaccard_components(rows, k=5, num=80, den=100, id_col=ROW).select(ROW, "component_id"), "pipeline-groups")
+    large = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = groups.join(large, "component_id").join(rows.select(ROW, "doc_id"), ROW)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    first = members.groupBy("component_id").agg(F.min(order)[ROW].alias("first"))
+    copies = groups.join(first, "component_id").where(F.col(ROW) != F.col("first")).select(ROW)
+    return rows.join(copies, ROW, "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.containment(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, num=80, den=100)
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs, "pipeline-rows")
+    found = decontamination.containment(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, num=80, den=100, id_col=ROW)
+    return rows.join(found.select(ROW).distinct(), ROW, "left_anti").select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

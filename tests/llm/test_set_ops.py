@@ -241,3 +241,17 @@ def test_pipeline_stages(spark):
     assert kept["language_id"][1].count() == kept["language_id"][0].count()  # every document of the table has a language
     rows = p.run(spark, SF).collect()
     assert len(rows) == docs.count() and len({(r["shard"], r["slot"]) for r in rows}) == len(rows)
+
+
+def test_pipeline_decides_by_row(spark):
+    """Null and repeated ids are deduplicated and decontaminated like others, and a clean row of a rejected row's id stays."""
+    import corpus_pipeline as p
+
+    item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r["text"].split()) >= 10)
+    one, two, three = ("".join(f"{w}{i} " for i in range(12)) for w in ("ab", "cd", "ef"))
+    rows = [(None, one), (None, one), (7, one), (9, two), (9, two), (9, three), (None, item + " " + three), (9, item), (None, "lone"), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(map(tuple, p.ngram_jaccard_join(spark, docs, SF).collect()), key=str)
+    assert left == sorted([(7, one), (9, two), (9, three), (None, item + " " + three), (9, item), (None, "lone"), (None, None), (None, None)], key=str)
+    clean = sorted(map(tuple, p.benchmark_decontamination(spark, docs, SF).collect()), key=str)
+    assert clean == sorted((r for r in rows if not r[1] or item not in r[1]), key=str)
