@@ -210,17 +210,20 @@ def _scorer(token: str, path: str) -> list:
     return []
 
 
-def predict(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, passed=()) -> DataFrame:
+def predict(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, passed=(), evidence: bool = False) -> DataFrame:
     """Columns of ``passed``, then lang_pred and score (posterior of the language, with equal priors).
 
-    ``und`` with score 0 if the text is null or has no letter, or no language was learned. Repeated rows are
+    With evidence, then ``evidence``: the bits per byte of its words by which the text is more probable under that
+    language than under a background of equally likely bytes. Below 0, none of the languages explains the text.
+
+    ``und`` with score and evidence 0 if the text is null or has no letter, or no language was learned. Repeated rows are
     scored one by one; an empty table gives an empty result. Ties go to the language that sorts first.
     """
     spark = docs.sparkSession
     path = vocabulary or default_path("word_bpe_49k.json")
     sent = spark.sparkContext.broadcast(model)  # vocabulary x languages: does not grow with the data
     passed = list(passed) or [id_col]
-    kept = [f"c{i}" for i in range(len(passed))]
+    kept, added = [f"c{i}" for i in range(len(passed))], ["lang_pred", "score", *(["evidence"] if evidence else [])]
     token = uuid.uuid4().hex
 
     def run(batches):
@@ -232,22 +235,26 @@ def predict(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
                 text = part.column(source)
-                pred, value = np.array(["und"] * len(text), dtype=object), np.zeros(len(text))
+                pred, value, bits = np.array(["und"] * len(text), dtype=object), np.zeros(len(text)), np.zeros(len(text))
                 known = np.flatnonzero(pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)) if langs else []
                 if len(known):
-                    logs = scorer[0].score(pc.utf8_lower(text.take(pa.array(known))))
+                    lower = pc.utf8_lower(text.take(pa.array(known)))
+                    logs = scorer[0].score(lower)
+                    if evidence:
+                        size = pc.binary_length(pc.replace_substring_regex(lower, r"[\x20\x09-\x0D]+", "")).to_numpy(zero_copy_only=False)
+                        bits[known] = 8 + logs.max(axis=1) / np.log(2) / size
                     post = np.exp(logs - logs.max(axis=1, keepdims=True))
                     post /= post.sum(axis=1, keepdims=True)
                     best = post.argmax(axis=1)
                     pred[known] = np.array(langs, dtype=object)[best]
                     value[known] = np.minimum(1.0, post[np.arange(len(best)), best])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(pred.tolist(), pa.string()), pa.array(value)], names=[*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(pred.tolist(), pa.string()), pa.array(value), *([pa.array(bits)] if evidence else [])], names=[*kept, *added])
 
     source = passed.index(text_col) if text_col in passed else len(kept)
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(passed, kept)], *([] if text_col in passed else [F.col(text_col).alias("text")]))
     types = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in kept]
-    out = rows.mapInArrow(run, ", ".join([*types, "lang_pred string", "score double"]))
-    return out.toDF(*passed, "lang_pred", "score")
+    out = rows.mapInArrow(run, ", ".join([*types, "lang_pred string", "score double", *(["evidence double"] if evidence else [])]))
+    return out.toDF(*passed, *added)
 
 
 def held_out(id_col: str = "doc_id"):

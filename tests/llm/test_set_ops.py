@@ -255,3 +255,17 @@ def test_pipeline_decides_by_row(spark):
     assert left == sorted([(7, one), (9, two), (9, three), (None, item + " " + three), (9, item), (None, "lone"), (None, None), (None, None)], key=str)
     clean = sorted(map(tuple, p.benchmark_decontamination(spark, docs, SF).collect()), key=str)
     assert clean == sorted((r for r in rows if not r[1] or item not in r[1]), key=str)
+
+
+def test_pipeline_rejects_what_no_language_explains(spark):
+    import base64
+
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bad = {-1: base64.b64encode(random.Random(0).randbytes(900)).decode(), -2: "Все люди рождаются свободными и равными в своем достоинстве и правах.", -3: "12 -- !!", -4: None, -5: random.Random(1).randbytes(300).hex()}
+    both = docs.unionByName(spark.createDataFrame(list(bad.items()), "doc_id long, text string"), allowMissingColumns=True)
+    left = [r["doc_id"] for r in p.language_id(spark, both, SF).collect()]
+    assert sorted(left) == sorted(r["doc_id"] for r in docs.collect())
+    unlabelled = p.language_id(spark, both.withColumn("lang", F.lit(None).cast("string")), SF)
+    assert {r["doc_id"] for r in unlabelled.where("doc_id < 0").collect()} == {-1, -2, -5} and unlabelled.count() == len(left) + 3
