@@ -47,8 +47,9 @@ def segments_for(n: int, k: int, bits: int) -> int:
 
 
 def sign_code(column):
-    """64-bit code of the signs of a vector's first 64 numbers; null for a null vector."""
-    bits = F.transform(F.slice(column, 1, 64), lambda x, i: F.when(x > 0, F.expr("1L") * F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    """64-bit code of the signs of a vector's numbers; null for a null vector, an error for a vector of more than 64."""
+    whole = F.when(F.size(column) > 64, F.raise_error(F.lit("sign_code takes vectors of at most 64 numbers"))).otherwise(column)
+    bits = F.transform(whole, lambda x, i: F.when(x > 0, F.expr("1L") * F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 

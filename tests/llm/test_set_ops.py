@@ -269,3 +269,11 @@ def test_pipeline_rejects_what_no_language_explains(spark):
     assert sorted(left) == sorted(r["doc_id"] for r in docs.collect())
     unlabelled = p.language_id(spark, both.withColumn("lang", F.lit(None).cast("string")), SF)
     assert {r["doc_id"] for r in unlabelled.where("doc_id < 0").collect()} == {-1, -2, -5} and unlabelled.count() == len(left) + 3
+
+
+def test_sign_code_takes_whole_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0] * 3 + [-1.0] * 61), (2, None)], "vec_id long, embedding array<double>")
+    assert [r["code"] for r in rows.orderBy("vec_id").select(hamming.sign_code(F.col("embedding")).alias("code")).collect()] == [7, None]
+    long = spark.createDataFrame([(1, [1.0] * 65)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="at most 64 numbers"):
+        long.select(hamming.sign_code(F.col("embedding")).alias("code")).collect()
