@@ -1,7 +1,7 @@
 """A pipeline from documents to shards. Each stage reads what its predecessor kept.
 
 1. language_id: documents without a language go: those without a letter, those without a language of half the posterior,
-   and those that equally likely bytes explain better than any language. Without any label only the letter is asked for.
+   and those that equally likely bytes explain better by 2.5 bits a byte. Without any label only the letter is asked for.
 2. ngram_jaccard_join: of documents linked by five-word shingles at a similarity of 0.8, that of the smallest id stays.
 3. benchmark_decontamination: documents that contain 0.8 of a benchmark item's five-word shingles go.
 4. source_mixing: documents come as often as the mix takes them.
@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model[0]:  # nothing is labelled: there is no language to reject by
         return docs.where(F.col("text").rlike(r"\p{L}"))
     scored = langid.predict(docs, model, passed=docs.columns, evidence=True)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5) & (F.col("evidence") > 0)).select(*docs.columns)
+    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5) & (F.col("evidence") > -2.5))  # short texts of mostly numbers lie between -2 and 0.select(*docs.columns)
 
 
 def keyed(docs: DataFrame, name: str) -> DataFrame:
