@@ -2,9 +2,10 @@
 
 Byte-level BPE never merges over a pre-token's edge. A space that other than white space follows always
 begins a pre-token, and so do a newline between two non-spaces and a mark after an ASCII letter. Texts are
-cut there, and the ids of each distinct piece of text are kept: hashes, places and ids in arrays, so that whole batches are encoded by
-array operations and only new pieces reach the tokenizer's model. Texts for which the rule can't be told
-from ASCII alone (other white space, special tokens spelled out) go to the tokenizer whole.
+cut there, and the ids of each distinct piece of text are kept: bytes, places and ids in arrays, so that whole batches are
+encoded by array operations and only new pieces reach the tokenizer's model. A piece is found by its hash and compared
+byte by byte. Texts for which the rule can't be told from ASCII alone (other white space, special tokens spelled out), and
+those with a piece whose hash belongs to another piece, go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from itertools import chain
 
 import numpy as np
 
-from pathquant.llm.shingles import HashIndex, distinct, segment_hashes, text_chunks
+from pathquant.llm.shingles import Segments, grown, text_chunks
 
 #: The pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PIECES = 3_000_000  # pieces of text that a worker keeps; at more it starts anew, so memory is bounded
+PIECES, PIECE_BYTES = 3_000_000, 1 << 26  # pieces of text that a worker keeps, and their bytes; at more it starts anew, so memory is bounded
 PRETOKENS = 400_000  # pre-tokens that it keeps
 OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
 _SPACE = np.zeros(256, dtype=bool)
@@ -30,7 +31,6 @@ _ODD[[11, 12, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 _LETTER, _MARK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
 _MARK[[*b",.;:!?()"]] = True
-_BYTES = np.arange(256, dtype=np.uint64)
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -59,7 +59,7 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.index, self.used = HashIndex(), 0
+        self.segments, self.used = Segments(), 0
         self.starts, self.counts = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
 
@@ -79,19 +79,16 @@ class Encoder:
             out += ids
         return out
 
-    def _learn(self, raw: bytes, hashes, starts, ends):
-        """Adds new pieces, whose hashes rise."""
+    def _learn(self, raw: bytes, starts, ends):
+        """Adds the ids of new pieces."""
         got = [self._piece(raw[a:b].decode()) for a, b in zip(starts.tolist(), ends.tolist())]
         counts = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        total, slot = int(counts.sum()), self.index.used
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while slot + len(got) > len(self.starts):
-            self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
+        total, slot = int(counts.sum()), self.segments.index.used
+        self.ids = grown(self.ids, self.used + total)
+        self.starts, self.counts = grown(self.starts, slot + len(got)), grown(self.counts, slot + len(got))
         self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=total)
         self.starts[slot : slot + len(got)] = self.used + np.cumsum(counts) - counts
         self.counts[slot : slot + len(got)] = counts
-        self.index.add(hashes)
         self.used += total
 
     def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,15 +127,13 @@ class Encoder:
         if odd:
             plain = ~np.isin(owner, list(odd))
             starts, ends, owner = starts[plain], ends[plain], owner[plain]
-        kinds, first, which = distinct(segment_hashes(_BYTES[data], starts, ends))
-        if self.index.used > PIECES:
+        if self.segments.index.used > PIECES or self.segments.used > PIECE_BYTES:
             self._forget()
-        at = self.index.find(kinds)
-        new = at < 0
-        if new.any():
-            self._learn(raw, kinds[new], starts[first[new]], ends[first[new]])
-            at = self.index.find(kinds)
-        at = at[which]
+        at = self.segments.number(data, starts, ends, lambda a, b: self._learn(raw, a, b))
+        if (at < 0).any():
+            odd |= {i: self.whole(raw[offsets[i] : offsets[i + 1]].decode()) for i in np.unique(owner[at < 0]).tolist()}
+            plain = ~np.isin(owner, list(odd))
+            at, owner = at[plain], owner[plain]
         counts = self.counts[at]
         done = np.cumsum(counts)
         ids = self.ids[np.repeat(self.starts[at] - done + counts, counts) + np.arange(done[-1] if len(done) else 0)]

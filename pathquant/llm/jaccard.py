@@ -1,16 +1,21 @@
 """Exact n-gram Jaccard join: size-banded tiles, bitmap signatures, then sorted-array intersection.
 
 1. One pass counts all shingles of the corpus in a fixed number of hashed counters, and gives every document
-   the key of its shingle set, its size and a hashed bitmap of the set. Documents with equal sets are one class.
+   the key of its shingle set (two 64-bit values), its size and a hashed bitmap of the set. Documents with equal sets
+   are one class.
 2. A second pass orders each set by those counts, rare shingles first, and sends only its prefix to tiles, one
    tile per shingle. Two sets that reach the threshold share a shingle of both prefixes, whatever the order
    (any total order does; the counts only keep common passages out of the prefixes).
 3. In a tile, members are banded by size. Small tiles give the pairs that size and position allow. Large
-   tiles give the links of every member to its band's pivot; the rest is settled in step 6.
+   tiles give the links of every member to its band's pivot; the rest is settled in step 6. A shingle that many sets
+   of one input chunk have is linked to pivots there, before the shuffle, and only the pivots go on to the tile.
 4. The bit counts of two bitmaps bound the overlap from above: |A and B| <= (|A| + |B| - |bits differing|) / 2.
-5. What is left is verified by intersecting the sorted shingle arrays.
+5. What is left is verified by intersecting the sorted shingle arrays. Here shingles are numbers of word sequences that
+   were compared byte by byte, so no hash decides a link.
 6. Members of a large tile that are not yet in one component are compared by their bitmaps with all others of
-   the tile that are in another; what the bound leaves is verified too. Pairs inside a component are never made.
+   the tile that are in another; what the bound leaves is verified too. Pairs inside a component are never made. A large
+   tile is cut into blocks of some hundred members, each a task's group; members outside the tile's largest component
+   visit every block.
 
 So no link between different components is lost, and a group of copies is never expanded into its pairs.
 """
@@ -21,17 +26,22 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathquant.llm.common import stored
-from pathquant.llm.shingles import mix, shingle_sets
+from pathquant.llm.shingles import exact_shingles, mix, shingle_sets, text_chunks
 from pathquant.operators.components import connected_components
 
 COUNTERS = 20  # bits of a shingle's hash that choose its counter
 PART = 1 << 14  # counters in one row
 BITS = (64, 4096)  # least and most bits of a bitmap
 SMALL = 16  # members of a tile whose pairs are all made
+ROWS = 1 << 20  # prefix rows in which common shingles are looked for before the shuffle
+BLOCK = 512  # members of a large tile that are compared in one group
+SALTS = 16  # tasks over which the members of one tile meet the facts of the tile
+TEXT = 4 << 20  # bytes of text verified at a time
 _I64 = np.int64
 
 
@@ -55,16 +65,22 @@ def folded(data: bytes, size: int) -> np.ndarray:
     return words
 
 
-def set_key(hashes: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        h = mix(np.array([hashes.sum(dtype=np.uint64) ^ np.uint64(len(hashes))], dtype=np.uint64))
-    return int(h.astype(_I64)[0])
+def set_key(hashes: np.ndarray) -> tuple[int, int]:
+    """The key of a set: a class number, and a second value that tells classes of one number apart."""
+    both = np.array([hashes.sum(dtype=np.uint64) ^ np.uint64(len(hashes)), (hashes * (hashes >> np.uint64(31))).sum(dtype=np.uint64)])
+    return tuple(mix(both).astype(_I64).tolist())
+
+
+def class_of(key: tuple[int, int], shared: frozenset) -> int:
+    return key[0] ^ key[1] if key[0] in shared else key[0]
 
 
 def _facts(k: int):
+    names = ["doc_id", "n", "cls", "more", "bitmap", "part", "counts"]
+
     def run(batches):
         counts = np.zeros(1 << COUNTERS, dtype=np.int64)
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids, sizes, keys, maps = batch.column(0), [], [], []
             for hashes in shingle_sets(batch.column(1), k):
@@ -77,11 +93,11 @@ def _facts(k: int):
                     np.add.at(counts, (hashes >> np.uint64(64 - COUNTERS)).astype(_I64), 1)
                     maps[-1] = bitmap(hashes) if len(hashes) else None
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "cls", "bitmap", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array(maps, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         parts = [(i, counts[i * PART : (i + 1) * PART]) for i in range((1 << COUNTERS) // PART)]
         parts = [(i, zlib.compress(c.astype(np.uint32).tobytes(), 1)) for i, c in parts if c.any()]
         n = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 3 + [pa.nulls(n, pa.binary()), pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=["doc_id", "n", "cls", "bitmap", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 4 + [pa.nulls(n, pa.binary()), pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=names)
 
     return run
 
@@ -94,45 +110,100 @@ def _classes(key, table):
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "classes": [classes.tobytes()]})
 
 
-def _prefixes(k: int, num: int, den: int, sent):
+#: What a row on its way to the tiles is: a member of a tile, or one that is a pivot of others already; a member that
+#: is linked to such a pivot (its key is the class, so that they spread); a pair of classes.
+MEMBER, PIVOT, LINKED, PAIR = range(4)
+
+
+def _star(n, pos, cls, num: int, den: int):
+    """Pairs of each member of a large tile with the pivots of its size band and of the band below; the pivots."""
+    band = np.floor(np.log(n) / np.log(den / num) + 1e-9).astype(_I64)
+    order = np.lexsort((cls, pos, band))
+    heads = order[np.flatnonzero(np.concatenate([[True], np.diff(band[order]) > 0]))]  # nearest to what the tile has in common
+    bands, every = band[heads], np.arange(len(cls))
+    own, lower = heads[np.searchsorted(bands, band)], np.searchsorted(bands, band - 1)
+    below = np.flatnonzero(bands[np.minimum(lower, len(bands) - 1)] == band - 1)
+    i, j = np.concatenate([every, every[below]]), np.concatenate([own, heads[lower[below]]])
+    keep = i != j
+    keep[keep] = _possible(n, pos, i[keep], j[keep], num, den)
+    return i[keep], j[keep], heads
+
+
+def _batch(kind, key, n, pos, cls, other) -> pa.RecordBatch:
+    """Rows with kind, size and place in one number."""
+    info = (n << 32) | (pos << 2) | kind
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(info), pa.array(cls), pa.array(other)], names=["key", "info", "cls", "other"])
+
+
+def _combined(token, n, pos, cls, num: int, den: int):
+    """Rows of a chunk of prefixes. Shingles of more than SMALL sets are linked to pivots here."""
+    order = np.argsort(token, kind="stable")
+    token, n, pos, cls = (x[order] for x in (token, n, pos, cls))
+    bounds = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
+    common = np.flatnonzero(np.diff(bounds) > SMALL)
+    kind, key, other = np.full(len(token), MEMBER), token, np.zeros(len(token), _I64)
+    pairs = []
+    for c in common.tolist():
+        part = slice(bounds[c], bounds[c + 1])
+        i, j, heads = _star(n[part], pos[part], cls[part], num, den)
+        own = np.full(part.stop - part.start, LINKED)
+        own[heads] = PIVOT
+        kind[part] = own
+        pairs.append(np.stack([cls[part][i], cls[part][j]], axis=1))
+    if len(common):
+        linked = kind == LINKED
+        key, other = np.where(linked, cls, token), np.where(linked, token, 0)
+    yield _batch(kind, key, n, pos, cls, other)
+    if pairs:
+        p = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
+        none = np.zeros(len(p), _I64)
+        yield _batch(none + PAIR, p[:, 0], none, none, p[:, 1], none)
+
+
+def _prefixes(k: int, num: int, den: int, sent, shared: frozenset):
     def run(batches):
         classes, seen = np.frombuffer(sent.value, dtype=np.uint8), set()
+        held, rows = [], 0
         for batch in batches:
-            tokens, sizes, places, keys = [], [], [], []
             for hashes in shingle_sets(batch.column(0), k):
                 n = len(hashes)
-                key = set_key(hashes)
-                if not n or key in seen:
+                cls = class_of(set_key(hashes), shared) if n else 0
+                if not n or cls in seen:
                     continue
-                seen.add(key)
+                seen.add(cls)
                 length = n + (-num * n) // den + 1  # n - ceil(num n / den) + 1
                 rank = classes[(hashes >> np.uint64(64 - COUNTERS)).astype(_I64)].astype(np.uint64)
                 order = np.argsort((rank << np.uint64(56)) | (hashes >> np.uint64(8)), kind="stable")[:length]
-                tokens.append(hashes[order].astype(_I64))
-                sizes.append(np.full(len(order), n))
-                places.append(np.arange(len(order)))
-                keys.append(np.full(len(order), key))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((tokens, _I64), (sizes, np.int32), (places, np.int32), (keys, _I64))], names=["token", "n", "pos", "cls"])
+                held.append((hashes[order].astype(_I64), np.full(len(order), n), np.arange(len(order)), np.full(len(order), cls)))
+                rows += len(order)
+                if rows >= ROWS:
+                    yield from _combined(*map(np.concatenate, zip(*held)), num, den)
+                    held, rows = [], 0
+        if held:
+            yield from _combined(*map(np.concatenate, zip(*held)), num, den)
 
     return run
 
 
-def _runs(batches, columns: int):
-    """Runs of equal first column over sorted batches, as lists of arrays; single rows are left out."""
-    held = None
-    for batch in batches:
-        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:columns]]
-        if not len(new[0]):
+def _runs(batches):
+    """Runs of equal first column over sorted lists of arrays, as lists of arrays; single rows are left out."""
+    held: list = []
+    for cols in batches:
+        if not len(cols[0]):
             continue
-        cols = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-        cuts = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
-        bounds = np.concatenate([[0], cuts])
-        for i in np.flatnonzero(np.diff(bounds) > 1):
+        bounds = np.concatenate([[0], np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1, [len(cols[0])]])
+        if held and held[0][0][0] == cols[0][0]:
+            held.append([c[: bounds[1]] for c in cols])
+            if len(bounds) == 2:
+                continue
+            bounds = bounds[1:]
+        if held and sum(len(h[0]) for h in held) > 1:
+            yield [np.concatenate(x) for x in zip(*held)]
+        for i in np.flatnonzero(np.diff(bounds[:-1]) > 1):
             yield [c[bounds[i] : bounds[i + 1]] for c in cols]
-        held = [c[bounds[-1] :] for c in cols]
-    if held is not None and len(held[0]) > 1:
-        yield held
+        held = [[c[bounds[-2] :] for c in cols]]
+    if held and sum(len(h[0]) for h in held) > 1:
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
 def _possible(n, pos, i, j, num, den):
@@ -142,40 +213,49 @@ def _possible(n, pos, i, j, num, den):
 
 
 def _tiles(num: int, den: int):
+    names = ["x", "y", "token", "n", "pos"]
+
     def run(batches):
-        pairs, members = [], []
+        pairs, members, held = [], [], 0
 
         def emit():
             p = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), _I64)
             m = np.concatenate(members) if members else np.zeros((0, 4), _I64)
             pairs.clear(), members.clear()
             a, b = len(p), len(m)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[:, 0], m[:, 3]])), pa.concat_arrays([pa.array(p[:, 1]), pa.nulls(b, pa.int64())]), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(m[:, 0])]), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(m[:, 1])]), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(m[:, 2])])], names=["x", "y", "token", "n", "pos"])
-
-        held = 0
-        for token, n, pos, cls in _runs(batches, 4):
-            # a set that several partitions sent is one member
-            _, first = np.unique(cls, return_index=True)
-            n, pos, cls = n[first].astype(_I64), pos[first].astype(_I64), cls[first]
-            if len(cls) < 2:
-                continue
-            if len(cls) <= SMALL:
-                i, j = np.triu_indices(len(cls), 1)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[:, 0], m[:, 3]])), pa.concat_arrays([pa.array(p[:, 1]), pa.nulls(b, pa.int64())]), *(pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(m[:, c])]) for c in range(3))], names=names)
+
+        def inputs():
+            """Rows of tiles; what was settled before the shuffle is passed on."""
+            nonlocal held
+            for batch in batches:
+                key, info, cls, other = (c.to_numpy() for c in batch.columns)
+                kind = info & 3
+                if (kind >= LINKED).any():
+                    linked, pair = kind == LINKED, kind == PAIR
+                    members.append(np.stack([other[linked], info[linked] >> 32, (info[linked] >> 2) & (2**30 - 1), cls[linked]], axis=1))
+                    pairs.append(np.stack([key[pair], cls[pair]], axis=1))
+                    held += len(kind) - int((kind < LINKED).sum())
+                    key, info, cls = (x[kind < LINKED] for x in (key, info, cls))
+                yield [key, info, cls]
+
+        for token, info, cls in _runs(inputs()):
+            # a set that several partitions sent is one member; it is a pivot if it is one anywhere
+            order = np.lexsort((-(info & 3), cls))
+            first = order[np.concatenate([[True], cls[order][1:] != cls[order][:-1]])]
+            n, pos, kind, own = info[first] >> 32, (info[first] >> 2) & (2**30 - 1), info[first] & 3, cls[first]
+            if len(own) > SMALL or (kind == PIVOT).any():
+                members.append(np.stack([np.full(len(own), token[0]), n, pos, own], axis=1))
+                held += len(own)
+                i, j, _ = _star(n, pos, own, num, den)
+            elif len(own) > 1:
+                i, j = np.triu_indices(len(own), 1)
+                ok = _possible(n, pos, i, j, num, den)
+                i, j = i[ok], j[ok]
             else:
-                band = np.floor(np.log(n) / np.log(den / num) + 1e-9).astype(_I64)
-                order = np.lexsort((cls, pos, band))
-                heads = np.flatnonzero(np.concatenate([[True], np.diff(band[order]) > 0]))
-                pivot = {int(band[order[h]]): int(order[h]) for h in heads}  # nearest to what the tile has in common
-                own = np.array([pivot[int(b)] for b in band])
-                lower = np.array([pivot.get(int(b) - 1, -1) for b in band])
-                every = np.arange(len(cls))
-                i, j = np.concatenate([every, every[lower >= 0]]), np.concatenate([own, lower[lower >= 0]])
-                i, j = i[i != j], j[i != j]
-                members.append(np.stack([np.full(len(cls), token[0]), n, pos, cls], axis=1))
-                held += len(cls)
-            ok = _possible(n, pos, i, j, num, den)
-            if ok.any():
-                a, b = cls[i[ok]], cls[j[ok]]
+                continue
+            if len(i):
+                a, b = own[i], own[j]
                 pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
                 held += len(a)
             if held > 50_000:
@@ -202,73 +282,104 @@ def _bounded(num: int, den: int):
     return run
 
 
-def _verified(num: int, den: int):
+def _verified(k: int, num: int, den: int):
+    """Pairs that link, by their texts. A text that several pairs of a slice have is cut into shingles once."""
+
     def run(batches):
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (a, b))
-                small, large = (a, b) if len(a) < len(b) else (b, a)
-                at = np.searchsorted(large, small)
-                common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(den * common >= num * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+            size = np.cumsum(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_numpy().astype(_I64))
+            cuts = [0, *(np.flatnonzero(np.diff(size // TEXT)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                part = batch.slice(low, high - low)
+                if not part.num_rows:
+                    continue
+                both = np.concatenate([c.to_numpy() for c in part.columns[:2]])
+                _, first, which = np.unique(both, return_index=True, return_inverse=True)
+                texts = pa.concat_arrays(part.columns[2:]).take(pa.array(first))
+                ((data, offsets),) = text_chunks(texts, 1 << 62)
+                sets, keep = exact_shingles(data, offsets, k), []
+                for a, b in zip(which[: len(which) // 2], which[len(which) // 2 :]):
+                    small, large = sorted((sets[a], sets[b]), key=len)
+                    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                    keep.append(den * common >= num * (len(small) + len(large) - common))
+                yield pa.RecordBatch.from_arrays(part.columns[:2], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _sets(k: int):
+def _texts(k: int, shared: frozenset):
+    """(class, a text of it)"""
+
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            got = []
-            for hashes in shingle_sets(batch.column(0), k):
-                key = set_key(hashes)
+            rows, keys = [], []
+            for i, hashes in enumerate(shingle_sets(batch.column(0), k)):
+                key = class_of(set_key(hashes), shared)
                 if len(hashes) and key not in seen:
                     seen.add(key)
-                    got.append((key, hashes.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], names=["cls", "hashes"])
+                    keys.append(key)
+                    rows.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64()))], names=["cls", "text"])
 
     return run
 
 
 def _crossing(num: int, den: int):
-    """In a large tile: pairs of different components that the bitmaps leave possible. Rows come sorted by token."""
+    """In a block of a large tile: pairs of different components that the bitmaps leave possible.
+
+    Rows come sorted by token, block and role: the block's members, then those of the tile that visit it.
+    """
 
     def run(batches):
-        held: dict = {}
-
-        def settle():
-            rows = list({r[1]: r for r in held.pop("rows", [])}.values())
-            comps: dict = {}
-            for r in rows:
-                comps[r[4]] = comps.get(r[4], 0) + 1
-            if len(comps) < 2:
-                return
-            n, pos, cls, comp = (np.array([r[c] for r in rows]) for c in (2, 3, 1, 4))
-            size = min(len(r[5]) for r in rows)
-            maps = np.stack([folded(r[5], size) for r in rows])
-            main = max(comps, key=lambda c: (comps[c], c))
-            out = []
-            for i in np.flatnonzero(comp != main):
-                others = np.flatnonzero((comp != comp[i]) & ((comp == main) | (cls > cls[i])))
-                others = others[_possible(n, pos, np.full(len(others), i), others, num, den)]
-                for at in range(0, len(others), 4096):
-                    part = others[at : at + 4096]
-                    differ = np.bitwise_count(maps[part] ^ maps[i]).sum(axis=1, dtype=_I64)
-                    ok = part[(n[part] + n[i] - differ) // 2 >= _needed(n[part], n[i], num, den)]
-                    out += [(min(int(cls[i]), int(cls[j])), max(int(cls[i]), int(cls[j]))) for j in ok]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["x", "y"])
-
-        last = None
+        group, held, pairs = None, [], []
+        sides: dict = {}  # bytes of a bitmap -> places, sizes, positions, classes, components and bitmaps of the members that have one
+
+        def ready():
+            sides.clear()
+            for r in held:
+                sides.setdefault(len(r[4]), []).append(r)
+            for size, rows in sides.items():
+                sides[size] = [np.array([r[c] for r in rows], dtype=_I64) for c in range(4)] + [{size: np.stack([np.frombuffer(r[4], dtype=np.uint64) for r in rows])}]
+            held.clear()
+
+        def visit(n, pos, cls, comp, data, main):
+            for size, (ns, places, classes, comps, maps) in sides.items():
+                ok = np.flatnonzero((comps != comp) & ((comps == main) | (classes > cls)))
+                ok = ok[(den * np.minimum(ns[ok], n) >= num * np.maximum(ns[ok], n)) & (np.minimum(ns[ok] - places[ok], n - pos) >= _needed(ns[ok], n, num, den))]
+                if not len(ok):
+                    continue
+                least = min(size, len(data))
+                if least not in maps:
+                    whole = maps[size]
+                    while whole.shape[1] * 8 > least:
+                        whole = whole[:, : whole.shape[1] // 2] | whole[:, whole.shape[1] // 2 :]
+                    maps[least] = whole
+                differ = np.bitwise_count(maps[least][ok] ^ folded(data, least)).sum(axis=1, dtype=_I64)
+                ok = ok[(ns[ok] + n - differ) // 2 >= _needed(ns[ok], n, num, den)]
+                if len(ok):
+                    pairs.append(np.stack([np.minimum(classes[ok], cls), np.maximum(classes[ok], cls)], axis=1))
+
+        def emit():
+            p = np.unique(np.concatenate(pairs), axis=0)
+            pairs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["x", "y"])
+
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != last:
-                    yield from settle()
-                    last = row[0]
-                held.setdefault("rows", []).append(row)
-        yield from settle()
+            for token, block, role, n, pos, cls, comp, main, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if (token, block) != group:
+                    group = (token, block)
+                    held.clear(), sides.clear()
+                if not role:
+                    held.append((n, pos, cls, comp, data))
+                else:
+                    if held:
+                        ready()
+                    visit(n, pos, cls, comp, data, main)
+            if len(pairs) > 5_000:
+                yield emit()
+        if pairs:
+            yield emit()
 
     return run
 
@@ -279,24 +390,30 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
     Two documents link when den * |A and B| >= num * |A or B| for their sets of k-word shingles; a text with
     fewer words is one shingle, a null text or one without words has none and links with nothing. Null ids
     take part, but never name a component that has other ids. Repeated rows link as copies. An empty table
-    gives an empty result. Other columns are not read.
+    gives an empty result. Other columns are not read. Texts are read whole, however long; a worker holds one text's
+    shingles at a time, some 150 bytes a word.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    both = stored(base.mapInArrow(_facts(k), "doc_id long, n long, cls long, bitmap binary, part int, counts binary"), "jaccard-facts")
-    facts = both.where("n IS NOT NULL")
+    both = stored(base.mapInArrow(_facts(k), "doc_id long, n long, cls long, more long, bitmap binary, part int, counts binary"), "jaccard-facts")
+    facts = both.where("n IS NOT NULL").drop("part", "counts")
     table = both.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(_classes, "part int, classes binary").collect()
     classes = bytearray(1 << COUNTERS)  # one byte per counter: a fixed size
     for row in table:
         classes[row["part"] * PART : (row["part"] + 1) * PART] = row["classes"]
     sent = spark.sparkContext.broadcast(bytes(classes))
 
-    prefixes = base.select("text").mapInArrow(_prefixes(k, num, den, sent), "token long, n int, pos int, cls long")
-    tiles = prefixes.repartition("token").sortWithinPartitions("token")
-    tiled = stored(tiles.mapInArrow(_tiles(num, den), "x long, y long, token long, n long, pos long"), "jaccard-tiles")
+    keys = facts.where("n > 0").groupBy("cls", "more")
+    sets = stored(keys.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap", True).alias("bitmap")), "jaccard-classes")
+    # class numbers that two sets share by chance: none below some 10 ** 9 sets, some 70 among 5 * 10 ** 10
+    shared = frozenset(r["cls"] for r in sets.groupBy("cls").count().where("count > 1").select("cls").collect())
+    if shared:
+        own = F.when(F.col("cls").isin(list(shared)), F.col("cls").bitwiseXOR(F.col("more"))).otherwise(F.col("cls"))
+        facts, sets = facts.withColumn("cls", own), sets.withColumn("cls", own)
 
-    sets = facts.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bitmap", True).alias("bitmap"))
-    sets = stored(sets, "jaccard-classes")
+    prefixes = base.select("text").mapInArrow(_prefixes(k, num, den, sent, shared), "key long, info long, cls long, other long")
+    tiles = prefixes.repartition("key").sortWithinPartitions("key")
+    tiled = stored(tiles.mapInArrow(_tiles(num, den), "x long, y long, token long, n long, pos long"), "jaccard-tiles")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Verifies candidate pairs of classes."""
@@ -305,21 +422,27 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
             near = near.join(sets.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"map_{c}")), c)
         near = stored(near.select("x", "y", "n_x", "map_x", "n_y", "map_y").mapInArrow(_bounded(num, den), "x long, y long"), "jaccard-near")
         wanted = near.select(F.explode(F.array("x", "y")).alias("cls")).distinct().join(sets.select("cls", "doc_id"), "cls").select("doc_id").distinct()
-        texts = base.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text")
-        hashes = stored(texts.mapInArrow(_sets(k), "cls long, hashes binary"), "jaccard-sets").dropDuplicates(["cls"])
+        found = base.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text")
+        texts = stored(found.mapInArrow(_texts(k, shared), "cls long, text string"), "jaccard-texts").dropDuplicates(["cls"])
         for c in ("x", "y"):
-            near = near.join(hashes.select(F.col("cls").alias(c), F.col("hashes").alias(f"set_{c}")), c)
-        return stored(near.select("x", "y", "set_x", "set_y").mapInArrow(_verified(num, den), "x long, y long"), "jaccard-links")
+            near = near.join(texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}")), c)
+        return stored(near.select("x", "y", "text_x", "text_y").mapInArrow(_verified(k, num, den), "x long, y long"), "jaccard-links")
 
     links = linked(tiled.where("y IS NOT NULL").select("x", "y"))
-    members = tiled.where("token IS NOT NULL").select("token", F.col("x").alias("cls"), "n", "pos")
+    members = tiled.where("token IS NOT NULL").select("token", F.col("x").alias("cls"), "n", "pos").dropDuplicates(["token", "cls"])
     comps = connected_components(links, "x", "y", "jaccard-components")
-    if not members.isEmpty():
-        placed = members.join(comps.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        placed = stored(placed, "jaccard-members")
-        mixed = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("token")
-        rows = placed.join(mixed, "token", "left_semi").join(sets.select("cls", "bitmap"), "cls").select("token", "cls", "n", "pos", "component", "bitmap")
-        more = stored(rows.repartition("token").sortWithinPartitions("token").mapInArrow(_crossing(num, den), "x long, y long"), "jaccard-crossing")
+    placed = members.join(comps.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    placed = stored(placed.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS))), "jaccard-members")
+    counts = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
+    mixed = counts.groupBy("token").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.sum("size").alias("all"), F.count("*").alias("components")).where("components > 1")
+    mixed = stored(mixed.select("token", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")), "jaccard-mixed")
+    if not mixed.isEmpty():
+        rows = placed.join(mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["token", "salt"]).join(sets.select("cls", "bitmap"), "cls")
+        columns = ["n", "pos", "cls", "component", "main", "bitmap"]
+        residents = rows.select("token", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), *columns)
+        visitors = rows.where("component != main").select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), *columns)
+        blocks = residents.unionByName(visitors).repartition("token", "block").sortWithinPartitions("token", "block", "role")
+        more = stored(blocks.mapInArrow(_crossing(num, den), "x long, y long"), "jaccard-crossing")
         if not more.isEmpty():
             comps = connected_components(links.union(linked(more)), "x", "y", "jaccard-components")
 

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathquant.llm.encoding import byte_alphabet, default_path
-from pathquant.llm.shingles import HashIndex, distinct, segment_hashes, text_chunks, word_spans
+from pathquant.llm.shingles import Segments, grown, text_chunks, word_spans
 
 FIT_DOCS = 1_000  # documents per language that the fit reads, about
 ROUNDS = 2  # of expectation-maximisation
-WORDS = 1_000_000  # words that a worker keeps; at more it starts anew, so memory is bounded
+WORDS, WORD_BYTES = 1_000_000, 1 << 26  # words that a worker keeps, and their bytes; at more it starts anew, so memory is bounded
 ROWS = 512  # documents scored at a time
 TOP = 1e250  # the largest value that the forward pass is scaled to: leaves room below for a window of rare bytes
 CELLS = 1 << 21  # cells of the tables in which the fit handles long words
@@ -166,21 +166,19 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 class Scorer:
-    """Scores texts by the sums over their words; keeps the words met, as hashes and rows of scores."""
+    """Scores texts by the sums over their words; keeps the words met, found by hash and compared byte by byte, and their scores."""
 
     def __init__(self, probs: np.ndarray, tables):
         self.probs, self.tables = probs, tables
         self._forget()
 
     def _forget(self):
-        self.index, self.scores = HashIndex(), np.zeros((1 << 12, self.probs.shape[1]))
+        self.words, self.scores = Segments(), np.zeros((1 << 12, self.probs.shape[1]))
 
-    def _learn(self, raw: bytes, hashes, starts, ends):
-        got, used = forward([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())], self.probs, self.tables), self.index.used
-        while used + len(got) > len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[used : used + len(got)] = got
-        self.index.add(hashes)
+    def _learn(self, raw: bytes, starts, ends):
+        used = self.words.index.used
+        self.scores = grown(self.scores, used + len(starts))
+        self.scores[used : used + len(starts)] = forward([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())], self.probs, self.tables)
 
     def score(self, column) -> np.ndarray:
         """Log probability of each text of an Arrow string column under each language."""
@@ -189,17 +187,17 @@ class Scorer:
             starts, ends = word_spans(data, offsets)
             total = np.zeros((len(offsets) - 1, self.probs.shape[1]))
             if len(starts):
-                kinds, first, which = distinct(segment_hashes(data.astype(np.uint64), starts, ends))
-                if self.index.used > WORDS:
+                if self.words.index.used > WORDS or self.words.used > WORD_BYTES:
                     self._forget()
-                at = self.index.find(kinds)
-                new = at < 0
-                if new.any():
-                    self._learn(data.tobytes(), kinds[new], starts[first[new]], ends[first[new]])
-                    at = self.index.find(kinds)
+                raw = data.tobytes()
+                at = self.words.number(data, starts, ends, lambda a, b: self._learn(raw, a, b))
+                own = self.scores[at]
+                taken = np.flatnonzero(at < 0)  # words whose hash belongs to another word
+                if len(taken):
+                    own[taken] = forward([raw[starts[i] : ends[i]] for i in taken.tolist()], self.probs, self.tables)
                 texts = np.searchsorted(offsets, starts, side="right") - 1
                 cuts = np.flatnonzero(np.concatenate([[True], texts[1:] != texts[:-1]]))
-                total[texts[cuts]] = np.add.reduceat(self.scores[at[which]], cuts, axis=0)
+                total[texts[cuts]] = np.add.reduceat(own, cuts, axis=0)
             out.append(total)
         return np.concatenate(out) if out else np.zeros((0, self.probs.shape[1]))
 

@@ -1,46 +1,78 @@
-"""Word shingles of whole texts as 64-bit hashes, vectorised over a batch of texts.
+"""Words and word shingles of whole texts, vectorised over a batch of texts.
 
-Words are maximal runs without ASCII white space, with A-Z lower-cased. The hash of a word is a polynomial
-over its bytes (taken from prefix sums), mixed; that of a shingle combines its words' hashes by position.
+Words are maximal runs without ASCII white space, with A-Z lower-cased. A segment of bytes is hashed eight bytes at a
+time; every step mixes the state and is one-to-one in the bytes it takes in, so no family of texts shares its hashes
+by construction. Long segments are hashed by BLAKE2. Where equality decides a result, bytes are compared as well
+(``Segments``, ``exact_shingles``): there a hash only says where to look.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-CHUNK = 1 << 20  # bytes hashed at a time; a longer text is a chunk of its own
-_R = np.uint64(0x9E3779B97F4A7C15)
-_R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POSITION = np.array([pow(0xD1342543DE82EF95, i + 1, 1 << 64) for i in range(64)], dtype=np.uint64)
+CHUNK = 1 << 20  # bytes handled at a time; a longer text is a chunk of its own
+SLICE = 1 << 18  # segments handled at a time, which bounds the arrays made on the way
+LANES = 8  # eight-byte steps of a segment; a longer one goes to BLAKE2
+_U64 = np.uint64
+_LENGTH, _STEP = _U64(0x9E3779B97F4A7C15), _U64(0xD1342543DE82EF95)
+_POSITION = np.array([pow(0xD1342543DE82EF95, i + 1, 1 << 64) for i in range(64)], dtype=_U64)
+_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=_U64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += np.uint64(32)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
+    h = (h ^ (h >> _U64(32))) * _U64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> _U64(29))) * _U64(0x94D049BB133111EB)
+    return h ^ (h >> _U64(32))
+
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on, as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, r in enumerate((_R, _R_INVERSE)):
-            full = np.full(n, r, dtype=np.uint64)
-            full[0] = 1
-            _powers[k] = np.cumprod(full, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
 
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the segments [start, end) of data (bytes)."""
+    out, view = np.empty(len(starts), _U64), lanes(data)
+    for low in range(0, len(starts), SLICE):
+        at, size = starts[low : low + SLICE], ends[low : low + SLICE] - starts[low : low + SLICE]
+        h = mix(size.astype(_U64) * _LENGTH + (view[at] & _KEEP[np.minimum(size, 8)]))
+        for j in range(1, LANES):
+            more = np.flatnonzero(size > 8 * j)
+            if not len(more):
+                break
+            h[more] = mix(h[more] * _STEP + (view[at[more] + 8 * j] & _KEEP[np.minimum(size[more] - 8 * j, 8)]))
+        for i in np.flatnonzero(size > 8 * LANES).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(data[at[i] : at[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
+        out[low : low + SLICE] = h
+    return out
 
-def segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the segments [start, end) of values (uint64)."""
-    n = len(values)
-    power, inverse = _power(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((values + np.uint64(1)) * power[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+def same_segments(data, starts, sizes, other, at, other_sizes) -> np.ndarray:
+    """Which segments of data are, byte for byte, the segments of ``other`` that begin at ``at``. Either may be a view of ``lanes``."""
+    a, b = (x if x.dtype == _U64 else lanes(x) for x in (data, other))
+    out = sizes == other_sizes
+    for low in range(0, len(starts), SLICE):
+        live = low + np.flatnonzero(out[low : low + SLICE])
+        for j in range(LANES):
+            if j:
+                live = live[sizes[live] > 8 * j]
+            if not len(live):
+                break
+            differ = (a[starts[live] + 8 * j] ^ b[at[live] + 8 * j]) & _KEEP[np.minimum(sizes[live] - 8 * j, 8)]
+            out[live[differ != 0]] = False
+    for i in np.flatnonzero(out & (sizes > 8 * LANES)).tolist():
+        n, step = int(sizes[i]), np.arange(8 * LANES, int(sizes[i]), 8)
+        last = _KEEP[np.minimum(n - step, 8)]
+        out[i] = not ((a[starts[i] + step] ^ b[at[i] + step]) & last).any()
+    return out
 
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,8 +94,8 @@ class HashIndex:
     RECENT = 200_000  # hashes that wait to be merged into the large array
 
     def __init__(self):
-        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.new_hashes, self.new_slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.hashes, self.slots = np.zeros(0, _U64), np.zeros(0, np.int64)
+        self.new_hashes, self.new_slots = np.zeros(0, _U64), np.zeros(0, np.int64)
         self.used = 0
 
     @staticmethod
@@ -88,6 +120,51 @@ class HashIndex:
             self.new_hashes, self.new_slots = self.new_hashes[:0], self.new_slots[:0]
 
 
+def grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, doubled until it has room for ``size``."""
+    while size > len(array):
+        array = np.concatenate([array, np.zeros_like(array)])
+    return array
+
+
+class Segments:
+    """Numbers distinct byte segments from 0 in the order of their arrival.
+
+    They are looked up by hash and then compared byte by byte with the segment that has the number. A segment whose
+    hash another one has taken gets no number: its caller handles it by itself.
+    """
+
+    def __init__(self):
+        self.index, self.used = HashIndex(), 0  # used: bytes kept
+        self.data = np.zeros(1 << 16, np.uint8)
+        self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def number(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, learn) -> np.ndarray:
+        """The number of each segment [start, end) of data, or -1. learn(starts, ends) is told the new ones first, in the order of their numbers."""
+        kinds, first, which = distinct(segment_hashes(data, starts, ends))
+        at = self.index.find(kinds)
+        new = at < 0
+        if new.any():
+            own = first[new]
+            learn(starts[own], ends[own])
+            self._keep(data, starts[own], ends[own] - starts[own])
+            self.index.add(kinds[new])
+            at = self.index.find(kinds)
+        at = at[which]
+        own = np.ndarray(len(self.data) - 7, dtype="<u8", buffer=self.data, strides=(1,))
+        return np.where(same_segments(data, starts, ends - starts, own, self.starts[at], self.sizes[at]), at, -1)
+
+    def _keep(self, data, starts, sizes):
+        n, done = self.index.used, np.cumsum(sizes)
+        places = np.repeat(starts - done + sizes, sizes) + np.arange(done[-1])
+        self.data = grown(self.data, self.used + len(places) + 8)
+        self.data[self.used : self.used + len(places)] = data[places]
+        self.starts, self.sizes = grown(self.starts, n + len(starts)), grown(self.sizes, n + len(starts))
+        self.starts[n : n + len(starts)] = self.used + done - sizes
+        self.sizes[n : n + len(starts)] = sizes
+        self.used += len(places)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of all words of texts that lie one after another in data."""
     n = len(data)
@@ -106,13 +183,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """Hashes of the words; for each text, its first word (and one past the last)."""
     starts, ends = word_spans(data, offsets)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, _U64), np.zeros(len(offsets), np.int64)
     return segment_hashes(_LOWER[data], starts, ends), np.searchsorted(starts, offsets)
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     words, first = word_hashes(data, offsets)
-    full = np.zeros(max(0, len(words) - k + 1), np.uint64)
+    full = np.zeros(max(0, len(words) - k + 1), _U64)
     for j in range(k):
         full += words[j : j + len(full)] * _POSITION[j]
     full = mix(full)
@@ -122,14 +199,14 @@ def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
             out.append(np.unique(full[a : b - k + 1]))
         elif b > a:  # fewer words than a shingle: the whole sequence as one
             short = words[a:b] * _POSITION[: b - a]
-            out.append(mix(short.sum(dtype=np.uint64, keepdims=True) + np.uint64(int(b - a) * 0x632BE59BD9B4E019 % 2**64)))
+            out.append(mix(short.sum(dtype=_U64, keepdims=True) + _U64(int(b - a) * 0x632BE59BD9B4E019 % 2**64)))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(np.zeros(0, _U64))
     return out
 
 
-def text_chunks(column):
-    """Cuts an Arrow string column (null: empty) into chunks of whole texts: (bytes, offsets of the texts in them)."""
+def text_chunks(column, limit: int = CHUNK):
+    """Cuts an Arrow string column (null: empty) into chunks of whole texts, of some ``limit`` bytes: (bytes, offsets of the texts in them)."""
     import pyarrow as pa
 
     column = column.cast(pa.large_string()).fill_null("")
@@ -140,7 +217,7 @@ def text_chunks(column):
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
         end = min(end, len(column))
         yield data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
@@ -150,3 +227,36 @@ def shingle_sets(column, k: int):
     """Yields the sorted distinct shingle hashes of each text of an Arrow string column; null: empty."""
     for data, offsets in text_chunks(column):
         yield from _sets(data, offsets, k)
+
+
+def _numbers(values: np.ndarray) -> np.ndarray:
+    import pandas as pd
+
+    return pd.factorize(values)[0]
+
+
+def exact_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
+    """The distinct shingles of each text as numbers that are equal if and only if the shingles' words are; no hash decides."""
+    starts, ends = word_spans(data, offsets)
+    if not len(starts):
+        return [np.zeros(0, np.int64)] * (len(offsets) - 1)
+    lower, first = _LOWER[data], np.searchsorted(starts, offsets)
+    words = Segments().number(lower, starts, ends, lambda *_: None)
+    taken: dict[bytes, int] = {}  # words whose hash belongs to another word
+    for i in np.flatnonzero(words < 0).tolist():
+        words[i] = len(starts) + taken.setdefault(lower[starts[i] : ends[i]].tobytes(), len(taken))
+    words = _numbers(words)
+    n, full = int(words.max()) + 1, words
+    for j in range(1, k):  # numbers of runs of j words and the next word: below 2 ** 31 each
+        full = _numbers(full[: len(words) - j] * n + words[j:]) if len(words) > j else full[:0]
+    short: dict[tuple, int] = {}
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        if b - a >= k:
+            out.append(np.unique(full[a : b - k + 1]))
+        elif b > a:
+            key = tuple(words[a:b].tolist())
+            out.append(np.array([-1 - short.setdefault(key, len(short))]))
+        else:
+            out.append(np.zeros(0, np.int64))
+    return out

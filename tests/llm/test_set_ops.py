@@ -143,9 +143,10 @@ def brute_components(docs, k, num, den):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("k, num", [(4, 85), (5, 80)])
-def test_jaccard_against_brute_force(spark, k, num):
-    """Near copies around thresholds, one group too large for pairs, a passage that many share."""
+@pytest.mark.parametrize("k, num, block", [(4, 85, 512), (5, 80, 512), (4, 85, 7)])
+def test_jaccard_against_brute_force(spark, monkeypatch, k, num, block):
+    """Near copies around thresholds, one group too large for pairs, a passage that many share; small blocks cut every large tile."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(k)
     vocabulary = [f"w{i}" for i in range(400)]
 
@@ -176,6 +177,46 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
+def thue_morse(size):
+    """Two words of a and b, complements of each other, that polynomial hashes modulo a power of two confuse."""
+    one, two = "a", "b"
+    while len(one) < size:
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_jaccard_does_not_trust_hashes(spark):
+    one, two = thue_morse(1024)
+    rows = [(1, one), (2, two), (3, one.upper()), (4, f"{one} x y z"), (5, f"{two} x y z"), (6, one[:64]), (7, two[:64])]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
+
+
+def test_exact_shingles_with_shared_hashes(monkeypatch):
+    """The numbers are right even if all words have one hash."""
+    import numpy as np
+    import pyarrow as pa
+
+    from pathquant.llm import shingles
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["a", "B", "b", "word" * 30, "word" * 29 + "wore"], k=rng.randint(0, 40))) for _ in range(60)]
+    ((data, offsets),) = shingles.text_chunks(pa.array(texts), 1 << 62)
+    words = [t.lower().split() for t in texts]
+    want = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set()) for w in words]
+    for patched in (False, True):
+        if patched:
+            monkeypatch.setattr(shingles, "segment_hashes", lambda d, s, e: np.zeros(len(s), np.uint64))
+        got = [set(x.tolist()) for x in shingles.exact_shingles(data, offsets, 3)]
+        assert [len(g) for g in got] == [len(w) for w in want]
+        assert all(len(a & b) == len(x & y) for a, x in zip(got, want) for b, y in zip(got, want))
+
+
+def test_class_numbers_that_sets_share():
+    assert jaccard.class_of((5, 9), frozenset()) == 5
+    assert {jaccard.class_of((5, more), frozenset({5})) for more in (9, 10)} == {5 ^ 9, 5 ^ 10}
+
+
 def test_bitmaps_bound_the_overlap():
     import numpy as np
     import pyarrow as pa

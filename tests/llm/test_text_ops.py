@@ -42,6 +42,37 @@ def test_encoder_equals_the_tokenizer(tokenizer):
     assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def thue_morse(size):
+    """Two words of a and b, complements of each other, that polynomial hashes modulo a power of two confuse."""
+    one, two = "a", "b"
+    while len(one) < size:
+        one, two = one + two, two + one
+    return one, two
+
+
+@pytest.mark.parametrize("patched", [False, True])
+def test_pieces_are_compared_not_only_hashed(tokenizer, monkeypatch, patched):
+    """The ids, section counts and scores of a text do not depend on what was met before, even if all pieces have one hash."""
+    import pyarrow as pa
+
+    from pathquant.llm import shingles
+
+    if patched:
+        monkeypatch.setattr(shingles, "segment_hashes", lambda d, s, e: np.zeros(len(s), np.uint64))
+    texts = [*thue_morse(1024), "the cat", "the dog", "a b", "x" * 70 + "y", "x" * 70 + "z", None]
+    enc = encoding.Encoder(encoding.default_path())
+    for column in (texts[:1], texts[1:], texts):
+        got = [ids[a:b].tolist() for ids, off in enc.encode_column(pa.array(column)) for a, b in zip(off[:-1], off[1:])]
+        assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in column]
+    tables = langid.pieces(encoding.default_path("word_bpe_49k.json"))
+    probs = np.random.default_rng(2).random((tables[2] + 1, 2)) * 1e-3
+    probs[-1] = 0
+    scorer = langid.Scorer(probs, tables)
+    for column in (texts[:1], texts[1:]):
+        want = [langid.forward([w.encode() for w in t.split()], probs, tables).sum(axis=0) if t else np.zeros(2) for t in column]
+        assert np.allclose(scorer.score(pa.array(column)), want)
+
+
 def test_token_output_round_trip(spark, tokenizer):
     docs, path = odd_docs(spark), shared_path(spark, "t")
     token_output.write_tokens(docs, path)
