@@ -5,7 +5,8 @@ radius: if all segments have been searched to radius r, every code within Hammin
 been met; if the first j + 1 segments have been searched to radius r and the others to r - 1, every code
 within m r + j. So a query whose k-th verified distance is known looks up only the segments that cover it,
 and is done then. Candidates are verified by the distance of the whole codes, bucket by bucket, and only
-those that can be in an answer become rows.
+those that can be in an answer become rows. Queries whose neighbours lie so far that a radius has too many masks go on in
+an index of narrower segments, in which every radius can be enumerated; no query is ever compared with all codes as such.
 
 Equal codes are one entry of the index, which keeps as many of its smallest ids as an answer can hold, and
 equal queries are searched once: a code that a third of all rows share costs no more than another.
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from pathquant.llm.common import stored
 
-PROBES = 20_000  # masks of one radius; beyond, the open queries are compared with all codes in blocks
+PROBES = 20_000  # masks of one radius; a search that needs more goes on in segments of at most FINE bits
+FINE = 8  # bits: 256 values at most, so every radius can be enumerated
 BLOCK_CODES = 1 << 16  # a bucket may be split into one block for so many codes of the whole index
 
 
@@ -72,24 +74,15 @@ def top_k(rows: DataFrame, queries: DataFrame, *, id_col: str, code_col: str, k:
     members = stored(few.withColumn("place", place).where(F.col("place") <= k + 1).select("code", "id", "place"), "hamming-members")
     codes = stored(members.groupBy("code").agg(F.count("*").alias("ids")), "hamming-codes")
     n = codes.count()
-    m = segments or segments_for(n, k, bits)
-    width = -(-bits // m)
-    cut = [(j, width * j, min(width, bits - width * j)) for j in range(m) if width * j < bits]
-    m = len(cut)
-
-    def segment(code, low: int, size: int):
-        return F.shiftrightunsigned(code, low).bitwiseAND(F.lit((1 << size) - 1)) if size < 64 else code
-
     blocks = max(1, n // BLOCK_CODES)
-    cells = codes.select("code", "ids", F.posexplode(F.array(*[segment(F.col("code"), low, size) for _, low, size in cut])).alias("seg", "value"))
-    cells = cells.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)))
-    index = stored(cells.groupBy("seg", "value", "block").agg(F.collect_list(F.struct("code", "ids")).alias("codes")).drop("block"), "hamming-index")
     asked = queries.where(F.col(code_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(code_col).alias("query")).distinct()
     asked = stored(asked, "hamming-queries")
     # reach: the distance within which k others and the query itself are known to lie
     open_ = stored(asked.select("query").distinct().withColumn("reach", F.lit(bits)), "hamming-open")
     found = done = None  # (query, code, ids, distance)
-    radius = 0
+
+    def segment(code, low: int, size: int):
+        return F.shiftrightunsigned(code, low).bitwiseAND(F.lit((1 << size) - 1)) if size < 64 else code
 
     def near(met: DataFrame) -> DataFrame:
         """(query, code, ids, distance) of a bucket's codes that are within reach and among its k + 1 nearest, ties kept."""
@@ -99,31 +92,37 @@ def top_k(rows: DataFrame, queries: DataFrame, *, id_col: str, code_col: str, k:
         met = met.withColumn("last", last).withColumn("x", F.explode(F.filter("all", lambda x: F.col("last").isNull() | (x["distance"] <= F.col("last")))))
         return met.select("query", "x.code", "x.ids", "x.distance")
 
-    while not open_.isEmpty():
-        masks = None
-        if radius <= width and sum(comb(size, radius) for *_, size in cut) <= PROBES:
+    for m in (segments or segments_for(n, k, bits), -(-bits // FINE)):
+        if open_.isEmpty():
+            break
+        width = -(-bits // m)
+        cut = [(j, width * j, min(width, bits - width * j)) for j in range(m) if width * j < bits]
+        m = len(cut)
+        cells = codes.select("code", "ids", F.posexplode(F.array(*[segment(F.col("code"), low, size) for _, low, size in cut])).alias("seg", "value"))
+        cells = cells.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)))
+        index = stored(cells.groupBy("seg", "value", "block").agg(F.collect_list(F.struct("code", "ids")).alias("codes")).drop("block"), "hamming-index")
+        parts = F.array(*[segment(F.col("query"), low, size) for _, low, size in cut])
+        radius = 0
+        while sum(comb(size, radius) for *_, size in cut) <= PROBES and not open_.isEmpty():
             masks = [(j, sum(1 << b for b in c)) for j, _, size in cut for c in combinations(range(size), radius)]
-        if masks is None:
-            # the radius is too wide to enumerate: the open queries against every code, a bucket of the first segment at a time
-            met = near(open_.join(index.where("seg = 0").select("codes")))
-        else:
-            probes = spark.createDataFrame(masks, "seg int, mask long")
-            parts = F.array(*[segment(F.col("query"), low, size) for _, low, size in cut])
-            looked = open_.withColumn("parts", parts).join(F.broadcast(probes), F.col("seg") <= F.col("reach") - m * radius)
-            looked = looked.select("query", "reach", "seg", F.get("parts", F.col("seg")).bitwiseXOR(F.col("mask")).alias("value"))
+            probes = spark.createDataFrame(masks, "seg int, mask long")  # PROBES rows at most
+            # the segments that must be searched to this radius to cover the reach
+            needed = F.least(F.col("reach") - m * radius, F.lit(m - 1))
+            looked = open_.where(F.col("reach") >= m * radius).withColumn("parts", parts).withColumn("seg", F.explode(F.sequence(F.lit(0), needed)))
+            looked = looked.join(F.broadcast(probes), "seg").select("query", "reach", "seg", F.get("parts", F.col("seg")).bitwiseXOR(F.col("mask")).alias("value"))
             met = near(looked.join(index, ["seg", "value"]))
-        if found is not None:
-            met = met.unionByName(found.join(open_.select("query"), "query", "left_semi"))
-        nearer = F.sum("ids").over(Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1))
-        found = stored(met.distinct().withColumn("nearer", F.coalesce(nearer, F.lit(0))).where(F.col("nearer") <= k).drop("nearer"), "hamming-found")
-        covered = bits if masks is None or radius >= width else m * (radius + 1) - 1
-        within = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, 0)
-        known = found.withColumn("within", F.sum("ids").over(within)).where(F.col("within") > k).groupBy("query").agg(F.min("distance").alias("now"))
-        state = stored(open_.join(known, "query", "left").select("query", F.coalesce("now", F.lit(bits)).alias("reach"), (F.coalesce("now", F.lit(bits)) <= covered).alias("ready")), "hamming-state")
-        closed = found.join(state.where("ready").select("query"), "query", "left_semi")
-        done = closed if done is None else done.unionByName(closed)
-        open_ = state.where("NOT ready").select("query", "reach")
-        radius += 1
+            if found is not None:
+                met = met.unionByName(found.join(open_.select("query"), "query", "left_semi"))
+            nearer = F.sum("ids").over(Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1))
+            found = stored(met.distinct().withColumn("nearer", F.coalesce(nearer, F.lit(0))).where(F.col("nearer") <= k).drop("nearer"), "hamming-found")
+            covered = bits if radius >= width else m * (radius + 1) - 1
+            within = Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, 0)
+            known = found.withColumn("within", F.sum("ids").over(within)).where(F.col("within") > k).groupBy("query").agg(F.min("distance").alias("now"))
+            state = stored(open_.join(known, "query", "left").select("query", F.coalesce("now", F.lit(bits)).alias("reach"), (F.coalesce("now", F.lit(bits)) <= covered).alias("ready")), "hamming-state")
+            closed = found.join(state.where("ready").select("query"), "query", "left_semi")
+            done = closed if done is None else done.unionByName(closed)
+            open_ = state.where("NOT ready").select("query", "reach")
+            radius += 1
     if done is None:
         done = spark.createDataFrame([], "query long, code long, ids long, distance int")
     answers = asked.join(done, "query").join(members, "code").where(F.col("id") != F.col("query_id"))
