@@ -70,6 +70,23 @@ def test_mix_comes_near_targets(spark):
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
 
 
+def test_mix_repeated_rows(spark, monkeypatch):
+    """Of rows that are equal, each is queued; the mix comes near its targets however few entries one task may sort."""
+    rows = [(7, "same words here", "a")] * 900 + [(i, "one two " * (i % 3 + 1), "b") for i in range(500)] + [(i, "x " * 9, None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wanted = mixing.mix(docs, keep=True).collect()
+    monkeypatch.setattr(mixing, "SORTED", 3)
+    monkeypatch.setattr(mixing, "RANGES", 5)
+    monkeypatch.setattr(mixing, "SOURCES", 0)
+    got = mixing.mix(docs, keep=True).collect()
+    assert sorted(map(str, got)) == sorted(map(str, wanted)) and len(got) == len(rows)
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["row"]["source"]] += r["taken"]
+        target[r["row"]["source"]] = r["target"]
+    assert all(abs(taken[s] - t) <= 18 for s, t in target.items()) and sum(taken.values()) <= sum(len(t.split()) for _, t, _ in rows)
+
+
 def test_mix_late_entries(spark, tmp_path):
     """A source of one document far beyond its target is not taken, as in the SQL, though the rest leaves room."""
     for n, (large, small) in enumerate([(1000, [28] * 10), (100_000, [1] * 50), (3000, [700, 300, 5, 5, 5])]):
@@ -257,6 +274,24 @@ def test_top_k_against_brute_force(spark):
     assert hamming.top_k(df.where("vec_id < 3"), df.where("vec_id = 0"), id_col="vec_id", code_col="code").count() == 2
 
 
+def test_top_k_far_neighbours(spark, monkeypatch):
+    """Neighbours too far for the first index's radii are found in the finer one, without a join that has no equal columns."""
+    rng = random.Random(6)
+    codes = [0, 2**64 - 1, 0x00FF00FF00FF00FF, *(rng.getrandbits(64) for _ in range(40))]
+    codes = [c - 2**64 if c >= 2**63 else c for c in codes]
+    df = spark.createDataFrame(list(enumerate(codes)), "vec_id long, code long")
+    monkeypatch.setattr(hamming, "PROBES", 600)
+    out = hamming.top_k(df, df.where("vec_id < 5"), id_col="vec_id", code_col="code", k=30, segments=2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString() and "Join Inner\n" not in plan
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["distance"], r["id"]))
+    for q in range(5):
+        best = sorted((((codes[q] ^ c) & (2**64 - 1)).bit_count(), i) for i, c in enumerate(codes) if i != q)[:30]
+        assert sorted(got[q]) == [(n + 1, *b) for n, b in enumerate(best)]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
@@ -298,6 +333,36 @@ def test_pipeline_decides_by_row(spark):
     assert clean == sorted((r for r in rows if not r[1] or item not in r[1]), key=str)
 
 
+CLASHES = "doc_id long, text string, lang string, source string, score double, lang_pred string, evidence double, row_key long, component_id long, size long, copies int, row string, key string, c0 int, cls long, n int, h long, k int, shard int"
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows, empty texts, columns with the names that stages use; then no rows at all."""
+    import corpus_pipeline as p
+
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").limit(60)
+    extra = spark.createDataFrame([(None, None, None, None), (None, "", None, None), (3000, "the one and only text of it", None, None), (3000, "the one and only text of it", None, None), (None, " \n ", "en", None)], base.schema)
+    rows = base.unionByName(extra)
+    for field in CLASHES.split(", ")[4:]:
+        name, kind = field.split()
+        rows = rows.withColumn(name, F.lit(None).cast(kind) if name in ("lang_pred", "row") else F.lit(1).cast(kind))
+    assert rows.columns == [f.split()[0] for f in CLASHES.split(", ")]
+    for name, docs in (("all", rows), ("none", rows.limit(0))):
+        here = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{here}/documents.parquet")
+        spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{here}/benchmark.parquet")
+        got = spark.read.parquet(f"{here}/documents.parquet")
+        for _, stage in p.STAGES[:-1]:
+            out = stage(spark, got, here)
+            assert out.columns == rows.columns and out.dtypes == rows.dtypes
+            left = [tuple(r) for r in out.collect()]
+            assert set(left) <= {tuple(r) for r in got.collect()}
+            got = spark.createDataFrame(left, rows.schema)
+        shards = p.run(spark, here).collect()
+        assert len(shards) == len(left) and bool(shards) == (name == "all")
+        assert sum(r["doc_id"] == 3000 for r in shards) in (0, 1, 2, 3) and (name == "none" or shards[0].asDict().keys() == {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"})
+
+
 def test_pipeline_rejects_what_no_language_explains(spark):
     import base64
 
