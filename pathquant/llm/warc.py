@@ -26,6 +26,8 @@ ID = "urn:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 20
 INDEX = "archive string, record string, offset long, length long"
+SALTS = 32  # tasks over which pages of one payload meet the group's first page
+READ_BYTES = 32 << 20  # bytes of members that one task reads, about
 
 
 def filesystem(uri: str):
@@ -138,12 +140,15 @@ def write_monolithic(pages: DataFrame, folder: str, *, id_col: str = "page_id",
     Of records with equal payloads of min_payload bytes at least, that of the smallest id is the response and
     the others revisit it. A null html is an empty payload. A null id never becomes the first of a group
     that has ids; in a group without any, all are responses. Rows that repeat the smallest id are responses too.
+    A payload is held whole by the task that writes it, however long. An empty table writes no archive. Other columns
+    are not read. Pages of one payload are spread over SALTS tasks; only groups of more than one page meet them there.
     """
     html = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
     groups = rows.where(F.octet_length("html") >= min_payload).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
-    rows = rows.join(groups, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    salt, salts = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    rows = rows.withColumn("salt", salt).join(groups.withColumn("salt", salts), ["digest", "salt"], "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
     return stored(rows.mapInArrow(_write(folder, level), "archive string, records long"), "warc-manifest")
 
 
@@ -175,9 +180,9 @@ def normalise(archives: DataFrame, folder: str, *, level: int = 1) -> DataFrame:
     An archive whose members are whole records already comes out with the same records. An archive without
     records comes out empty, with an empty index; one that ends inside a record is an error.
     """
-    names = archives.select("archive").distinct()
+    names = stored(archives.select("archive").distinct(), "warc-archives")
     tasks = max(1, names.count())  # one archive is one stream: the unit of work
-    return stored(names.repartition(tasks, "archive").mapInArrow(_normalise(folder, level), "archive string, index string, records long"), "warc-normalised")
+    return stored(names.repartitionByRange(tasks, "archive").mapInArrow(_normalise(folder, level), "archive string, index string, records long"), "warc-normalised")
 
 
 def _read(batches):
@@ -201,7 +206,9 @@ def _read(batches):
 def read_records(spark, folder: str) -> DataFrame:
     """Reads every record by the sidecar indexes. Digest and size of a response come from its payload itself."""
     index = spark.read.schema(INDEX).csv(f"{folder}/*.idx", sep="\t", quote="")
-    return index.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    n, size = index.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = min(max(1, n), max(2 * spark.sparkContext.defaultParallelism, size // READ_BYTES))
+    return index.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op10_gzip_normaliser(spark, sf_dir):

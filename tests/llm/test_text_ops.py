@@ -290,3 +290,19 @@ def test_op10(spark, sf_dir):
     rows = QUERIES["op10_gzip_normaliser"](spark, sf_dir).collect()
     assert {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in rows} == want
     assert QUERIES["op10_gzip_normaliser"] and len(rows) == len(pages)
+
+
+def test_warc_odd_tables(spark):
+    """No rows, repeated rows, a payload that half of all pages share, columns with inner names; an archive is a task."""
+    kind = "page_id long, url string, html string, digest string, salt int, archive string"
+    rows = [(i, f"u{i}", "same" if i % 2 else f"own {i}", "d", 1, None) for i in range(200)] + [(1, "u1", "same", None, None, "a")]
+    pages = spark.createDataFrame(rows, kind)
+    folder = shared_path(spark, "w")
+    made = warc.write_monolithic(pages, f"{folder}/a")
+    done = warc.normalise(made, f"{folder}/b")
+    assert sum(r["records"] for r in done.collect()) == 201 and done.count() == made.count()
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_records(spark, f"{folder}/b").collect())
+    want = [(i, "response" if i % 2 == 0 or i == 1 else "revisit", None if i % 2 == 0 or i == 1 else 1) for i in range(200)] + [(1, "response", None)]
+    assert got == sorted(want, key=lambda r: r[:2])
+    none = warc.write_monolithic(pages.limit(0), f"{folder}/c")
+    assert none.count() == 0 and warc.normalise(none, f"{folder}/d").count() == 0
