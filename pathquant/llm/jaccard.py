@@ -14,8 +14,8 @@
    were compared byte by byte, so no hash decides a link.
 6. Members of a large tile that are not yet in one component are compared by their bitmaps with all others of
    the tile that are in another; what the bound leaves is verified too. Pairs inside a component are never made. A large
-   tile is cut into blocks of some hundred members, each a task's group; members outside the tile's largest component
-   visit every block.
+   tile is cut into blocks of some hundred members, and those outside its largest component visit every block, some
+   hundred at a turn; a block and a turn are one group.
 
 So no link between different components is lost, and a group of copies is never expanded into its pairs.
 """
@@ -39,7 +39,7 @@ PART = 1 << 14  # counters in one row
 BITS = (64, 4096)  # least and most bits of a bitmap
 SMALL = 16  # members of a tile whose pairs are all made
 ROWS = 1 << 20  # prefix rows in which common shingles are looked for before the shuffle
-BLOCK = 512  # members of a large tile that are compared in one group
+BLOCK = 512  # members of a large tile in a block, and visitors in a turn
 SALTS = 16  # tasks over which the members of one tile meet the facts of the tile
 TEXT = 4 << 20  # bytes of text verified at a time
 _I64 = np.int64
@@ -328,7 +328,7 @@ def _texts(k: int, shared: frozenset):
 def _crossing(num: int, den: int):
     """In a block of a large tile: pairs of different components that the bitmaps leave possible.
 
-    Rows come sorted by token, block and role: the block's members, then those of the tile that visit it.
+    Rows come sorted by token, block, turn and role: the block's members, then those of the tile that visit it in this turn.
     """
 
     def run(batches):
@@ -366,9 +366,9 @@ def _crossing(num: int, den: int):
             return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["x", "y"])
 
         for batch in batches:
-            for token, block, role, n, pos, cls, comp, main, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if (token, block) != group:
-                    group = (token, block)
+            for token, block, turn, role, n, pos, cls, comp, main, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if (token, block, turn) != group:
+                    group = (token, block, turn)
                     held.clear(), sides.clear()
                 if not role:
                     held.append((n, pos, cls, comp, data))
@@ -425,7 +425,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
         found = base.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text")
         texts = stored(found.mapInArrow(_texts(k, shared), "cls long, text string"), "jaccard-texts").dropDuplicates(["cls"])
         for c in ("x", "y"):
-            near = near.join(texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}")), c)
+            near = near.join(texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}")).hint("merge"), c)  # texts are never broadcast
         return stored(near.select("x", "y", "text_x", "text_y").mapInArrow(_verified(k, num, den), "x long, y long"), "jaccard-links")
 
     links = linked(tiled.where("y IS NOT NULL").select("x", "y"))
@@ -434,14 +434,22 @@ def jaccard_components(docs: DataFrame, *, k: int = 4, num: int = 85, den: int =
     placed = members.join(comps.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     placed = stored(placed.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS))), "jaccard-members")
     counts = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
-    mixed = counts.groupBy("token").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.sum("size").alias("all"), F.count("*").alias("components")).where("components > 1")
-    mixed = stored(mixed.select("token", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")), "jaccard-mixed")
+    mixed = counts.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("components")).where("components > 1")
+    parts = [F.ceil(n / BLOCK).cast("int").alias(name) for n, name in ((F.col("all"), "blocks"), (F.col("all") - F.col("top.size"), "turns"))]
+    mixed = stored(mixed.select("token", F.col("top.component").alias("main"), *parts), "jaccard-mixed")
     if not mixed.isEmpty():
         rows = placed.join(mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["token", "salt"]).join(sets.select("cls", "bitmap"), "cls")
         columns = ["n", "pos", "cls", "component", "main", "bitmap"]
-        residents = rows.select("token", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), *columns)
-        visitors = rows.where("component != main").select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), *columns)
-        blocks = residents.unionByName(visitors).repartition("token", "block").sortWithinPartitions("token", "block", "role")
+
+        def part_of(seed: int, count: str):
+            return F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(count)).cast("int")
+
+        def each(count: str):
+            return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+        residents = rows.select("token", part_of(3, "blocks").alias("block"), each("turns").alias("turn"), F.lit(0).alias("role"), *columns)
+        visitors = rows.where("component != main").select("token", each("blocks").alias("block"), part_of(5, "turns").alias("turn"), F.lit(1).alias("role"), *columns)
+        blocks = residents.unionByName(visitors).repartition("token", "block", "turn").sortWithinPartitions("token", "block", "turn", "role")
         more = stored(blocks.mapInArrow(_crossing(num, den), "x long, y long"), "jaccard-crossing")
         if not more.isEmpty():
             comps = connected_components(links.union(linked(more)), "x", "y", "jaccard-components")
