@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -160,6 +161,50 @@ def test_main_text_among_articles():
     assert text.startswith("Head\nA sentence") and text.endswith("\nEnd.")
 
 
+LONG = "A sentence of the article, with words. " * 6
+P = f"<p>{LONG}</p>"
+PAGES = {
+    "class names that mislead": (f"<html><body><nav><a href=1>Home</a></nav><div class='content-with-sidebar'><h1 class='post-header'>T</h1>{P * 3}</div></body></html>", ["T", LONG, LONG, LONG]),
+    "a note in an article": (f"<body><article><h1>Title</h1>{P}<div class='side-note'>Kept.</div>{P}</article></body>", ["Title", LONG, "Kept.", LONG]),
+    "an article called a notice": (f"<body><div class=menu><a href=1>a</a></div><div class=notice>{P * 2}</div></body>", [LONG, LONG]),
+    "a last line of links": (f"<body><div><h2>Head</h2>{P * 3}</div><div>Read more, about us, legal, and more of that.</div></body>", ["Head", LONG, LONG, LONG]),
+    "a last line in the same element": (f"<body><div><h2>Head</h2>{P * 3}<div>Read more, about us, legal</div></div></body>", ["Head", LONG, LONG, LONG]),
+    "a headline before the text": (f"<body><header><h1>Site</h1></header><div class='post'><h1><a href=x>Title</a></h1><div class='meta'>By me</div><div class='body'>{P * 3}</div></div><section id=comments>{P * 2}</section></body>", ["Title", LONG, LONG, LONG]),
+    "a page in a form": (f"<body><form><div class=menu><a href=1>x</a></div><div id=x>{P * 2}</div></form></body>", [LONG, LONG]),
+    "two articles and a sidebar": (f"<body><main><article>{P * 4}</article><article>{P}</article></main><aside>{P}</aside></body>", [LONG] * 5),
+    "lines in a div": ("<body><div class='nav'>a b c</div><div>" + f"{LONG}<br>" * 3 + "</div><div>imprint</div></body>", [LONG] * 3),
+    "comments in an article": (f"<body><article><h1>A</h1>{P * 3}<div class='comments'><div class='comment'>{P * 4}</div></div><div class='post-comments'>{P * 3}</div></article><footer>{P}</footer></body>", ["A", LONG, LONG, LONG]),
+    "a table": (f"<body><table><tr><td><a href=1>m</a><td>{P * 2}</table></body>", [LONG, LONG]),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_main_text_by_scores(name):
+    page, want = PAGES[name]
+    assert html_text.main_text(page).split("\n") == [w.strip() for w in want]
+
+
+def test_scores_choose_the_blocks(spark, sf_dir, monkeypatch):
+    """Pages without an article element, among many short lines without names or links: the text is as in the article, by the scores."""
+    lines = "".join(f"<div>line {i} of the table of times and dates</div>" for i in range(60))
+    pages = [p["html"] for p in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    pages = [p for p in pages if len(html_text.main_text(p)) > 500]  # an article of two lines is no more than the lines are
+    assert len(pages) > 10
+    noisy = [re.sub("</article>", f"</div><section>{lines}</section>", re.sub("<article>", f"<section>{lines}</section><div>", p)) for p in pages]
+    want = [html_text.main_text(p) for p in pages]
+    assert [html_text.main_text(p) for p in noisy] == want
+    monkeypatch.setattr(html_text, "path_scores", lambda page: dict.fromkeys(page.path, 1.0))
+    assert all(html_text.main_text(p) != w for p, w in zip(noisy, want))
+
+
+@pytest.mark.parametrize("part", ["<![CDATA[", "<div>x", "<a", '<a x=">">', "<li><ul><div>", "<!--", "<p><a>x", "<span hidden>a", "</", "&", "<a x='", "<td><li><dd>"])
+def test_long_broken_pages(part):
+    """Time grows with the page: a megabyte of any of these is a matter of seconds."""
+    start = time.monotonic()
+    html_text.main_text("<body>" + part * (1_000_000 // len(part)) + ">")
+    assert time.monotonic() - start < 20
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<!--", "<script>", "plain text", "</div></p>", "<div " + "a" * 5000, "<p>" * 3000, "&#xD800; &bogus;", "<a href='x>y</a>"])
 def test_broken_pages(page):
     assert isinstance(html_text.main_text(page), str)
