@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 MODELS = ("haplotypes", "transcripts", "strains", "haplotype-transcripts")
@@ -51,6 +52,7 @@ class EngineConfig:
     max_em_its: int = 10_000
     max_rel_em_conv: float = 0.001
     exact_permutations: bool = False
+    write_probs: bool = False
 
     def __post_init__(self):
         if self.model not in MODELS:
@@ -78,3 +80,8 @@ class EngineConfig:
     @property
     def node_clusters(self) -> bool:
         return self.path_node_cluster or self.collapse
+
+    @property
+    def prob_digits(self) -> int:
+        """Significant digits of probabilities in the dump."""
+        return max(1, math.ceil(-math.log10(self.prob_precision)))

@@ -1,7 +1,7 @@
 """Estimators on one cluster, as dense arrays: probs (reads x paths), noise (reads), counts (reads).
 
-They run inside grouped-map functions, a cluster at a time; ``em_frames`` is the form for clusters that are
-too large for one worker.
+They run inside functions over batches, a cluster at a time; ``em_converged`` is expectation-maximisation for clusters
+that are too large for one worker, ``em_frames`` a fixed number of its rounds.
 """
 
 from __future__ import annotations
@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 
 from pathquant import config as C
 from pathquant.functions.mathfn import permutations
+from pathquant.plans.store import stored
+
+
+#: Combinations of other than two paths that are listed in one cluster; more take the sampler.
+MAX_GROUPS = 5_000_000
 
 
 def with_noise(probs: np.ndarray, noise: np.ndarray) -> np.ndarray:
@@ -25,12 +30,15 @@ def with_noise(probs: np.ndarray, noise: np.ndarray) -> np.ndarray:
 
 
 def collapse_reads(matrix: np.ndarray, counts: np.ndarray, precision: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that are equal to the precision become one. Rows are compared by a 64-bit hash of their rounded cells."""
+    """Rows that are equal to the precision become one. They are found by a hash of their rounded cells, then compared."""
     if not len(matrix):
         return matrix, counts
     cells = np.round(matrix / precision).astype(np.int64).view(np.uint64)
     odd = np.random.default_rng(matrix.shape[1]).integers(1 << 62, size=matrix.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     _, first, which = np.unique((cells * odd).sum(axis=1, dtype=np.uint64), return_index=True, return_inverse=True)
+    which = which.ravel()
+    if len(first) < len(cells) and any((cells[low : low + 4096] != cells[first[which[low : low + 4096]]]).any() for low in range(0, len(cells), 4096)):
+        _, first, which = np.unique(cells, axis=0, return_index=True, return_inverse=True)
     return matrix[first], np.bincount(which.ravel(), weights=counts)
 
 
@@ -115,6 +123,37 @@ def em_frames(probs: DataFrame, rounds: int, store=None) -> DataFrame:
     return share
 
 
+def em_converged(probs: DataFrame, max_its: int, tolerance: float) -> DataFrame:
+    """EM for any size of cluster until its shares are calm: (cluster_id, path_id, share); path_id null is noise.
+
+    A cluster that is calm for EM_CONVERGED_ROUNDS rounds keeps its shares and takes part in no further round. Every
+    round is written, so it costs a job; use it where a cluster's array does not fit in a worker.
+    """
+    keys = ["cluster_id", "read_class_id", "read_count"]
+    noise = probs.select(*keys, F.lit(-1).cast("long").alias("path_id"), F.col("noise_prob").alias("prob")).distinct()
+    cells = probs.where("path_id IS NOT NULL").select(*keys, F.col("path_id").cast("long").alias("path_id"), "prob").unionByName(noise).where("prob > 0")
+    cells = stored(cells, "em-cells")
+    totals = stored(probs.select(*keys).distinct().groupBy("cluster_id").agg(F.sum("read_count").alias("total")), "em-totals")
+    every = probs.where("path_id IS NOT NULL").select("cluster_id", F.col("path_id").cast("long").alias("path_id")).unionByName(noise.select("cluster_id", "path_id")).distinct()
+    share = stored(every.withColumn("share", 1 / F.count("*").over(Window.partitionBy("cluster_id"))).withColumn("calm", F.lit(0)), "em-share")
+    done = None
+    for _ in range(max_its):
+        joint = cells.join(share, ["cluster_id", "path_id"]).select(*keys, "path_id", (F.col("prob") * F.col("share")).alias("joint"))
+        read = F.sum("joint").over(Window.partitionBy("cluster_id", "read_class_id"))
+        mass = joint.withColumn("mass", F.col("read_count") * F.coalesce(F.col("joint") / F.nullif(read, F.lit(0.0)), F.lit(0.0))).groupBy("cluster_id", "path_id").agg(F.sum("mass").alias("mass"))
+        now = share.join(mass, ["cluster_id", "path_id"], "left").join(totals, "cluster_id").withColumn("now", F.coalesce("mass", F.lit(0.0)) / F.col("total"))
+        moved = (F.abs(F.col("now") - F.col("share")) > tolerance * F.col("now")) & (F.col("now") >= C.EM_MIN_ABUNDANCE)
+        calm = F.when(F.max(moved).over(Window.partitionBy("cluster_id")), 0).otherwise(F.col("calm") + 1)
+        share = stored(now.withColumn("calm", calm).select("cluster_id", "path_id", F.col("now").alias("share"), "calm"), "em-share")
+        still = share.where(F.col("calm") >= C.EM_CONVERGED_ROUNDS)
+        done = still if done is None else done.unionByName(still)
+        share = share.where(F.col("calm") < C.EM_CONVERGED_ROUNDS)
+        if share.isEmpty():
+            break
+    out = share if done is None else done.unionByName(share)
+    return out.select("cluster_id", F.when(F.col("path_id") >= 0, F.col("path_id")).alias("path_id"), "share")
+
+
 def gibbs_counts(matrix: np.ndarray, counts: np.ndarray, start: np.ndarray, rng: np.random.Generator, samples: int, thin: int) -> tuple[np.ndarray, np.ndarray]:
     """Samples of read counts (samples x paths) and of noise, from the posterior of the shares. start: shares with noise last."""
     whole = counts.astype(np.int64)
@@ -164,6 +203,8 @@ def group_posteriors(probs: np.ndarray, noise: np.ndarray, counts: np.ndarray, s
         groups = sorted(best)
         values = np.array([best[g] for g in groups])
     else:
+        if math.comb(probs.shape[1] + size - 1, size) > MAX_GROUPS:
+            raise ValueError(f"{probs.shape[1]} paths have more than {MAX_GROUPS} combinations of {size}; use use_hap_gibbs")
         groups = list(combinations_with_replacement(range(probs.shape[1]), size))
         with np.errstate(divide="ignore"):
             values = np.array([counts @ np.log(noise + probs[:, list(g)].sum(axis=1) / size) + freq[list(g)].sum() + math.log(permutations(g, exact)) for g in groups])

@@ -2,7 +2,7 @@
 
 Result rows: cluster_id, kind, path_ids, posterior, counts, noise_count, total_count, sample, where kind is
 ``group`` (a path combination, or a single path, with posterior and expected counts), ``cluster`` (noise and
-total) or ``sample`` (one draw of counts).
+total) or ``sample`` (one draw of counts and of noise, with the total).
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathquant.config import HAPLOTYPE_CUT, EngineConfig
+from pathquant.config import EM_MIN_ABUNDANCE, HAPLOTYPE_CUT, EngineConfig
 from pathquant.operators import estimators as E
+from pathquant.operators.probs import add_noise_and_normalise
+from pathquant.plans.store import stored
 
 RESULT = "cluster_id long, kind string, path_ids array<long>, posterior double, counts array<double>, noise_count double, total_count double, sample int"
 
@@ -45,8 +47,8 @@ def _estimate(cluster: int, reads: dict, members: dict, s: EngineConfig) -> list
     def group(paths, posterior, found):
         out.append((cluster, "group", [ids[p] for p in paths], float(posterior), [float(x) for x in found], None, None, None))
 
-    def sample(n, paths, found):
-        out.append((cluster, "sample", [ids[p] for p in paths], None, [float(x) for x in found], None, None, n))
+    def sample(n, paths, found, noise):
+        out.append((cluster, "sample", [ids[p] for p in paths], None, [float(x) for x in found], float(noise), total, n))
 
     if s.model == "haplotypes":
         matrix, merged = E.collapse_reads(E.with_noise(probs, noise), counts, s.prob_precision)
@@ -63,10 +65,10 @@ def _estimate(cluster: int, reads: dict, members: dict, s: EngineConfig) -> list
         for paths, (p, own) in sorted(found["groups"].items()):
             group(paths, p, own)
         lost, n = found["noise"], 0
-        for paths, drawn, _ in found["samples"]:
-            for row in drawn:
+        for paths, drawn, gone in found["samples"]:
+            for row, x in zip(drawn, gone):
                 n += 1
-                sample(n, paths, row)
+                sample(n, paths, row, x)
     else:
         if s.model == "strains":
             abundance, lost, matrix, chosen = E.strains(probs, noise, counts, s.max_em_its, s.max_rel_em_conv, s.prob_precision)
@@ -80,33 +82,77 @@ def _estimate(cluster: int, reads: dict, members: dict, s: EngineConfig) -> list
         for p, x in enumerate(abundance):
             group([p], 1.0, [x])
         if s.num_gibbs_samples and chosen:
-            drawn, _ = E.gibbs_counts(matrix, merged, np.append(abundance[chosen], lost), rng, s.num_gibbs_samples, s.gibbs_thin_its)
-            for n, row in enumerate(drawn):
-                sample(n + 1, chosen, row)
+            drawn, gone = E.gibbs_counts(matrix, merged, np.append(abundance[chosen], lost), rng, s.num_gibbs_samples, s.gibbs_thin_its)
+            for n, (row, x) in enumerate(zip(drawn, gone)):
+                sample(n + 1, chosen, row, x)
     return [*out, (cluster, "cluster", None, None, None, lost, total, None)]
 
 
 def _clusters(batches):
-    """Clusters of rows that come sorted by cluster and kind, as dictionaries of column slices."""
-    held = None
+    """Clusters of rows that come sorted by cluster and kind, as tables and the bounds of the clusters in them."""
+    held: list[pa.RecordBatch] = []  # of the cluster that is still open; put together once
     for batch in batches:
-        table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
-        ids = table.column("cluster_id").to_numpy()
-        cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-        bounds = [0, *cuts.tolist()]
-        if len(bounds) > 1:
-            yield table.slice(0, bounds[-1]), bounds
-        held = table.slice(bounds[-1]) if len(ids) else None
-    if held is not None and len(held):
-        yield held, [0, len(held)]
+        if not batch.num_rows:
+            continue
+        ids = batch.column("cluster_id").to_numpy()
+        cuts = (np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist()
+        if held and held[0].column("cluster_id")[0].as_py() == ids[0]:
+            first = cuts[0] if cuts else len(ids)
+            held.append(batch.slice(0, first))
+            if not cuts:
+                continue
+            batch, cuts = batch.slice(first), [c - first for c in cuts[1:]]
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield table, [0, len(table)]
+        if cuts:
+            yield pa.Table.from_batches([batch.slice(0, cuts[-1])]), [0, *cuts]
+        held = [batch.slice(cuts[-1] if cuts else 0)]
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, [0, len(table)]
+
+
+#: Cells (read classes by paths) of a cluster that one worker holds as a dense array, in the model that has a form for larger ones.
+DENSE_CELLS = 50_000_000
+
+
+def _large_em(probs: DataFrame, members: DataFrame, settings: EngineConfig) -> DataFrame:
+    """Result rows of clusters of any size in the transcripts model, by expectation-maximisation as joins."""
+    probs = probs.withColumn("read_count", F.col("read_count").cast("double"))
+    shares = E.em_converged(add_noise_and_normalise(probs), settings.max_em_its, settings.max_rel_em_conv)
+    totals = probs.select("cluster_id", "read_class_id", "read_count").distinct().groupBy("cluster_id").agg(F.sum("read_count").alias("total"))
+    found = stored(shares.join(totals, "cluster_id").withColumn("tiny", F.col("path_id").isNotNull() & (F.col("share") < EM_MIN_ABUNDANCE)), "em-found")
+    own = members.select("cluster_id", F.col("path_id").cast("long").alias("path_id")).join(found.where("NOT tiny"), ["cluster_id", "path_id"], "left")
+    no = {t: F.lit(None).cast(t) for t in ("double", "int")}
+    groups = own.select("cluster_id", F.lit("group").alias("kind"), F.array("path_id").alias("path_ids"), F.lit(1.0).alias("posterior"), F.array(F.coalesce(F.col("share") * F.col("total"), F.lit(0.0))).alias("counts"), no["double"].alias("noise_count"), no["double"].alias("total_count"), no["int"].alias("sample"))
+    lost = found.groupBy("cluster_id").agg(F.sum(F.when(F.col("tiny") | F.col("path_id").isNull(), F.col("share")).otherwise(0.0)).alias("lost"), F.first("total").alias("total"))
+    return groups.unionByName(lost.select("cluster_id", F.lit("cluster").alias("kind"), F.lit(None).cast("array<long>").alias("path_ids"), no["double"].alias("posterior"), F.lit(None).cast("array<double>").alias("counts"), (F.col("lost") * F.col("total")).alias("noise_count"), F.col("total").alias("total_count"), no["int"].alias("sample")))
+
+
+def large_clusters(probs: DataFrame, members: DataFrame, cells: int) -> DataFrame:
+    """(cluster_id) of the clusters whose dense array has more than the given cells."""
+    reads = probs.select("cluster_id", "read_class_id").distinct().groupBy("cluster_id").agg(F.count("*").alias("reads"))
+    return reads.join(members.groupBy("cluster_id").agg(F.count("*").alias("paths")), "cluster_id").where(F.col("reads") * F.col("paths") > cells).select("cluster_id")
 
 
 def infer(probs: DataFrame, members: DataFrame, settings: EngineConfig) -> DataFrame:
     """probs: long-form read path probabilities; members: cluster_id, path_id, source_count, group_id, source_ids.
 
     Clusters are hashed to partitions and streamed one after another, many to a task. A cluster must fit in a
-    worker as a dense array of read classes by paths; ``estimators.em_frames`` has no such limit.
+    worker as a dense array of read classes by paths, but for the transcripts model without samples: there clusters of
+    more than DENSE_CELLS cells are estimated by joins.
     """
+    if settings.model == "transcripts" and not settings.num_gibbs_samples:
+        large = stored(large_clusters(probs, members, DENSE_CELLS), "large-clusters")
+        if not large.isEmpty():
+            own = _large_em(probs.join(large, "cluster_id", "left_semi"), members.join(large, "cluster_id", "left_semi"), settings)
+            rest = large.select("cluster_id")
+            return _infer_dense(probs.join(rest, "cluster_id", "left_anti"), members.join(rest, "cluster_id", "left_anti"), settings).unionByName(own)
+    return _infer_dense(probs, members, settings)
+
+
+def _infer_dense(probs: DataFrame, members: DataFrame, settings: EngineConfig) -> DataFrame:
     no = {t: F.lit(None).cast(t) for t in ("long", "double", "array<long>")}
     own = members.select("cluster_id", F.lit(0).alias("kind"), F.col("path_id").cast("long").alias("path_id"), no["long"].alias("read_class_id"), no["double"].alias("read_count"), no["double"].alias("noise_prob"), no["double"].alias("prob"), F.col("source_count").cast("long").alias("source_count"), F.col("group_id").cast("long").alias("group_id"), F.col("source_ids").cast("array<long>").alias("source_ids"))
     reads = probs.select("cluster_id", F.lit(1).alias("kind"), F.col("path_id").cast("long").alias("path_id"), F.col("read_class_id").cast("long").alias("read_class_id"), F.col("read_count").cast("double").alias("read_count"), "noise_prob", "prob", no["long"].alias("source_count"), no["long"].alias("group_id"), no["array<long>"].alias("source_ids"))
@@ -158,3 +204,11 @@ def unknown_count(result: DataFrame, unaligned: float = 0.0) -> float:
     """Noise of all clusters and unaligned reads."""
     row = result.where("kind = 'cluster'").agg(F.sum("noise_count").alias("n")).first()
     return (row["n"] or 0.0) + unaligned
+
+
+def unknown_samples(result: DataFrame, samples: int, unaligned: float = 0.0) -> list[float]:
+    """Noise of each sample over all clusters, and unaligned reads. A cluster without a sample of a number counts whole."""
+    total = result.where("kind = 'cluster'").agg(F.sum("total_count").alias("t")).first()["t"] or 0.0
+    drawn = result.where("kind = 'sample'").groupBy("sample").agg(F.sum(F.col("noise_count") - F.col("total_count")).alias("d")).collect()  # a row per sample
+    less = {r["sample"]: r["d"] for r in drawn}
+    return [total + less.get(k, 0.0) + unaligned for k in range(1, samples + 1)]

@@ -1,7 +1,8 @@
 """Matching reads to paths as joins.
 
 1. ``walks`` turns an alignment (a path, or a graph of subpaths) into linear walks over oriented nodes, in both
-   orientations. Only this step is Python: subpath graphs have no fixed depth.
+   orientations. Paths are handled by array operations on whole batches. A graph with many walks is grown along the
+   paths that visit its nodes (``surviving_chains``), so walks that no path holds are never listed.
 2. ``runs`` joins the nodes of walks with path steps. Walk index minus path ordinal is constant along a match,
    so consecutive indexes of one diagonal form maximal runs (gaps and islands).
 3. ``accepted`` keeps the runs that miss few bases at the ends, and charges those bases.
@@ -15,6 +16,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,24 +28,53 @@ WALKS = (
     "read_id long, mate int, strand string, walk long, nodes array<long>, read_pos array<int>, matched array<int>, length int, score int, optimal int, "
     "left_clip int, right_clip int, matched_left int, matched_right int, start_off int, end_off int, mapq int, multimap boolean"
 )
+#: Walks of one graph that are listed without asking the paths.
+DIRECT = 64
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+
+
+def _schema(columns: str) -> pa.Schema:
+    return pa.schema([(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
+def _following(part) -> list[int]:
+    return [int(n) for n in part["next"]] if part["next"] is not None else []
+
+
+def _is_end(part) -> bool:
+    return not _following(part) and not (part["connection"] is not None and len(part["connection"]))
+
+
+def walk_count(row) -> int:
+    """Number of linear walks of a subpath graph, at most DIRECT + 1."""
+    parts, known = row["subpath"], {}
+    for start in reversed(range(len(parts))):  # subpaths mostly point forward; others are settled by the stack
+        stack = [start]
+        while stack:
+            at = stack[-1]
+            open_ = [n for n in _following(parts[at]) if n not in known]
+            if at in known or not open_:
+                stack.pop()
+                if at not in known:
+                    known[at] = min(DIRECT + 1, _is_end(parts[at]) + sum(known[n] for n in _following(parts[at])))
+            else:
+                stack += open_
+    return min(DIRECT + 1, sum(known[int(s)] for s in row["start"])) if row["start"] is not None else 0
 
 
 def _mapping_lists(row) -> list[tuple[list, int]]:
-    """(mappings, score) of every linear walk of an alignment."""
-    if row.get("subpath") is None:
-        path = row.get("path")
-        return [(list(path["mapping"]), int(row.get("score") or 0))] if path is not None and path["mapping"] is not None and len(path["mapping"]) else []
+    """(mappings, score) of the linear walks of a subpath graph: of all, or of its ``chains`` of subpaths."""
     subpaths, out = row["subpath"], []
+    if row.get("chains") is not None:
+        return [([m for i in chain for m in subpaths[i]["path"]["mapping"]], sum(int(subpaths[i]["score"] or 0) for i in chain)) for chain in row["chains"]]
     starts = row.get("start")
     stack = [(int(s), (), 0) for s in (starts if starts is not None else [])]
     while stack:
         at, chain, score = stack.pop()
         part = subpaths[at]
         chain, score = (*chain, at), score + int(part["score"] or 0)
-        following = list(part["next"]) if part["next"] is not None else []
-        stack += [(int(n), chain, score) for n in following]
-        linked = part["connection"] is not None and len(part["connection"]) > 0
-        if not following and not linked:
+        stack += [(n, chain, score) for n in _following(part)]
+        if _is_end(part):
             out.append(([m for i in chain for m in subpaths[i]["path"]["mapping"]], score))
     return out
 
@@ -73,16 +104,209 @@ def _walk(mappings: list):
     return visits, clip(mappings[0], 0), clip(mappings[-1], -1), broken
 
 
-def walks(alignments: DataFrame, config: EngineConfig) -> DataFrame:
+def _clip(edits, take) -> int:
+    return 0 if edits is None or not len(edits) or int(edits[take]["from_length"] or 0) else int(edits[take]["to_length"] or 0)
+
+
+GRAPHS = "read_id long, mate int, start array<int>, ends array<int>, links array<int>, link_bounds array<int>, nodes array<long>, node_bounds array<int>, bases array<int>, length int, left int, right int"
+
+
+def _graphs(batches):
+    """Subpath graphs of more than DIRECT walks, flat: links and oriented nodes of all subpaths with their bounds, read bases of each node."""
+    schema = _schema(GRAPHS)
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if not row["subpath"] or walk_count(row) <= DIRECT:
+                continue
+            links, bounds, nodes, node_bounds, bases, left, right = [], [0], [], [0], [], 0, 0
+            for part in row["subpath"]:
+                links += _following(part)
+                bounds.append(len(links))
+                mappings = part["path"]["mapping"]
+                for m in mappings:
+                    nodes.append(int(m["position"]["node_id"] or 0) * 2 + int(bool(m["position"]["is_reverse"])))
+                    bases.append(sum(int(e["to_length"] or 0) for e in m["edit"] or ()))
+                node_bounds.append(len(nodes))
+                if len(mappings):
+                    left, right = max(left, _clip(mappings[0]["edit"], 0)), max(right, _clip(mappings[-1]["edit"], -1))
+            ends = [i for i, part in enumerate(row["subpath"]) if _is_end(part)]
+            out.append((row["read_id"], row["mate"], [int(s) for s in row["start"]], ends, links, bounds, nodes, node_bounds, bases, len(row["sequence"] or ""), left, right))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+
+def _grown(row: dict, max_partial: int) -> list[list[int]]:
+    """Chains of subpaths that may hold a run on the path of the row's hits. A chain is dropped as soon as none can.
+
+    A run may begin only while the bases before it are few, and the bases after it must be few. Clips and steps
+    inside one node are not told apart here, which only keeps some chains too many.
+    """
+    at: dict[int, set[int]] = {}
+    for hit in row["hits"]:
+        at.setdefault(hit["node"], set()).add(hit["ordinal"])
+    none: set[int] = set()
+    ends = set(row["ends"])
+    out = []
+    # subpath, chain before it, last node, ordinals alive along the path and against it, bases so far, bases where the last run ended
+    stack = [(s, (), None, none, none, 0, -1) for s in row["start"]]
+    while stack:
+        part, chain, last, plus, minus, used, ended = stack.pop()
+        chain, dead = (*chain, part), False
+        for i in range(row["node_bounds"][part], row["node_bounds"][part + 1]):
+            node = row["nodes"][i]
+            here, there = at.get(node, none), at.get(node ^ 1, none)
+            plus, minus = ({o for o in here if o - 1 in plus or node == last and o in plus}, {o for o in there if o + 1 in minus or node == last and o in minus})
+            if used <= row["left"] + max_partial:
+                plus, minus = plus | here, minus | there
+            if not plus and not minus and ended < 0:
+                ended = used
+            if plus or minus:
+                ended = -1
+            used, last = used + row["bases"][i], node
+            # with nothing alive, either a run may still begin or the last one may have ended close to the read's end
+            dead = not plus and not minus and used > row["left"] + max_partial and row["length"] - ended > row["right"] + max_partial
+            if dead:
+                break
+        if dead:
+            continue
+        if part in ends:
+            out.append(list(chain))
+        stack += [(n, chain, last, plus, minus, used, ended) for n in row["links"][row["link_bounds"][part] : row["link_bounds"][part + 1]]]
+    return out
+
+
+def surviving_chains(alignments: DataFrame, steps: DataFrame, config: EngineConfig) -> DataFrame | None:
+    """(read_id, mate, chains) of the reads whose graph has more than DIRECT walks: the chains of subpaths that paths may hold.
+
+    Their nodes are joined with the path steps, and a graph is grown along one path at a time. None if there are no such reads.
+    """
+    graphs = stored(alignments.select("read_id", "mate", "sequence", "start", "subpath").mapInArrow(_graphs, GRAPHS), "graphs")
+    if graphs.isEmpty():
+        return None
+    visited = graphs.select("read_id", "mate", F.explode("nodes").alias("node")).select("read_id", "mate", F.explode(F.array("node", F.col("node").bitwiseXOR(F.lit(1)))).alias("node")).distinct()
+    hits = visited.join(steps.select("path_id", F.col("ordinal").cast("int").alias("ordinal"), F.col("node").cast("long").alias("node")), "node")
+    hits = hits.groupBy("read_id", "mate", "path_id").agg(F.collect_list(F.struct("node", "ordinal")).alias("hits"))
+    limit = config.max_partial_offset
+
+    def run(batches):
+        schema = _schema("read_id long, mate int, chain array<int>")
+        for batch in batches:
+            out = [(row["read_id"], row["mate"], chain) for row in batch.to_pylist() for chain in _grown(row, limit)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    chains = hits.join(graphs, ["read_id", "mate"]).mapInArrow(run, "read_id long, mate int, chain array<int>").distinct()
+    found = graphs.select("read_id", "mate").distinct().join(chains.groupBy("read_id", "mate").agg(F.collect_list("chain").alias("chains")), ["read_id", "mate"], "left")
+    return stored(found.withColumn("chains", F.coalesce("chains", F.array().cast("array<array<int>>"))), "chains")
+
+
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the slices between bounds."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def _list(column) -> tuple[pa.Array, np.ndarray]:
+    """Values of a list array and the bounds of its lists; a null list is empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten(), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _int(column) -> np.ndarray:
+    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _path_walks(batch: pa.RecordBatch, scores: np.ndarray, use_quality: bool, allelic: bool):
+    """Walks of single-path alignments, as batches by strand: mappings that go on inside one node are one visit."""
+    mapping = pc.struct_field(batch.column("path"), "mapping")
+    batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(mapping), 0), 0))
+    n = batch.num_rows
+    if not n:
+        return
+    mappings, bounds = _list(pc.struct_field(batch.column("path"), "mapping"))
+    position = pc.struct_field(mappings, "position")
+    node = _int(pc.struct_field(position, "node_id")) * 2 + pc.fill_null(pc.struct_field(position, "is_reverse"), False).to_numpy(zero_copy_only=False)
+    offset = _int(pc.struct_field(position, "offset"))
+    edits, edit_bounds = _list(pc.struct_field(mappings, "edit"))
+    taken, given = _int(pc.struct_field(edits, "from_length")), _int(pc.struct_field(edits, "to_length"))
+    used, bases = _sums(taken, edit_bounds), _sums(given, edit_bounds)
+
+    def clip(mapping_at, last: bool):
+        edit_at = edit_bounds[mapping_at + 1] - 1 if last else edit_bounds[mapping_at]
+        has = edit_bounds[mapping_at + 1] > edit_bounds[mapping_at]
+        edit_at = np.where(has, edit_at, 0)
+        return np.where(has & (taken[edit_at] == 0), given[edit_at], 0) if len(taken) else np.zeros(n, np.int64)
+
+    left, right = clip(bounds[:-1], False), clip(bounds[1:] - 1, True)
+    first = np.zeros(len(node), dtype=bool)
+    first[bounds[:-1]] = True
+    goes_on = np.zeros(len(node), dtype=bool)
+    goes_on[1:] = ~first[1:] & (node[1:] == node[:-1]) & (offset[1:] == offset[:-1] + used[:-1])
+    visit = np.flatnonzero(~goes_on)
+    visit_bounds = np.searchsorted(visit, bounds)
+    ends = np.append(visit[1:], len(node)) - 1
+    nodes, begin, reached, size = node[visit], offset[visit], (offset + used)[ends], _sums(bases, np.append(visit, len(node)))
+    # a visit that comes back to its own node at an offset inside it is on no path
+    back = np.zeros(len(visit), dtype=np.int64)
+    back[1:] = ~first[visit][1:] & (nodes[1:] == nodes[:-1]) & (begin[1:] != 0)
+    whole = _sums(back, visit_bounds) == 0
+
+    length = pc.utf8_length(pc.fill_null(batch.column("sequence"), "")).to_numpy(zero_copy_only=False).astype(np.int64)
+    gain, gain_bounds = np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
+    optimal, rated = length + 2 * FULL_LENGTH_BONUS, np.zeros(n, dtype=bool)
+    if use_quality:
+        quality = batch.column("quality")
+        data = [q[:size] if q else b"" for q, size in zip(quality.to_pylist(), length.tolist())]
+        gain = scores[np.frombuffer(b"".join(data), dtype=np.uint8)]
+        gain_bounds = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+        rated = np.diff(gain_bounds) > 0
+        bonus = np.array(scoring.BONUSES)
+        ends_of = [(q[0], q[-1]) if q else (0, 0) for q in quality.to_pylist()]
+        optimal = np.where(rated, _sums(gain, gain_bounds) + bonus[[a for a, _ in ends_of]] + bonus[[b for _, b in ends_of]], optimal)
+    total = np.concatenate([[0], np.cumsum(gain)])
+
+    def ahead(read, place):
+        """What matches at the first bases of a read count: by quality, or 1 each."""
+        place = np.minimum(place, length[read])
+        return np.where(rated[read], total[gain_bounds[read] + np.minimum(place, np.diff(gain_bounds)[read])] - total[gain_bounds[read]], place)
+
+    def behind(read, place):
+        place = np.minimum(place, length[read])
+        return ahead(read, length[read]) - ahead(read, length[read] - place)
+
+    reads = np.arange(n)
+    owner = np.repeat(reads, np.diff(visit_bounds))
+    before = np.concatenate([[0], np.cumsum(size)])
+    forward = before[:-1] - before[visit_bounds[owner]]
+    turned = before[visit_bounds[owner + 1]] - before[1:]
+    mirror = visit_bounds[owner] + visit_bounds[owner + 1] - 1 - np.arange(len(owner))
+    mapq = _int(batch.column("mapping_quality"))
+    if allelic:
+        other = pc.map_lookup(batch.column("annotation"), "allelic_mapq", "first").to_pylist()
+        mapq = np.array([q if x is None else min(q, int(float(x))) for q, x in zip(mapq.tolist(), other)], dtype=np.int64)
+    score = _int(batch.column("score")) if "score" in batch.schema.names else np.zeros(n, np.int64)
+    lists = pa.array(visit_bounds.astype(np.int32))
+    head, tail = begin[visit_bounds[:-1]], reached[visit_bounds[1:] - 1]
+    for strand, own, places, counted, lc, rc, start, end in (("+", nodes, forward, ahead, left, right, head, tail), ("-", (nodes ^ 1)[mirror], turned[mirror], behind, right, left, tail, head)):
+        columns = [
+            batch.column("read_id"), batch.column("mate"), pa.array([strand] * n), pa.array(np.zeros(n, np.int64)), pa.ListArray.from_arrays(lists, pa.array(own)), pa.ListArray.from_arrays(lists, pa.array(places.astype(np.int32))),
+            pa.ListArray.from_arrays(lists, pa.array(counted(owner, places).astype(np.int32))), length, score, optimal, lc, rc, counted(reads, lc), counted(reads, np.maximum(0, length - rc)), start, end, mapq, pa.array(np.zeros(n, dtype=bool)),
+        ]
+        arrays = [c if isinstance(c, pa.Array) else pa.array(c.astype(np.int32)) for c in columns]
+        schema = _schema(WALKS)
+        yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema)], schema=schema).filter(pa.array(whole))
+
+
+def walks(alignments: DataFrame, config: EngineConfig, steps: DataFrame | None = None) -> DataFrame:
     """Linear walks of reads that have a path, as read ('+') and reverse-complemented ('-').
 
-    A multipath read whose walks visit equal nodes keeps the best-scoring one.
+    A multipath read whose walks visit equal nodes keeps the best-scoring one. With steps, graphs of many walks give only
+    those that a path may hold.
     """
     scores = np.array(scoring.MATCH_SCORES)
     use_quality, allelic = not config.score_not_qual, config.use_allelic_mapq
-
-    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
-    schema = pa.schema([(name, types[kind]) for name, kind in (c.split() for c in WALKS.split(", "))])
+    schema, every = _schema(WALKS), steps is None
 
     def of_read(row):
         length = len(row["sequence"] or "")
@@ -104,7 +328,7 @@ def walks(alignments: DataFrame, config: EngineConfig) -> DataFrame:
             key = (tuple(v[0] for v in visits), visits[0][1], visits[-1][2], left, right)
             if not broken and (key not in best or best[key][0] < score):
                 best[key] = (score, visits)
-        multimap = "disconnected" in annotation and row.get("subpath") is not None
+        multimap = "disconnected" in annotation
         for n, ((_, first, last, left, right), (score, visits)) in enumerate(sorted(best.items())):
             for strand, base, order, lc, rc, start, end in (("+", ahead, visits, left, right, first, last), ("-", back, visits[::-1], right, left, last, first)):
                 flip = strand == "-"
@@ -113,18 +337,42 @@ def walks(alignments: DataFrame, config: EngineConfig) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = [w for row in batch.to_pylist() for w in of_read(row)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            names = batch.schema.names
+            if "subpath" in names:
+                graphs = pc.is_valid(batch.column("subpath"))
+                given = "chains" in names
+                rows = batch.filter(graphs).to_pylist()
+                out = [w for row in rows if given or every or walk_count(row) <= DIRECT for w in of_read(row)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                batch = batch.filter(pc.invert(graphs))
+            if "path" in names and batch.num_rows:
+                yield from _path_walks(batch, scores, use_quality, allelic)
 
     wanted = ["read_id", "mate", "sequence", "quality", "mapping_quality", "annotation", "score", "path", "start", "subpath"]
-    return alignments.select(*[c for c in wanted if c in alignments.columns]).mapInArrow(run, WALKS)
+    own = alignments.select(*[c for c in wanted if c in alignments.columns])
+    found = own.mapInArrow(run, WALKS)
+    chains = surviving_chains(own.where("subpath IS NOT NULL"), steps, config) if steps is not None and "subpath" in own.columns else None
+    return found if chains is None else found.unionByName(own.join(chains, ["read_id", "mate"]).mapInArrow(run, WALKS))
+
 
+def start_nodes(alignments: DataFrame) -> DataFrame:
+    """(read_id, mate, node_id) of the nodes at which alignments start: of a path its first, of a graph the first of each start."""
+    columns = []
+    if "path" in alignments.columns:
+        columns.append(F.slice(F.col("path.mapping.position.node_id"), 1, 1))
+    if "subpath" in alignments.columns:
+        columns.append(F.transform("start", lambda s: F.get(F.get("subpath", s)["path"]["mapping"], F.lit(0))["position"]["node_id"]))
+    ids = F.concat(*[F.coalesce(c.cast("array<long>"), F.array().cast("array<long>")) for c in columns])
+    return alignments.select("read_id", "mate", F.explode(ids).alias("node_id"))
 
-def start_in_graph(walked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Leaves out reads one of whose walks starts at a node that the graph lacks."""
-    missing = walked.select("read_id", "mate", F.shiftright(F.get("nodes", F.lit(0)), 1).alias("node_id")).join(nodes.select("node_id"), "node_id", "left_anti")
-    return walked.join(missing.select("read_id", "mate").distinct(), ["read_id", "mate"], "left_anti")
+
+def start_in_graph(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Leaves out alignments that start at a node that the graph lacks."""
+    starts = start_nodes(alignments)
+    missing = stored(starts.select("node_id").distinct().join(nodes.select("node_id"), "node_id", "left_anti"), "missing-nodes")
+    lost = stored(starts.join(missing, "node_id").select("read_id", "mate").distinct(), "lost-starts")
+    return alignments.join(lost, ["read_id", "mate"], "left_anti")
 
 
 def runs(walked: DataFrame, steps: DataFrame) -> DataFrame:
@@ -153,12 +401,13 @@ def accepted(found: DataFrame, walked: DataFrame, max_partial: int) -> DataFrame
     r = r.withColumn("drop_right", F.when(e == last, 0).otherwise(F.greatest(F.lit(0), F.col("length") - F.col("right_clip") - F.get("read_pos", e + 1))))
     r = r.withColumn("pen_left", F.when(s == 0, 0).otherwise(F.get("matched", s) - F.col("matched_left")))
     r = r.withColumn("pen_right", F.when(e == last, 0).otherwise(F.col("matched_right") - F.get("matched", e + 1)))
-    r = stored(r, "runs")  # read twice below
-    starts = r.where(F.col("drop_left") <= max_partial).select(*key, s.alias("first"), e.alias("final"))
-    ends = starts.select(*key, F.col("final").alias("at")).distinct()
-    alive = ends.join(starts, key).where("first <= at AND at <= final").groupBy(*key, "at").agg(F.min("first").alias("main"))
-    r = r.withColumn("at", e).join(alive, [*key, "at"], "left")
-    r = r.where((F.col("drop_left") <= max_partial) & (F.col("drop_right") <= max_partial) & ((e == last) | (s == F.col("main"))))
+    r = stored(r.where((F.col("drop_left") <= max_partial) & ((F.col("drop_right") <= max_partial) | (e < last))), "runs")  # read several times below
+    fits = F.col("drop_right") <= max_partial
+    # few walks lose a suffix: only those ask for the earliest run that is alive at its end
+    cut = stored(r.where(fits & (e < last)).withColumn("at", e), "cut-runs")
+    ends = cut.select(*key, "at").distinct()
+    alive = ends.join(r.select(*key, s.alias("first"), e.alias("final")), key).where("first <= at AND at <= final").groupBy(*key, "at").agg(F.min("first").alias("main"))
+    r = r.where(fits & (e == last)).unionByName(cut.join(alive, [*key, "at"]).where(s == F.col("main")).drop("at", "main"))
     plus = F.col("strand") == "+"
     # offsets of reversed walks are counted from the node's other end
     at_start = F.when(s > 0, F.lit(0)).otherwise(F.when(plus, F.col("start_off")).otherwise(F.col("s.node_length") - F.col("start_off")))
@@ -224,18 +473,25 @@ def paired_matches(matches: DataFrame, library: str, max_fragment: int, bidirect
     return pairs.select(a("read_id").alias("read_id"), a("path_id").alias("path_id"), (a("adjusted") + b("adjusted")).alias("score_sum"), length.alias("align_length"), frag.alias("frag_length"), F.least(a("mapq"), b("mapq")).alias("min_mapq"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)).alias("fraction"), (a("partial") | b("partial")).alias("partial"), (a("multimap") | b("multimap")).alias("multimap")).distinct()
 
 
-def alignment_rows(alignments: DataFrame, steps: DataFrame, config: EngineConfig, max_fragment: int, bidirectional: bool = False) -> DataFrame:
+def alignment_rows(alignments: DataFrame, steps: DataFrame, config: EngineConfig, max_fragment: int, bidirectional: bool = False, nodes: DataFrame | None = None) -> DataFrame:
     """(read_id, path_id, score_sum, align_length, frag_length, min_mapq, is_simple, noise_score) of all matched reads.
 
     noise_score is 0 (all noise) where the best row reaches less than filt_best_score of the optimum, else the
-    lowest integer (no noise from missing paths).
+    lowest integer (no noise from missing paths). With nodes, reads that start outside the graph are left out.
     """
-    walked = stored(walks(alignments, config), "walks")
+    if nodes is not None:
+        alignments = start_in_graph(alignments, nodes)
+    walked = stored(walks(alignments, config, steps), "walks")
     matches = score_filter(accepted(runs(walked, steps), walked, config.max_partial_offset), config.max_score_diff)
     rows = single_matches(matches, config.library, bidirectional) if config.single_end else paired_matches(matches, config.library, max_fragment, bidirectional)
+    return with_read_facts(rows, config.filt_best_score)
+
+
+def with_read_facts(rows: DataFrame, filt_best_score: float) -> DataFrame:
+    """Rows with is_simple (one place, whole, one fragment length) and noise_score of their read, without what these were made of."""
     read = Window.partitionBy("read_id")
     simple = ~F.max("multimap").over(read) & ~F.max("partial").over(read) & (F.min("frag_length").over(read) == F.max("frag_length").over(read))
-    noise = F.when(F.max("fraction").over(read) < config.filt_best_score, 0).otherwise(INT_MIN)
+    noise = F.when(F.max("fraction").over(read) < filt_best_score, 0).otherwise(INT_MIN)
     return rows.select("read_id", "path_id", "score_sum", "align_length", "frag_length", "min_mapq", simple.alias("is_simple"), noise.alias("noise_score"))
 
 
@@ -244,18 +500,23 @@ def unaligned(alignments: DataFrame, rows: DataFrame) -> DataFrame:
     return alignments.select("read_id").distinct().join(rows.select("read_id").distinct(), "read_id", "left_anti").agg(F.count("*").alias("unaligned"))
 
 
+def best_states(rows: DataFrame) -> DataFrame:
+    """Of the rows of a read with equal path and fragment length the longest, then best-scoring."""
+    best = Window.partitionBy("read_id", "path_id", "frag_length").orderBy(F.desc("align_length"), F.desc("score_sum"))
+    return rows.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
+
+
 def read_classes(rows: DataFrame) -> DataFrame:
     """Reads with equal lists of alignment rows as one class: read_class_id, read_count, min_mapq, noise_score, is_simple, rows.
 
     Of rows with equal path and fragment length the longest, then best-scoring, stays. A list that has a
-    single (score, length, fragment) combination is made canonical, as those then cancel out.
+    single (score, length, fragment) combination is made canonical, as those then cancel out. Ids are numbers of this
+    run: write the classes down before they are used twice.
     """
-    best = Window.partitionBy("read_id", "path_id", "frag_length").orderBy(F.desc("align_length"), F.desc("score_sum"))
-    kept = rows.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
-    lists = kept.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("path_id", "score_sum", "align_length", "frag_length"))).alias("rows"), F.first("min_mapq").alias("min_mapq"), F.first("noise_score").alias("noise_score"), F.first("is_simple").alias("is_simple"))
+    lists = best_states(rows).groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("path_id", "score_sum", "align_length", "frag_length"))).alias("rows"), F.first("min_mapq").alias("min_mapq"), F.first("noise_score").alias("noise_score"), F.first("is_simple").alias("is_simple"))
     shapes = F.array_distinct(F.transform("rows", lambda r: F.struct(r["score_sum"].alias("s"), r["align_length"].alias("a"), r["frag_length"].alias("f"))))
     canonical = F.transform("rows", lambda r: F.struct(r["path_id"].alias("path_id"), F.lit(1).alias("score_sum"), F.lit(1).cast("int").alias("align_length"), F.lit(1).cast("long").alias("frag_length")))
     same_types = F.transform("rows", lambda r: F.struct(r["path_id"].alias("path_id"), r["score_sum"].cast("int").alias("score_sum"), r["align_length"].cast("int").alias("align_length"), r["frag_length"].cast("long").alias("frag_length")))
     lists = lists.withColumn("rows", F.when(F.size(shapes) == 1, canonical).otherwise(same_types))
     grouped = lists.groupBy("rows", "min_mapq", "noise_score").agg(F.count("*").alias("read_count"))
-    return grouped.withColumn("read_class_id", F.xxhash64("rows", "min_mapq", "noise_score"))
+    return grouped.withColumn("read_class_id", F.monotonically_increasing_id())

@@ -48,7 +48,7 @@ def run(alignments: DataFrame, nodes: DataFrame, steps: DataFrame, path_names: D
     pre = pre_fragments(alignments, config)
     placed = stored(paths.with_offsets(steps, nodes).withColumn("node", F.col("node_id") * 2 + F.col("is_reverse").cast("int")), "steps")
     usable = readers.has_path(alignments)
-    rows = stored(matching.alignment_rows(usable, placed, config, pre.max_length, bidirectional), "rows")
+    rows = stored(matching.alignment_rows(usable, placed, config, pre.max_length, bidirectional, nodes), "rows")
     lost = matching.unaligned(alignments, rows).first()["unaligned"]
 
     dist = pre
@@ -61,8 +61,8 @@ def run(alignments: DataFrame, nodes: DataFrame, steps: DataFrame, path_names: D
     classes = stored(matching.read_classes(rows), "classes")
     names = readers.with_path_info(path_names, path_info)
     lengths = paths.effective_lengths(paths.path_lengths(steps, nodes), dist, config.long_reads)
-    placed_paths = C.path_clusters(path_names, classes, placed if config.node_clusters else None, bidirectional)
-    members = C.local_index(placed_paths.join(names, "path_id").join(lengths, "path_id"))
+    components = stored(C.path_components(path_names, classes, placed if config.node_clusters else None, bidirectional), "placed")
+    members = C.local_index(C.ranked(components, classes).join(names, "path_id").join(lengths, "path_id"))
     members = stored(members, "members")
 
     joined = C.class_clusters(classes, members).select("cluster_id", "read_class_id", "read_count", "min_mapq", "noise_score", F.explode("rows").alias("r"))
@@ -88,5 +88,7 @@ def run(alignments: DataFrame, nodes: DataFrame, steps: DataFrame, path_names: D
         if config.model == "haplotype-transcripts":
             tables["joint"] = sinks.joint_table(result, members, config.ploidy, config.prob_precision, total, unknown)
         if config.num_gibbs_samples:
-            tables["gibbs"] = sinks.gibbs_table(result, members, config.num_gibbs_samples)
+            tables["gibbs"] = sinks.gibbs_table(result, members, config.num_gibbs_samples, inference.unknown_samples(result, config.num_gibbs_samples, lost))
+    if config.write_probs:
+        tables["probs"] = sinks.probability_lines(found, members, config.prob_digits)
     return Result(tables, result, found, members, dist, lost)

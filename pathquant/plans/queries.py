@@ -189,10 +189,12 @@ def score_diff_filter(spark, sf):
     return matching.score_filter(_matches(spark, sf), 20).select("read_id", "mate", "path_id", "adjusted")
 
 
-@query("SELECT read_id, mate, nodes[1] AS first_node FROM (SELECT l_orderkey AS read_id, 1 AS mate, [min(l_partkey)] AS nodes FROM lineitem GROUP BY 1) WHERE nodes[1] IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+@query("SELECT l_orderkey AS read_id, 1 AS mate, first_node FROM (SELECT l_orderkey, min(l_partkey) AS first_node FROM lineitem GROUP BY 1) WHERE first_node IN (SELECT p_partkey FROM part WHERE p_size > 10)")
 def start_in_graph(spark, sf):
-    walked = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("read_id")).agg(F.array(F.min("l_partkey") * 2).alias("nodes")).withColumn("mate", F.lit(1))
-    return matching.start_in_graph(walked, nodes(spark, sf).where("length > 10")).select("read_id", "mate", F.shiftright(F.get("nodes", F.lit(0)), 1).alias("first_node"))
+    first = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("read_id")).agg(F.min("l_partkey").alias("first_node"))
+    path = F.struct(F.array(*[F.struct(F.struct(F.col("first_node").alias("node_id")).alias("position")) for _ in range(2)]).alias("mapping"))
+    reads = first.select("read_id", F.lit(1).alias("mate"), "first_node", path.alias("path"))
+    return matching.start_in_graph(reads, nodes(spark, sf).where("length > 10")).select("read_id", "mate", "first_node")
 
 
 def _ends(spark, sf):
@@ -510,8 +512,8 @@ def haplotype_transcripts(spark, sf):
 
 @query()
 def gibbs_counts(spark, sf):
-    out = _model(spark, sf, model="transcripts", num_gibbs_samples=3)
-    return sinks.gibbs_table(stored(out, "gibbs"), members(spark, sf), 3)
+    out = stored(_model(spark, sf, model="transcripts", num_gibbs_samples=3), "gibbs")
+    return sinks.gibbs_table(out, members(spark, sf), 3, inference.unknown_samples(out, 3))
 
 
 @query()

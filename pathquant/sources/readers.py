@@ -6,9 +6,12 @@ readers take either form.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathquant.operators.paths import path_names
+from pathquant.plans.store import stored
+
 _POSITION = "position struct<node_id:string,offset:string,is_reverse:boolean>"
 _PATH = f"struct<mapping:array<struct<{_POSITION.replace(' ', ':', 1)},edit:array<struct<from_length:int,to_length:int,sequence:string>>>>>"
 _COMMON = "name string, pair_id long, mate int, sequence string, quality string, mapping_quality int, annotation map<string,string>"
@@ -28,6 +31,12 @@ def read_steps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("path_id").cast("long").alias("path_id"), F.col("ordinal").cast("int").alias("ordinal"), F.col("node_id").cast("long").alias("node_id"), F.col("is_reverse").alias("is_reverse"))
 
 
+def read_paths(spark: SparkSession, path: str) -> DataFrame:
+    """(path_id, name): given, or made of sample, contig, phase and count where the table has those."""
+    rows = spark.read.parquet(path)
+    return rows.select(F.col("path_id").cast("long").alias("path_id"), "name") if "name" in rows.columns else path_names(rows)
+
+
 def _numbers(path: str) -> str:
     """An expression that casts the places of a path's mappings."""
     place = "named_struct('node_id', coalesce(cast(m.position.node_id as bigint), 0L), 'offset', coalesce(cast(m.position.offset as bigint), 0L), 'is_reverse', coalesce(m.position.is_reverse, false))"
@@ -35,10 +44,34 @@ def _numbers(path: str) -> str:
     return f"named_struct('mapping', transform(coalesce({path}.mapping, array()), m -> named_struct('position', {place}, 'edit', {edits})))"
 
 
-def read_alignments(spark: SparkSession, path: str, multipath: bool = True) -> DataFrame:
-    """Reads with ``read_id`` (pair id, one per fragment) and ``mate`` (1 or 2). Files without a pair id are single reads."""
+def _with_read_ids(rows: DataFrame, interleaved: bool) -> DataFrame:
+    """Adds read_id and, where there is none, mate. rows are records as scanned, with file, block and place columns.
+
+    A record without a pair id is called by its number in the input (files by name, lines in their order), so equal
+    records stay apart and reruns agree; ids that are generated lie above those that are given. Interleaved records
+    are pairs line by line. Only the splits' sizes, one row each, are summed up.
+    """
+    rows = stored(rows, "records")
+    blocks = rows.groupBy("_file", "_block").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"), F.max("pair_id").alias("_pair"))
+    order, own = Window.orderBy("_file", "_block"), Window.partitionBy("_file").orderBy("_block")
+    before = Window.unboundedPreceding, -1
+    blocks = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(order.rowsBetween(*before)), F.lit(0)).alias("_start"), F.coalesce(F.sum("_n").over(own.rowsBetween(*before)), F.lit(0)).alias("_line"), (F.coalesce(F.max("_pair").over(Window.partitionBy()), F.lit(-1)) + 1).alias("_base"))
+    rows = rows.join(blocks, ["_file", "_block"])
+    line = F.col("_place") - F.col("_first") + F.col("_line")
+    number = F.col("_start") - F.col("_line") + (F.floor(line / 2) if interleaved else line)
+    mate = (line % 2 + 1).cast("int") if interleaved else F.lit(1)
+    ids = F.coalesce("pair_id", F.col("_base") + number)
+    return rows.withColumn("mate", F.coalesce("mate", mate)).withColumn("read_id", ids).drop("_file", "_block", "_place", "_first", "_start", "_line", "_base")
+
+
+def read_alignments(spark: SparkSession, path: str, multipath: bool = True, interleaved: bool = False) -> DataFrame:
+    """Reads with ``read_id`` (one per fragment) and ``mate`` (1 or 2).
+
+    Records carry a pair id and a mate, or are pairs in consecutive lines (interleaved), or are single reads.
+    """
     rows = spark.read.schema(MULTIPATH if multipath else ALIGNMENT).json(path)
-    rows = rows.withColumn("read_id", F.coalesce("pair_id", F.xxhash64("name", "sequence"))).withColumn("mate", F.coalesce("mate", F.lit(1)))
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
+    rows = _with_read_ids(rows, interleaved)
     rows = rows.withColumn("quality", F.unbase64("quality")).withColumn("mapping_quality", F.coalesce("mapping_quality", F.lit(0)))
     if multipath:
         parts = f"transform(subpath, s -> named_struct('path', {_numbers('s.path')}, 'score', coalesce(s.score, 0), 'next', s.next, 'connection', s.connection))"

@@ -54,12 +54,13 @@ def _named(groups: DataFrame, members: DataFrame) -> DataFrame:
     return out.withColumn("names", F.transform("l", lambda x: x["name"])).withColumn("lengths", F.transform("l", lambda x: x["effective_length"])).drop("_g", "l")
 
 
-def gibbs_table(result: DataFrame, members: DataFrame, samples: int, unknown: DataFrame | None = None) -> DataFrame:
-    """Name, ClusterID, ReadCountSample_1 ... n: 0 where a sample's subset lacks the path."""
+def gibbs_table(result: DataFrame, members: DataFrame, samples: int, unknown: list[float]) -> DataFrame:
+    """Name, ClusterID, ReadCountSample_1 ... n of sampled paths: 0 where a sample's subset lacks the path. Last, the unknown reads."""
     each = result.where("kind = 'sample'").select("cluster_id", "sample", F.explode(F.arrays_zip("path_ids", "counts")).alias("x")).select("cluster_id", "sample", F.col("x.path_ids").alias("path_id"), F.col("x.counts").alias("c"))
     wide = each.groupBy("cluster_id", "path_id").pivot("sample", list(range(1, samples + 1))).agg(F.sum("c")).fillna(0.0)
-    rows = members.select("cluster_id", "path_id", "name").join(wide, ["cluster_id", "path_id"], "left").fillna(0.0)
-    return rows.select(F.col("name").alias("Name"), (F.col("cluster_id") + 1).alias("ClusterID"), *[F.col(f"`{i}`").alias(f"ReadCountSample_{i}") for i in range(1, samples + 1)])
+    rows = members.select("cluster_id", "path_id", "name").join(wide, ["cluster_id", "path_id"])
+    last = [F.lit("Unknown").alias("Name"), F.lit(0).cast("long").alias("ClusterID"), *[F.lit(float(x)).alias(f"ReadCountSample_{i + 1}") for i, x in enumerate(unknown)]]
+    return rows.select(F.col("name").alias("Name"), (F.col("cluster_id") + 1).alias("ClusterID"), *[F.col(f"`{i}`").alias(f"ReadCountSample_{i}") for i in range(1, samples + 1)]).unionByName(result.sparkSession.range(1).select(*last))
 
 
 def probability_lines(probs: DataFrame, members: DataFrame, digits: int = 8) -> DataFrame:

@@ -38,4 +38,5 @@ def match_batches(alignments: DataFrame, steps: DataFrame, config: EngineConfig,
 def merged_classes(spark, path: str) -> DataFrame:
     """The classes of all batches, counts added up."""
     rows = spark.read.parquet(path)
-    return rows.groupBy("read_class_id", "rows", "min_mapq", "noise_score").agg(F.sum("read_count").alias("read_count"))
+    merged = rows.groupBy("rows", "min_mapq", "noise_score").agg(F.sum("read_count").alias("read_count"))
+    return merged.withColumn("read_class_id", F.monotonically_increasing_id())

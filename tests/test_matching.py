@@ -1,6 +1,9 @@
 """Matching on small graphs with known results."""
 
+import random
+
 import pytest
+
 from pathquant.config import EngineConfig
 from pathquant.operators import matching, paths
 from tests_support import SCHEMA, index, m, multi, single
@@ -104,3 +107,82 @@ def test_node_queries(spark):
     assert sorted(r[0] for r in paths.locate(moved).collect()) == [0, 2]
     assert sorted((r["node_id"], r["next_node"]) for r in paths.out_edges(steps).collect()) == [(1, 2), (1, 3), (2, 1), (2, 4), (3, 4)]
     assert [(r["node_id"], r["is_reverse"]) for r in paths.reverse_complement(steps).where("path_id = 0").orderBy("ordinal").collect()] == [(4, True), (2, True), (1, True)]
+
+
+def bubbles(k, seed):
+    """A read over k bubbles, each with two nodes, as a graph of subpaths; lengths of nodes; random paths through them."""
+    rng = random.Random(seed)
+    parts, lengths = [([m(1, 3)], 3, [1, 2])], {1: 3}
+    for b in range(k):
+        left, right, join = 3 * b + 2, 3 * b + 3, 3 * b + 4
+        lengths |= {left: 1, right: 1, join: 2}
+        at = len(parts)
+        parts += [([m(left, 1)], 1, [at + 2]), ([m(right, (1, 1))], -4, [at + 2]), ([m(join, 2)], 2, [at + 3, at + 4] if b < k - 1 else None)]
+    paths = []
+    for _ in range(5):
+        path = [1]
+        for b in range(k):
+            path += [3 * b + 2 + rng.randint(0, 1), 3 * b + 4]
+        paths.append(path)
+    paths.append(paths[0][2:])  # begins inside the read
+    paths.append(paths[1][:-1])
+    paths.append([-x for x in reversed(paths[2])])
+    return lengths, paths, multi([0], parts, 3 + 3 * k)
+
+
+@pytest.mark.parametrize("partial", [0, 4])
+def test_pruned_graphs_match_as_listed_ones(spark, partial):
+    lengths, walks, read = bubbles(7, partial)
+    steps = index(spark, lengths, *walks)
+    assert matching.walk_count({"subpath": [{"next": p[2], "connection": p[3]} for p in read[8]], "start": [0]}) > matching.DIRECT
+    config = EngineConfig(score_not_qual=True, max_partial_offset=partial, filt_best_score=0.0, frag_mean=1.0, frag_sd=1.0, single_end=True)
+    reads = spark.createDataFrame([read], SCHEMA)
+    every = matching.walks(reads, config).cache()
+    assert every.where("strand = '+'").count() == 128
+    listed = matching.score_filter(matching.accepted(matching.runs(every, steps), every, partial), config.max_score_diff)
+    want = sorted(map(tuple, matching.single_matches(listed, "unstranded").collect()))
+    few = matching.walks(reads, config, steps).cache()
+    pruned = matching.score_filter(matching.accepted(matching.runs(few, steps), few, partial), config.max_score_diff)
+    assert sorted(map(tuple, matching.single_matches(pruned, "unstranded").collect())) == want and want
+    assert few.where("strand = '+'").count() < 30
+
+
+def test_thirty_bubbles(spark):
+    lengths, walks, read = bubbles(30, 1)
+    rows = found(spark, index(spark, lengths, *walks[:5]), [read], single_end=True, max_score_diff=10_000)
+    assert {r["path_id"] for r in rows} == {0, 1, 2, 3, 4} and {r["align_length"] for r in rows} == {93}
+
+
+def test_paths_as_arrays_or_graphs(spark):
+    """Single-path alignments give the walks of a graph with the one subpath."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        mappings, node = [], rng.randint(1, 4)
+        for _ in range(rng.randint(0 if i % 9 == 0 else 1, 6)):
+            edits = [(rng.choice([None, 0, 1, 2]), rng.choice([None, 0, 1, 3])) for _ in range(rng.randint(0, 3))]
+            mappings.append(((node, rng.choice([None, 0, 2, 3]), rng.choice([None, True, False])), edits or rng.choice([[], None])))
+            node = rng.choice([node, node, rng.randint(1, 4)])
+        length = rng.randint(0, 12)
+        quality = rng.choice([None, b"", bytes(rng.randint(0, 60) for _ in range(length))])
+        notes = rng.choice([None, {"allelic_mapq": str(rng.randint(0, 60))}, {"x": "y"}])
+        rows.append((i, 1 + i % 2, "A" * length if length else rng.choice([None, ""]), quality, rng.randint(0, 20), rng.choice([None, rng.randint(0, 60)]), (mappings,), None, None, notes))
+    single_path = spark.createDataFrame(rows, SCHEMA)
+    graphs = [(*r[:4], None, r[5], None, [0], [(r[6], r[4], None, None)], r[9]) for r in rows if r[6][0]]
+    for config in ({"score_not_qual": True}, {"use_allelic_mapq": True}):
+        config = EngineConfig(frag_mean=1.0, frag_sd=1.0, **config)
+        got = sorted(map(str, matching.walks(single_path, config).collect()))
+        assert got == sorted(map(str, matching.walks(spark.createDataFrame(graphs, SCHEMA), config).collect())) and len(got) > 300
+
+
+def test_reads_that_start_outside_the_graph(spark):
+    lengths = {1: 4, 2: 1, 4: 8}
+    steps = index(spark, lengths, [1, 2, 4])
+    nodes = spark.createDataFrame(list(lengths.items()), "node_id long, length int")
+    config = EngineConfig(score_not_qual=True, max_partial_offset=9, filt_best_score=0.0, frag_mean=1.0, frag_sd=1.0, single_end=True)
+    inside, outside = single([m(1, 2, offset=2), m(2, 1)], 3), (1, *single([m(9, 2), m(2, 1), m(4, 3)], 6)[1:])
+    graph = (2, *multi([0, 1], [([m(1, 4)], 4, [2]), ([m(9, 1)], 1, [2]), ([m(2, 1)], 1, None)], 5)[1:])
+    reads = spark.createDataFrame([inside, outside, graph], SCHEMA)
+    rows = matching.alignment_rows(reads, steps, config, 100, nodes=nodes).collect()
+    assert {r["read_id"] for r in rows} == {0}
+    assert {r["read_id"] for r in matching.alignment_rows(reads, steps, config, 100).collect()} == {0, 1, 2}

@@ -304,7 +304,11 @@ def test_transcripts(world):
     assert rows["a1"]["ReadCount"] == pytest.approx(80, abs=3) and rows["a2"]["ReadCount"] == pytest.approx(40, abs=3) and rows["b"]["ReadCount"] == pytest.approx(80, abs=1)
     assert rows["a1"]["ClusterID"] == rows["a2"]["ClusterID"] != rows["b"]["ClusterID"]
     gibbs = out.tables["gibbs"].collect()
-    assert len(gibbs) == 3 and "ReadCountSample_4" in out.tables["gibbs"].columns
+    assert {r["Name"] for r in gibbs} == {"a1", "a2", "b", "Unknown"}
+    assert all(sum(r[f"ReadCountSample_{k}"] for r in gibbs) == pytest.approx(201) for k in range(1, 5))
+    # the cluster of a1 and a2 has more read classes than that of b
+    classes = out.probabilities.groupBy("cluster_id").agg({"read_class_id": "count"}).orderBy("cluster_id").collect()
+    assert rows["a1"]["ClusterID"] == 1 and rows["b"]["ClusterID"] == 2 and classes[0][1] >= classes[1][1]
     sinks.write_tsv(out.tables["abundances"], str(folder / "out"), gzip=True)
     assert spark.read.option("sep", "\t").option("header", "true").csv(str(folder / "out")).count() == 4
     lines = sinks.probability_lines(out.probabilities, out.members)
@@ -312,6 +316,55 @@ def test_transcripts(world):
     sinks.write_probability_lines(lines, str(folder / "probs"))
 
 
+def test_large_clusters_are_estimated_by_joins(world, monkeypatch):
+    from pathquant.operators import inference
+
+    _, reads, nodes, steps, names, _, _ = world
+    config = EngineConfig(model="transcripts", library="fr")
+    dense = pipeline.run(reads, nodes, steps, names, config)
+    monkeypatch.setattr(inference, "DENSE_CELLS", 3)
+    assert not inference.large_clusters(dense.probabilities, dense.members, 3).isEmpty()
+    large = {r["Name"]: r for r in pipeline.run(reads, nodes, steps, names, config).tables["abundances"].collect()}
+    for r in dense.tables["abundances"].collect():
+        assert large[r["Name"]]["ReadCount"] == pytest.approx(r["ReadCount"], abs=1e-6) and large[r["Name"]]["ClusterID"] == r["ClusterID"]
+
+
+def test_command_line(world):
+    from pathquant.__main__ import main, parser
+
+    spark, _, nodes, steps, names, info, folder = world
+    nodes.write.parquet(f"{folder}/graph")
+    steps.write.parquet(f"{folder}/index/steps")
+    names.write.parquet(f"{folder}/index/paths")
+    main(["-g", f"{folder}/graph", "-p", f"{folder}/index", "-a", f"{folder}/reads.json", "-o", f"{folder}/run", "-i", "haplotype-transcripts", "-f", info, "-e", "fr", "-r", "1", "-n", "2", "-b"])
+    read = lambda name: spark.read.option("sep", "\t").option("header", "true").csv(f"{folder}/run{name}")
+    assert {r["Name"] for r in read("").collect()} == {"a1", "a2", "b", "Unknown"}
+    assert read("_joint").columns[:4] == ["Name_1", "Name_2", "ClusterID", "HaplotypingProbability"] and read("_gibbs").columns[-1] == "ReadCountSample_2"
+    assert spark.read.text(f"{folder}/run_probs").where("value = '#'").count() == 2
+    flags = {o for a in parser()._actions for o in a.option_strings if o.startswith("--")}
+    assert len(flags - {"--interleaved", "--bidirectional"}) == 33
+
+
+def test_records_stay_apart(spark, tmp_path):
+    """Equal records without a name or pair id are reads of their own; pairs in consecutive lines meet; ids are the same in every run."""
+    record = json.dumps({"sequence": "ACGT", "path": {"mapping": [{"position": {"node_id": "1"}, "edit": [{"from_length": 4, "to_length": 4}]}]}})
+    for name, lines in (("a", 3), ("b", 4)):
+        (tmp_path / f"{name}.json").write_text("\n".join([record] * lines))
+    rows = [sorted(map(tuple, readers.read_alignments(spark, str(tmp_path), multipath=False).select("read_id", "mate").collect())) for _ in range(2)]
+    assert rows[0] == rows[1] == [(i, 1) for i in range(7)]
+    for n, wide in ((1, 4), (2, 300)):
+        folder = tmp_path / f"pairs{n}"
+        folder.mkdir()
+        (folder / "a.json").write_text("\n".join(json.dumps({"sequence": "A" * wide, "name": str(i)}) for i in range(400)))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        got = readers.read_alignments(spark, str(folder), multipath=False, interleaved=True).select("read_id", "mate").collect()
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted(map(tuple, got)) == [(i // 2, i % 2 + 1) for i in range(400)]
+    given = json.dumps({"sequence": "A", "pair_id": 9, "mate": 2})
+    (tmp_path / "c.json").write_text(given + "\n" + record)
+    assert sorted(r["read_id"] for r in readers.read_alignments(spark, str(tmp_path / "c.json"), multipath=False).collect()) == [9, 11]
+
+
 def test_haplotypes(world):
     _, reads, nodes, steps, names, _, _ = world
     for gibbs in (False, True):
