@@ -80,6 +80,32 @@ def _sparse_step(matrix: np.ndarray, weights: np.ndarray):
     return step
 
 
+SMALL_CELLS = 48  # cells up to which plain numbers are quicker than arrays
+
+
+def _small_em(rows: list[list[float]], weights: list[float], share: list[float], max_its: int, tolerance: float) -> list[float]:
+    """The rounds of ``em`` on lists."""
+    columns, calm = range(len(share)), 0
+    for _ in range(max_its):
+        mass = [0.0] * len(share)
+        for row, weight in zip(rows, weights):
+            joint = [c * s for c, s in zip(row, share)]
+            norm = sum(joint)
+            if norm > 0:
+                part = weight / norm
+                for j in columns:
+                    mass[j] += joint[j] * part
+        calm += 1
+        for a, b in zip(share, mass):
+            if b >= C.EM_MIN_ABUNDANCE and abs(b - a) > tolerance * b:
+                calm = 0
+                break
+        share = mass
+        if calm == C.EM_CONVERGED_ROUNDS:
+            break
+    return share
+
+
 def em(matrix: np.ndarray, counts: np.ndarray, max_its: int = 10_000, tolerance: float = 0.001) -> tuple[np.ndarray, float]:
     """Expected counts of the paths and of noise (last column), by expectation-maximisation."""
     n, total = matrix.shape[1], counts.sum()
@@ -88,6 +114,9 @@ def em(matrix: np.ndarray, counts: np.ndarray, max_its: int = 10_000, tolerance:
     live = matrix.any(axis=1)
     matrix, weights = matrix[live], counts[live] / total
     share = np.full(n, float(np.float32(1 / n)))
+    if matrix.size <= SMALL_CELLS:
+        share = np.array(_small_em(matrix.tolist(), weights.tolist(), share.tolist(), max_its, tolerance))
+        max_its = 0
     step = _sparse_step(matrix, weights) if matrix.size > 100_000 and np.count_nonzero(matrix) < 0.2 * matrix.size else _dense_step(matrix, weights)
     calm = 0
     for _ in range(max_its):

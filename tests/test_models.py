@@ -403,3 +403,16 @@ def test_settings():
         with pytest.raises(ValueError):
             EngineConfig(**bad)
     assert EngineConfig(long_reads=True).single_end and EngineConfig(path_info=True).collapse
+
+
+def test_em_on_lists_and_arrays(monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n, k = rng.integers(1, 6), rng.integers(1, 6)
+        matrix = estimators.with_noise(rng.random((n, k)) * (rng.random((n, k)) < 0.7), rng.random(n) * 0.2)
+        counts = rng.integers(1, 9, n).astype(float)
+        monkeypatch.setattr(estimators, "SMALL_CELLS", 48)
+        one = estimators.em(matrix, counts)
+        monkeypatch.setattr(estimators, "SMALL_CELLS", 0)
+        two = estimators.em(matrix, counts)
+        assert np.allclose(one[0], two[0], atol=1e-6) and one[1] == pytest.approx(two[1], abs=1e-6)
