@@ -21,8 +21,8 @@ from pathquant.llm.shingles import Segments, grown, text_chunks
 
 #: The pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PIECES, PIECE_BYTES = 3_000_000, 1 << 26  # pieces of text that a worker keeps, and their bytes; at more it starts anew, so memory is bounded
-PRETOKENS = 400_000  # pre-tokens that it keeps
+PIECES, PIECE_BYTES = 850_000, 1 << 26  # pieces of text that a worker keeps, and their bytes; at more it starts anew, so memory is bounded
+PRETOKENS = 100_000  # pre-tokens of longer pieces that it keeps
 OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -60,22 +60,25 @@ class Encoder:
 
     def _forget(self):
         self.segments, self.used = Segments(), 0
-        self.starts, self.counts = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.starts, self.counts = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
+    def _model(self, pretoken: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.letters))]
+
     def _piece(self, text: str) -> list[int]:
+        if text[0] == " " and text[1:].isalpha():  # a word after a space is a pre-token as it stands
+            return self._model(text)
         out: list[int] = []
-        # a word after a space is a pre-token as it stands
-        for pretoken in (text,) if text[0] == " " and text[1:].isalpha() else self.split(text):
+        for pretoken in self.split(text):
             ids = self.pretokens.get(pretoken)
             if ids is None:
                 if len(self.pretokens) >= PRETOKENS:
                     self.pretokens.clear()
-                ids = [t.id for t in self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.letters))]
-                self.pretokens[pretoken] = ids
+                ids = self.pretokens[pretoken] = self._model(pretoken)
             out += ids
         return out
 
@@ -134,7 +137,7 @@ class Encoder:
             odd |= {i: self.whole(raw[offsets[i] : offsets[i + 1]].decode()) for i in np.unique(owner[at < 0]).tolist()}
             plain = ~np.isin(owner, list(odd))
             at, owner = at[plain], owner[plain]
-        counts = self.counts[at]
+        counts = self.counts[at].astype(np.int64)
         done = np.cumsum(counts)
         ids = self.ids[np.repeat(self.starts[at] - done + counts, counts) + np.arange(done[-1] if len(done) else 0)]
         lengths = np.bincount(owner, weights=counts, minlength=texts).astype(np.int64)

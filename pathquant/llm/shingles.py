@@ -137,7 +137,7 @@ class Segments:
     def __init__(self):
         self.index, self.used = HashIndex(), 0  # used: bytes kept
         self.data = np.zeros(1 << 16, np.uint8)
-        self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
 
     def number(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, learn) -> np.ndarray:
         """The number of each segment [start, end) of data, or -1. learn(starts, ends) is told the new ones first, in the order of their numbers."""
