@@ -90,17 +90,6 @@ def query(sql: str | None = None):
     return add
 
 
-# ---- the flagship: probabilities, expectation-maximisation, abundances
-
-@query()
-def abundances(spark, sf):
-    """Expected counts and TPM of all paths, by EM run to convergence in every cluster."""
-    own = members(spark, sf)
-    found = stored(inference.infer(path_probs_of(spark, sf), own.select("cluster_id", "path_id", "source_count", "group_id", "source_ids"), EngineConfig(model="transcripts")), "abundances")
-    counts = own.join(inference.path_abundances(found), ["cluster_id", "path_id"])
-    return sinks.abundance_table(found, own, inference.tpm_denominator(counts), inference.unknown_count(found))
-
-
 # ---- paths
 
 @query("WITH " + STEPS + " SELECT path_id, CAST(sum(p_size) AS BIGINT) AS length FROM steps JOIN part ON p_partkey = node_id GROUP BY path_id")
@@ -121,11 +110,6 @@ def path_name(spark, sf):
     return paths.path_names(o.select(F.col("o_orderkey").alias("path_id"), *[F.when(known, c).alias(k) for k, c in cols.items()]))
 
 
-@query("SELECT o_orderpriority AS transcript, count(DISTINCT o_custkey) AS source_count FROM orders GROUP BY 1")
-def haplotype_count(spark, sf):
-    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("transcript")).agg(F.countDistinct("o_custkey").alias("source_count"))
-
-
 @query("WITH " + STEPS + " SELECT path_id, ordinal FROM steps WHERE node_id = 7 AND NOT is_reverse")
 def path_find(spark, sf):
     return paths.find(steps(spark, sf), 7, False)
@@ -153,11 +137,6 @@ def reverse_complement_steps(spark, sf):
     return paths.reverse_complement(steps(spark, sf))
 
 
-@query()
-def effective_length(spark, sf):
-    return paths.effective_lengths(paths.path_lengths(steps(spark, sf), nodes(spark, sf)), FragmentDist(60.0, 20.0))
-
-
 # ---- alignments
 
 def _matches(spark, sf):
@@ -223,26 +202,12 @@ def soft_clip(spark, sf):
     return df.select("l_orderkey", "l_partkey", scoring.left_soft_clip(F.col("m")).alias("left_clip"), scoring.right_soft_clip(F.col("m")).alias("right_clip"), scoring.edit_length(F.get("m", F.lit(0))["edit"], "to_length").alias("to_length"))
 
 
-@query("WITH " + ROWS + ", d AS (SELECT DISTINCT * FROM (SELECT read_class_id, path_id, frag_length, align_length, score_sum FROM rows QUALIFY row_number() OVER (PARTITION BY read_class_id, path_id, frag_length ORDER BY align_length DESC, score_sum DESC) = 1)) SELECT read_class_id, count(*) AS states, CAST(min(align_length) AS INTEGER) AS shortest FROM d GROUP BY 1")
-def dedup_states(spark, sf):
-    rows = align_rows(spark, sf).select(F.col("read_class_id").alias("read_id"), "path_id", "score_sum", "align_length", "frag_length", "min_mapq", "noise_score", F.lit(True).alias("is_simple"))
-    best = Window.partitionBy("read_id", "path_id", "frag_length").orderBy(F.desc("align_length"), F.desc("score_sum"))
-    kept = rows.withColumn("place", F.row_number().over(best)).where("place = 1")
-    return kept.groupBy(F.col("read_id").alias("read_class_id")).agg(F.count("*").alias("states"), F.min("align_length").alias("shortest"))
-
-
 @query("WITH r AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY 1) SELECT array_to_string(s, ',') AS paths, count(*) AS read_count FROM r GROUP BY 1")
 def read_class_count(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("read_id"), F.col("l_suppkey").alias("path_id"), F.lit(1).alias("score_sum"), F.lit(1).alias("align_length"), F.lit(1).cast("long").alias("frag_length"), F.lit(60).alias("min_mapq"), F.lit(INT_MIN).alias("noise_score"), F.lit(True).alias("is_simple"))
     return matching.read_classes(rows).select(F.concat_ws(",", F.transform("rows", lambda r: r["path_id"].cast("string"))).alias("paths"), "read_count")
 
 
-@query("SELECT l_orderkey AS read_id, NOT bool_or(l_suppkey % 2 = 1) AND min(l_partkey % 200) = max(l_partkey % 200) AS is_simple FROM lineitem GROUP BY 1")
-def is_simple(spark, sf):
-    rows = table(spark, sf, "lineitem")
-    return rows.groupBy(F.col("l_orderkey").alias("read_id")).agg((~F.bool_or(F.col("l_suppkey") % 2 == 1) & (F.min(F.col("l_partkey") % 200) == F.max(F.col("l_partkey") % 200))).alias("is_simple"))
-
-
 @query("SELECT count(*) AS unaligned FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
 def unaligned_count(spark, sf):
     reads = table(spark, sf, "orders").select(F.col("o_orderkey").alias("read_id"))
@@ -359,12 +324,6 @@ def local_index(spark, sf):
 
 # ---- inference
 
-@query("WITH " + MEMBERS + " SELECT a.cluster_id, a.path_id AS first, b.path_id AS second FROM members a JOIN members b ON a.cluster_id = b.cluster_id AND a.path_id <= b.path_id")
-def combos(spark, sf):
-    own = members(spark, sf).select("cluster_id", "path_id")
-    return own.withColumnRenamed("path_id", "first").join(own.withColumnRenamed("path_id", "second"), "cluster_id").where("first <= second")
-
-
 POSTERIOR = PROBS + ", " + MEMBERS + """,
 normal AS (SELECT *, coalesce(prob / nullif(sum(prob) OVER (PARTITION BY cluster_id, read_class_id), 0) * (1 - noise_prob), 0) AS pn FROM probs),
 reads AS (SELECT DISTINCT cluster_id, read_class_id, read_count, noise_prob FROM normal),
@@ -399,12 +358,6 @@ def em_three_rounds(spark, sf):
     return estimators.em_frames(stored(path_probs_of(spark, sf), "em-probs"), 3, stored).select("cluster_id", "path_id", F.round("share", 6).alias("share"))
 
 
-@query("WITH h AS (SELECT o_custkey AS hap, list_sort(list(DISTINCT o_orderpriority)) AS paths FROM orders GROUP BY 1) SELECT array_to_string(paths, ',') AS paths, count(*) AS haplotypes FROM h GROUP BY 1")
-def identical_haplotypes(spark, sf):
-    lists = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("paths"))
-    return lists.groupBy(F.concat_ws(",", "paths").alias("paths")).agg(F.count("*").alias("haplotypes"))
-
-
 def _combinations(spark, sf):
     """Made-up combination posteriors: a customer's pair of priorities, weighted by its orders."""
     o = table(spark, sf, "orders")
@@ -414,13 +367,6 @@ def _combinations(spark, sf):
 COMBOS = "g AS (SELECT o_custkey % 50 AS cluster_id, o_custkey AS g, min(length(o_orderpriority)) AS i, max(length(o_orderpriority)) AS j, count(*) AS w FROM orders GROUP BY 1, 2)"
 
 
-@query("WITH " + COMBOS + ", p AS (SELECT *, w / CAST(sum(w) OVER (PARTITION BY cluster_id) AS DOUBLE) AS post FROM g), s AS (SELECT cluster_id, i, j, sum(post) AS post FROM p WHERE post >= 0.001 GROUP BY 1, 2, 3) SELECT cluster_id, i, j, round(post / sum(post) OVER (PARTITION BY cluster_id), 6) AS prob FROM s")
-def subset_select(spark, sf):
-    g = _combinations(spark, sf).withColumn("post", F.col("w") / F.sum("w").over(Window.partitionBy("cluster_id")))
-    s = g.where("post >= 0.001").groupBy("cluster_id", "i", "j").agg(F.sum("post").alias("post"))
-    return s.select("cluster_id", "i", "j", F.round(F.col("post") / F.sum("post").over(Window.partitionBy("cluster_id")), 6).alias("prob"))
-
-
 def _result(spark, sf):
     g = _combinations(spark, sf)
     return g.select("cluster_id", F.lit("group").alias("kind"), F.array("i", "j").alias("path_ids"), (F.col("w") / 100.0).alias("posterior"), F.array(F.col("w").cast("double"), (F.col("w") * 2).cast("double")).alias("counts"))
@@ -458,11 +404,6 @@ def _model(spark, sf, **settings):
     return inference.infer(path_probs_of(spark, sf), own, EngineConfig(**settings))
 
 
-@query()
-def strains(spark, sf):
-    return inference.path_abundances(_model(spark, sf, model="strains"))
-
-
 @query()
 def nested_collapsed(spark, sf):
     return inference.path_abundances(_model(spark, sf, model="haplotype-transcripts", path_info=True))

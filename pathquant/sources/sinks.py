@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from pathquant.operators.inference import path_abundances, tpm
 
 
+def significant(number, digits: int = 8):
+    """A number as text with so many significant digits, without zeros at the end; very small and very large ones with an exponent."""
+    text = F.regexp_replace(F.format_string(f"%.{digits}g", number), r"(\.[0-9]*?)0+(e|$)", "$1$2")
+    return F.regexp_replace(text, r"\.(e|$)", "$1")
+
+
 def write_tsv(df: DataFrame, path: str, gzip: bool = False) -> None:
     """Tab-separated files with a header; numbers keep eight significant digits."""
-    numbers = {f.name: F.format_string("%.8g", F.col(f"`{f.name}`")) for f in df.schema.fields if f.dataType.simpleString() == "double"}
+    numbers = {f.name: significant(F.col(f"`{f.name}`")) for f in df.schema.fields if f.dataType.simpleString() == "double"}
     df.withColumns(numbers).write.option("sep", "\t").option("header", "true").option("compression", "gzip" if gzip else "none").csv(path)
 
 
@@ -65,13 +71,13 @@ def gibbs_table(result: DataFrame, members: DataFrame, samples: int, unknown: li
 
 def probability_lines(probs: DataFrame, members: DataFrame, digits: int = 8) -> DataFrame:
     """(cluster_id, line_no, line) of the probability dump: a mark, the paths, then "count noise prob:path,path ..." per read class."""
-    order = F.struct("path_idx", F.concat_ws(",", "name", "length", F.format_string("%.8g", "effective_length")).alias("text"))
+    order = F.struct("path_idx", F.concat_ws(",", "name", F.col("length").cast("string"), significant(F.col("effective_length"))).alias("text"))
     heads = members.join(probs.select("cluster_id").distinct(), "cluster_id", "left_semi").groupBy("cluster_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(order)), lambda x: x["text"])).alias("line"))
     cells = probs.join(members.select("cluster_id", "path_id", "path_idx"), ["cluster_id", "path_id"], "left")
     same = cells.groupBy("cluster_id", "read_class_id", "read_count", "noise_prob", F.round("prob", digits).alias("p")).agg(F.array_sort(F.collect_list("path_idx")).alias("paths"))
-    part = F.when(F.col("p").isNotNull(), F.struct("p", F.concat(F.format_string("%.8g", "p"), F.lit(":"), F.concat_ws(",", F.col("paths").cast("array<string>"))).alias("text")))
+    part = F.when(F.col("p").isNotNull(), F.struct("p", F.concat(significant(F.col("p"), digits), F.lit(":"), F.concat_ws(",", F.col("paths").cast("array<string>"))).alias("text")))
     reads = same.groupBy("cluster_id", "read_class_id", "read_count", "noise_prob").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(part)), lambda x: x["text"])).alias("text"))
-    lines = reads.select("cluster_id", F.concat_ws(" ", F.col("read_count").cast("string"), F.format_string("%.8g", "noise_prob"), F.nullif("text", F.lit(""))).alias("line"))
+    lines = reads.select("cluster_id", F.concat_ws(" ", F.col("read_count").cast("string"), significant(F.col("noise_prob"), digits), F.nullif("text", F.lit(""))).alias("line"))
     marks = heads.select("cluster_id", F.lit(0).alias("line_no"), F.lit("#").alias("line"))
     return marks.unionByName(heads.select("cluster_id", F.lit(1).alias("line_no"), "line")).unionByName(lines.select("cluster_id", F.lit(2).alias("line_no"), "line"))
 

@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from pathquant.plans.queries import ORACLE, QUERIES
+from pathquant.plans.operator_queries import ORACLE, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
