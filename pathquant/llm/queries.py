@@ -14,4 +14,11 @@ QUERIES = {
     "op9_segmentation_marginalised_unigrams": langid.op9_segmentation_marginalised_unigrams,
     "op10_gzip_normaliser": warc.op10_gzip_normaliser,
 }
-ORACLE = {"op4_weighted_fair_queueing": mixing.ORACLE, "op6_bitmap_tile_join": jaccard.ORACLE, "op7_minhash_containment": decontamination.ORACLE, "op8_multi_index_hashing": hamming.ORACLE}
+ORACLE = {
+    "op4_weighted_fair_queueing": mixing.ORACLE,
+    "op5_histogram_sort": sharding.ORACLE,
+    "op6_bitmap_tile_join": jaccard.ORACLE,
+    "op7_minhash_containment": decontamination.ORACLE,
+    "op8_multi_index_hashing": hamming.ORACLE,
+    "op10_gzip_normaliser": warc.ORACLE,
+}

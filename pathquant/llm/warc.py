@@ -218,3 +218,14 @@ def op10_gzip_normaliser(spark, sf_dir):
     if done.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     return read_records(spark, f"{folder}/members")
+
+
+#: The digest in base 32: five bits at a time, out of two neighbouring hexadecimal digits.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) || '0' AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(((16 * (instr('0123456789abcdef', substr(d, 5 * i // 4 + 1, 1)) - 1) + instr('0123456789abcdef', substr(d, 5 * i // 4 + 2, 1)) - 1) >> (3 - 5 * i % 4)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""

@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(ORACLE[name])
     columns = sorted(want.columns)
@@ -124,6 +124,18 @@ def test_shards(spark):
     assert all(len(s) == 1 for s in at.values())
 
 
+def test_shards_of_odd_tables_against_sql(spark, tmp_path):
+    """A text that half of all rows share, large and repeated rows, nulls: the splitters are the exact ones."""
+    rng = random.Random(12)
+    for n, rows in enumerate([[(i, "copy" if i % 2 else "x" * rng.randint(0, 90)) for i in range(3000)], [(i, "w" * (20_000 if i == 7 else i % 13)) for i in range(500)], [(1, None), (None, "a"), (2, ""), (3, "b" * 50), (4, "b" * 50)]]):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{n}/documents.parquet/*.parquet'")
+        got = QUERIES["op5_histogram_sort"](spark, f"{tmp_path}/{n}")
+        want = con.sql(ORACLE["op5_histogram_sort"]).project(", ".join(got.columns)).fetchall()
+        assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
 def test_shards_split_a_hot_group(spark):
     docs = spark.createDataFrame([(i, "copy of the same text" if i % 2 else f"text {i} " * 3) for i in range(6000)], "doc_id long, text string")
     check_shards(sharding.shard(docs).collect(), 0.03)
