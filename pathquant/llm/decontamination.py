@@ -4,7 +4,7 @@ Items are partitioned by the size of their shingle sets. The sketch of an item i
 its shingles, with s = n - ceil(threshold * n) + 1 for the largest n of the item's partition: a document that
 contains the threshold's share of an item holds at least one of any s of its shingles, so the search misses
 none, however long the document is. Documents that hold a sketch hash are candidates for that item, and are
-verified by counting the item's shingles that they hold, exactly.
+verified by counting the item's shingles that they hold: there shingles are found by hash and compared as words.
 
 Texts are compared as lower-case words of letters and digits. An item with fewer words than a shingle is one
 shingle of that many words.
@@ -17,25 +17,30 @@ from pyspark.sql import functions as F
 
 from pathquant.llm.common import stored
 
-BROADCAST_ROWS = 1_000_000  # shingles of items (24 bytes each) that are broadcast at most; beyond, Spark shuffles
+BROADCAST_ROWS = 500_000  # shingles of items (some 100 bytes each, with their words) that are broadcast at most; beyond, Spark shuffles
 
 
 def words(text):
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(ws, k: int):
-    """Hashes of the k-word shingles of an array of words, in order."""
-    return F.transform(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - (k - 1), F.lit(0))), lambda w, i: F.xxhash64(w, *[F.get(ws, i + j) for j in range(1, k)]))
+def shingles(ws, k: int, spelled: bool = False):
+    """Hashes of the k-word shingles of an array of words, in order; spelled, structs of the hash and the words."""
+
+    def one(w, i):
+        own = [w, *[F.get(ws, i + j) for j in range(1, k)]]
+        return F.struct(F.xxhash64(*own).alias("h"), F.concat_ws(" ", *own).alias("words")) if spelled else F.xxhash64(*own)
+
+    return F.transform(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - (k - 1), F.lit(0))), one)
 
 
 def _item_shingles(items: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(item_id, k, h, n): distinct shingles of each item and their number."""
+    """(item_id, k, h, words, n): distinct shingles of each item and their number."""
     ws = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("ws")).where(F.size("ws") > 0)
     parts = []
     for size in range(1, k + 1):
         own = ws.where(F.size("ws") >= k) if size == k else ws.where(F.size("ws") == size)
-        parts.append(own.select("item_id", F.lit(size).alias("k"), F.explode(F.array_distinct(shingles(F.col("ws"), size))).alias("h")))
+        parts.append(own.select("item_id", F.lit(size).alias("k"), F.explode(F.array_distinct(shingles(F.col("ws"), size, True))).alias("s")).select("item_id", "k", "s.h", "s.words"))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -47,14 +52,14 @@ def containment(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
 
     Null and empty texts hold no shingles and items without words are in no document. Rows that repeat an
     id are taken as one document, or item, with all their shingles. Null ids are not reported. Empty tables
-    give an empty result. Other columns are not read.
+    give an empty result. Other columns are not read. Texts are read whole, however long; all their shingles are looked up.
     """
     full = stored(_item_shingles(items.where(F.col(item_id_col).isNotNull()), item_id_col, item_text_col, k), "decontam-items")
     # partitions by powers of two of the size; within one, every sketch is as long as its largest item needs
     band = F.floor(F.log2(F.col("n"))).cast("int")
     most = (F.pow(F.lit(2), band + 1) - 1).cast("long")
     length = most - F.ceil(most * num / F.lit(den)) + 1
-    place = F.row_number().over(Window.partitionBy("item_id", "k").orderBy("h"))
+    place = F.row_number().over(Window.partitionBy("item_id", "k").orderBy("h", "words"))
     sketch = stored(full.withColumn("band", band).withColumn("place", place).where(F.col("place") <= length).select("k", "h", "item_id"), "decontam-sketch")
 
     def sized(df: DataFrame) -> DataFrame:
@@ -63,10 +68,11 @@ def containment(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
     lengths = sorted(r["k"] for r in sketch.select("k").distinct().collect())  # k values at most
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def of(rows: DataFrame) -> DataFrame:
-        """(doc_id, k, h) of every shingle; the words of a text are cut out once."""
+    def of(rows: DataFrame, spelled: bool = False) -> DataFrame:
+        """(doc_id, k, h) of every shingle, or with its words; the words of a text are cut out once."""
         cut = rows.select("doc_id", words(F.col("text")).alias("ws"))
-        parts = [cut.select("doc_id", F.lit(size).alias("k"), F.explode(shingles(F.col("ws"), size)).alias("h")) for size in lengths]
+        parts = [cut.select("doc_id", F.lit(size).alias("k"), F.explode(shingles(F.col("ws"), size, spelled)).alias("s")) for size in lengths]
+        parts = [p.select("doc_id", "k", "s.h", "s.words") if spelled else p.withColumnRenamed("s", "h") for p in parts]
         out = parts[0]
         for p in parts[1:]:
             out = out.union(p)
@@ -76,7 +82,7 @@ def containment(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
         return base.select("doc_id").join(items.select(F.col(item_id_col).alias("item_id")), F.lit(False)).select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_id_col), F.lit(0).cast("long").alias("item_shingles"), F.lit(0).cast("long").alias("shared"))
     found = stored(of(base).join(sized(sketch), ["k", "h"]).select("doc_id", "item_id").distinct(), "decontam-candidates")
     suspects = base.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    shared = of(suspects).join(sized(full), ["k", "h"]).select("doc_id", "item_id", "h", "n").distinct()
+    shared = of(suspects, True).join(sized(full), ["k", "h", "words"]).select("doc_id", "item_id", "words", "n").distinct()
     shared = shared.groupBy("doc_id", "item_id").agg(F.first("n").alias("item_shingles"), F.count("*").alias("shared"))
     verified = shared.join(found, ["doc_id", "item_id"], "left_semi").where(F.col("shared") * den >= F.col("item_shingles") * num)
     return verified.select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_id_col), "item_shingles", "shared")
