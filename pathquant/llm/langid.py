@@ -215,7 +215,8 @@ def predict(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "
     language than under a background of equally likely bytes. Below 0, none of the languages explains the text.
 
     ``und`` with score and evidence 0 if the text is null or has no letter, or no language was learned. Repeated rows are
-    scored one by one; an empty table gives an empty result. Ties go to the language that sorts first.
+    scored one by one; an empty table gives an empty result. Ties go to the language that sorts first. Texts are scored
+    whole, however long. ``passed`` must not hold the names of the added columns.
     """
     spark = docs.sparkSession
     path = vocabulary or default_path("word_bpe_49k.json")

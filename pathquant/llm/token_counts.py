@@ -80,7 +80,7 @@ def attribute(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     sections_col: an array of the sections' start characters, rising from 0; without it sections are lines.
     The n_tokens of a document's sections add up to doc_tokens. Null and empty texts have one empty section
     with no tokens. Repeated rows are counted one by one; an empty table gives an empty result. Other
-    columns are not read.
+    columns are not read. A text is encoded whole, however long. Tokens that cross bounds equally go to the first section.
     """
     path = tokenizer or default_path()
 

@@ -351,3 +351,109 @@ def test_warc_odd_tables(spark):
     assert got == sorted(want, key=lambda r: r[:2])
     none = warc.write_monolithic(pages.limit(0), f"{folder}/c")
     assert none.count() == 0 and warc.normalise(none, f"{folder}/d").count() == 0
+
+
+def test_op3_against_the_tokenizer(spark, sf_dir, tokenizer):
+    """Every section of every document, by the tokenizer's own offsets: most characters, the first of equals."""
+    got = {}
+    for r in QUERIES["op3_offset_attribution"](spark, sf_dir).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        text = d["text"] or ""
+        own = sorted(got.pop(d["doc_id"]), key=lambda r: r["section"])
+        assert "".join(text[r["start_char"] : r["end_char"]] for r in own) == text
+        lines, want, crossing = text.splitlines(keepends=True) if "\r" not in text else None, [0] * len(own), [0] * len(own)
+        assert lines is None or len(own) <= max(1, len(lines))
+        at = 0
+        for a, b in tokenizer.encode(text, add_special_tokens=False).offsets:
+            while at + 1 < len(own) and own[at]["end_char"] <= a:
+                at += 1
+            inside = []
+            for s in range(at, len(own)):
+                if own[s]["start_char"] >= b:
+                    break
+                inside.append((min(b, own[s]["end_char"]) - max(a, own[s]["start_char"]), -s))
+            best = -max(inside)[1]
+            want[best] += 1
+            crossing[best] += len(inside) > 1
+        assert [(r["n_tokens"], r["n_crossing"]) for r in own] == list(zip(want, crossing))
+    assert not got
+
+
+def test_op9_against_plain_sums(spark, sf_dir):
+    """Predictions and scores of the query are those of a word-by-word sum over all segmentations with the same model."""
+    import math
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    langs, probs = langid.fit(docs.where(~langid.held_out()))
+    inner, final, _, window = langid.pieces(encoding.default_path("word_bpe_49k.json"))
+    known = {}
+
+    def log_prob(word: bytes):
+        if word not in known:
+            alpha, scale = [np.ones(len(langs))], np.zeros(len(langs))
+            for end in range(1, len(word) + 1):
+                total = np.zeros(len(langs))
+                for start in range(max(0, end - window), end):
+                    i = (final if end == len(word) else inner).get(word[start:end])
+                    if i is not None:
+                        total = total + alpha[start] * probs[i]
+                alpha.append(total)
+                if end % 20 == 0:
+                    alpha, scale = [a / total for a in alpha], scale + np.log(total)
+            known[word] = np.log(alpha[-1]) + scale
+        return known[word]
+
+    got = {r["doc_id"]: r for r in QUERIES["op9_segmentation_marginalised_unigrams"](spark, sf_dir).collect()}
+    checked = 0
+    for d in docs.collect():
+        r, text = got.pop(d["doc_id"]), d["text"] or ""
+        if not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        logs = sum((log_prob(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower())), np.zeros(len(langs)))
+        assert r["lang_pred"] == langs[int(logs.argmax())]
+        assert math.isclose(r["score"], 1 / np.exp(logs - logs.max()).sum(), abs_tol=1e-6)
+        checked += 1
+    assert checked > 100 and not got
+
+
+def test_orc_stripes_indexes_and_encoding(spark, tmp_path):
+    """Files have several stripes with a row index and a Bloom filter on doc_id; ids are run-length encoded."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 20), i -> sha2(cast(id * 100 + i AS string), 256))) AS text").coalesce(1)
+    path = f"{tmp_path}/tokens"
+    token_output.write_tokens(docs, path, stripe_mb=1, compression="none")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = [f for f in jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).listStatus(jvm.org.apache.hadoop.fs.Path(path)) if f.getPath().getName().endswith(".orc")]
+    stripes, blooms, rows, size = 0, 0, 0, 0
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(f.getPath(), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        stripes += reader.getStripes().size()
+        rows += reader.getNumberOfRows()
+        size += f.getLen()
+        assert reader.getRowIndexStride() == 2000
+        for stripe in reader.getStripes():
+            with open(f.getPath().toUri().getPath(), "rb") as raw:
+                raw.seek(stripe.getOffset() + stripe.getIndexLength() + stripe.getDataLength())
+                footer = jvm.org.apache.orc.OrcProto.StripeFooter.parseFrom(raw.read(stripe.getFooterLength()))
+            kinds = {(s.getColumn(), s.getKind().name()) for s in footer.getStreamsList()}
+            encodings = [e.getKind().name() for e in footer.getColumnsList()]
+            assert (1, "ROW_INDEX") in kinds and "DIRECT_V2" == encodings[1] == encodings[3]
+            blooms += any(c == 1 and k.startswith("BLOOM_FILTER") for c, k in kinds)
+    assert rows == 4000 and stripes > len(files) and blooms == stripes
+    assert size < 4 * spark.read.orc(path).selectExpr("sum(n_tokens)").first()[0]
+    found = token_output.read_tokens(spark, path, doc_ids=[17, 3999])
+    assert sorted(r["doc_id"] for r in found.collect()) == [17, 3999]
+    assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_odd_tables_of_text_operators(spark):
+    """Repeated rows, clashing columns, no rows."""
+    kind = "doc_id long, text string, lang string, source string, score double, start long, n_tokens long, section int, ids string"
+    rows = [(1, "the cat and the dog", "en", None, 1.0, 1, 1, 1, "x")] * 2 + [(2, "le chat et la vache", "fr", None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, kind)
+    model = langid.fit(docs)
+    assert sorted(r["lang_pred"] for r in langid.predict(docs, model).collect()) == ["en", "en", "fr"]
+    assert langid.predict(docs.limit(0), model).count() == 0 and langid.fit(docs.limit(0))[0] == []
+    counted = token_counts.attribute(docs).collect()
+    assert [sum(r["doc_id"] == i for r in counted) for i in (1, 2)] == [2, 1]
