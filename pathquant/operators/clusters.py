@@ -68,3 +68,10 @@ def cluster_ranks(classes: DataFrame, clusters: DataFrame | None = None) -> Data
     if clusters is not None:
         sizes = clusters.select("cluster_id").distinct().join(sizes, "cluster_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return numbered(sizes, [F.desc("n"), F.desc("cluster_id")], "place").select("cluster_id", (F.col("place") + 1).alias("rank"))
+
+
+def collapsed(members: DataFrame) -> DataFrame:
+    """Paths of a transcript as one, called by it: its smallest path, lengths as means by source count, the sum of those."""
+    weight = F.col("source_count").cast("double")
+    length, effective = (F.sum(weight * F.col(c)) / F.sum(weight) for c in ("length", "effective_length"))
+    return members.groupBy("cluster_id", F.col("transcript").alias("name"), F.col("transcript")).agg(F.min("path_id").alias("path_id"), F.round(length).cast("long").alias("length"), effective.alias("effective_length"), F.sum("source_count").alias("source_count"), F.first("group_id").alias("group_id"), F.first("source_ids").alias("source_ids"))

@@ -383,7 +383,8 @@ def runs(walked: DataFrame, steps: DataFrame) -> DataFrame:
     visits = walked.select("read_id", "mate", "strand", "walk", F.posexplode("nodes").alias("idx", "node"))
     hits = visits.join(steps.select("path_id", "ordinal", "node", "node_length", "cum_offset"), "node").withColumn("diagonal", F.col("ordinal") - F.col("idx"))
     line = Window.partitionBy("read_id", "mate", "strand", "walk", "path_id", "diagonal").orderBy("idx")
-    island = hits.withColumn("island", F.col("idx") - F.row_number().over(line))
+    # one exchange for islands, runs and what ``accepted`` joins
+    island = hits.repartition("read_id", "mate", "strand", "walk").withColumn("island", F.col("idx") - F.row_number().over(line))
     step = F.struct("idx", "ordinal", "cum_offset", "node_length")
     return island.groupBy("read_id", "mate", "strand", "walk", "path_id", "diagonal", "island").agg(F.min(step).alias("s"), F.max(step).alias("e"))
 
@@ -438,7 +439,7 @@ def single_matches(matches: DataFrame, library: str, bidirectional: bool = False
     elif library == "fr" or bidirectional:
         matches = matches.where("strand = '+'")
     fraction = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("adjusted") / F.col("optimal")))
-    return matches.select("read_id", "path_id", F.col("adjusted").alias("score_sum"), (F.col("length") - F.col("cut_left") - F.col("cut_right")).alias("align_length"), F.col("length").alias("frag_length"), F.col("mapq").alias("min_mapq"), fraction.alias("fraction"), "partial", "multimap").distinct()
+    return matches.select("read_id", "path_id", F.col("adjusted").alias("score_sum"), (F.col("length") - F.col("cut_left") - F.col("cut_right")).alias("align_length"), F.col("length").alias("frag_length"), F.col("mapq").alias("min_mapq"), fraction.alias("fraction"), "partial", "multimap").repartition("read_id").distinct()
 
 
 def paired_matches(matches: DataFrame, library: str, max_fragment: int, bidirectional: bool = False) -> DataFrame:
@@ -470,7 +471,7 @@ def paired_matches(matches: DataFrame, library: str, max_fragment: int, bidirect
     pairs = left.join(right, (a("read_id") == b("read_id")) & (a("path_id") == b("path_id")) & allowed & placed & (frag <= max_fragment))
     share = F.least(a("adjusted") / a("optimal"), b("adjusted") / b("optimal"))
     length = a("length") + b("length") - a("cut_left") - a("cut_right") - b("cut_left") - b("cut_right")
-    return pairs.select(a("read_id").alias("read_id"), a("path_id").alias("path_id"), (a("adjusted") + b("adjusted")).alias("score_sum"), length.alias("align_length"), frag.alias("frag_length"), F.least(a("mapq"), b("mapq")).alias("min_mapq"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)).alias("fraction"), (a("partial") | b("partial")).alias("partial"), (a("multimap") | b("multimap")).alias("multimap")).distinct()
+    return pairs.select(a("read_id").alias("read_id"), a("path_id").alias("path_id"), (a("adjusted") + b("adjusted")).alias("score_sum"), length.alias("align_length"), frag.alias("frag_length"), F.least(a("mapq"), b("mapq")).alias("min_mapq"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)).alias("fraction"), (a("partial") | b("partial")).alias("partial"), (a("multimap") | b("multimap")).alias("multimap")).repartition("read_id").distinct()
 
 
 def alignment_rows(alignments: DataFrame, steps: DataFrame, config: EngineConfig, max_fragment: int, bidirectional: bool = False, nodes: DataFrame | None = None) -> DataFrame:

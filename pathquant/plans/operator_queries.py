@@ -476,3 +476,46 @@ def strains(spark, sf):
     own = members(spark, sf).select("cluster_id", "path_id", "source_count", "group_id", "source_ids")
     out = inference.path_abundances(inference.infer(path_probs_of(spark, sf), own, EngineConfig(model="strains")))
     return out.withColumn("read_count", F.round("read_count", 3))
+
+
+NESTED = """sources AS (SELECT s_suppkey % 5 AS cluster_id, s_suppkey AS path_id, unnest([s_suppkey % 7, 7 + s_suppkey % 3]) AS src FROM supplier),
+kinds AS (SELECT cluster_id, list_sort(list(path_id)) AS paths FROM sources GROUP BY cluster_id, src),
+haps AS (SELECT cluster_id, paths, count(*) AS n, row_number() OVER (PARTITION BY cluster_id ORDER BY paths) AS g FROM kinds GROUP BY 1, 2),
+summed AS (SELECT p.cluster_id, p.read_class_id, p.read_count, p.noise_prob, g, sum(prob) AS s FROM probs p JOIN haps h ON h.cluster_id = p.cluster_id AND list_contains(h.paths, p.path_id) GROUP BY ALL),
+scaled AS (SELECT *, s / sum(s) OVER (PARTITION BY cluster_id, read_class_id) * (1 - noise_prob) AS pn FROM summed),
+freq AS (SELECT *, ln(n / CAST(sum(n) OVER (PARTITION BY cluster_id) AS DOUBLE)) AS f FROM haps),
+pairs AS (SELECT a.cluster_id, a.g AS i, b.g AS j, list_sort(list_concat(a.paths, b.paths)) AS subset, a.f + b.f + CASE WHEN a.g = b.g THEN 0 ELSE ln(2.0::DOUBLE) END AS prior FROM freq a JOIN freq b ON a.cluster_id = b.cluster_id AND a.g <= b.g),
+base AS (SELECT cluster_id, sum(read_count * ln(noise_prob)) AS ll FROM (SELECT DISTINCT cluster_id, read_class_id, read_count, noise_prob FROM probs) GROUP BY 1),
+hit AS (SELECT p.cluster_id, p.i, p.j, r.read_class_id, any_value(r.read_count) AS c, any_value(r.noise_prob) AS n, sum(CASE WHEN r.g = p.i AND r.g = p.j THEN r.pn ELSE r.pn / 2 END) AS s FROM pairs p JOIN scaled r ON r.cluster_id = p.cluster_id AND r.g IN (p.i, p.j) GROUP BY 1, 2, 3, 4),
+ll AS (SELECT p.cluster_id, p.i, p.j, any_value(p.subset) AS subset, any_value(p.prior) + any_value(b.ll) + coalesce(sum(h.c * (ln(h.n + h.s) - ln(h.n))), 0) AS l FROM pairs p JOIN base b USING (cluster_id) LEFT JOIN hit h USING (cluster_id, i, j) GROUP BY 1, 2, 3),
+post AS (SELECT *, exp(l - m) / sum(exp(l - m)) OVER (PARTITION BY cluster_id) AS p FROM (SELECT *, max(l) OVER (PARTITION BY cluster_id) AS m FROM ll) WHERE l >= m + ln(0.001)),
+subsets AS (SELECT *, row_number() OVER () AS sid FROM (SELECT cluster_id, subset, sum(p) / sum(sum(p)) OVER (PARTITION BY cluster_id) AS weight FROM post WHERE p >= 0.001 GROUP BY 1, 2) WHERE weight >= 0.001),
+own AS (SELECT s.sid, p.read_class_id, p.read_count, p.noise_prob, p.path_id, p.prob / sum(p.prob) OVER (PARTITION BY s.sid, p.read_class_id) * (1 - p.noise_prob) AS prob FROM subsets s JOIN probs p ON p.cluster_id = s.cluster_id AND list_contains(s.subset, p.path_id))"""
+
+
+@query("WITH RECURSIVE " + PROBS + ", " + NESTED + ", " + em_sql("SELECT sid AS cluster_id, read_class_id, read_count, path_id, prob FROM own UNION ALL SELECT DISTINCT s.sid, read_class_id, read_count, -1, noise_prob FROM subsets s JOIN probs p ON p.cluster_id = s.cluster_id") + """,
+each AS (SELECT DISTINCT cluster_id, sid, weight, unnest(subset) AS path_id FROM subsets)
+SELECT e.cluster_id, e.path_id, round(sum(weight), 5) AS posterior, round(sum(weight * CASE WHEN share >= 1e-8 THEN share * t ELSE 0 END), 2) AS read_count FROM each e LEFT JOIN em ON em.cluster_id = e.sid AND em.path_id = e.path_id LEFT JOIN total ON total.cluster_id = e.sid GROUP BY 1, 2""")
+def nested_collapsed(spark, sf):
+    """Likely pairs of haplotypes first, then EM over the paths of each, weighted."""
+    own = members(spark, sf).select("cluster_id", "path_id", "source_count", "group_id", "source_ids")
+    out = inference.path_abundances(inference.infer(path_probs_of(spark, sf), own, EngineConfig(model="haplotype-transcripts", path_info=True)))
+    return out.select("cluster_id", "path_id", F.round("posterior", 5).alias("posterior"), F.round("read_count", 2).alias("read_count"))
+
+
+@query("""WITH m AS (SELECT s_suppkey % 5 AS cluster_id, s_suppkey AS path_id, s_suppkey // 10 AS transcript, 1000 + s_suppkey AS length, 100 + 7 * (s_suppkey % 13) AS e, 1 + s_suppkey % 3 AS w FROM supplier)
+SELECT cluster_id, CAST(transcript AS VARCHAR) AS name, min(path_id) AS path_id, CAST(round(sum(w * length) / sum(w)) AS BIGINT) AS length, round(sum(w * e) / CAST(sum(w) AS DOUBLE), 9) AS effective_length, CAST(sum(w) AS BIGINT) AS source_count FROM m GROUP BY 1, transcript""")
+def collapsed_paths(spark, sf):
+    """Paths of a transcript in a cluster as one, lengths weighted by the haplotypes."""
+    own = members(spark, sf).withColumn("transcript", F.col("group_id").cast("string")).withColumn("length", 1000 + F.col("path_id"))
+    return clusters.collapsed(own).select("cluster_id", "name", "path_id", "length", F.round("effective_length", 9).alias("effective_length"), "source_count")
+
+
+@query("WITH " + PROBS + ", t AS (SELECT sum(read_count) AS n FROM (SELECT DISTINCT cluster_id, read_class_id, read_count FROM probs)) SELECT s AS sample, CAST(n AS DOUBLE) + 7 AS total FROM t, range(1, 4) r(s)")
+def gibbs_totals(spark, sf):
+    """Every sample of the Gibbs table holds all reads, the unknown ones included; 7 reads are unaligned."""
+    own = members(spark, sf).select("cluster_id", "path_id", "source_count", "group_id", "source_ids")
+    out = stored(inference.infer(path_probs_of(spark, sf), own, EngineConfig(model="transcripts", num_gibbs_samples=3)), "gibbs")
+    rows = sinks.gibbs_table(out, members(spark, sf), 3, inference.unknown_samples(out, 3, 7))
+    each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("sample"), F.col(f"ReadCountSample_{i}").alias("n")) for i in (1, 2, 3)]))
+    return rows.select(each.alias("x")).groupBy("x.sample").agg(F.round(F.sum("x.n"), 3).alias("total"))

@@ -71,9 +71,7 @@ def run(alignments: DataFrame, nodes: DataFrame, steps: DataFrame, path_names: D
     if config.collapse:
         ids = members.groupBy("cluster_id", "transcript").agg(F.min("path_id").alias("first"))
         found = found.withColumnRenamed("path_id", "transcript").join(ids, ["cluster_id", "transcript"], "left").withColumnRenamed("first", "path_id").drop("transcript")
-        weight = F.col("source_count").cast("double")
-        members = members.groupBy("cluster_id", F.col("transcript").alias("name"), F.col("transcript")).agg(F.min("path_id").alias("path_id"), F.round(F.sum(weight * F.col("length")) / F.sum(weight)).cast("long").alias("length"), (F.sum(weight * F.col("effective_length")) / F.sum(weight)).alias("effective_length"), F.sum("source_count").alias("source_count"), F.first("group_id").alias("group_id"), F.first("source_ids").alias("source_ids"))
-        members = C.local_index(members)
+        members = C.local_index(C.collapsed(members))
     found = stored(probs.merge_identical(found, config.prob_precision), "probs")
     result = stored(inference.infer(found, members.select("cluster_id", "path_id", "source_count", "group_id", "source_ids"), config), "estimates")
 

@@ -404,11 +404,6 @@ def _model(spark, sf, **settings):
     return inference.infer(path_probs_of(spark, sf), own, EngineConfig(**settings))
 
 
-@query()
-def nested_collapsed(spark, sf):
-    return inference.path_abundances(_model(spark, sf, model="haplotype-transcripts", path_info=True))
-
-
 @query()
 def nested_independent(spark, sf):
     return inference.path_abundances(_model(spark, sf, model="haplotype-transcripts", path_info=True, ind_hap_inference=True))
