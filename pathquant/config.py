@@ -14,7 +14,6 @@ SCORE_LOG_BASE = 1.383325268738
 NOISE_LOG_BASE = 1e-6
 COMPARE_PRECISION = 2.220446049250313e-16 * 100
 TRAINING_MAPQ = 30
-MAX_NOISE_SCORE_DIFF = 10
 EM_CONVERGED_ROUNDS, EM_MIN_ABUNDANCE = 10, 1e-8
 GIBBS_GAMMA_PRIOR, GIBBS_MIN_ABUNDANCE = 1.0, 1e-8
 HAPLOTYPE_CUT = 1e-8

@@ -38,8 +38,21 @@ def extend(occurrences: DataFrame, steps: DataFrame, node_id: int, is_reverse: b
     return moved.join(find(steps, node_id, is_reverse), ["path_id", "ordinal"], "left_semi")
 
 
-def locate(occurrences: DataFrame) -> DataFrame:
-    return occurrences.select("path_id").distinct()
+def locate(occurrences: DataFrame, bidirectional: bool = False) -> DataFrame:
+    """Paths of occurrences; those in an index of both orientations are the paths themselves."""
+    found = folded(occurrences) if bidirectional else occurrences
+    return found.select("path_id").distinct()
+
+
+def both_orientations(steps: DataFrame) -> DataFrame:
+    """The index of both orientations: path i is 2 i as it is, and 2 i + 1 walked the other way."""
+    own = steps.select((F.col("path_id") * 2).alias("path_id"), "ordinal", "node_id", "is_reverse")
+    return own.unionByName(reverse_complement(steps).select((F.col("path_id") * 2 + 1).alias("path_id"), "ordinal", "node_id", "is_reverse"))
+
+
+def folded(rows: DataFrame) -> DataFrame:
+    """rows of an index of both orientations with the ids of the paths themselves."""
+    return rows.withColumn("path_id", F.shiftright("path_id", 1))
 
 
 def out_edges(steps: DataFrame) -> DataFrame:

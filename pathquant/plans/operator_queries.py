@@ -519,3 +519,10 @@ def gibbs_totals(spark, sf):
     rows = sinks.gibbs_table(out, members(spark, sf), 3, inference.unknown_samples(out, 3, 7))
     each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("sample"), F.col(f"ReadCountSample_{i}").alias("n")) for i in (1, 2, 3)]))
     return rows.select(each.alias("x")).groupBy("x.sample").agg(F.round(F.sum("x.n"), 3).alias("total"))
+
+
+@query("WITH " + STEPS + ", b AS (SELECT path_id, node_id, is_reverse FROM steps UNION ALL SELECT path_id, node_id, NOT is_reverse FROM steps) SELECT DISTINCT path_id FROM b WHERE node_id % 50 = 11 AND NOT is_reverse")
+def bidirectional_locate(spark, sf):
+    """Paths that visit some nodes in either orientation, found in one orientation of an index of both."""
+    both = paths.both_orientations(steps(spark, sf))
+    return paths.locate(both.where("node_id % 50 = 11 AND NOT is_reverse"), bidirectional=True)

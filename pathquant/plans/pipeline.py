@@ -44,11 +44,16 @@ def pre_fragments(alignments: DataFrame, config: EngineConfig) -> FragmentDist:
 
 
 def run(alignments: DataFrame, nodes: DataFrame, steps: DataFrame, path_names: DataFrame, config: EngineConfig, path_info: DataFrame | None = None, bidirectional: bool = False) -> Result:
-    """alignments: read_id, mate and a path or subpaths; nodes(node_id, length); steps(path_id, ordinal, node_id, is_reverse); path_names(path_id, name)."""
+    """alignments: read_id, mate and a path or subpaths; nodes(node_id, length); steps(path_id, ordinal, node_id, is_reverse); path_names(path_id, name).
+
+    Bidirectional: the paths are indexed in both orientations, reads are searched in one, and what is found is folded.
+    """
     pre = pre_fragments(alignments, config)
-    placed = stored(paths.with_offsets(steps, nodes).withColumn("node", F.col("node_id") * 2 + F.col("is_reverse").cast("int")), "steps")
+    indexed = paths.both_orientations(steps) if bidirectional else steps
+    placed = stored(paths.with_offsets(indexed, nodes).withColumn("node", F.col("node_id") * 2 + F.col("is_reverse").cast("int")), "steps")
     usable = readers.has_path(alignments)
-    rows = stored(matching.alignment_rows(usable, placed, config, pre.max_length, bidirectional, nodes), "rows")
+    found = matching.alignment_rows(usable, placed, config, pre.max_length, bidirectional, nodes)
+    rows = stored(paths.folded(found).distinct() if bidirectional else found, "rows")
     lost = matching.unaligned(alignments, rows).first()["unaligned"]
 
     dist = pre
@@ -61,7 +66,7 @@ def run(alignments: DataFrame, nodes: DataFrame, steps: DataFrame, path_names: D
     classes = stored(matching.read_classes(rows), "classes")
     names = readers.with_path_info(path_names, path_info)
     lengths = paths.effective_lengths(paths.path_lengths(steps, nodes), dist, config.long_reads)
-    components = stored(C.path_components(path_names, classes, placed if config.node_clusters else None, bidirectional), "placed")
+    components = stored(C.path_components(path_names, classes, steps if config.node_clusters else None, bidirectional), "placed")
     members = C.local_index(C.ranked(components, classes).join(names, "path_id").join(lengths, "path_id"))
     members = stored(members, "members")
 

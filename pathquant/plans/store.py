@@ -33,9 +33,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
+def stored_tables() -> int:
+    """How many tables this process has stored so far."""
+    return len(_written)
+
+
+def remove_stored(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables that this process has stored, or those after a number of them. Call it once results are written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in _written[since:]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    del _written[since:]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns the written table: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 import json
 import math
+from pathlib import Path
+
 
 import numpy as np
 import pytest
@@ -329,6 +331,31 @@ def test_large_clusters_are_estimated_by_joins(world, monkeypatch):
         assert large[r["Name"]]["ReadCount"] == pytest.approx(r["ReadCount"], abs=1e-6) and large[r["Name"]]["ClusterID"] == r["ClusterID"]
 
 
+def test_bidirectional_index(world):
+    """Searching one orientation of reads in both of the paths gives what searching both of the reads gives."""
+    from pathquant.operators import paths
+
+    _, reads, nodes, steps, names, _, _ = world
+    turned = paths.reverse_complement(steps).unionByName(steps.where("path_id = 9"))  # reads lie on the other strand of the paths
+    for own in (steps, turned):
+        out = [pipeline.run(reads, nodes, own, names, EngineConfig(model="transcripts", path_node_cluster=True), bidirectional=b) for b in (False, True)]
+        one, two = ({r["Name"]: r["ReadCount"] for r in o.tables["abundances"].collect()} for o in out)
+        assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=1e-6) for k in one) and one["b"] > 70
+        assert out[0].unaligned == out[1].unaligned == 1
+
+
+def test_stored_tables_can_be_removed(spark):
+    from pathquant.plans import store
+
+    before = store.stored_tables()
+    table = store.stored(spark.range(3).toDF("x"), "gone")
+    assert table.count() == 3
+    path = store._written[-1].removeprefix("file:")
+    assert Path(path).exists()
+    store.remove_stored(spark, before)
+    assert store.stored_tables() == before and not Path(path).exists()
+
+
 def test_command_line(world):
     from pathquant.__main__ import main, parser
 
