@@ -71,12 +71,15 @@ def containment(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
     def of(rows: DataFrame, spelled: bool = False) -> DataFrame:
         """(doc_id, k, h) of every shingle, or with its words; the words of a text are cut out once."""
         cut = rows.select("doc_id", words(F.col("text")).alias("ws"))
-        parts = [cut.select("doc_id", F.lit(size).alias("k"), F.explode(shingles(F.col("ws"), size, spelled)).alias("s")) for size in lengths]
-        parts = [p.select("doc_id", "k", "s.h", "s.words") if spelled else p.withColumnRenamed("s", "h") for p in parts]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out
+
+        def tagged(n: int):
+            return F.transform(shingles(F.col("ws"), n, spelled), lambda s: F.struct(F.lit(n).alias("k"), s.alias("s")))
+
+        if len(lengths) == 1:
+            each = cut.select("doc_id", F.lit(lengths[0]).alias("k"), F.explode(shingles(F.col("ws"), lengths[0], spelled)).alias("s"))
+        else:  # shingles of all lengths out of one pass
+            each = cut.select("doc_id", F.explode(F.concat(*map(tagged, lengths))).alias("x")).select("doc_id", "x.k", "x.s")
+        return each.select("doc_id", "k", "s.h", "s.words") if spelled else each.withColumnRenamed("s", "h")
 
     if not lengths:
         return base.select("doc_id").join(items.select(F.col(item_id_col).alias("item_id")), F.lit(False)).select(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_id_col), F.lit(0).cast("long").alias("item_shingles"), F.lit(0).cast("long").alias("shared"))
