@@ -42,10 +42,11 @@ GROUPS_OF = {t: [g for g, (a, b) in MEMBERS.items() if t in a | b] for t in "li
 ARTICLE, AGAINST, LAYOUT = 3.0, 0.02, 0.05  # factors of a path's score
 ELEMENTS = frozenset("nav footer aside form menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in class names and ids; those of the second kind also name parts of an article.
+#: Words in class names and ids. Those of the last kind also name the head of an article.
 WORDS = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login menu menus nav navbar navigation breadcrumb breadcrumbs comment comments commentlist discussion reply replies respond disqus pagination pager copyright".split())
-LAYOUT_WORDS = frozenset("header masthead footer sidebar sidebars banner notice notices alert widget widgets related recommended share sharing social toolbar disclaimer".split())
-ABOUT = frozenset("content article post entry main body story text page has with without no is".split())
+LAYOUT_WORDS = frozenset("footer sidebar sidebars notice notices alert widget widgets related recommended share sharing social toolbar disclaimer".split())
+HEAD_WORDS = frozenset("header masthead banner".split())
+ABOUT, NOT = frozenset("article post entry story title".split()), frozenset("has with without no is".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 INNER = HEADINGS | frozenset("p li ul ol dl dt dd tr tbody thead tfoot table blockquote pre figure figcaption caption address hgroup summary center".split())
@@ -77,11 +78,11 @@ def _name_factor(tag: str, value: str) -> float:
     out = 1.0
     for name in value.split():
         words = {name.lower()} if tag == "p" else {w.lower() for w in NAME.findall(name)} | {name.lower()}
-        if words & {"has", "with", "without", "no", "is"}:
+        if words & NOT:
             continue
         if words & WORDS:
             out = min(out, AGAINST)
-        elif words & LAYOUT_WORDS and not words & ABOUT:
+        elif words & LAYOUT_WORDS or words >= {"side", "bar"} or words & HEAD_WORDS and not words & ABOUT:
             out = min(out, LAYOUT)
     return out
 
@@ -304,7 +305,7 @@ def content_blocks(page: Page) -> list[int]:
             continue
         elif whole or first < i < last or i < first and tag in HEADINGS or i > last and tag in LISTED:
             kept.append(i)
-    if not any(page.tag[page.element[i]] == "h1" for i in kept):
+    if page.tag[page.element[kept[0]]] not in ("h1", "h2") and not any(page.tag[page.element[i]] == "h1" for i in kept):
         ancestors, e = set(), page.parent[container]
         while e > 0:
             ancestors.add(e)

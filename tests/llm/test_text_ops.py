@@ -174,6 +174,8 @@ PAGES = {
     "two articles and a sidebar": (f"<body><main><article>{P * 4}</article><article>{P}</article></main><aside>{P}</aside></body>", [LONG] * 5),
     "lines in a div": ("<body><div class='nav'>a b c</div><div>" + f"{LONG}<br>" * 3 + "</div><div>imprint</div></body>", [LONG] * 3),
     "comments in an article": (f"<body><article><h1>A</h1>{P * 3}<div class='comments'><div class='comment'>{P * 4}</div></div><div class='post-comments'>{P * 3}</div></article><footer>{P}</footer></body>", ["A", LONG, LONG, LONG]),
+    "names of parts of the page": (f"<body><div class='page-header'><h1>Site</h1>{P}</div><div class='side-bar'>{P}</div><div class='post-header'><h2>T</h2></div><div class='post'>{P * 3}</div><div class='post-footer'>{P}</div></body>", [LONG, LONG, LONG]),
+    "a headline of the site": (f"<body><div id=top><h1>Site</h1></div><div><h2>Title</h2>{P * 3}</div></body>", ["Title", LONG, LONG, LONG]),
     "a table": (f"<body><table><tr><td><a href=1>m</a><td>{P * 2}</table></body>", [LONG, LONG]),
 }
 
