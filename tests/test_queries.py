@@ -41,3 +41,40 @@ def test_gibbs_haplotypes_reads_every_class(spark):
     drawn = {(r["cluster_id"], r["paths"]): r["posterior"] for r in QUERIES["gibbs_haplotypes"](spark, SF).collect()}
     assert {k for k, v in drawn.items() if v > 0.1} == {k for k, v in exact.items() if v > 0.1}
     assert all(abs(drawn.get(k, 0.0) - exact.get(k, 0.0)) < 0.08 for k in drawn | exact)
+
+
+def test_queries_without_sql_keep_their_sums(spark):
+    """What the queries without SQL must give: all reads, a million TPM, posteriors of 1, and a fit that no near one beats."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from pathquant.functions import fragments, mathfn
+    from pathquant.plans.queries import align_rows, fragment_rows, genes
+
+    out = QUERIES["haplotype_transcripts"](spark, SF).agg(F.sum("ReadCount"), F.sum("TPM")).first()
+    pairs = genes(spark, SF)[0].select("read_id").distinct().count()
+    assert out[0] == pytest.approx(pairs) and out[1] == pytest.approx(1e6)
+
+    reads = align_rows(spark, SF).select("cluster_id", "read_class_id", "read_count").distinct()
+    total = {r["cluster_id"]: r["n"] for r in reads.groupBy("cluster_id").agg(F.sum("read_count").alias("n")).collect()}
+    sums = {r["cluster_id"]: r["n"] for r in QUERIES["nested_independent"](spark, SF).groupBy("cluster_id").agg(F.sum("read_count").alias("n")).collect()}
+    assert sums.keys() == total.keys() and all(0.5 * total[c] < sums[c] <= total[c] + 1e-6 for c in total)
+
+    drawn = QUERIES["gibbs_counts"](spark, SF).agg(*[F.sum(f"ReadCountSample_{i}") for i in (1, 2, 3)]).first()
+    assert all(x == pytest.approx(sum(total.values())) for x in drawn)
+    shares = QUERIES["gibbs_haplotypes"](spark, SF).groupBy("cluster_id").agg(F.sum("posterior").alias("p")).collect()
+    assert all(r["p"] == pytest.approx(1, abs=1e-3) for r in shares)
+
+    fit = QUERIES["skew_normal_fit"](spark, SF).first()
+    hist = fragments.histogram(fragment_rows(spark, SF), 100_000).collect()
+    x, n = (np.array([r[c] for r in hist], dtype=float) for c in ("frag_length", "n"))
+
+    def likelihood(*p):
+        return float((n * mathfn.log_skew_normal_pdf(x, *p)).sum())
+
+    best = likelihood(*fit)
+    for i in range(3):
+        for step in (-0.01, 0.01):
+            p = list(fit)
+            p[i] += step * max(1.0, abs(p[i]))
+            assert likelihood(*p) <= best + 1e-4 * abs(best)  # the data begin at 0: the likelihood rises without end, ever less, with the shape
