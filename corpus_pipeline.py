@@ -59,12 +59,11 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     plain, name = numbered(docs)
     rows = keyed(plain)
-    groups = stored(jaccard.jaccard_components(rows, k=5, num=80, den=100, id_col=ROW, text_col=name["text"]).select(ROW, "component_id"), "pipeline-groups")
-    large = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    members = groups.join(large, "component_id").join(rows.select(ROW, F.col(name["doc_id"]).alias("id")), ROW)
+    groups = jaccard.jaccard_components(rows, k=5, num=80, den=100, id_col=ROW, text_col=name["text"]).select(ROW, "component_id")
+    placed = stored(groups.join(rows.select(ROW, F.col(name["doc_id"]).alias("id")), ROW), "pipeline-groups")
     order = F.struct(F.col("id").isNull().alias("none"), "id", ROW)
-    first = members.groupBy("component_id").agg(F.min(order)[ROW].alias("first"))
-    copies = members.join(first, "component_id").where(F.col(ROW) != F.col("first")).select(ROW)
+    first = placed.groupBy("component_id").agg(F.min(order)[ROW].alias(ROW))
+    copies = placed.select(ROW).join(first.select(ROW), ROW, "left_anti")  # by row: a large group is no hot key
     return rows.join(copies, ROW, "left_anti").select(*plain.columns).toDF(*docs.columns)
 
 
