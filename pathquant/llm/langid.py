@@ -26,7 +26,7 @@ from pathquant.llm.shingles import Segments, grown, text_chunks, word_spans
 
 FIT_DOCS = 1_000  # documents per language that the fit reads, about
 ROUNDS = 2  # of expectation-maximisation
-WORDS, WORD_BYTES = 1_000_000, 1 << 26  # words that a worker keeps, and their bytes; at more it starts anew, so memory is bounded
+WORDS, WORD_BYTES = 450_000, 1 << 26  # words that a worker keeps, and their bytes; at more it starts anew, so memory is bounded
 ROWS = 512  # documents scored at a time
 TOP = 1e250  # the largest value that the forward pass is scaled to: leaves room below for a window of rare bytes
 CELLS = 1 << 21  # cells of the tables in which the fit handles long words
