@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from pathquant.llm import decontamination, hamming, html_text, jaccard, langid, mixing, sharding, token_counts, token_output, warc
+from pathquant.llm import decontamination, hamming, html_text, jaccard, langid, mixing, packing, periodic, sharding, token_counts, token_output, warc, whitening
 
 QUERIES = {
     "op1_orc_token_ids": token_output.op1_orc_token_ids,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_multi_index_hashing": hamming.op8_multi_index_hashing,
     "op9_segmentation_marginalised_unigrams": langid.op9_segmentation_marginalised_unigrams,
     "op10_gzip_normaliser": warc.op10_gzip_normaliser,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_best_fit_packing": packing.op13_best_fit_packing,
 }
 ORACLE = {
     "op4_weighted_fair_queueing": mixing.ORACLE,
