@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pathquant.llm.common import stored
 
-BROADCAST_ROWS = 500_000  # shingles of items (some 100 bytes each, with their words) that are broadcast at most; beyond, Spark shuffles
+BROADCAST_BYTES = 64 << 20  # of item shingles that are broadcast at most, with their words; beyond, Spark shuffles
 
 
 def words(text):
@@ -35,7 +35,7 @@ def shingles(ws, k: int, spelled: bool = False):
 
 
 def _item_shingles(items: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(item_id, k, h, words, n): distinct shingles of each item and their number."""
+    """(item_id, k, h, words): the distinct shingles of each item. Rows that repeat an id may have shingles of several lengths."""
     ws = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("ws")).where(F.size("ws") > 0)
     parts = []
     for size in range(1, k + 1):
@@ -44,7 +44,7 @@ def _item_shingles(items: DataFrame, id_col: str, text_col: str, k: int) -> Data
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.distinct().withColumn("n", F.count("*").over(Window.partitionBy("item_id", "k")))
+    return out.distinct()
 
 
 def containment(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -54,16 +54,20 @@ def containment(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", te
     id are taken as one document, or item, with all their shingles. Null ids are not reported. Empty tables
     give an empty result. Other columns are not read. Texts are read whole, however long; all their shingles are looked up.
     """
-    full = stored(_item_shingles(items.where(F.col(item_id_col).isNotNull()), item_id_col, item_text_col, k), "decontam-items")
+    each = stored(_item_shingles(items.where(F.col(item_id_col).isNotNull()), item_id_col, item_text_col, k), "decontam-shingles")
+    # an item's size counts its shingles of all lengths, and one sketch is drawn from all of them
+    full = stored(each.join(each.groupBy("item_id").agg(F.count("*").alias("n")), "item_id"), "decontam-items")
     # partitions by powers of two of the size; within one, every sketch is as long as its largest item needs
     band = F.floor(F.log2(F.col("n"))).cast("int")
     most = (F.pow(F.lit(2), band + 1) - 1).cast("long")
     length = most - F.ceil(most * num / F.lit(den)) + 1
-    place = F.row_number().over(Window.partitionBy("item_id", "k").orderBy("h", "words"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("h", "words"))
     sketch = stored(full.withColumn("band", band).withColumn("place", place).where(F.col("place") <= length).select("k", "h", "item_id"), "decontam-sketch")
 
     def sized(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+        spelled = F.sum(F.octet_length("words")) if "words" in df.columns else F.lit(0)
+        rows, held = df.agg(F.count("*"), F.coalesce(spelled, F.lit(0))).first()
+        return F.broadcast(df) if 80 * rows + held <= BROADCAST_BYTES else df
 
     lengths = sorted(r["k"] for r in sketch.select("k").distinct().collect())  # k values at most
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -96,11 +100,12 @@ def op7_minhash_containment(spark, sf_dir):
 
 
 ORACLE = r"""
-WITH i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark WHERE text IS NOT NULL),
-d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL),
-si AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 3), lambda j: array_to_string(ws[j:j+4], ' '))) AS h FROM i WHERE len(ws) >= 5),
-sd AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda j: array_to_string(ws[j:j+4], ' '))) AS h FROM d WHERE len(ws) >= 5),
+WITH i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+ik AS (SELECT item_id, ws, least(5, len(ws)) AS k FROM i WHERE len(ws) > 0),
+si AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda j: array_to_string(ws[j:j+k-1], ' '))) AS h FROM ik),
+sd AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda j: array_to_string(ws[j:j+k-1], ' '))) AS h FROM d, (SELECT DISTINCT k FROM si) WHERE len(ws) >= k),
 n AS (SELECT item_id, count(*) AS n FROM si GROUP BY item_id)
 SELECT doc_id, item_id, CAST(any_value(n) AS BIGINT) AS item_shingles, CAST(count(*) AS BIGINT) AS shared
-FROM sd JOIN si USING (h) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n)
+FROM sd JOIN si USING (k, h) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n)
 """

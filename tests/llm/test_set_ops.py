@@ -395,3 +395,50 @@ def test_sign_code_takes_whole_vectors(spark):
     long = spark.createDataFrame([(1, [1.0] * 65)], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="at most 64 numbers"):
         long.select(hamming.sign_code(F.col("embedding")).alias("code")).collect()
+
+
+def brute_containment(docs, items, k=5, num=80, den=100):
+    """Pairs by sets of word tuples: an item's are those of all its rows, each row's as long as it can give."""
+
+    def words(text):
+        return [w for w in re.split(r"[^\w]+|_", (text or "").lower()) if w]
+
+    def shingles(ws, n):
+        return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)}
+
+    own, held = {}, {}
+    for i, t in items:
+        ws = words(t)
+        if i is not None and ws:
+            own.setdefault(i, set()).update(shingles(ws, min(k, len(ws))))
+    for d, t in docs:
+        if d is not None:
+            held.setdefault(d, set()).update(*[shingles(words(t), n) for n in range(1, k + 1)])
+    return sorted((d, i, len(s), len(s & h)) for d, h in held.items() for i, s in own.items() if den * len(s & h) >= num * len(s))
+
+
+@pytest.mark.parametrize("most", [decontamination.BROADCAST_BYTES, 0])
+def test_containment_of_items_in_several_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
+    rng = random.Random(11)
+    items = [(7, "a b"), (7, "c d e f g h i"), (8, "x"), (8, "y z"), (8, "p q r s t u"), (9, "one two three four five six seven eight nine ten"), (9, "one two"), (None, "k l"), (10, None), (11, "a"), (11, "a")]
+    docs = [(1, "a b c d e f g h i"), (2, "zz a b yy"), (3, "x y z p q r s t u"), (4, "x y z"), (5, "a"), (6, None), (None, "a b c d e f g h i"), (7, "one two three four five six seven eight nine ten"), (7, "a b")]
+    pool = [t for _, t in items if t]
+    docs += [(100 + n, " ".join(rng.choice(pool) for _ in range(rng.randrange(1, 5)))) for n in range(60)]
+    got = decontamination.containment(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == brute_containment(docs, items)
+    assert (1, 7, 4, 4) in rows and not any(d == 2 and i == 7 for d, i, _, _ in rows)
+
+
+def test_containment_sql_covers_short_items(spark, tmp_path):
+    docs = [(1, "a b c d e f g h i"), (2, "zz a b yy"), (3, "b a"), (4, None), (5, "Hello, World! again and again")]
+    items = [(1, "a b"), (2, "c d e f g h i"), (3, "hello world"), (4, "again"), (5, "")]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.sql(ORACLE["op7_minhash_containment"])
+    got = QUERIES["op7_minhash_containment"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()) == brute_containment(docs, items)
