@@ -5,8 +5,9 @@ learned by expectation-maximisation from word counts; the probability of a word
 segmentations into pieces, by the forward algorithm, and that of a text is the product over its words. As
 no piece holds white space, this is the sum over all segmentations of the whole text.
 
-Only the fit uses a sample: about ``fit_docs`` documents per language, chosen by a hash of the id. Every
-document is scored on its whole text.
+Only the fit uses a sample: about ``fit_docs`` documents per language, chosen by a hash of the id. Its expectation
+steps run in tasks over the distinct words. Every document is scored on its whole text, in time proportional to it, however
+long its words are.
 """
 
 from __future__ import annotations
@@ -22,18 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathquant.llm.encoding import byte_alphabet, default_path
+from pathquant.llm.common import stored
+from pathquant.llm.segmentations import TOP, Trie, expected, log_sums
 from pathquant.llm.shingles import Segments, grown, text_chunks, word_spans
 
 FIT_DOCS = 1_000  # documents per language that the fit reads, about
 ROUNDS = 2  # of expectation-maximisation
 WORDS, WORD_BYTES = 450_000, 1 << 26  # words that a worker keeps, and their bytes; at more it starts anew, so memory is bounded
 ROWS = 512  # documents scored at a time
-TOP = 1e250  # the largest value that the forward pass is scaled to: leaves room below for a window of rare bytes
-CELLS = 1 << 21  # cells of the tables in which the fit handles long words
+FIT_ROWS = 2_000  # distinct words of the fit handled at a time
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> tuple[dict[bytes, int], dict[bytes, int], int, int]:
+def pieces(path: str) -> Tables:
     """Pieces inside a word, pieces that end one, their number and the bytes of the longest. Every byte is a piece of either kind."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
@@ -50,13 +52,13 @@ def pieces(path: str) -> tuple[dict[bytes, int], dict[bytes, int], int, int]:
             if bytes([b]) not in table:
                 table[bytes([b])] = n
                 n += 1
-    return inner, final, n, max(len(x) for x in (*inner, *final))
+    return Tables((inner, final, n, max(len(x) for x in (*inner, *final))))
 
 
-def _edges(words: list[bytes], n: int, tables, backward: bool = False):
+def _edges(words: list[bytes], n: int, tables):
     """For words of n bytes: (start, end, piece ids of the words, -1 where there is none), by end."""
     inner, final, _, window = tables
-    for end in range(n, 0, -1) if backward else range(1, n + 1):
+    for end in range(1, n + 1):
         table = final if end == n else inner
         for start in range(max(0, end - window), end):
             ids = np.fromiter((table.get(w[start:end], -1) for w in words), dtype=np.int64, count=len(words))
@@ -64,65 +66,57 @@ def _edges(words: list[bytes], n: int, tables, backward: bool = False):
                 yield start, end, ids
 
 
+@lru_cache(maxsize=2)
+def _trie(tables) -> Trie:
+    return Trie(tables[0], tables[1])
+
+
+class Tables(tuple):
+    """What ``pieces`` returns; equal only to itself, so that a trie of it can be kept."""
+
+    __hash__, __eq__ = object.__hash__, object.__eq__
+
+
 def forward(words: list[bytes], probs: np.ndarray, tables) -> np.ndarray:
-    """Log probability of each word under each language; words must not be empty. probs: pieces + 1 zero row, by language."""
+    """Log probability of each word under each language; words must not be empty. probs: pieces + 1 zero row, by language.
+
+    Words of up to the bytes of the longest piece are summed by length, longer ones in parts (see ``segmentations``).
+    """
     out, window = np.zeros((len(words), probs.shape[1])), tables[3]
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
+        by_length.setdefault(min(len(w), window + 1), []).append(i)
+    long = by_length.pop(window + 1, [])
     for n, rows in by_length.items():
         own = [words[i] for i in rows]
-        alpha = {0: np.full((len(rows), probs.shape[1]), TOP)}
-        scale = np.full((len(rows), probs.shape[1]), -np.log(TOP))
+        alpha = np.zeros((n + 1, len(rows), probs.shape[1]))
+        alpha[0] = TOP
         for start, end, ids in _edges(own, n, tables):
-            if end not in alpha:
-                if end > 1 and (end - 1) % window == 0:  # keep long words in range
-                    most = np.maximum(np.max([alpha[k] for k in range(max(0, end - window), end)], axis=0), 1e-300)
-                    for k in range(max(0, end - window), end):
-                        alpha[k] = alpha[k] / most * TOP
-                    scale += np.log(most) - np.log(TOP)
-                alpha[end] = np.zeros((len(rows), probs.shape[1]))
-                alpha.pop(end - window - 1, None)
             alpha[end] += alpha[start] * probs[ids]
         with np.errstate(divide="ignore"):
-            out[rows] = np.log(alpha[n]) + scale
+            out[rows] = np.log(alpha[n]) - np.log(TOP)
+    if long:
+        out[long] = log_sums([words[i] for i in long], probs, _trie(tables), window)
     return out
 
 
 def _expected(words: list[bytes], counts: np.ndarray, probs: np.ndarray, tables) -> np.ndarray:
-    """Expected piece counts, by language, of words with counts by language. Words longer than any piece are summed as logarithms."""
-    total = np.zeros_like(probs)
+    """Expected piece counts, by language, of words with counts by language."""
+    total, window = np.zeros_like(probs), tables[3]
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    with np.errstate(divide="ignore"):
-        logs = np.log(probs)
+        by_length.setdefault(min(len(w), window + 1), []).append(i)
+    long = by_length.pop(window + 1, [])
 
     def add(ids, value):
         for k in range(probs.shape[1]):
             total[:, k] += np.bincount(np.where(ids < 0, len(probs) - 1, ids), weights=value[:, k], minlength=len(probs))
 
     for n, rows in by_length.items():
-        if n > tables[3]:
-            step = max(1, CELLS // ((n + 1) * probs.shape[1]))
-            for low in range(0, len(rows), step):
-                part = rows[low : low + step]
-                own, weight = [words[i] for i in part], counts[part]
-                alpha, beta = np.full((2, n + 1, len(part), probs.shape[1]), -np.inf)
-                alpha[0] = beta[n] = 0
-                for start, end, ids in _edges(own, n, tables):
-                    alpha[end] = np.logaddexp(alpha[end], alpha[start] + logs[ids])
-                for start, end, ids in _edges(own, n, tables, backward=True):
-                    beta[start] = np.logaddexp(beta[start], beta[end] + logs[ids])
-                for start, end, ids in _edges(own, n, tables):
-                    add(ids, np.exp(alpha[start] + logs[ids] + beta[end] - alpha[n]) * weight)
-            continue
         own, weight = [words[i] for i in rows], counts[rows]
         edges = list(_edges(own, n, tables))
-        alpha = [np.zeros((len(rows), probs.shape[1])) for _ in range(n + 1)]
-        beta = [np.zeros((len(rows), probs.shape[1])) for _ in range(n + 1)]
-        alpha[0] += 1
-        beta[n] += 1
+        alpha, beta = np.zeros((2, n + 1, len(rows), probs.shape[1]))
+        alpha[0] = beta[n] = 1
         for start, end, ids in edges:
             alpha[end] += alpha[start] * probs[ids]
         for start, end, ids in sorted(edges, key=lambda e: -e[0]):
@@ -130,6 +124,8 @@ def _expected(words: list[bytes], counts: np.ndarray, probs: np.ndarray, tables)
         share = np.divide(weight, alpha[n], out=np.zeros_like(alpha[n]), where=alpha[n] > 0)
         for start, end, ids in edges:
             add(ids, alpha[start] * probs[ids] * beta[end] * share)
+    if long:
+        expected([words[i] for i in long], counts[long], probs, _trie(tables), window, add)
     total[-1] = 0
     return total
 
@@ -138,9 +134,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """Languages and piece probabilities (pieces + 1 zero row, by language), from labelled rows.
 
     fit_docs bounds the sample per language; a language with fewer documents gives all of them. Rows with a
-    null language, text or id are not used.
+    null language, text or id are not used. The driver handles one row per language and per piece, whatever the texts.
     """
-    tables = pieces(vocabulary or default_path("word_bpe_49k.json"))
+    spark, path = docs.sparkSession, vocabulary or default_path("word_bpe_49k.json")
+    tables = pieces(path)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
     langs = sorted(sizes)
@@ -148,23 +145,43 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         return [], np.zeros((tables[2] + 1, 0))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     limit = F.create_map([x for k in langs for x in (F.lit(k), F.lit(int(min(1, fit_docs / sizes[k]) * (1 << 30))))])
-    words = rows.where(place < F.element_at(limit, F.col("lang"))).select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word != ''").groupBy("lang", "word").count()
-    table = words.toArrow()  # bounded by the sample
-    at = {k: i for i, k in enumerate(langs)}
-    index: dict[bytes, int] = {}
-    where = [index.setdefault(w.encode(), len(index)) for w in table.column("word").to_pylist()]
-    counts = np.zeros((len(index), len(langs)))
-    np.add.at(counts, (where, [at[k] for k in table.column("lang").to_pylist()]), table.column("count").to_numpy())
+    words = rows.where(place < F.element_at(limit, F.col("lang"))).select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word != ''")
+    counts = words.groupBy("word").agg(F.array(*[F.count(F.when(F.col("lang") == k, 1)).cast("double") for k in langs]).alias("counts"))
+    counts = stored(counts.repartition(2 * spark.sparkContext.defaultParallelism, "word"), "langid-words")
     probs = np.full((tables[2] + 1, len(langs)), 1 / tables[2])
     probs[-1] = 0
     for _ in range(rounds):
-        total = _expected(list(index), counts, probs, tables)
+        total = _expected_of(counts, probs, path)
         smooth = 0.01
         probs = (total + smooth) / (total.sum(axis=0) + smooth * tables[2])
         probs[-1] = 0
     return langs, probs
 
 
+def _expected_of(counts: DataFrame, probs: np.ndarray, path: str) -> np.ndarray:
+    """Expected piece counts of a table (word, counts by language): tasks sum over words, Spark over tasks. The driver gets a row per piece."""
+    spark, langs = counts.sparkSession, probs.shape[1]
+    sent = spark.sparkContext.broadcast(probs)  # vocabulary x languages
+
+    def run(batches):
+        tables, total = pieces(path), np.zeros_like(sent.value)
+        for batch in batches:
+            for low in range(0, batch.num_rows, FIT_ROWS):
+                part = batch.slice(low, FIT_ROWS)
+                own = part.column(1).flatten().to_numpy().reshape(-1, langs)
+                total += _expected([w.encode() for w in part.column(0).to_pylist()], own, sent.value, tables)
+        ids = np.flatnonzero(total.any(axis=1))
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(total[ids].ravel()), langs).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), lists], names=["piece", "n"])
+
+    each = counts.mapInArrow(run, "piece long, n array<double>")
+    rows = each.groupBy("piece").agg(*[F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(langs)]).toArrow()
+    total = np.zeros_like(probs)
+    for k in range(langs):
+        total[rows.column("piece").to_numpy(), k] = rows.column(f"n{k}").to_numpy()
+    return total
+
+
 class Scorer:
     """Scores texts by the sums over their words; keeps the words met, found by hash and compared byte by byte, and their scores."""
 

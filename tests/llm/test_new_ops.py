@@ -292,3 +292,86 @@ def test_exact_complements_come_first():
     full = np.zeros(101, dtype=np.int64)
     full[[50, 25]] = [3, 6]
     assert sum(p.times for p in packing.plan(full)) == 3
+
+
+# --- long words in language identification
+
+
+@pytest.fixture(scope="module")
+def language_tables():
+    from pathquant.llm import langid
+
+    tables = langid.pieces(default_path("word_bpe_49k.json"))
+    probs = np.random.default_rng(0).random((tables[2] + 1, 2)) ** 6
+    probs /= probs.sum(axis=0)
+    probs[-1] = 0
+    return tables, probs
+
+
+def slow_forward(word, probs, tables):
+    alpha = [np.ones(probs.shape[1])]
+    for end in range(1, len(word) + 1):
+        ids = [(s, (tables[1] if end == len(word) else tables[0]).get(word[s:end], -1)) for s in range(max(0, end - tables[3]), end)]
+        alpha.append(sum(alpha[s] * probs[i] for s, i in ids if i >= 0))
+    return np.log(alpha[-1])
+
+
+@pytest.mark.parametrize("most", [None, 1, 2])
+def test_sums_of_long_words(language_tables, monkeypatch, most):
+    """Parts, and scanned parts, give the sums and expected counts over all segmentations."""
+    from pathquant.llm import langid, segmentations
+
+    tables, probs = language_tables
+    for name, value in (("BYTES", 90), ("PARTS", 3), ("BLOCK", 7)) if most else ():
+        monkeypatch.setattr(segmentations, name, value)
+    rng = random.Random(4)
+    words = [b"a" * 40, "日本語のテキスト".encode() * 2, b"ha" * 21, b"internationalisation" * 2, *(bytes(rng.choice(b"abcq7.") for _ in range(rng.randrange(33, 60))) for _ in range(12))]
+    window = most or tables[3]
+    trie = langid._trie(tables)
+    got = segmentations.log_sums(words, probs, trie, window)
+    assert np.allclose(got, [slow_forward(w, probs, tables) for w in words], rtol=1e-12)
+    lengths = np.zeros(len(probs))
+    for table in tables[:2]:
+        for raw, i in table.items():
+            lengths[i] = len(raw)
+    for w in words:
+        total = np.zeros_like(probs)
+
+        def add(ids, value):
+            np.add.at(total, ids, value)
+
+        segmentations.expected([w], np.array([[2.0, 3.0]]), probs, trie, window, add)
+        assert np.allclose(lengths @ total, [2 * len(w), 3 * len(w)])
+        # the derivative of the sum by a piece's probability, at a few pieces
+        for i in np.flatnonzero(total[:, 0])[:3]:
+            more = probs.copy()
+            more[i] *= 1 + 1e-6
+            rise = (slow_forward(w, more, tables) - slow_forward(w, probs, tables)) / 1e-6
+            assert np.allclose(rise * [2, 3], total[i], rtol=1e-3, atol=1e-6)
+
+
+def test_a_megabyte_without_spaces_takes_seconds(language_tables):
+    import base64
+    import time
+
+    from pathquant.llm import langid
+
+    tables, probs = language_tables
+    langid._trie(tables)
+    data = random.Random(1).randbytes(750_000)
+    start = time.time()
+    logs = langid.forward([base64.b64encode(data).lower(), data + data[:250_000]], probs, tables)
+    assert np.isfinite(logs).all() and time.time() - start < 10
+
+
+def test_fit_by_tasks_is_the_fit_of_all_words(spark, language_tables):
+    """Expected counts summed over tasks are those of all words at once; long words take part."""
+    from pathquant.llm import langid
+
+    tables, probs = language_tables
+    texts = [("the quick brown fox", "en"), ("le renard brun " + "x7" * 40, "fr"), ("the the lazy dog", "en")]
+    counts = Counter((w, k) for t, k in texts for w in t.split())
+    words = sorted({w for w, _ in counts})
+    table = spark.createDataFrame([(w, [float(counts[w, "en"]), float(counts[w, "fr"])]) for w in words], "word string, counts array<double>").repartition(3)
+    want = langid._expected([w.encode() for w in words], np.array([[counts[w, "en"], counts[w, "fr"]] for w in words], dtype=float), probs, tables)
+    assert np.allclose(langid._expected_of(table, probs, default_path("word_bpe_49k.json")), want)
