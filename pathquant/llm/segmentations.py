@@ -99,7 +99,7 @@ class Parts:
         width = int((b - a).max())
         sums, scale, now = np.zeros((width + n + 1, langs)), np.zeros((width + n + 1, langs)), np.full(langs, -np.log(TOP))
         sums[width], scale[: width + 1] = TOP, now
-        product = np.empty((width, langs))
+        product, done = np.empty((width, langs)), 0  # done: where sums were rescaled last
         for first in range(0, n, BLOCK):
             last = min(n, first + BLOCK)
             some = slice(*np.searchsorted(b, [first + 1, last + 1]))
@@ -109,12 +109,12 @@ class Parts:
                 np.multiply(sums[e : width + e], block[e - 1 - first], out=product)
                 np.add.reduce(product, axis=0, out=sums[width + e])
                 if e % CALM == 0 or e == n:
-                    scale[width + e - CALM + 1 : width + e + 1] = now
+                    scale[width + done + 1 : width + e + 1] = now
                     recent = sums[e + 1 : width + e + 1]
                     most = np.maximum(recent.max(axis=0), 1e-300)
                     recent *= TOP / most
                     now = now + np.log(most) - np.log(TOP)
-                    scale[e + 1 : width + e + 1] = now
+                    scale[e + 1 : width + e + 1], done = now, e
         return sums[width:], scale[width:]
 
     @property
