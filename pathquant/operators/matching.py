@@ -3,8 +3,8 @@
 1. ``walks`` turns an alignment (a path, or a graph of subpaths) into linear walks over oriented nodes, in both
    orientations. Paths are handled by array operations on whole batches. A graph with many walks is grown along the
    paths that visit its nodes (``surviving_chains``), so walks that no path holds are never listed.
-2. ``runs`` joins the nodes of walks with path steps. Walk index minus path ordinal is constant along a match,
-   so consecutive indexes of one diagonal form maximal runs (gaps and islands).
+2. ``runs`` collapses equal walks and joins each, on its rarest row of nodes that a match must hold, with an inverted
+   table of such rows; what is found is compared with the path around it.
 3. ``accepted`` keeps the runs that miss few bases at the ends, and charges those bases.
 4. ``single_matches`` and ``paired_matches`` turn runs into alignment rows; mates are joined on the path, as
    intervals on its coordinates.
@@ -375,27 +375,133 @@ def start_in_graph(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
     return alignments.join(lost, ["read_id", "mate"], "left_anti")
 
 
-def runs(walked: DataFrame, steps: DataFrame) -> DataFrame:
-    """Maximal matches of walks and paths: first and last walk index and ordinal, and where they lie on the path.
+#: Nodes of an anchor at most, steps of a block of a path at least, and places of one anchor that one task meets.
+ANCHOR, BLOCK, HOT = 3, 64, 10_000
+SHAPE = ["nodes", "lo", "hi"]
+GRAM = [f"n{i}" for i in range(ANCHOR)]
+
+
+def shaped(walked: DataFrame, max_partial: int) -> DataFrame:
+    """Walks with the last index ``lo`` at which a run may begin, and the first, ``hi``, at which one may end.
+
+    A run drops at most max_partial aligned bases before it, and unless a longer one hides it, after it. So every run
+    that counts holds all nodes from lo to hi, or if hi comes first at least one of those from hi to lo.
+    """
+    lo = F.size(F.filter("read_pos", lambda x: x - F.col("left_clip") <= max_partial)) - 1
+    hi = F.size(F.filter(F.slice("read_pos", 2, F.size("read_pos")), lambda x: x < F.col("length") - F.col("right_clip") - max_partial))
+    return walked.withColumn("lo", lo).withColumn("hi", hi)
+
+
+def gram_table(steps: DataFrame, sizes) -> DataFrame:
+    """The inverted table: (k, n0, n1, n2) of k nodes in a row, and where on which path they lie: first and last of them."""
+    along = Window.partitionBy("path_id").orderBy("ordinal")
+    place = F.struct(F.col("ordinal").cast("long").alias("ordinal"), F.col("cum_offset").cast("long").alias("cum_offset"), F.col("node_length").cast("int").alias("node_length"))
+    own = steps.select("path_id", "ordinal", F.col("node").cast("long").alias("n0"), place.alias("at0"))
+    if max(sizes) > 1:  # one exchange by path serves all sizes
+        own = own.select("path_id", "n0", "at0", *[F.lead(c, i).over(along).alias(f"{c[:-1]}{i}") for i in range(1, max(sizes)) for c in ("n0", "at0")])
+    none = F.lit(-1).cast("long")
+    rows = [own.where(F.col(f"n{k - 1}").isNotNull()).select(F.lit(k).alias("k"), *[F.col(g) if i < k else none.alias(g) for i, g in enumerate(GRAM)], "path_id", F.col("at0").alias("first"), F.col(f"at{k - 1}").alias("last")) for k in sorted(sizes)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out
+
+
+def anchors(shapes: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """shapes + idx, k and nodes of the anchor: of all rows of k nodes between lo and hi the one that paths hold least often.
+
+    Where hi comes before lo, each node between them is an anchor of its own. counts: how often each gram occurs, None if
+    no shape has a choice.
+    """
+    short = F.col("lo") > F.col("hi")
+    size = F.when(short, 1).otherwise(F.least(F.lit(ANCHOR), F.col("hi") - F.col("lo") + 1))
+    at = F.sequence(F.least("lo", "hi"), F.when(short, F.col("lo")).otherwise(F.col("hi") - size + 1))
+    each = shapes.withColumn("k", size).withColumn("choices", F.when(short, 1).otherwise(F.size(at))).withColumn("idx", F.explode(at))
+    each = each.select(*SHAPE, "choices", "k", "idx", *[F.when(F.lit(i) < F.col("k"), F.get("nodes", F.col("idx") + i)).otherwise(F.lit(-1)).cast("long").alias(g) for i, g in enumerate(GRAM)])
+    only = each.where("choices = 1").drop("choices")
+    if counts is None:
+        return only
+    # a gram that no path holds is the rarest: its shape then meets nothing
+    rated = each.where("choices > 1").join(counts, ["k", *GRAM], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = rated.groupBy(*SHAPE).agg(F.min(F.struct("n", "idx", "k", *GRAM)).alias("a")).select(*SHAPE, "a.k", "a.idx", *[f"a.{g}" for g in GRAM])
+    return only.unionByName(rarest)
+
+
+def blocks(steps: DataFrame, size: int) -> DataFrame:
+    """(path_id, block, first, path): steps block * size up to twice the size on, so that any stretch of that size lies in one block."""
+    step = F.struct(F.col("ordinal").cast("long").alias("ordinal"), F.col("cum_offset").cast("long").alias("cum_offset"), F.col("node_length").cast("int").alias("node_length"), F.col("node").cast("long").alias("node"))
+    own = F.floor(F.col("ordinal") / size)
+    each = steps.select("path_id", F.explode(F.when(own > 0, F.array(own, own - 1)).otherwise(F.array(own))).alias("block"), step.alias("step"))
+    return each.groupBy("path_id", "block").agg(F.array_sort(F.collect_list("step")).alias("path"))
+
+
+def _extended(candidates: DataFrame, steps: DataFrame, size: int) -> DataFrame:
+    """Candidates (shape, path_id, idx, first) as maximal runs around their anchor: nodes compared in one block of the path."""
+    start = F.col("first.ordinal") - F.col("idx")
+    placed = candidates.withColumn("start", start).withColumn("block", F.floor(F.greatest(start, F.lit(0)) / size))
+    met = placed.join(blocks(steps, size), ["path_id", "block"])
+    # same[i]: node i of the walk is the path's at its place
+    place = F.col("start") - F.col("block") * size
+    same = F.transform("nodes", lambda n, i: F.coalesce((place + i >= 0) & (F.get("path", (place + i).cast("int"))["node"] == n), F.lit(False)))
+    met = met.withColumn("same", same).withColumn("place", place)
+    before, after = F.array_position(F.reverse(F.slice("same", F.lit(1), F.col("idx"))), False), F.array_position(F.slice("same", F.col("idx") + 1, F.size("nodes")), False)
+    s = (F.col("idx") - F.when(before == 0, F.col("idx")).otherwise(before - 1)).cast("int")
+    e = (F.col("idx") + F.when(after == 0, F.size("nodes") - F.col("idx")).otherwise(after - 1) - 1).cast("int")
+    met = met.withColumn("s", s).withColumn("e", e).where((F.col("s") <= F.col("lo")) & (F.col("e") >= F.col("hi")))
+
+    def end(at):
+        step = F.get("path", (F.col("place") + F.col(at)).cast("int"))
+        return F.struct(F.col(at).alias("idx"), step["ordinal"].alias("ordinal"), step["cum_offset"].alias("cum_offset"), step["node_length"].alias("node_length"))
+
+    return met.select(*SHAPE, "path_id", end("s").alias("s"), end("e").alias("e"))
+
+
+def runs(walked: DataFrame, steps: DataFrame, max_partial: int) -> DataFrame:
+    """Maximal matches of walks and paths that may count: (nodes, lo, hi, path_id, s, e), with s and e the first and last
+    walk index and ordinal, and where they lie on the path.
+
+    Equal walks are matched once. A walk is joined on its rarest anchor, a row of up to ANCHOR nodes that every run
+    must hold, and what is found is compared with the path around it, in both directions; where the anchor is the whole walk,
+    nothing is left to compare. Anchors with very many places are met in several tasks.
 
     steps: path_id, ordinal, node (oriented, 2 * id + is_reverse), node_length, cum_offset.
     """
-    visits = walked.select("read_id", "mate", "strand", "walk", F.posexplode("nodes").alias("idx", "node"))
-    hits = visits.join(steps.select("path_id", "ordinal", "node", "node_length", "cum_offset"), "node").withColumn("diagonal", F.col("ordinal") - F.col("idx"))
-    line = Window.partitionBy("read_id", "mate", "strand", "walk", "path_id", "diagonal").orderBy("idx")
-    # one exchange for islands, runs and what ``accepted`` joins
-    island = hits.repartition("read_id", "mate", "strand", "walk").withColumn("island", F.col("idx") - F.row_number().over(line))
-    step = F.struct("idx", "ordinal", "cum_offset", "node_length")
-    return island.groupBy("read_id", "mate", "strand", "walk", "path_id", "diagonal", "island").agg(F.min(step).alias("s"), F.max(step).alias("e"))
+    shapes = stored(shaped(walked, max_partial).select(*SHAPE).distinct(), "shapes")
+    core = F.col("hi") - F.col("lo") + 1
+    size = F.when(core < 1, 1).otherwise(F.least(F.lit(ANCHOR), core))
+    whole = size == F.size("nodes")
+    facts = shapes.agg(F.collect_set(size), F.max(F.size("nodes")), F.max(core > ANCHOR), F.max(~whole)).first()  # a few numbers
+    if not facts[0]:
+        facts = ([1], 1, False, False)
+    grams = stored(gram_table(steps, facts[0]), "grams")
+    counts = stored(grams.groupBy("k", *GRAM).agg(F.count("*").alias("n")), "gram-counts")
+    chosen = anchors(shapes, counts if facts[2] else None)
+    hot = counts.where(F.col("n") > HOT).select("k", *GRAM, F.ceil(F.col("n") / HOT).cast("int").alias("salts"))  # at most steps / HOT rows
+    key = ["k", *GRAM]
+    spread = chosen.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    dealt = grams.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64("path_id", "first"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    met = spread.join(dealt, [*key, "salt"])
+    covered = F.col("k") == F.size("nodes")
+
+    def end(column, at):
+        return F.struct(at.cast("int").alias("idx"), F.col(column)["ordinal"].alias("ordinal"), F.col(column)["cum_offset"].alias("cum_offset"), F.col(column)["node_length"].alias("node_length"))
+
+    done = met.where(covered).select(*SHAPE, "path_id", end("first", F.lit(0)).alias("s"), end("last", F.size("nodes") - 1).alias("e"))
+    if not facts[3]:
+        return done
+    length = max(BLOCK, 1 << (facts[1] - 1).bit_length())
+    rest = _extended(met.where(~covered).select(*SHAPE, "path_id", "idx", "first"), steps, length)
+    return done.unionByName(rest.distinct())  # of several anchors of one walk each may find the run
 
 
 def accepted(found: DataFrame, walked: DataFrame, max_partial: int) -> DataFrame:
     """Runs that drop at most max_partial aligned bases at each end, with scores and places on the path.
 
-    A dropped suffix counts only for runs that start where the earliest run still alive at its end starts.
+    found: runs of the walks' shapes, with the same max_partial. A dropped suffix counts only for runs that start where
+    the earliest run still alive at its end starts.
     """
     key = ["read_id", "mate", "strand", "walk"]
-    r = found.join(walked, key)
+    r = shaped(walked, max_partial).join(found, SHAPE)
     s, e = F.col("s.idx"), F.col("e.idx")
     last = F.size("nodes") - 1
     r = r.withColumn("drop_left", F.when(s == 0, 0).otherwise(F.greatest(F.lit(0), F.get("read_pos", s) - F.col("left_clip"))))
@@ -483,7 +589,7 @@ def alignment_rows(alignments: DataFrame, steps: DataFrame, config: EngineConfig
     if nodes is not None:
         alignments = start_in_graph(alignments, nodes)
     walked = stored(walks(alignments, config, steps), "walks")
-    matches = score_filter(accepted(runs(walked, steps), walked, config.max_partial_offset), config.max_score_diff)
+    matches = score_filter(accepted(runs(walked, steps, config.max_partial_offset), walked, config.max_partial_offset), config.max_score_diff)
     rows = single_matches(matches, config.library, bidirectional) if config.single_end else paired_matches(matches, config.library, max_fragment, bidirectional)
     return with_read_facts(rows, config.filt_best_score)
 

@@ -115,6 +115,32 @@ def multipath_match(spark, sf):
     return rows.select("read_id", "path_id", "score_sum", "align_length")
 
 
+BUBBLES = NODES + """, w AS (SELECT path_id, ordinal, list(2 * node_id + is_reverse::INTEGER) OVER (PARTITION BY path_id ORDER BY ordinal ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS ns FROM steps),
+q AS (SELECT path_id AS read_id, ns FROM w WHERE ordinal = 0 AND len(ns) = 7), o AS (SELECT DISTINCT path_id, ns, list_transform(ns, lambda n: n // 2) AS ids FROM w WHERE len(ns) = 7),
+t AS (SELECT read_id, ns AS own, list_transform(ns, lambda n: n // 2) AS ids FROM q UNION ALL SELECT read_id, list_reverse(list_transform(ns, lambda n: xor(n, 1))), list_reverse(list_transform(ns, lambda n: n // 2)) FROM q),
+m AS (SELECT DISTINCT read_id, o.path_id, list_sum(list_transform(range(1, 8), lambda i: if(own[i] = ns[i], 5, 3))) AS score FROM t JOIN o USING (ids))
+SELECT read_id, path_id, CAST(score AS INTEGER) AS score_sum, 21 AS align_length FROM m"""
+
+
+@query("WITH " + BUBBLES)
+def multipath_bubbles(spark, sf):
+    """Reads as graphs of 128 walks: seven places in a row, each with a node in either orientation."""
+    placed = _placed(spark, sf)
+    first = placed.where("ordinal < 7").groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "node_id", "is_reverse"))).alias("own")).where(F.size("own") == 7)
+    none = F.lit(None).cast("array<struct<next:int,score:int>>")
+
+    def part(i, turned):
+        step = F.get("own", F.lit(i))
+        following = F.array(F.lit(2 * i + 2), F.lit(2 * i + 3)) if i < 6 else F.array().cast("array<int>")
+        own = _path(_mapping(step["node_id"], F.lit(0), step["is_reverse"] != F.lit(turned), (F.lit(3), F.lit(3))))
+        return F.struct(own.alias("path"), F.lit(3 if turned else 5).alias("score"), following.alias("next"), none.alias("connection"))
+
+    graph = F.array(*[part(i, turned) for i in range(7) for turned in (False, True)])
+    reads = _reads(first.withColumn("read_id", F.col("path_id")), start=F.array(F.lit(0), F.lit(1)), subpath=graph, sequence=F.expr("repeat('A', 21)"))
+    config = EngineConfig(score_not_qual=True, single_end=True, frag_mean=1.0, frag_sd=1.0, filt_best_score=0.0, max_partial_offset=0)
+    return matching.alignment_rows(reads, placed, config, 100).select("read_id", "path_id", "score_sum", "align_length")
+
+
 FACTS = "SELECT l_orderkey AS read_id, l_suppkey AS path_id, l_suppkey % 7 = 1 AS partial, l_returnflag = 'R' AND l_partkey % 5 = 0 AS multimap, 100 + l_partkey % 2 AS frag_length, CAST(l_discount AS DOUBLE) * 9.5 AS fraction FROM lineitem"
 
 

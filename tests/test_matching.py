@@ -139,10 +139,10 @@ def test_pruned_graphs_match_as_listed_ones(spark, partial):
     reads = spark.createDataFrame([read], SCHEMA)
     every = matching.walks(reads, config).cache()
     assert every.where("strand = '+'").count() == 128
-    listed = matching.score_filter(matching.accepted(matching.runs(every, steps), every, partial), config.max_score_diff)
+    listed = matching.score_filter(matching.accepted(matching.runs(every, steps, partial), every, partial), config.max_score_diff)
     want = sorted(map(tuple, matching.single_matches(listed, "unstranded").collect()))
     few = matching.walks(reads, config, steps).cache()
-    pruned = matching.score_filter(matching.accepted(matching.runs(few, steps), few, partial), config.max_score_diff)
+    pruned = matching.score_filter(matching.accepted(matching.runs(few, steps, partial), few, partial), config.max_score_diff)
     assert sorted(map(tuple, matching.single_matches(pruned, "unstranded").collect())) == want and want
     assert few.where("strand = '+'").count() < 30
 
@@ -186,3 +186,61 @@ def test_reads_that_start_outside_the_graph(spark):
     rows = matching.alignment_rows(reads, steps, config, 100, nodes=nodes).collect()
     assert {r["read_id"] for r in rows} == {0}
     assert {r["read_id"] for r in matching.alignment_rows(reads, steps, config, 100).collect()} == {0, 1, 2}
+
+
+def brute_runs(shape, paths_):
+    """Maximal runs of a walk on paths that begin at lo or before and end at hi or after: (path, first index, ordinal, last index, ordinal)."""
+    nodes, lo, hi = shape
+    out = set()
+    for p, path in paths_.items():
+        for d in range(-len(nodes), len(path) + 1):
+            i = 0
+            while i < len(nodes):
+                j = i
+                while j < len(nodes) and 0 <= d + j < len(path) and nodes[j] == path[d + j]:
+                    j += 1
+                if j > i and i <= lo and j - 1 >= hi:
+                    out.add((p, i, d + i, j - 1, d + j - 1))
+                i = max(j, i + 1)
+    return out
+
+
+@pytest.mark.parametrize("seed, hot, block", [(0, 10_000, 64), (1, 2, 2), (2, 1, 4)])
+def test_anchored_runs_are_all_runs(spark, monkeypatch, seed, hot, block):
+    """Random walks over few nodes, so that paths are circular, anchors frequent and runs broken; whole and cut ends."""
+    monkeypatch.setattr(matching, "HOT", hot)
+    monkeypatch.setattr(matching, "BLOCK", block)
+    rng = random.Random(seed)
+    walks = {p: [rng.randint(1, 4) * rng.choice([1, 1, 1, -1]) for _ in range(rng.randint(1, 30))] for p in range(12)}
+    steps = index(spark, {n: n for n in range(1, 5)}, *walks.values())
+    oriented = {p: [abs(n) * 2 + (n < 0) for n in w] for p, w in walks.items()}
+    reads = []
+    for i in range(150):
+        source = oriented[rng.randrange(12)]
+        low = rng.randrange(len(source))
+        nodes = source[low : low + rng.randint(1, 9)]
+        if rng.random() < 0.4:
+            nodes[rng.randrange(len(nodes))] = rng.randint(2, 9)
+        pos = sorted(rng.sample(range(1, 40), len(nodes) - 1)) if len(nodes) > 1 else []
+        reads.append((i % 100, 1, "+", i, nodes, [0, *pos], 40, rng.choice([0, 0, 3]), rng.choice([0, 0, 5])))
+    for k in (0, 6, 60):
+        df = spark.createDataFrame(reads, "read_id long, mate int, strand string, walk long, nodes array<long>, read_pos array<int>, length int, left_clip int, right_clip int")
+        shapes = {(tuple(r["nodes"]), r["lo"], r["hi"]) for r in matching.shaped(df, k).collect()}
+        got = {}
+        for r in matching.runs(df, steps, k).collect():
+            row = (r["path_id"], r["s"]["idx"], r["s"]["ordinal"], r["e"]["idx"], r["e"]["ordinal"])
+            assert row not in got.setdefault((tuple(r["nodes"]), r["lo"], r["hi"]), set())
+            got[tuple(r["nodes"]), r["lo"], r["hi"]].add(row)
+        assert got.keys() <= shapes
+        for shape in shapes:
+            assert got.get(shape, set()) == brute_runs(shape, oriented), shape
+
+
+def test_the_anchor_is_the_rarest(spark):
+    steps = index(spark, {n: 1 for n in range(1, 9)}, [1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 7], [1, 2, 3, 4, 8])
+    df = spark.createDataFrame([(0, 1, "+", 0, [2, 4, 6, 8, 10, 12], [0, 1, 2, 3, 4, 5], 6, 0, 0)], "read_id long, mate int, strand string, walk long, nodes array<long>, read_pos array<int>, length int, left_clip int, right_clip int")
+    grams = matching.gram_table(steps, [3])
+    chosen = matching.anchors(matching.shaped(df, 0).select(*matching.SHAPE), grams.groupBy("k", *matching.GRAM).count().withColumnRenamed("count", "n")).first()
+    assert (chosen["idx"], chosen["n0"], chosen["n1"], chosen["n2"]) == (2, 6, 8, 10)
+    plan = matching.runs(df, steps, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CartesianProduct" not in plan and len(matching.runs(df, steps, 0).collect()) == 1
