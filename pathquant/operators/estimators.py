@@ -7,7 +7,7 @@ that are too large for one worker, ``em_frames`` a fixed number of its rounds.
 from __future__ import annotations
 
 import math
-from itertools import combinations_with_replacement
+from itertools import chain, combinations_with_replacement, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -18,8 +18,10 @@ from pathquant.functions.mathfn import permutations
 from pathquant.plans.store import stored
 
 
-#: Combinations of other than two paths that are listed in one cluster; more take the sampler.
-MAX_GROUPS = 5_000_000
+#: Combinations of other than two paths of one cluster that are all listed. Of more, all are weighed, and those listed that
+#: have LISTED_CUT of the best likelihood: the others' posteriors are below any output threshold.
+LISTED, LISTED_CUT = 5_000_000, 1e-12
+GROUP_CELLS = 1 << 21  # reads by combinations weighed at a time
 
 
 def with_noise(probs: np.ndarray, noise: np.ndarray) -> np.ndarray:
@@ -206,6 +208,32 @@ def _log_frequencies(sources: np.ndarray) -> np.ndarray:
     return np.log(sources / sources.sum())
 
 
+def _every_group(probs, noise, counts, freq, size: int, exact: bool, floor: float) -> tuple[list[tuple[int, ...]], np.ndarray, float]:
+    """All multisets of ``size`` paths with their log weights, and the log of the summed weight of those that are not listed."""
+    n = probs.shape[1]
+    if math.comb(n + size - 1, size) > LISTED:
+        floor = max(floor, math.log(LISTED_CUT))
+    orders = np.log([1.0, *(math.factorial(size) / math.factorial(size - u + 1) for u in range(1, size + 1))])
+    combos, step = combinations_with_replacement(range(n), size), max(1, GROUP_CELLS // max(1, len(probs)))
+    kept, top, unlisted = [], -math.inf, -math.inf
+    while True:
+        chunk = np.fromiter(chain.from_iterable(islice(combos, step)), dtype=np.int64).reshape(-1, size)
+        if not len(chunk):
+            break
+        with np.errstate(divide="ignore"):
+            value = counts @ np.log(noise[:, None] + sum(probs[:, chunk[:, k]] for k in range(size)) / size)
+        distinct = 1 + (chunk[:, 1:] != chunk[:, :-1]).sum(axis=1)
+        value += freq[chunk].sum(axis=1) + ([math.log(permutations(g, True)) for g in chunk.tolist()] if exact else orders[distinct])
+        top = max(top, value.max())
+        keep = value >= top + floor
+        unlisted = np.logaddexp.reduce(np.append(value[~keep], unlisted))
+        kept.append((chunk[keep], value[keep]))
+    groups, values = (np.concatenate(x) for x in zip(*kept))
+    keep = values >= top + floor
+    unlisted = np.logaddexp.reduce(np.append(values[~keep], unlisted))
+    return [tuple(g) for g in groups[keep].tolist()], values[keep], float(unlisted)
+
+
 def group_posteriors(probs: np.ndarray, noise: np.ndarray, counts: np.ndarray, sources: np.ndarray, size: int, cut: float = 0.0, exact: bool = False) -> tuple[list[tuple[int, ...]], np.ndarray]:
     """Posteriors of all multisets of ``size`` paths. With cut, those below cut times the best likelihood are left out.
 
@@ -232,14 +260,9 @@ def group_posteriors(probs: np.ndarray, noise: np.ndarray, counts: np.ndarray, s
         groups = sorted(best)
         values = np.array([best[g] for g in groups])
     else:
-        if math.comb(probs.shape[1] + size - 1, size) > MAX_GROUPS:
-            raise ValueError(f"{probs.shape[1]} paths have more than {MAX_GROUPS} combinations of {size}; use use_hap_gibbs")
-        groups = list(combinations_with_replacement(range(probs.shape[1]), size))
-        with np.errstate(divide="ignore"):
-            values = np.array([counts @ np.log(noise + probs[:, list(g)].sum(axis=1) / size) + freq[list(g)].sum() + math.log(permutations(g, exact)) for g in groups])
-        if cut > 0:
-            keep = values >= values.max() + floor
-            groups, values = [g for g, k in zip(groups, keep) if k], values[keep]
+        groups, values, unlisted = _every_group(probs, noise, counts, freq, size, exact, floor)
+        weight = np.exp(values - values.max())
+        return groups, weight / (weight.sum() + math.exp(unlisted - values.max()))
     weight = np.exp(values - values.max())
     return [tuple(int(x) for x in g) for g in groups], weight / weight.sum()
 
@@ -301,7 +324,7 @@ def strains(probs: np.ndarray, noise: np.ndarray, counts: np.ndarray, max_its: i
     path_part = matrix[:, :-1]
     with np.errstate(divide="ignore", invalid="ignore"):
         logs = np.where(path_part > 0, np.log(path_part), 0.0)
-    weights = -(logs * counted[:, None]).sum(axis=0)
+    weights = 0.0 - (logs * counted[:, None]).sum(axis=0)  # 0, not -0, where every probability is 1
     chosen = min_path_cover(path_part > 0, counted, weights)
     out = np.zeros(probs.shape[1])
     if not chosen:

@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathquant.config import EM_MIN_ABUNDANCE, HAPLOTYPE_CUT, EngineConfig
+from pathquant.config import HAPLOTYPE_CUT, EngineConfig
 from pathquant.operators import estimators as E
-from pathquant.operators.probs import add_noise_and_normalise
+from pathquant.operators import large
 from pathquant.plans.store import stored
 
 RESULT = "cluster_id long, kind string, path_ids array<long>, posterior double, counts array<double>, noise_count double, total_count double, sample int"
@@ -113,23 +113,10 @@ def _clusters(batches):
         yield table, [0, len(table)]
 
 
-#: Cells (read classes by paths) of a cluster that one worker holds as a dense array, in the model that has a form for larger ones.
+#: Cells (read classes by paths) of a cluster that one worker holds as a dense array; larger ones are estimated as frames.
 DENSE_CELLS = 50_000_000
 
 
-def _large_em(probs: DataFrame, members: DataFrame, settings: EngineConfig) -> DataFrame:
-    """Result rows of clusters of any size in the transcripts model, by expectation-maximisation as joins."""
-    probs = probs.withColumn("read_count", F.col("read_count").cast("double"))
-    shares = E.em_converged(add_noise_and_normalise(probs), settings.max_em_its, settings.max_rel_em_conv)
-    totals = probs.select("cluster_id", "read_class_id", "read_count").distinct().groupBy("cluster_id").agg(F.sum("read_count").alias("total"))
-    found = stored(shares.join(totals, "cluster_id").withColumn("tiny", F.col("path_id").isNotNull() & (F.col("share") < EM_MIN_ABUNDANCE)), "em-found")
-    own = members.select("cluster_id", F.col("path_id").cast("long").alias("path_id")).join(found.where("NOT tiny"), ["cluster_id", "path_id"], "left")
-    no = {t: F.lit(None).cast(t) for t in ("double", "int")}
-    groups = own.select("cluster_id", F.lit("group").alias("kind"), F.array("path_id").alias("path_ids"), F.lit(1.0).alias("posterior"), F.array(F.coalesce(F.col("share") * F.col("total"), F.lit(0.0))).alias("counts"), no["double"].alias("noise_count"), no["double"].alias("total_count"), no["int"].alias("sample"))
-    lost = found.groupBy("cluster_id").agg(F.sum(F.when(F.col("tiny") | F.col("path_id").isNull(), F.col("share")).otherwise(0.0)).alias("lost"), F.first("total").alias("total"))
-    return groups.unionByName(lost.select("cluster_id", F.lit("cluster").alias("kind"), F.lit(None).cast("array<long>").alias("path_ids"), no["double"].alias("posterior"), F.lit(None).cast("array<double>").alias("counts"), (F.col("lost") * F.col("total")).alias("noise_count"), F.col("total").alias("total_count"), no["int"].alias("sample")))
-
-
 def large_clusters(probs: DataFrame, members: DataFrame, cells: int) -> DataFrame:
     """(cluster_id) of the clusters whose dense array has more than the given cells."""
     reads = probs.select("cluster_id", "read_class_id").distinct().groupBy("cluster_id").agg(F.count("*").alias("reads"))
@@ -139,16 +126,15 @@ def large_clusters(probs: DataFrame, members: DataFrame, cells: int) -> DataFram
 def infer(probs: DataFrame, members: DataFrame, settings: EngineConfig) -> DataFrame:
     """probs: long-form read path probabilities; members: cluster_id, path_id, source_count, group_id, source_ids.
 
-    Clusters are hashed to partitions and streamed one after another, many to a task. A cluster must fit in a
-    worker as a dense array of read classes by paths, but for the transcripts model without samples: there clusters of
-    more than DENSE_CELLS cells are estimated by joins.
+    Clusters are hashed to partitions and streamed one after another, many to a task, each a dense array of read
+    classes by paths in a worker. Clusters of more than DENSE_CELLS cells are estimated as frames (``large``); only the samplers,
+    and combinations of three or more paths, need a cluster in one worker whatever its size.
     """
-    if settings.model == "transcripts" and not settings.num_gibbs_samples:
-        large = stored(large_clusters(probs, members, DENSE_CELLS), "large-clusters")
-        if not large.isEmpty():
-            own = _large_em(probs.join(large, "cluster_id", "left_semi"), members.join(large, "cluster_id", "left_semi"), settings)
-            rest = large.select("cluster_id")
-            return _infer_dense(probs.join(rest, "cluster_id", "left_anti"), members.join(rest, "cluster_id", "left_anti"), settings).unionByName(own)
+    if large.supported(settings):
+        over = stored(large_clusters(probs, members, DENSE_CELLS), "large-clusters")
+        if not over.isEmpty():
+            own = large.infer(probs.join(over, "cluster_id", "left_semi"), members.join(over, "cluster_id", "left_semi"), settings, DENSE_CELLS)
+            return _infer_dense(probs.join(over, "cluster_id", "left_anti"), members.join(over, "cluster_id", "left_anti"), settings).unionByName(own)
     return _infer_dense(probs, members, settings)
 
 
