@@ -22,6 +22,7 @@ from pathquant.plans.store import stored
 #: have LISTED_CUT of the best likelihood: the others' posteriors are below any output threshold.
 LISTED, LISTED_CUT = 5_000_000, 1e-12
 GROUP_CELLS = 1 << 21  # reads by combinations weighed at a time
+CHAINS, DRAWS, SAMPLES = 1, 2, 3  # what a random stream of a cluster is for
 
 
 def with_noise(probs: np.ndarray, noise: np.ndarray) -> np.ndarray:
@@ -267,15 +268,30 @@ def group_posteriors(probs: np.ndarray, noise: np.ndarray, counts: np.ndarray, s
     return [tuple(int(x) for x in g) for g in groups], weight / weight.sum()
 
 
-def gibbs_posteriors(probs: np.ndarray, noise: np.ndarray, counts: np.ndarray, sources: np.ndarray, size: int, rng: np.random.Generator) -> tuple[list[tuple[int, ...]], np.ndarray]:
-    """Posteriors of multisets as frequencies of Gibbs samples: each slot in turn given the others."""
+def stream(*key: int) -> np.random.Generator:
+    """Random numbers of a counter-based generator: those of one key (seed, cluster, chain, ...) are the same in any task and any order."""
+    words = np.random.SeedSequence([k & 0xFFFFFFFFFFFFFFFF for k in key]).generate_state(2, np.uint64)
+    return np.random.Generator(np.random.Philox(key=words))
+
+
+def gibbs_schedule(paths: int, size: int) -> tuple[int, int, int]:
+    """Chains, iterations of burn-in and counted iterations of the haplotype sampler."""
+    return tuple(int(base + per * size * paths) for base, per in (C.GIBBS_CHAINS, C.GIBBS_BURN_IN, C.GIBBS_ITERATIONS))
+
+
+def gibbs_chains(probs: np.ndarray, noise: np.ndarray, counts: np.ndarray, sources: np.ndarray, size: int, chains, randoms) -> dict[tuple[int, ...], int]:
+    """How often each multiset of paths occurs in some chains of Gibbs samples: each slot in turn given the others.
+
+    chains: their numbers; randoms(chain): the generator of a chain, from which all that it needs is drawn.
+    """
     n, freq = probs.shape[1], _log_frequencies(sources)
-    chains, burn, its = (int(base + per * size * n) for base, per in (C.GIBBS_CHAINS, C.GIBBS_BURN_IN, C.GIBBS_ITERATIONS))
+    _, burn, its = gibbs_schedule(n, size)
     seen: dict[tuple, int] = {}
     known: dict[tuple, np.ndarray] = {}
-    for _ in range(chains):
-        slots = list(rng.integers(0, n, size))
-        for i in range(burn + its):
+    for chain in chains:
+        rng = randoms(chain)
+        slots = rng.integers(0, n, size).tolist()
+        for i, row in enumerate(rng.random((burn + its, size))):
             for k in range(size):
                 others = tuple(sorted(slots[:k] + slots[k + 1 :]))
                 if others not in known:
@@ -284,13 +300,19 @@ def gibbs_posteriors(probs: np.ndarray, noise: np.ndarray, counts: np.ndarray, s
                         like = counts @ np.log(rest[:, None] + probs / size) + freq
                     known[others] = np.cumsum(np.exp(like - like.max()))
                 sums = known[others]
-                slots[k] = int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
+                slots[k] = min(n - 1, int(np.searchsorted(sums, row[k] * sums[-1], side="right")))
             if i >= burn:
-                key = tuple(sorted(int(s) for s in slots))
+                key = tuple(sorted(slots))
                 seen[key] = seen.get(key, 0) + 1
+    return seen
+
+
+def gibbs_posteriors(probs: np.ndarray, noise: np.ndarray, counts: np.ndarray, sources: np.ndarray, size: int, randoms) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    """Posteriors of multisets as frequencies of Gibbs samples; see ``gibbs_chains``."""
+    chains, _, its = gibbs_schedule(probs.shape[1], size)
+    seen = gibbs_chains(probs, noise, counts, sources, size, range(chains), randoms)
     groups = sorted(seen)
-    total = chains * its
-    return groups, np.array([seen[g] / total for g in groups])
+    return groups, np.array([seen[g] / (chains * its) for g in groups])
 
 
 def min_path_cover(cover: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> list[int]:
@@ -393,13 +415,13 @@ def subset_abundances(probs, noise, counts, group_ids, subsets: dict, settings:
     return {"groups": out, "noise": lost + max(0.0, 1 - used) * total, "samples": samples}
 
 
-def nested(probs, noise, counts, group_ids, sources: list[list], settings: C.EngineConfig, rng) -> dict:
+def nested(probs, noise, counts, group_ids, sources: list[list], settings: C.EngineConfig, cluster: int) -> dict:
     """Haplotype combinations first, then abundances in each likely path subset."""
-    size = settings.ploidy
+    size, rng = settings.ploidy, stream(settings.seed, cluster, DRAWS)
 
-    def posteriors(p, n, c, freq, cut):
+    def posteriors(p, n, c, freq, cut, group=0):
         if settings.use_hap_gibbs:
-            return gibbs_posteriors(p, n, c, freq, size, rng)
+            return gibbs_posteriors(p, n, c, freq, size, lambda chain: stream(settings.seed, cluster, CHAINS, group, chain))
         return group_posteriors(p, n, c, freq, size, cut if size == 2 else 0.0, settings.exact_permutations)
 
     if settings.ind_hap_inference:
@@ -410,7 +432,7 @@ def nested(probs, noise, counts, group_ids, sources: list[list], settings: C.Eng
             own = [i for i, x in enumerate(group_ids) if x == g]
             matrix, merged = collapse_reads(with_noise(probs[:, own], noise), counts, settings.prob_precision)
             freq = np.array([max(1, len(sources[i])) for i in own], dtype=float)
-            groups, post = posteriors(matrix[:, :-1], matrix[:, -1], merged, freq, settings.min_hap_prob)
+            groups, post = posteriors(matrix[:, :-1], matrix[:, -1], merged, freq, settings.min_hap_prob, int(g))
             for slot, k in zip(picked, rng.choice(len(groups), size=draws, p=post / post.sum())):
                 slot += [own[x] for x in groups[k]]
         subsets: dict = {}

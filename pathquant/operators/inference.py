@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pathquant.config import HAPLOTYPE_CUT, EngineConfig
 from pathquant.operators import estimators as E
-from pathquant.operators import large
+from pathquant.operators import large, samplers
 from pathquant.plans.store import stored
 
 RESULT = "cluster_id long, kind string, path_ids array<long>, posterior double, counts array<double>, noise_count double, total_count double, sample int"
@@ -40,7 +40,6 @@ def _estimate(cluster: int, reads: dict, members: dict, s: EngineConfig) -> list
         return [*rows, (cluster, "cluster", None, None, None, 0.0, 0.0, None)]
     probs, noise, counts = _matrix(reads, ids)
     total = float(counts.sum())
-    rng = np.random.Generator(np.random.MT19937([s.seed, cluster & 0xFFFFFFFF]))
     out: list[tuple] = []
     lost = 0.0
 
@@ -54,14 +53,14 @@ def _estimate(cluster: int, reads: dict, members: dict, s: EngineConfig) -> list
         matrix, merged = E.collapse_reads(E.with_noise(probs, noise), counts, s.prob_precision)
         freq = members["source_count"].astype(float)
         if s.use_hap_gibbs:
-            groups, post = E.gibbs_posteriors(matrix[:, :-1], matrix[:, -1], merged, freq, s.ploidy, rng)
+            groups, post = E.gibbs_posteriors(matrix[:, :-1], matrix[:, -1], merged, freq, s.ploidy, lambda chain: E.stream(s.seed, cluster, E.CHAINS, chain))
         else:
             groups, post = E.group_posteriors(matrix[:, :-1], matrix[:, -1], merged, freq, s.ploidy, HAPLOTYPE_CUT if s.ploidy == 2 else 0.0, s.exact_permutations)
         for g, p in zip(groups, post):
             group(g, p, [])
     elif s.model == "haplotype-transcripts":
         sources = [list(x) if x is not None else [] for x in members["source_ids"]]
-        found = E.nested(probs, noise, counts, list(members["group_id"]), sources, s, rng)
+        found = E.nested(probs, noise, counts, list(members["group_id"]), sources, s, cluster)
         for paths, (p, own) in sorted(found["groups"].items()):
             group(paths, p, own)
         lost, n = found["noise"], 0
@@ -82,7 +81,7 @@ def _estimate(cluster: int, reads: dict, members: dict, s: EngineConfig) -> list
         for p, x in enumerate(abundance):
             group([p], 1.0, [x])
         if s.num_gibbs_samples and chosen:
-            drawn, gone = E.gibbs_counts(matrix, merged, np.append(abundance[chosen], lost), rng, s.num_gibbs_samples, s.gibbs_thin_its)
+            drawn, gone = E.gibbs_counts(matrix, merged, np.append(abundance[chosen], lost), E.stream(s.seed, cluster, E.SAMPLES), s.num_gibbs_samples, s.gibbs_thin_its)
             for n, (row, x) in enumerate(zip(drawn, gone)):
                 sample(n + 1, chosen, row, x)
     return [*out, (cluster, "cluster", None, None, None, lost, total, None)]
@@ -127,9 +126,12 @@ def infer(probs: DataFrame, members: DataFrame, settings: EngineConfig) -> DataF
     """probs: long-form read path probabilities; members: cluster_id, path_id, source_count, group_id, source_ids.
 
     Clusters are hashed to partitions and streamed one after another, many to a task, each a dense array of read
-    classes by paths in a worker. Clusters of more than DENSE_CELLS cells are estimated as frames (``large``); only the samplers,
-    and combinations of three or more paths, need a cluster in one worker whatever its size.
+    classes by paths in a worker. Clusters of more than DENSE_CELLS cells are estimated as frames (``large``), and chains of the
+    haplotype sampler are dealt to tasks (``samplers``). The samplers, and combinations of three or more paths, need
+    the array of a cluster in each worker that takes part.
     """
+    if settings.model == "haplotypes" and settings.use_hap_gibbs:
+        return samplers.infer(probs, members, settings)
     if large.supported(settings):
         over = stored(large_clusters(probs, members, DENSE_CELLS), "large-clusters")
         if not over.isEmpty():

@@ -121,7 +121,8 @@ def _dense(rows: pd.DataFrame):
     first = np.unique(rows["read_class_id"].to_numpy(), return_index=True)[1]
     which = np.searchsorted(rows["read_class_id"].to_numpy()[first], rows["read_class_id"].to_numpy())
     out = np.zeros((len(first), int(rows["items"].iloc[0])))
-    out[which, rows["item"].to_numpy()] = rows["prob"].to_numpy()
+    live = rows["item"].to_numpy() >= 0  # -1: a read that is all noise
+    out[which[live], rows["item"].to_numpy()[live]] = rows["prob"].to_numpy()[live]
     return out, rows["noise_prob"].to_numpy()[first], rows["read_count"].to_numpy()[first]
 
 

@@ -6,13 +6,14 @@ Bindings as in ``queries``; reads are made of two neighbouring lines of an order
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pathquant.config import INT_MIN, EngineConfig
 from pathquant.functions import fragments, mathfn, scoring
 from pathquant.functions.fragments import FragmentDist
 from pathquant.operators import clusters, estimators, inference, matching, paths, probs
-from pathquant.plans.queries import COMBOS, MEMBERS, ORACLE, PROBS, QUERIES, ROWS, STEPS, _result, align_rows, members, nodes, path_probs_of, query, steps, table  # noqa: F401
+from pathquant.plans.queries import COMBOS, MEMBERS, ORACLE, POSTERIOR, PROBS, QUERIES, ROWS, STEPS, _result, align_rows, members, nodes, path_probs_of, query, steps, table  # noqa: F401
 from pathquant.plans.store import shared_path, stored
 from pathquant.sources import readers, sinks
 
@@ -552,3 +553,44 @@ def bidirectional_locate(spark, sf):
     """Paths that visit some nodes in either orientation, found in one orientation of an index of both."""
     both = paths.both_orientations(steps(spark, sf))
     return paths.locate(both.where("node_id % 50 = 11 AND NOT is_reverse"), bidirectional=True)
+
+
+# ---- samplers against what they converge to
+
+NEAR = 0.08  # of a posterior: some three standard errors of the chains' frequencies, which depend on one another
+
+
+@query("WITH " + POSTERIOR + ", p AS (SELECT cluster_id, i, j, exp(l - m) / sum(exp(l - m)) OVER (PARTITION BY cluster_id) AS posterior FROM top WHERE l >= m + ln(1e-8)) SELECT cluster_id, i AS first, j AS second, true AS near FROM p WHERE posterior >= 0.1")
+def sampled_posteriors(spark, sf):
+    """Every likely pair of paths is sampled about as often as its exact posterior says."""
+    own = members(spark, sf).select("cluster_id", "path_id", "source_count", "group_id", "source_ids")
+    rows = stored(path_probs_of(spark, sf), "sampled-probs")
+
+    def pairs(**settings):
+        out = inference.infer(rows, own, EngineConfig(model="haplotypes", **settings)).where("kind = 'group'")
+        return out.select("cluster_id", F.get("path_ids", F.lit(0)).alias("first"), F.get("path_ids", F.lit(1)).alias("second"), "posterior")
+
+    exact, drawn = pairs().where("posterior >= 0.1"), pairs(use_hap_gibbs=True).withColumnRenamed("posterior", "drawn")
+    near = F.abs(F.col("posterior") - F.coalesce("drawn", F.lit(0.0))) < NEAR
+    return exact.join(drawn, ["cluster_id", "first", "second"], "left").select("cluster_id", "first", "second", near.alias("near"))
+
+
+#: With reads of one path each, and hardly any noise, shares are Dirichlet: means and variances of counts in closed form.
+MOMENTS = """c AS (SELECT l_suppkey % 5 AS cluster_id, l_suppkey AS path_id, count(*) AS n FROM lineitem GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY cluster_id) AS total, count(*) OVER (PARTITION BY cluster_id) + 1 AS k FROM c),
+m AS (SELECT *, CAST(total AS DOUBLE) * (n + 1) / (total + k) AS mean FROM t)"""
+
+
+@query("WITH " + MOMENTS + " SELECT cluster_id, path_id, round(mean, 6) AS mean, true AS near FROM m")
+def gibbs_count_moments(spark, sf):
+    """Means of sampled counts against those of the Dirichlet distribution that the samples come from."""
+    samples, path = 200, F.col("l_suppkey")
+    rows = stored(table(spark, sf, "lineitem").groupBy((path % 5).alias("cluster_id"), path.alias("path_id")).agg(F.count("*").alias("read_count")), "moment-rows")
+    reads = rows.select("cluster_id", F.col("path_id").alias("read_class_id"), "read_count", F.lit(1e-12).alias("noise_prob"), "path_id", F.lit(1 - 1e-12).alias("prob"))
+    own = rows.select("cluster_id", "path_id", F.lit(1).alias("source_count"), F.lit(0).cast("long").alias("group_id"), F.lit(None).cast("array<long>").alias("source_ids"))
+    out = inference.infer(reads, own, EngineConfig(model="transcripts", num_gibbs_samples=samples, gibbs_thin_its=1)).where("kind = 'sample'")
+    drawn = out.select("cluster_id", F.explode(F.arrays_zip("path_ids", "counts")).alias("x")).groupBy("cluster_id", F.col("x.path_ids").alias("path_id")).agg(F.avg("x.counts").alias("drawn"))
+    whole = rows.withColumn("total", F.sum("read_count").over(Window.partitionBy("cluster_id"))).withColumn("k", F.count("*").over(Window.partitionBy("cluster_id")) + 1)
+    alpha, weight = F.col("read_count") + 1, F.col("total") + F.col("k")
+    mean = F.col("total").cast("double") * alpha / weight
+    error = F.col("total") * F.sqrt(alpha * (weight - alpha) / (weight * weight * (weight + 1)) / F.lit(samples))
+    return whole.join(drawn, ["cluster_id", "path_id"], "left").select("cluster_id", "path_id", F.round(mean, 6).alias("mean"), (F.abs(F.col("drawn") - mean) < 6 * error).alias("near"))

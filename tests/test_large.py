@@ -106,3 +106,22 @@ def test_all_combinations_are_weighed(monkeypatch):
         every = dict(zip(groups, post))
         assert 0 < len(few) < 84 and own == pytest.approx([every[g] for g in few])
         assert all(p < 1e-2 for g, p in every.items() if g not in few)
+
+
+def test_chains_in_tasks_are_the_chains_of_one(spark, monkeypatch):
+    """However the chains of the haplotype sampler are dealt, the samples are the same, and near the exact posteriors."""
+    from pathquant.operators import samplers
+
+    probs, members = world(spark, 3, noise=0.05)
+    config = EngineConfig(model="haplotypes", use_hap_gibbs=True, seed=5)
+    want = sorted(map(str, inference.infer(probs, members, config).collect()))
+    assert want == sorted(map(str, inference.infer(probs.repartition(7), members.repartition(3), config).collect()))
+    monkeypatch.setattr(samplers, "WORK", 2_000)
+    assert want == sorted(map(str, inference.infer(probs, members, config).collect()))
+    other = EngineConfig(model="haplotypes", use_hap_gibbs=True, seed=6)
+    assert want != sorted(map(str, inference.infer(probs, members, other).collect()))
+    rows = inference.infer(probs, members, config).collect()
+    exact = {(r["cluster_id"], tuple(r["path_ids"])): r["posterior"] for r in inference.infer(probs, members, EngineConfig(model="haplotypes")).collect() if r["kind"] == "group"}
+    drawn = {(r["cluster_id"], tuple(r["path_ids"])): r["posterior"] for r in rows if r["kind"] == "group"}
+    assert all(abs(drawn.get(k, 0.0) - p) < 0.1 for k, p in exact.items())
+    assert sum(drawn.values()) == pytest.approx(len({c for c, _ in drawn})) and {r["cluster_id"] for r in rows if r["kind"] == "cluster"} == set(range(6))

@@ -221,7 +221,7 @@ def test_posteriors_agree():
     cut = dict(zip(*estimators.group_posteriors(p, noise, counts, sources, 2, 0.2)))
     best = max(full.values())
     assert set(cut) == {k for k, v in full.items() if v >= 0.2 * best} and sum(cut.values()) == pytest.approx(1)
-    groups, drawn = estimators.gibbs_posteriors(p, noise, counts, sources, 2, np.random.default_rng(0))
+    groups, drawn = estimators.gibbs_posteriors(p, noise, counts, sources, 2, np.random.default_rng)
     assert all(abs(full[g] - x) < 0.08 for g, x in zip(groups, drawn)) and sum(drawn) == pytest.approx(1)
     three = dict(zip(*estimators.group_posteriors(p, noise, counts, sources, 3)))
     assert len(three) == 35 and sum(three.values()) == pytest.approx(1)
