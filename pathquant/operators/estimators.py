@@ -32,26 +32,61 @@ def with_noise(probs: np.ndarray, noise: np.ndarray) -> np.ndarray:
     return np.column_stack([scaled, noise])
 
 
-def collapse_reads(matrix: np.ndarray, counts: np.ndarray, precision: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that are equal to the precision become one. They are found by a hash of their rounded cells, then compared."""
-    if not len(matrix):
-        return matrix, counts
-    cells = np.round(matrix / precision).astype(np.int64).view(np.uint64)
+def leaders(rows: np.ndarray, precision: float) -> np.ndarray:
+    """For rows in lexicographic order the row that each is merged into: the last one that began a class, if all cells are
+    nearer to its than the precision, else itself."""
+    near = np.zeros(len(rows), bool)
+    for low in range(1, len(rows), 4096):
+        part = rows[low - 1 : low + 4096]
+        near[low : low + 4096] = (np.abs(part[1:] - part[:-1]) < precision).all(axis=1)
+    if not near.any():
+        return np.arange(len(rows))
+    out = list(range(len(rows)))
+    for i, same in enumerate(near.tolist()):
+        first = out[i - 1] if i else 0
+        if first < i and (same if first == i - 1 else (np.abs(rows[i] - rows[first]) < precision).all()):
+            out[i] = first
+    return np.array(out)
+
+
+def _lexicographic(rows: np.ndarray) -> np.ndarray:
+    """The order of rows of numbers of 0 or more: the bytes of such numbers, highest first, sort as they do."""
+    flat = np.ascontiguousarray(rows + 0.0, dtype=">f8")
+    return np.argsort(flat.view(np.dtype((np.void, flat.shape[1] * 8))).ravel(), kind="stable") if flat.size else np.arange(len(rows))
+
+
+def _classes(matrix: np.ndarray, precision: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that stand for classes of rows equal to the precision, and the class of each row. Equal rows are found by a hash, then compared."""
+    cells = np.ascontiguousarray(matrix + 0.0).view(np.uint64)
     odd = np.random.default_rng(matrix.shape[1]).integers(1 << 62, size=matrix.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    _, first, which = np.unique((cells * odd).sum(axis=1, dtype=np.uint64), return_index=True, return_inverse=True)
+    mixed = cells ^ (cells >> np.uint64(29))
+    _, first, which = np.unique((mixed * odd).sum(axis=1, dtype=np.uint64), return_index=True, return_inverse=True)
     which = which.ravel()
     if len(first) < len(cells) and any((cells[low : low + 4096] != cells[first[which[low : low + 4096]]]).any() for low in range(0, len(cells), 4096)):
-        _, first, which = np.unique(cells, axis=0, return_index=True, return_inverse=True)
-    return matrix[first], np.bincount(which.ravel(), weights=counts)
+        first, which = np.arange(len(cells)), np.arange(len(cells))
+    order = _lexicographic(matrix[first])
+    led = leaders(matrix[first[order]], precision)
+    kept, own = np.unique(led, return_inverse=True)
+    of = np.empty(len(order), np.int64)
+    of[order] = own.ravel()
+    return first[order[kept]], of[which]
+
+
+def collapse_reads(matrix: np.ndarray, counts: np.ndarray, precision: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are equal within the precision become one: the first of them in lexicographic order, with their counts."""
+    if not len(matrix):
+        return matrix, counts
+    kept, which = _classes(matrix, precision)
+    return matrix[kept], np.bincount(which, weights=counts)
 
 
 def collapse_paths(matrix: np.ndarray, precision: float = 1e-8) -> tuple[np.ndarray, list[list[int]]]:
-    """Columns that are equal to the precision become one; returns the matrix and the members of each column."""
-    _, first, which = np.unique(np.round(matrix / precision).astype(np.int64), axis=1, return_index=True, return_inverse=True)
-    members: list[list[int]] = [[] for _ in first]
-    for column, group in enumerate(which.ravel().tolist()):
+    """Columns that are equal within the precision become one; returns the matrix and the members of each column."""
+    kept, which = _classes(np.ascontiguousarray(matrix.T), precision)
+    members: list[list[int]] = [[] for _ in kept]
+    for column, group in enumerate(which.tolist()):
         members[group].append(column)
-    return matrix[:, first], members
+    return matrix[:, kept], members
 
 
 def without_noise(probs: np.ndarray, noise: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

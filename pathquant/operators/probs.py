@@ -6,14 +6,15 @@ align_length, frag_length, effective_length [, source_count, transcript]).
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathquant.config import NOISE_LOG_BASE, SCORE_LOG_BASE
 from pathquant.functions import scoring
 from pathquant.functions.fragments import FragmentDist, with_log_prob
+from pathquant.plans.store import stored
 
 READ = ["cluster_id", "read_class_id"]
 
@@ -84,13 +85,68 @@ def binned(pairs: Column, precision: float) -> Column:
     return F.array_sort(F.aggregate(F.array_sort(pairs), start, put))
 
 
+def _segments(values: DataFrame, keys: list[str], value: str, out: str, precision: float) -> DataFrame:
+    """Distinct values with the number of their segment: a gap of the precision or more begins a new one."""
+    along = Window.partitionBy(*keys).orderBy(value)
+    kinds = values.select(*keys, value).distinct()
+    gap = F.coalesce(F.col(value) - F.lag(value).over(along) >= precision, F.lit(False)).cast("int")
+    return kinds.withColumn("gap", gap).withColumn(out, F.sum("gap").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
+
+
 def merge_identical(probs: DataFrame, precision: float = 1e-8) -> DataFrame:
-    """Read classes with equal probabilities, to the precision, become one; their counts add up."""
-    digits = max(0, round(-math.log10(precision)))
-    shape = F.array_sort(F.collect_list(F.when(F.col("path_id").isNotNull(), F.struct("path_id", F.round("prob", digits).alias("p")))))
-    lists = probs.groupBy(*READ).agg(shape.alias("shape"), F.round(F.first("noise_prob"), digits).alias("noise"), F.first("read_count").alias("n"))
-    merged = lists.groupBy("cluster_id", "shape", "noise").agg(F.min("read_class_id").alias("read_class_id"), F.sum("n").alias("read_count"))
-    return probs.drop("read_count").join(merged.select(*READ, "read_count"), READ).select(*probs.columns)
+    """Read classes of a cluster that have the same paths and, within the precision, equal probabilities become one.
+
+    In the lexicographic order of noise and probabilities a class joins the last one that stands for others if all its
+    numbers are nearer to that one's than the precision; what stands keeps its numbers and gets the counts. Equal
+    classes are counted before anything is sorted. The others are dealt by their paths, and by noise and first probability
+    as far as gaps of the precision part them: no two classes on both sides of a gap can be merged, nor do they come between others.
+    """
+    shape = F.array_sort(F.collect_list(F.when(F.col("path_id").isNotNull(), F.struct("path_id", "prob"))))
+    lists = probs.groupBy(*READ).agg(shape.alias("shape"), F.first("noise_prob").alias("noise"), F.first("read_count").cast("long").alias("n"))
+    equal = lists.groupBy("cluster_id", "shape", "noise").agg(F.min("read_class_id").alias("read_class_id"), F.sum("n").alias("n"))
+    equal = equal.select("cluster_id", "read_class_id", "noise", "n", F.transform("shape", lambda x: x["path_id"]).alias("paths"), F.transform("shape", lambda x: x["prob"]).alias("probs"))
+    equal = stored(equal.withColumn("path", F.coalesce(F.get("paths", F.lit(0)), F.lit(-1))).withColumn("prob", F.coalesce(F.get("probs", F.lit(0)), F.lit(0.0))), "merge-classes")
+    parted = equal.join(_segments(equal, ["cluster_id"], "noise", "noise_segment", precision), ["cluster_id", "noise"])
+    parted = parted.join(_segments(equal, ["cluster_id", "path"], "prob", "prob_segment", precision), ["cluster_id", "path", "prob"])
+    group = ["cluster_id", "paths", "noise_segment", "prob_segment"]
+    rows = parted.select(*group, "noise", "probs", "read_class_id", "n").repartition(*group).sortWithinPartitions(*group, "noise", "probs", "read_class_id")
+    merged = rows.select("cluster_id", "read_class_id", "n", "paths", F.concat(F.array("noise"), "probs").alias("cells")).mapInArrow(_merge(precision), "cluster_id long, read_class_id long, read_count long")
+    merged = merged.groupBy(*READ).agg(F.sum("read_count").alias("read_count"))  # a class may go on in the next batch
+    return probs.drop("read_count").join(merged, READ).select(*probs.columns)
+
+
+def _merge(precision: float):
+    def run(batches):
+        before = None  # cluster, paths, numbers and id of the class that stands now
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            clusters, ids, n = (batch.column(i).to_numpy() for i in range(3))
+            paths, cells = batch.column(3), batch.column(4)
+            sizes, bounds = np.diff(cells.offsets.to_numpy()), cells.offsets.to_numpy()
+            numbers, flat, first = cells.values.to_numpy(), paths.values.to_numpy(), paths.offsets.to_numpy()
+            # only rows that are alike to the one before can be merged: noise rises, so what stands is no nearer
+            noise = numbers[bounds[:-1]]
+            alike = np.ones(len(ids), bool)
+            alike[1:] = (clusters[1:] == clusters[:-1]) & (sizes[1:] == sizes[:-1]) & (np.abs(noise[1:] - noise[:-1]) < precision)
+            out = ids.copy()
+
+            def of(i):
+                return clusters[i], flat[first[i] : first[i + 1]], numbers[bounds[i] : bounds[i + 1]], ids[i]
+
+            for i in np.flatnonzero(alike).tolist():
+                if i and not alike[i - 1]:  # which stands for itself
+                    before = of(i - 1)
+                own = of(i)
+                if before is not None and before[0] == own[0] and len(before[2]) == len(own[2]) and np.array_equal(before[1], own[1]) and (np.abs(before[2] - own[2]) < precision).all():
+                    out[i] = before[3]
+                else:
+                    before = own
+            if not alike[-1]:
+                before = of(len(ids) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(clusters), pa.array(out), pa.array(n)], names=["cluster_id", "read_class_id", "read_count"])
+
+    return run
 
 
 def add_noise_and_normalise(probs: DataFrame) -> DataFrame:

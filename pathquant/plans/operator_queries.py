@@ -594,3 +594,14 @@ def gibbs_count_moments(spark, sf):
     mean = F.col("total").cast("double") * alpha / weight
     error = F.col("total") * F.sqrt(alpha * (weight - alpha) / (weight * weight * (weight + 1)) / F.lit(samples))
     return whole.join(drawn, ["cluster_id", "path_id"], "left").select("cluster_id", "path_id", F.round(mean, 6).alias("mean"), (F.abs(F.col("drawn") - mean) < 6 * error).alias("near"))
+
+
+#: Noise in steps of 1 / 8192 and a precision of 5 of them: values on both sides of any rounding bound, and chains of near ones.
+@query("""WITH r AS (SELECT l_suppkey % 5 AS c, l_suppkey % 50 AS p, l_orderkey * 7 % 1021 AS k, 1 + l_linenumber % 3 AS n FROM lineitem),
+s AS (SELECT c, p, list_reduce(list_transform(list_sort(list(DISTINCT k)), lambda k: [k]), lambda stand, k: CASE WHEN k[1] - stand[-1] < 5 THEN stand ELSE list_concat(stand, k) END) AS stand FROM r GROUP BY 1, 2),
+m AS (SELECT c, p, n, list_max(list_filter(stand, lambda x: x <= k)) AS k FROM r JOIN s USING (c, p)) SELECT c AS cluster_id, p AS path_id, k / 8192.0::DOUBLE AS noise, CAST(sum(n) AS BIGINT) AS read_count FROM m GROUP BY 1, 2, 3""")
+def merge_within_precision(spark, sf):
+    """Read classes whose noise is nearer than the precision to that of the class that stands become one with it."""
+    supplier, noise = F.col("l_suppkey"), (F.col("l_orderkey") * 7 % 1021) / F.lit(8192.0)
+    rows = table(spark, sf, "lineitem").select((supplier % 5).alias("cluster_id"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice").alias("read_class_id"), (1 + F.col("l_linenumber") % 3).cast("long").alias("read_count"), noise.alias("noise_prob"), (supplier % 50).alias("path_id"), F.lit(0.5).alias("prob"))
+    return probs.merge_identical(rows, 5 / 8192).select("cluster_id", "path_id", F.col("noise_prob").alias("noise"), "read_count")

@@ -125,3 +125,98 @@ def test_chains_in_tasks_are_the_chains_of_one(spark, monkeypatch):
     drawn = {(r["cluster_id"], tuple(r["path_ids"])): r["posterior"] for r in rows if r["kind"] == "group"}
     assert all(abs(drawn.get(k, 0.0) - p) < 0.1 for k, p in exact.items())
     assert sum(drawn.values()) == pytest.approx(len({c for c, _ in drawn})) and {r["cluster_id"] for r in rows if r["kind"] == "cluster"} == set(range(6))
+
+
+def brute_merge(rows, precision):
+    """rows: (cells, count) -> merged in lexicographic order."""
+    out = []
+    for cells, n in sorted(rows):
+        if out and all(abs(a - b) < precision for a, b in zip(out[-1][0], cells)):
+            out[-1][1] += n
+        else:
+            out.append([cells, n])
+    return [(c, n) for c, n in out]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rows_merge_within_the_precision(seed):
+    """Also rows on both sides of a rounding bound, and chains of near rows of which only those near to the first are merged."""
+    rng = np.random.default_rng(seed)
+    precision = [0.05, 0.05, 1e-8, 0.125][seed]
+    base = rng.choice([0.0, 0.1, 0.149999, 0.15, 0.25], size=(300, 3))
+    matrix = np.clip(base + rng.choice([0, 0, 1e-9, 0.03, 0.0499], size=base.shape), 0, 1)
+    counts = rng.integers(1, 5, 300).astype(float)
+    want = brute_merge([(tuple(r), n) for r, n in zip(matrix.tolist(), counts.tolist())], precision)
+    rows, merged = estimators.collapse_reads(matrix, counts, precision)
+    assert sorted((tuple(r), n) for r, n in zip(rows.tolist(), merged.tolist())) == want
+    kept, members = estimators.collapse_paths(np.ascontiguousarray(matrix.T), precision)
+    assert sorted(len(m) for m in members) == sorted(len(g) for g in _groups(matrix, precision)) and kept.shape[1] == len(members)
+
+
+def _groups(matrix, precision):
+    groups = []
+    for row in sorted(map(tuple, matrix.tolist())):
+        if groups and all(abs(a - b) < precision for a, b in zip(groups[-1][0], row)):
+            groups[-1].append(row)
+        else:
+            groups.append([row])
+    return groups
+
+
+def test_equal_hashes_do_not_merge_rows(monkeypatch):
+    class Zero:
+        def integers(self, *_, size, dtype):
+            return np.zeros(size, dtype=dtype) - dtype(1) // dtype(2)
+
+    matrix = np.array([[0.1, 0.2], [0.2, 0.1], [0.1, 0.2], [0.3, 0.3]])
+    monkeypatch.setattr(np.random, "default_rng", lambda *_: Zero())
+    rows, counts = estimators.collapse_reads(matrix, np.ones(4))
+    assert sorted((tuple(r), n) for r, n in zip(rows.tolist(), counts.tolist())) == [((0.1, 0.2), 2), ((0.2, 0.1), 1), ((0.3, 0.3), 1)]
+
+
+@pytest.mark.parametrize("batch", [10_000, 3])
+def test_classes_merge_within_the_precision(spark, batch):
+    from pathquant.operators import probs
+
+    rng = random.Random(batch)
+    rows, want = [], {}
+    for r in range(400):
+        cluster, paths_ = r % 3, tuple(sorted(rng.sample(range(4), rng.randint(0, 3))))
+        noise = rng.choice([0.1, 0.149, 0.151, 0.19, 0.2, 0.24]) if paths_ else 1.0
+        cells = (noise, *(rng.choice([0.05, 0.1, 0.149, 0.151]) for _ in paths_))
+        n = rng.randint(1, 5)
+        want.setdefault((cluster, paths_), []).append((cells, n))
+        rows += [(cluster, r, n, noise, p, x) for p, x in zip(paths_, cells[1:])] or [(cluster, r, n, noise, None, None)]
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, str(batch))
+    try:
+        merged = probs.merge_identical(spark.createDataFrame(rows, "cluster_id long, read_class_id long, read_count long, noise_prob double, path_id long, prob double"), 0.05).collect()
+    finally:
+        spark.conf.set(conf, before)
+    got = {}
+    for r in merged:
+        got.setdefault((r["cluster_id"], r["read_class_id"], r["read_count"], r["noise_prob"]), []).append((r["path_id"], r["prob"]))
+    found = {}
+    for (cluster, _, n, noise), cells in got.items():
+        cells = sorted((p, x) for p, x in cells if p is not None)
+        found.setdefault((cluster, tuple(p for p, _ in cells)), []).append(((noise, *(x for _, x in cells)), n))
+
+    def segments(values):
+        out, number = {}, 0
+        for before, x in zip([None, *sorted(values)], sorted(values)):
+            number += before is not None and x - before >= 0.05
+            out[x] = number
+        return out
+
+    # classes on two sides of a gap, in noise or in the first probability, do not come between each other
+    noise = {c: segments({v[0] for (c2, _), own in want.items() for v, _ in own if c2 == c}) for c in range(3)}
+    first = {(c, k): segments({v[1] for (c2, q), own in want.items() for v, _ in own if c2 == c and q[:1] == (k,)}) for c in range(3) for k in range(4)}
+    parted = {}
+    for (c, q), own in want.items():
+        for v, n in own:
+            parted.setdefault((c, q, noise[c][v[0]], first[c, q[0]][v[1]] if q else 0), []).append((v, n))
+    merged_apart = {}
+    for (c, q, *_), own in parted.items():
+        merged_apart.setdefault((c, q), []).extend(brute_merge(own, 0.05))
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in merged_apart.items()}
