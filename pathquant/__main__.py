@@ -72,24 +72,24 @@ def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
     from pathquant.plans import pipeline
-    from pathquant.plans.store import remove_stored, stored, stored_tables
+    from pathquant.plans.store import stored, stored_run
     from pathquant.sources import readers, sinks
 
     builder = SparkSession.builder.appName("pathquant")
     spark = (builder.master(f"local[{args.threads}]") if args.threads else builder).getOrCreate()
-    start, before = time.time(), stored_tables()
-    reads = readers.read_alignments(spark, args.alignments, not config.single_path, args.interleaved)
-    nodes = stored(readers.read_nodes(spark, args.graph, "json" if args.graph.endswith((".json", ".json.gz")) else "parquet"), "nodes")
-    info = readers.read_path_info(spark, args.path_info, config.model == "haplotype-transcripts", config.collapse) if args.path_info else None
-    result = pipeline.run(reads, nodes, readers.read_steps(spark, f"{args.paths}/steps"), readers.read_paths(spark, f"{args.paths}/paths"), config, info, args.bidirectional)
-    names = {"haplotypes": "", "abundances": "", "joint": "_joint", "gibbs": "_gibbs", "probs": "_probs"}
-    for name, table in result.tables.items():
-        path = f"{args.output_prefix}{names[name]}"
-        if name == "probs":
-            sinks.write_probability_lines(table, path)
-        else:
-            sinks.write_tsv(table, path, gzip=name == "gibbs")
-    remove_stored(spark, before)
+    start = time.time()
+    with stored_run(spark):
+        reads = readers.read_alignments(spark, args.alignments, not config.single_path, args.interleaved)
+        nodes = stored(readers.read_nodes(spark, args.graph, "json" if args.graph.endswith((".json", ".json.gz")) else "parquet"), "nodes")
+        info = readers.read_path_info(spark, args.path_info, config.model == "haplotype-transcripts", config.collapse) if args.path_info else None
+        result = pipeline.run(reads, nodes, readers.read_steps(spark, f"{args.paths}/steps"), readers.read_paths(spark, f"{args.paths}/paths"), config, info, args.bidirectional)
+        names = {"haplotypes": "", "abundances": "", "joint": "_joint", "gibbs": "_gibbs", "probs": "_probs"}
+        for name, table in result.tables.items():
+            path = f"{args.output_prefix}{names[name]}"
+            if name == "probs":
+                sinks.write_probability_lines(table, path)
+            else:
+                sinks.write_tsv(table, path, gzip=name == "gibbs")
     print(f"{result.unaligned} reads or pairs unaligned; fragments {result.fragments}; {time.time() - start:.1f} s", file=sys.stderr)
 
 

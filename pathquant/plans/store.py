@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,27 +35,37 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_written: list[str] = []
+#: Tables stored in the run that is open in this thread, or outside of any.
+_run: ContextVar[list[str] | None] = ContextVar("run", default=None)
+_outside: list[str] = []
 
 
-def stored_tables() -> int:
-    """How many tables this process has stored so far."""
-    return len(_written)
-
-
-def remove_stored(spark: SparkSession, since: int = 0) -> None:
-    """Deletes the tables that this process has stored, or those after a number of them. Call it once results are written."""
+def remove_stored(spark: SparkSession, names: list[str] | None = None) -> None:
+    """Deletes the tables that were stored outside of a run, or those named. Call it once results are written."""
+    names = _outside if names is None else names
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for name in _written[since:]:
-        path = jvm.org.apache.hadoop.fs.Path(name)
+    while names:
+        path = jvm.org.apache.hadoop.fs.Path(names.pop())
         path.getFileSystem(conf).delete(path, True)
-    del _written[since:]
+
+
+@contextmanager
+def stored_run(spark: SparkSession):
+    """What is stored in the block, by this thread, is deleted at its end: write the results in it. Runs in other threads keep theirs."""
+    names: list[str] = []
+    token = _run.set(names)
+    try:
+        yield
+    finally:
+        _run.reset(token)
+        remove_stored(spark, names)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns the written table: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    _written.append(path)
+    own = _run.get()
+    (_outside if own is None else own).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

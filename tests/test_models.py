@@ -344,16 +344,38 @@ def test_bidirectional_index(world):
         assert out[0].unaligned == out[1].unaligned == 1
 
 
-def test_stored_tables_can_be_removed(spark):
+def test_stored_tables_are_those_of_their_run(spark):
+    """A run removes what it has stored, also where another run, in another thread, is not at its end."""
+    import threading
+
     from pathquant.plans import store
 
-    before = store.stored_tables()
-    table = store.stored(spark.range(3).toDF("x"), "gone")
-    assert table.count() == 3
-    path = store._written[-1].removeprefix("file:")
-    assert Path(path).exists()
-    store.remove_stored(spark, before)
-    assert store.stored_tables() == before and not Path(path).exists()
+    def place(df):
+        return Path(df.inputFiles()[0].removeprefix("file://").removeprefix("file:")).parent
+
+    inner, go, ready, kept = {}, threading.Event(), threading.Event(), []
+
+    def other():
+        with store.stored_run(spark):
+            inner["table"] = store.stored(spark.range(3).toDF("x"), "other")
+            ready.set()
+            go.wait(60)
+            kept.append(inner["table"].count())
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    assert ready.wait(60)
+    with store.stored_run(spark):
+        own = place(store.stored(spark.range(3).toDF("x"), "own"))
+        assert own.exists()
+    path = place(inner["table"])
+    assert not own.exists() and path.exists()
+    go.set()
+    thread.join()
+    assert kept == [3] and not path.exists()
+    outside = place(store.stored(spark.range(2).toDF("x"), "outside"))
+    store.remove_stored(spark)
+    assert not outside.exists()
 
 
 def test_command_line(world):
