@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pathquant.llm import decontamination, jaccard, langid, mixing, sharding
 from pathquant.llm.common import shared_path, stored
-from pathquant.plans.store import remove_stored, stored_tables
+from pathquant.plans.store import stored_run
 
 ROW = "row_key"
 MIN_SCORE, MIN_EVIDENCE = 0.5, -2.5  # short texts of mostly numbers have an evidence between -2 and 0
@@ -110,8 +110,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path, before = shared_path(spark, f"pipeline-{name}"), stored_tables()
-        stage(spark, docs, sf_dir).write.parquet(path)
-        remove_stored(spark, before)  # what the stage wrote on the way
+        path = shared_path(spark, f"pipeline-{name}")
+        with stored_run(spark):  # what the stage writes on the way goes
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
