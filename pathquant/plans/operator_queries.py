@@ -15,7 +15,7 @@ from pathquant.functions.fragments import FragmentDist
 from pathquant.operators import clusters, estimators, inference, matching, paths, probs
 from pathquant.plans.queries import COMBOS, MEMBERS, ORACLE, POSTERIOR, PROBS, QUERIES, ROWS, STEPS, _result, align_rows, members, nodes, path_probs_of, query, steps, table  # noqa: F401
 from pathquant.plans.store import shared_path, stored
-from pathquant.sources import readers, sinks
+from pathquant.sources import blockgzip, readers, sinks
 
 # ---- alignments and walks
 
@@ -190,7 +190,8 @@ def has_path(spark, sf):
 @query("SELECT (row_number() OVER w - 1) // 2 AS read_id, CAST((row_number() OVER w - 1) % 2 + 1 AS INTEGER) AS mate, o_orderkey AS score, o_custkey AS node_id, o_orderstatus = 'F' AS is_reverse, CAST(length(o_orderpriority) AS INTEGER) AS bases FROM orders WINDOW w AS (ORDER BY o_orderkey)")
 def interleaved_reads(spark, sf):
     """Alignments written as JSON lines in the form of protobuf's JSON, read back as interleaved pairs."""
-    o = table(spark, sf, "orders").repartition(1).sortWithinPartitions("o_orderkey")
+    o = clusters.numbered(table(spark, sf, "orders"), ["o_orderkey"], "row")  # a file holds whole chunks of an even number of rows
+    o = o.withColumn("chunk", F.floor(F.col("row") / 1024)).repartitionByRange("chunk").sortWithinPartitions("row")
     position = F.struct(F.col("o_custkey").cast("string").alias("node_id"), F.when(F.col("o_orderstatus") == "F", F.lit(True)).alias("is_reverse"))
     own = F.struct(F.array(F.struct(position.alias("position"), F.array(F.struct(F.lit(1).alias("from_length"), F.lit(1).alias("to_length"))).alias("edit"))).alias("mapping"))
     path = shared_path(spark, "reads")
@@ -199,6 +200,19 @@ def interleaved_reads(spark, sf):
     return reads.select("read_id", "mate", F.col("score").cast("long").alias("score"), first["node_id"].alias("node_id"), first["is_reverse"].alias("is_reverse"), F.length("sequence").alias("bases"))
 
 
+@query("SELECT o_orderkey AS score, o_custkey AS node_id, o_orderstatus = 'F' AS is_reverse, CAST(length(o_orderpriority) AS INTEGER) AS bases, CAST(o_custkey % 61 AS INTEGER) AS mapping_quality, CAST(o_orderkey % 50 AS VARCHAR) AS allelic_mapq, o_custkey % 7 AS offset FROM orders")
+def message_scan(spark, sf):
+    """Alignments written as framed messages in block-gzip files, and read back in several tasks a file."""
+    o, custkey = table(spark, sf, "orders"), F.col("o_custkey")
+    own = _path(_mapping(custkey, custkey % 7, F.col("o_orderstatus") == "F", (F.lit(1), F.lit(1))))
+    reads = o.select(F.expr("repeat('A', length(o_orderpriority))").alias("sequence"), F.col("o_orderkey").cast("int").alias("score"), (custkey % 61).cast("int").alias("mapping_quality"), F.create_map(F.lit("allelic_mapq"), (F.col("o_orderkey") % 50).cast("string")).alias("annotation"), own.alias("path"))
+    path = shared_path(spark, "messages")
+    blockgzip.register(spark)
+    reads.write.format("gam").mode("append").save(path)
+    found, first = readers.read_alignments(spark, path, multipath=False, fmt="gam", split=1 << 16), F.get("path.mapping", F.lit(0))["position"]
+    return found.select(F.col("score").cast("long").alias("score"), first["node_id"].alias("node_id"), first["is_reverse"].alias("is_reverse"), F.length("sequence").alias("bases"), "mapping_quality", F.col("annotation")["allelic_mapq"].alias("allelic_mapq"), first["offset"].alias("offset"))
+
+
 @query("""WITH h AS (SELECT o_orderpriority AS transcript, o_orderstatus AS s, count(DISTINCT o_custkey) AS source_count FROM orders GROUP BY 1, 2) SELECT concat(transcript, '_', s) AS name, transcript, CAST(source_count AS INTEGER) AS source_count, CAST(sum(source_count) OVER (PARTITION BY transcript) AS BIGINT) AS of_transcript FROM h""")
 def haplotype_count(spark, sf):
     """Path information written as a tab-separated file and read back: haplotypes of paths, and paths of a transcript."""
@@ -263,10 +277,24 @@ SELECT cluster_id, 2 AS line_no, line, count(*) AS n FROM l GROUP BY 1, 3
 UNION ALL SELECT s_suppkey % 5, 1, string_agg(concat(s_name, ',1000,', 100 + 7 * (s_suppkey % 13)), ' ' ORDER BY s_suppkey), 1 FROM supplier GROUP BY 1 UNION ALL SELECT DISTINCT s_suppkey % 5, 0, '#', 1 FROM supplier""")
 def probability_dump(spark, sf):
     """Lines of the probability dump, with how often each occurs."""
+    return _dump_lines(spark, sf).groupBy("cluster_id", "line_no", "line").agg(F.count("*").alias("n"))
+
+
+def _dump_lines(spark, sf):
     order, path = F.col("l_orderkey"), F.col("l_suppkey")
     rows = table(spark, sf, "lineitem").select((path % 5).alias("cluster_id"), order.alias("read_class_id"), (1 + order % 3).alias("read_count"), F.lit(0.5).alias("noise_prob"), path.alias("path_id"), F.when(path % 2 == 0, 0.25).otherwise(0.125).alias("prob")).distinct()
-    lines = sinks.probability_lines(rows, clusters.local_index(members(spark, sf)))
-    return lines.groupBy("cluster_id", "line_no", "line").agg(F.count("*").alias("n"))
+    return sinks.probability_lines(rows, clusters.local_index(members(spark, sf)))
+
+
+DUMP = ORACLE["probability_dump"]
+
+
+@query(f"SELECT line, CAST(sum(n) AS BIGINT) AS n FROM ({DUMP}) GROUP BY 1")
+def probability_dump_file(spark, sf):
+    """The probability dump written as block-gzip parts, and read back as lines."""
+    path = shared_path(spark, "dump")
+    sinks.write_probability_lines(_dump_lines(spark, sf), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
 # ---- numbers

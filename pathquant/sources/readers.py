@@ -1,4 +1,4 @@
-"""Readers: graphs and path indexes as tables, alignments as JSON lines, path information as tab-separated text.
+"""Readers: graphs and path indexes as tables, alignments as messages or JSON lines, path information as tab-separated text.
 
 Protobuf's JSON leaves out zero and false and writes 64-bit integers as strings and bytes as base64; the
 readers take either form.
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pathquant.operators.paths import path_names
 from pathquant.plans.store import stored
+from pathquant.sources import blockgzip
 
 _POSITION = "position struct<node_id:string,offset:string,is_reverse:boolean>"
 _PATH = f"struct<mapping:array<struct<{_POSITION.replace(' ', ':', 1)},edit:array<struct<from_length:int,to_length:int,sequence:string>>>>>"
@@ -64,15 +65,24 @@ def _with_read_ids(rows: DataFrame, interleaved: bool) -> DataFrame:
     return rows.withColumn("mate", F.coalesce("mate", mate)).withColumn("read_id", ids).drop("_file", "_block", "_place", "_first", "_start", "_line", "_base")
 
 
-def read_alignments(spark: SparkSession, path: str, multipath: bool = True, interleaved: bool = False) -> DataFrame:
+def read_alignments(spark: SparkSession, path: str, multipath: bool = True, interleaved: bool = False, fmt: str | None = None, split: int | None = None) -> DataFrame:
     """Reads with ``read_id`` (one per fragment) and ``mate`` (1 or 2).
 
-    Records carry a pair id and a mate, or are pairs in consecutive lines (interleaved), or are single reads.
+    Records carry a pair id and a mate, or are pairs in consecutive records (interleaved), or are single reads. fmt is
+    "json" (lines), "gam" or "gamp" (framed messages in block-gzip, which several tasks read); None tells by the path's end.
+    split: bytes of a file of messages that one task reads, about.
     """
-    rows = spark.read.schema(MULTIPATH if multipath else ALIGNMENT).json(path)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
-    rows = _with_read_ids(rows, interleaved)
-    rows = rows.withColumn("quality", F.unbase64("quality")).withColumn("mapping_quality", F.coalesce("mapping_quality", F.lit(0)))
+    messages = "gamp" if multipath else "gam"
+    if (fmt or (messages if path.rstrip("/").endswith(f".{messages}") else "json")) == messages:
+        blockgzip.register(spark)
+        rows = spark.read.format(messages).options(**({"split": str(split)} if split else {})).load(path)
+        rows = rows.withColumns({"pair_id": F.lit(None).cast("long"), "mate": F.lit(None).cast("int")})
+        rows = _with_read_ids(rows, interleaved)
+    else:
+        rows = spark.read.schema(MULTIPATH if multipath else ALIGNMENT).json(path)
+        rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
+        rows = _with_read_ids(rows, interleaved).withColumn("quality", F.unbase64("quality"))
+    rows = rows.withColumn("mapping_quality", F.coalesce("mapping_quality", F.lit(0)))
     if multipath:
         parts = f"transform(subpath, s -> named_struct('path', {_numbers('s.path')}, 'score', coalesce(s.score, 0), 'next', s.next, 'connection', s.connection))"
         return rows.withColumn("subpath", F.expr(parts)).drop("pair_id", "name")

@@ -6,18 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathquant.operators.inference import path_abundances, tpm
+from pathquant.sources import blockgzip
 
 
 def significant(number, digits: int = 8):
     """A number as text with so many significant digits, without zeros at the end; very small and very large ones with an exponent."""
     text = F.regexp_replace(F.format_string(f"%.{digits}g", number), r"(\.[0-9]*?)0+(e|$)", "$1$2")
-    return F.regexp_replace(text, r"\.(e|$)", "$1")
+    return F.when(number.isNotNull(), F.regexp_replace(text, r"\.(e|$)", "$1"))
 
 
-def write_tsv(df: DataFrame, path: str, gzip: bool = False) -> None:
-    """Tab-separated files with a header; numbers keep eight significant digits."""
+def write_tsv(df: DataFrame, path: str, gzip: bool = False, blocks: bool = False) -> None:
+    """Tab-separated files with a header each; numbers keep eight significant digits. With blocks only the first has one:
+    the files are parts of one block-gzip file, see ``write_lines``."""
     numbers = {f.name: significant(F.col(f"`{f.name}`")) for f in df.schema.fields if f.dataType.simpleString() == "double"}
-    df.withColumns(numbers).write.option("sep", "\t").option("header", "true").option("compression", "gzip" if gzip else "none").csv(path)
+    df = df.withColumns(numbers)
+    if blocks:
+        head = df.sparkSession.range(1, numPartitions=1).select(F.lit("\t".join(df.columns)).alias("line"))
+        write_lines(head.union(df.select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]))), path)
+    else:
+        df.write.option("sep", "\t").option("header", "true").option("compression", "gzip" if gzip else "none").csv(path)
+
+
+def write_lines(lines: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Lines (one column) as block-gzip parts: appended in their order, the parts are one block-gzip file."""
+    blockgzip.register(lines.sparkSession)
+    lines.write.format("blockgzip-text").mode("overwrite" if overwrite else "append").save(path)
 
 
 def abundance_table(result: DataFrame, members: DataFrame, denominator: float, unknown: float, with_haplotypes: bool = False) -> DataFrame:
@@ -83,4 +96,4 @@ def probability_lines(probs: DataFrame, members: DataFrame, digits: int = 8) ->
 
 
 def write_probability_lines(lines: DataFrame, path: str) -> None:
-    lines.repartition("cluster_id").sortWithinPartitions("cluster_id", "line_no", "line").select("line").write.option("compression", "gzip").text(path)
+    write_lines(lines.repartitionByRange("cluster_id").sortWithinPartitions("cluster_id", "line_no", "line").select("line"), path)
