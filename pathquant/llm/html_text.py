@@ -4,7 +4,7 @@ A page is cut into blocks of text, each with its root-to-leaf path of block-leve
 text length (without links) and punctuation are aggregated and divided by the path's number of blocks. Along the page
 these ratios are smoothed with a Gaussian and fused into one score; the score of a path is the mean over its blocks,
 times what its elements tell: an article or main element counts for it, an element or a class name that is used for
-menus, headers, footers, sidebars, notices, adverts, forms or comments counts against it, but neither decides alone.
+menus, headers, footers, sidebars, notices, adverts, forms or comments counts against it, the more the plainer it is.
 Paths that reach half of the best score are content.
 
 The smallest element with 85 % of their text (or the article element around it) is the container. In it, weak
@@ -39,12 +39,15 @@ ENDS = {"li": "li", "dt": "dd", "dd": "dd", "tr": "tr", "td": "td", "th": "td"}
 MEMBERS = {g: (frozenset(a.split()), frozenset(b.split())) for g, (a, b) in GROUPS.items()}
 GROUPS_OF = {t: [g for g, (a, b) in MEMBERS.items() if t in a | b] for t in "li ul ol menu dt dd dl tr td th table".split()}
 
-ARTICLE, AGAINST, LAYOUT = 3.0, 0.02, 0.05  # factors of a path's score
+ARTICLE, AGAINST, LAYOUT, MILD = 3.0, 0.02, 0.05, 0.6  # factors of a path's score
 ELEMENTS = frozenset("nav footer aside form menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words in class names and ids. Those of the last kind also name the head of an article.
-WORDS = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login menu menus nav navbar navigation breadcrumb breadcrumbs comment comments commentlist discussion reply replies respond disqus pagination pager copyright".split())
+WORDS = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login menu menus nav navbar navigation breadcrumb breadcrumbs comment comments commentlist discussion thread reply replies respond disqus pagination pager copyright".split())
 LAYOUT_WORDS = frozenset("footer sidebar sidebars notice notices alert widget widgets related recommended share sharing social toolbar disclaimer".split())
+#: Words that name the page's frame alone or beside words of layout, but with other words often a topic: share-price, discussion-of-results.
+TOPICS = frozenset("discussion thread share sharing social alert notice notices related recommended promotion copyright disclaimer menu menus sponsor sponsors".split())
+FRAME = frozenset("area articles author bar block body bottom box btn button buttons card cards center col column container content count cta date desktop for grid group heading icon icons inner item items label left link links list lists main meta mobile module more name news outer panel policy post posts read reading right row section sections site slot sticky stories story tab tabs text this time title toggle top trail unit user view wrap wrapper you".split())
 HEAD_WORDS = frozenset("header masthead banner".split())
 ABOUT, NOT = frozenset("article post entry story title".split()), frozenset("has with without no is".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -72,7 +75,10 @@ class Page:
 
 
 def _name_factor(tag: str, value: str) -> float:
-    """What class names or an id say. In a paragraph only whole names count, in a heading none."""
+    """What class names or an id say. In a paragraph only whole names count, in a heading none.
+
+    A name that may be a topic only weighs a little: then the score of its path decides.
+    """
     if tag in HEADINGS or tag in ("html", "body", "main"):
         return 1.0
     out = 1.0
@@ -80,7 +86,11 @@ def _name_factor(tag: str, value: str) -> float:
         words = {name.lower()} if tag == "p" else {w.lower() for w in NAME.findall(name)} | {name.lower()}
         if words & NOT:
             continue
-        if words & WORDS:
+        said = words & (WORDS | LAYOUT_WORDS)
+        topic = {w for w in words - said - FRAME - {name.lower()} if not w.isdigit()} or tag == "p" and not said & WORDS
+        if said and said <= TOPICS and topic:
+            out = min(out, MILD)
+        elif words & WORDS:
             out = min(out, AGAINST)
         elif words & LAYOUT_WORDS or words >= {"side", "bar"} or words & HEAD_WORDS and not words & ABOUT:
             out = min(out, LAYOUT)
@@ -301,7 +311,7 @@ def content_blocks(page: Page) -> list[int]:
         tag = page.tag[element]
         if path in seeds:
             kept.append(i)
-        elif page.factor[element] < page.factor[container] or links[path] > LINKED * size[path] and tag not in ("h1", "h2", "h3"):
+        elif page.factor[element] < MILD * page.factor[container] or links[path] > LINKED * size[path] and tag not in ("h1", "h2", "h3"):
             continue
         elif whole or first < i < last or i < first and tag in HEADINGS or i > last and tag in LISTED:
             kept.append(i)

@@ -375,3 +375,28 @@ def test_fit_by_tasks_is_the_fit_of_all_words(spark, language_tables):
     table = spark.createDataFrame([(w, [float(counts[w, "en"]), float(counts[w, "fr"])]) for w in words], "word string, counts array<double>").repartition(3)
     want = langid._expected([w.encode() for w in words], np.array([[counts[w, "en"], counts[w, "fr"]] for w in words], dtype=float), probs, tables)
     assert np.allclose(langid._expected_of(table, probs, default_path("word_bpe_49k.json")), want)
+
+
+# --- names of topics in web pages
+
+BODY = "<p>" + "This is a long sentence of the article, with commas, and more words to read. " * 5 + "</p>"
+
+
+@pytest.mark.parametrize("part, kept", [
+    ("<section class='discussion-of-results'><p>We discuss the results, which are, as expected, long enough to be read.</p></section>", True),
+    ("<div class='share-price'><p>The price rose by five per cent, after the news, on Monday.</p></div>", True),
+    ("<p class='alert'>Please note, this matters to everyone who reads it.</p>", True),
+    ("<div class='lunch-menu'><p>Soup, bread and a salad, which is always fresh, every day.</p></div>", True),
+    ("<div class='thread'><p>bob: nice article, thanks for it.</p></div>", False),
+    ("<div class='comment-thread'><p>bob: nice article, thanks for it.</p></div>", False),
+    ("<section class='discussion'><p>bob: nice article, thanks for it.</p></section>", False),
+    ("<div class='share-buttons'><p>Send this on, please do.</p></div>", False),
+    ("<div class='related-articles'><p>Read this other piece, it is good, we think so.</p></div>", False),
+    ("<div class='alert alert-box'><p>We use your data, as all do.</p></div>", False),
+    ("<div class='ad-price'><p>Buy this, it is cheap, today.</p></div>", False),
+])
+def test_names_of_topics_only_weigh(part, kept):
+    from pathquant.llm import html_text
+
+    text = html_text.main_text(f"<html><body><nav>home</nav><article><h1>T</h1>{BODY * 3}{part}{BODY}</article><footer>end</footer></body></html>")
+    assert text.count("\n") == 4 + kept and "home" not in text and "end" not in text.split("\n")
