@@ -377,6 +377,7 @@ def start_in_graph(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
 
 #: Nodes of an anchor at most, steps of a block of a path at least, and places of one anchor that one task meets.
 ANCHOR, BLOCK, HOT = 3, 64, 10_000
+BIN = 8  # longest fragments in a bin of a path, in which mates meet
 SHAPE = ["nodes", "lo", "hi"]
 GRAM = [f"n{i}" for i in range(ANCHOR)]
 
@@ -552,7 +553,9 @@ def paired_matches(matches: DataFrame, library: str, max_fragment: int, bidirect
     """Alignment rows of pairs: an interval join of mates on the path.
 
     The second mate is reverse-complemented and may neither begin left of the first nor end left of it; mates
-    that overlap are merged. Every pair of occurrences makes a row, which covers circular paths.
+    that overlap are merged. Every pair of occurrences makes a row, which covers circular paths. Mates meet in bins of the path:
+    a second mate lies in the bin of its start, a first one in all bins in which its second may start (mostly one), so
+    occurrences that are far apart on a path that a read hits often are not compared, and no pair is met twice.
     """
     if library == "rf":
         orders = [(2, 1)]
@@ -562,6 +565,10 @@ def paired_matches(matches: DataFrame, library: str, max_fragment: int, bidirect
         orders = [(1, 2), (2, 1)]
     left = matches.where("strand = '+'").select(*[F.col(c).alias(f"a_{c}") for c in matches.columns])
     right = matches.where("strand = '-'").select(*[F.col(c).alias(f"b_{c}") for c in matches.columns])
+    # the second mate starts at the first one's outer end or after it, and at most a fragment behind its inner end
+    width = BIN * max(1, max_fragment)
+    bins = F.sequence(F.floor((F.col("a_start_at") - F.col("a_cut_left")) / width), F.floor((F.col("a_end_at") + max_fragment) / width))
+    left, right = left.withColumn("a_bin", F.explode(bins)), right.withColumn("b_bin", F.floor(F.col("b_start_at") / width))
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
     allowed = F.lit(False)
     for first, second in orders:
@@ -574,7 +581,7 @@ def paired_matches(matches: DataFrame, library: str, max_fragment: int, bidirect
         & ((b("first_step") > a("first_step")) | (outer_b >= outer_a)) & ((b("last_step") > a("last_step")) | (right_b >= right_a))
     )
     frag = a("length") + b("length") + insert - a("cut_right") - b("cut_left")
-    pairs = left.join(right, (a("read_id") == b("read_id")) & (a("path_id") == b("path_id")) & allowed & placed & (frag <= max_fragment))
+    pairs = left.join(right, (a("read_id") == b("read_id")) & (a("path_id") == b("path_id")) & (a("bin") == b("bin")) & allowed & placed & (frag <= max_fragment))
     share = F.least(a("adjusted") / a("optimal"), b("adjusted") / b("optimal"))
     length = a("length") + b("length") - a("cut_left") - a("cut_right") - b("cut_left") - b("cut_right")
     return pairs.select(a("read_id").alias("read_id"), a("path_id").alias("path_id"), (a("adjusted") + b("adjusted")).alias("score_sum"), length.alias("align_length"), frag.alias("frag_length"), F.least(a("mapq"), b("mapq")).alias("min_mapq"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)).alias("fraction"), (a("partial") | b("partial")).alias("partial"), (a("multimap") | b("multimap")).alias("multimap")).repartition("read_id").distinct()

@@ -142,6 +142,28 @@ def multipath_bubbles(spark, sf):
     return matching.alignment_rows(reads, placed, config, 100).select("read_id", "path_id", "score_sum", "align_length")
 
 
+CIRCLES = STEPS + """, n AS (SELECT path_id, count(*) AS n FROM steps GROUP BY 1), c AS (SELECT path_id, ordinal, node_id, is_reverse FROM steps UNION ALL SELECT path_id, ordinal + n, node_id, is_reverse FROM steps JOIN n USING (path_id)),
+o AS (SELECT path_id, ordinal, node_id, is_reverse, p_size AS len, CAST(coalesce(sum(p_size) OVER (PARTITION BY path_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cum FROM c JOIN part ON p_partkey = node_id),
+q AS (SELECT a.path_id AS read_id, a.node_id AS n1, a.is_reverse AS r1, b.node_id AS n2, b.is_reverse AS r2 FROM steps a JOIN steps b ON b.path_id = a.path_id AND a.ordinal = 0 AND b.ordinal = 1),
+f AS (SELECT DISTINCT q.read_id, a.path_id, b.cum + b.len - a.cum AS frag FROM q JOIN o a ON a.node_id = q.n1 AND a.is_reverse = q.r1 JOIN o b ON b.path_id = a.path_id AND b.node_id = q.n2 AND b.is_reverse = q.r2 AND b.ordinal >= a.ordinal WHERE b.cum + b.len - a.cum <= 250)"""
+
+
+@query("WITH " + CIRCLES + " SELECT read_id, path_id, count(*) AS fragments, CAST(min(frag) AS BIGINT) AS shortest, CAST(max(frag) AS BIGINT) AS longest FROM f GROUP BY 1, 2")
+def circular_pairs(spark, sf):
+    """Pairs on paths that go round twice: a fragment length for every pair of places that is near enough."""
+    own = steps(spark, sf)
+    again = own.withColumn("ordinal", F.col("ordinal") + F.count("*").over(Window.partitionBy("path_id")))
+    placed = stored(paths.with_offsets(own.unionByName(again), nodes(spark, sf)).withColumn("node", F.col("node_id") * 2 + F.col("is_reverse").cast("int")), "circles")
+    after = own.where("ordinal = 1").select("path_id", F.col("node_id").alias("n2"), F.col("is_reverse").alias("r2"))
+    pairs = own.where("ordinal = 0").join(after, "path_id").select(F.col("path_id").alias("read_id"), F.col("node_id").alias("n1"), F.col("is_reverse").alias("r1"), "n2", "r2")
+    base = (F.lit(1), F.lit(1))
+    ends = {1: _path(_mapping(F.col("n1"), F.lit(0), F.col("r1"), base)), 2: _path(_mapping(F.col("n2"), F.lit(0), ~F.col("r2"), base))}
+    one, two = (_reads(pairs, mate=F.lit(m), sequence=F.lit("A"), score=F.lit(1), path=p) for m, p in ends.items())
+    config = EngineConfig(score_not_qual=True, library="fr", frag_mean=1.0, frag_sd=1.0, filt_best_score=0.0, max_partial_offset=0)
+    rows = matching.alignment_rows(one.unionByName(two), placed, config, 250)
+    return rows.groupBy("read_id", "path_id").agg(F.count("*").alias("fragments"), F.min("frag_length").cast("long").alias("shortest"), F.max("frag_length").cast("long").alias("longest"))
+
+
 FACTS = "SELECT l_orderkey AS read_id, l_suppkey AS path_id, l_suppkey % 7 = 1 AS partial, l_returnflag = 'R' AND l_partkey % 5 = 0 AS multimap, 100 + l_partkey % 2 AS frag_length, CAST(l_discount AS DOUBLE) * 9.5 AS fraction FROM lineitem"
 
 
