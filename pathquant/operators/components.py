@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Every round is two joins on partially aggregated minima, so a vertex with very many neighbours costs no more
-than its rows; the number of rounds grows with the logarithm of the graph. Rounds are written tables.
+than its rows, and the minima are exchanged anew, so that Spark can split the rows of such a vertex over several tasks. The
+number of rounds grows with the logarithm of the graph. Rounds are written tables.
 """
 
 from __future__ import annotations
@@ -12,17 +13,23 @@ from pyspark.sql import functions as F
 from pathquant.plans.store import stored
 
 
+def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges with the minimum m of their u. The key of the minima is computed: an exchange of their own lets a skewed join be split."""
+    own = least.select((F.col("u") + 0).alias("key"), "m")
+    return edges.join(own, F.col("u") == F.col("key")).drop("key")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """(u, v), u > v -> every larger neighbour of a vertex linked to the least of its neighbourhood."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _met(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """(u, v), u > v -> a vertex and its smaller neighbours linked to the least of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    links = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    links = _met(edges, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return links.where("u != v").union(least.select("u", F.col("m").alias("v")))
 
 
@@ -43,3 +50,19 @@ def connected_components(edges: DataFrame, a: str, b: str, name: str = "componen
         before = now
     vertices = ends.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
     return vertices.join(star.withColumnRenamed("u", "vertex"), "vertex", "left").select("vertex", F.coalesce("v", "vertex").alias("component"))
+
+
+def extended_components(labels: DataFrame, edges: DataFrame, a: str, b: str, name: str = "components") -> DataFrame:
+    """Components of a graph of which some are known: labels(vertex, component), as this module gives them, and new edges.
+
+    Only the new edges are walked, between the components that they join; then labels that lie in a joined component
+    are replaced. The result is that of ``connected_components`` over all edges. Edges with a null end are ignored.
+    """
+    ends = edges.select(F.col(a).alias("p"), F.col(b).alias("q")).where("p IS NOT NULL AND q IS NOT NULL")
+    vertices = ends.select(F.explode(F.array("p", "q")).alias("vertex")).distinct()
+    known = stored(vertices.join(labels, "vertex", "left").select("vertex", F.col("component").isNull().alias("fresh"), F.coalesce("component", "vertex").alias("label")), f"{name}-ends")
+    at = {c: known.select(F.col("vertex").alias(c), F.col("label").alias(f"{c}_label")) for c in ("p", "q")}
+    between = ends.join(at["p"], "p").join(at["q"], "q").select("p_label", "q_label").distinct()
+    joined = stored(connected_components(between, "p_label", "q_label", name).where("vertex != component").select(F.col("vertex").alias("label"), F.col("component").alias("joined")), f"{name}-joined")
+    every = labels.select("vertex", F.col("component").alias("label")).unionByName(known.where("fresh").select("vertex", "label"))
+    return every.join(joined, "label", "left").select("vertex", F.coalesce("joined", "label").alias("component"))

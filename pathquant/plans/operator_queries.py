@@ -13,7 +13,8 @@ from pathquant.config import INT_MIN, EngineConfig
 from pathquant.functions import fragments, mathfn, scoring
 from pathquant.functions.fragments import FragmentDist
 from pathquant.operators import clusters, estimators, inference, matching, paths, probs
-from pathquant.plans.queries import COMBOS, MEMBERS, ORACLE, POSTERIOR, PROBS, QUERIES, ROWS, STEPS, _result, align_rows, members, nodes, path_probs_of, query, steps, table  # noqa: F401
+from pathquant.operators.components import connected_components, extended_components
+from pathquant.plans.queries import COMBOS, COMPONENTS, MEMBERS, ORACLE, POSTERIOR, PROBS, QUERIES, ROWS, STEPS, _result, align_rows, members, nodes, path_probs_of, query, steps, table  # noqa: F401
 from pathquant.plans.store import shared_path, stored
 from pathquant.sources import blockgzip, readers, sinks
 
@@ -655,3 +656,30 @@ def merge_within_precision(spark, sf):
     supplier, noise = F.col("l_suppkey"), (F.col("l_orderkey") * 7 % 1021) / F.lit(8192.0)
     rows = table(spark, sf, "lineitem").select((supplier % 5).alias("cluster_id"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice").alias("read_class_id"), (1 + F.col("l_linenumber") % 3).cast("long").alias("read_count"), noise.alias("noise_prob"), (supplier % 50).alias("path_id"), F.lit(0.5).alias("prob"))
     return probs.merge_identical(rows, 5 / 8192).select("cluster_id", "path_id", F.col("noise_prob").alias("noise"), "read_count")
+
+
+# ---- components with a hub, and in increments
+
+#: Customers of orders, and a vertex 0 to which every third order is tied.
+HUBS = COMPONENTS.format(a="a", b="b", t="(SELECT o_orderkey AS a, 1000000000 + o_custkey AS b FROM orders UNION ALL SELECT o_orderkey, 0 FROM orders WHERE o_orderkey % 3 = 0)") + "SELECT id AS vertex, comp AS component FROM cc"
+
+
+def _hub_edges(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("a"), (1_000_000_000 + F.col("o_custkey")).alias("b")).union(o.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit(0).cast("long")))
+
+
+@query(HUBS)
+def hub_components(spark, sf):
+    """A vertex with a third of all edges."""
+    return connected_components(_hub_edges(spark, sf), "a", "b").select("vertex", "component")
+
+
+@query(HUBS)
+def components_in_increments(spark, sf):
+    """The same graph in three parts: each extends the components of those before."""
+    edges = _hub_edges(spark, sf)
+    found = stored(connected_components(edges.where("a % 4 < 2"), "a", "b"), "increment")
+    for rest in (2, 3):
+        found = stored(extended_components(found, edges.where(f"a % 4 = {rest}"), "a", "b"), "increment")
+    return found

@@ -220,3 +220,20 @@ def test_classes_merge_within_the_precision(spark, batch):
     for (c, q, *_), own in parted.items():
         merged_apart.setdefault((c, q), []).extend(brute_merge(own, 0.05))
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in merged_apart.items()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components_can_be_extended(spark, seed):
+    from pathquant.operators.components import connected_components, extended_components
+
+    rng = random.Random(seed)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(0, i) for i in range(60, 75)] + [(None, 3), (80, 80)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame([(a, b, i % 3) for i, (a, b) in enumerate(edges)], "a long, b long, part int")
+    want = sorted(map(tuple, connected_components(df, "a", "b").collect()))
+    labels = connected_components(df.where("part = 0"), "a", "b")
+    for part in (1, 2):
+        labels = extended_components(labels, df.where(f"part = {part}"), "a", "b")
+    assert sorted(map(tuple, labels.collect())) == want
+    assert sorted(map(tuple, extended_components(labels.limit(0), df, "a", "b").collect())) == want
+    assert sorted(map(tuple, extended_components(connected_components(df, "a", "b"), df.limit(0), "a", "b").collect())) == want
