@@ -7,6 +7,7 @@ that are too large for one worker, ``em_frames`` a fixed number of its rounds.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from itertools import chain, combinations_with_replacement, islice
 
 import numpy as np
@@ -21,6 +22,7 @@ from pathquant.plans.store import stored
 #: Combinations of other than two paths of one cluster that are all listed. Of more, all are weighed, and those listed that
 #: have LISTED_CUT of the best likelihood: the others' posteriors are below any output threshold.
 LISTED, LISTED_CUT = 5_000_000, 1e-12
+FEW_CELLS = 200  # cells of rows that are merged as lists
 GROUP_CELLS = 1 << 21  # reads by combinations weighed at a time
 CHAINS, DRAWS, SAMPLES = 1, 2, 3  # what a random stream of a cluster is for
 
@@ -55,12 +57,29 @@ def _lexicographic(rows: np.ndarray) -> np.ndarray:
     return np.argsort(flat.view(np.dtype((np.void, flat.shape[1] * 8))).ravel(), kind="stable") if flat.size else np.arange(len(rows))
 
 
+@lru_cache(maxsize=64)
+def _weights(columns: int) -> np.ndarray:
+    return np.random.default_rng(columns).integers(1 << 62, size=columns, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _few(rows: list[list[float]], counts: list[float], precision: float) -> tuple[np.ndarray, np.ndarray]:
+    """``collapse_reads`` on lists, which are quicker than arrays for a few cells."""
+    kept: list[list[float]] = []
+    sums: list[float] = []
+    for row, n in sorted(zip(rows, counts)):
+        if kept and all(abs(a - b) < precision for a, b in zip(kept[-1], row)):
+            sums[-1] += n
+        else:
+            kept.append(row)
+            sums.append(n)
+    return np.array(kept), np.array(sums)
+
+
 def _classes(matrix: np.ndarray, precision: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows that stand for classes of rows equal to the precision, and the class of each row. Equal rows are found by a hash, then compared."""
     cells = np.ascontiguousarray(matrix + 0.0).view(np.uint64)
-    odd = np.random.default_rng(matrix.shape[1]).integers(1 << 62, size=matrix.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     mixed = cells ^ (cells >> np.uint64(29))
-    _, first, which = np.unique((mixed * odd).sum(axis=1, dtype=np.uint64), return_index=True, return_inverse=True)
+    _, first, which = np.unique((mixed * _weights(matrix.shape[1])).sum(axis=1, dtype=np.uint64), return_index=True, return_inverse=True)
     which = which.ravel()
     if len(first) < len(cells) and any((cells[low : low + 4096] != cells[first[which[low : low + 4096]]]).any() for low in range(0, len(cells), 4096)):
         first, which = np.arange(len(cells)), np.arange(len(cells))
@@ -74,8 +93,10 @@ def _classes(matrix: np.ndarray, precision: float) -> tuple[np.ndarray, np.ndarr
 
 def collapse_reads(matrix: np.ndarray, counts: np.ndarray, precision: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
     """Rows that are equal within the precision become one: the first of them in lexicographic order, with their counts."""
-    if not len(matrix):
+    if len(matrix) < 2:
         return matrix, counts
+    if matrix.size <= FEW_CELLS:
+        return _few(matrix.tolist(), counts.tolist(), precision)
     kept, which = _classes(matrix, precision)
     return matrix[kept], np.bincount(which, weights=counts)
 
@@ -452,7 +473,8 @@ def subset_abundances(probs, noise, counts, group_ids, subsets: dict, settings:
 
 def nested(probs, noise, counts, group_ids, sources: list[list], settings: C.EngineConfig, cluster: int) -> dict:
     """Haplotype combinations first, then abundances in each likely path subset."""
-    size, rng = settings.ploidy, stream(settings.seed, cluster, DRAWS)
+    size = settings.ploidy
+    rng = stream(settings.seed, cluster, DRAWS) if settings.num_gibbs_samples or settings.ind_hap_inference else None
 
     def posteriors(p, n, c, freq, cut, group=0):
         if settings.use_hap_gibbs:

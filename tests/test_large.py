@@ -138,9 +138,11 @@ def brute_merge(rows, precision):
     return [(c, n) for c, n in out]
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
 @pytest.mark.parametrize("seed", range(4))
-def test_rows_merge_within_the_precision(seed):
+def test_rows_merge_within_the_precision(monkeypatch, seed, few):
     """Also rows on both sides of a rounding bound, and chains of near rows of which only those near to the first are merged."""
+    monkeypatch.setattr(estimators, "FEW_CELLS", few)
     rng = np.random.default_rng(seed)
     precision = [0.05, 0.05, 1e-8, 0.125][seed]
     base = rng.choice([0.0, 0.1, 0.149999, 0.15, 0.25], size=(300, 3))
@@ -164,12 +166,9 @@ def _groups(matrix, precision):
 
 
 def test_equal_hashes_do_not_merge_rows(monkeypatch):
-    class Zero:
-        def integers(self, *_, size, dtype):
-            return np.zeros(size, dtype=dtype) - dtype(1) // dtype(2)
-
     matrix = np.array([[0.1, 0.2], [0.2, 0.1], [0.1, 0.2], [0.3, 0.3]])
-    monkeypatch.setattr(np.random, "default_rng", lambda *_: Zero())
+    monkeypatch.setattr(estimators, "_weights", lambda columns: np.zeros(columns, np.uint64))
+    monkeypatch.setattr(estimators, "FEW_CELLS", 0)
     rows, counts = estimators.collapse_reads(matrix, np.ones(4))
     assert sorted((tuple(r), n) for r, n in zip(rows.tolist(), counts.tolist())) == [((0.1, 0.2), 2), ((0.2, 0.1), 1), ((0.3, 0.3), 1)]
 
