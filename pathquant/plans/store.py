@@ -61,11 +61,11 @@ def stored_run(spark: SparkSession):
         remove_stored(spark, names)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and returns the written table: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
+    """Writes df to the shared folder and returns the written table: cuts lineage, survives lost executors. options: of the writer."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     own = _run.get()
     (_outside if own is None else own).append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
