@@ -508,6 +508,9 @@ def triple_posterior(spark, sf):
     return _groups(inference.infer(reads, own, EngineConfig(model="haplotypes", ploidy=3)), 3)
 
 
+EXACT = 1e-13  # precision within which rows are merged where the SQL merges none: what is merged shifts counts by as much
+
+
 def em_sql(cells: str) -> str:
     """CTEs em (cluster_id, path_id, share): EM over the cells (cluster_id, read_class_id, read_count, path_id, prob; -1 is noise) until calm."""
     return f"""cells AS MATERIALIZED ({cells}),
@@ -531,7 +534,7 @@ UNION ALL SELECT 'Unknown', 0, 0, 0, (SELECT round(sum(share * t), 3) FROM em JO
 def abundances(spark, sf):
     """Expected counts and TPM of all paths, by EM run to convergence in every cluster."""
     own = members(spark, sf)
-    found = stored(inference.infer(path_probs_of(spark, sf), own.select("cluster_id", "path_id", "source_count", "group_id", "source_ids"), EngineConfig(model="transcripts")), "abundances")
+    found = stored(inference.infer(path_probs_of(spark, sf), own.select("cluster_id", "path_id", "source_count", "group_id", "source_ids"), EngineConfig(model="transcripts", prob_precision=EXACT)), "abundances")
     counts = own.join(inference.path_abundances(found), ["cluster_id", "path_id"])
     out = sinks.abundance_table(found, own, inference.tpm_denominator(counts), inference.unknown_count(found))
     return out.withColumns({"ReadCount": F.round("ReadCount", 3), "TPM": F.round("TPM", 2)})
@@ -552,7 +555,7 @@ SELECT m.cluster_id, m.path_id, 1.0::DOUBLE AS posterior, round(CASE WHEN share
 def strains(spark, sf):
     """The weighted minimum path cover, then EM over its paths."""
     own = members(spark, sf).select("cluster_id", "path_id", "source_count", "group_id", "source_ids")
-    out = inference.path_abundances(inference.infer(path_probs_of(spark, sf), own, EngineConfig(model="strains")))
+    out = inference.path_abundances(inference.infer(path_probs_of(spark, sf), own, EngineConfig(model="strains", prob_precision=EXACT)))
     return out.withColumn("read_count", F.round("read_count", 3))
 
 
@@ -577,7 +580,7 @@ SELECT e.cluster_id, e.path_id, round(sum(weight), 5) AS posterior, round(sum(we
 def nested_collapsed(spark, sf):
     """Likely pairs of haplotypes first, then EM over the paths of each, weighted."""
     own = members(spark, sf).select("cluster_id", "path_id", "source_count", "group_id", "source_ids")
-    out = inference.path_abundances(inference.infer(path_probs_of(spark, sf), own, EngineConfig(model="haplotype-transcripts", path_info=True)))
+    out = inference.path_abundances(inference.infer(path_probs_of(spark, sf), own, EngineConfig(model="haplotype-transcripts", path_info=True, prob_precision=EXACT)))
     return out.select("cluster_id", "path_id", F.round("posterior", 5).alias("posterior"), F.round("read_count", 2).alias("read_count"))
 
 
