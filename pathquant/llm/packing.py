@@ -27,6 +27,7 @@ from pathquant.llm.encoding import default_path, encoder
 
 CAPACITY = 2048
 BROADCAST_ROWS = 500_000  # (task, length) pairs, of some 50 bytes, that are broadcast at most; beyond, pieces meet them by a shuffle
+ROW_GROUP = 16 << 20  # bytes of pieces that a task holds before it writes them
 PIECES = "part int, nth long, {id}, piece int, start long, length long, ids array<int>"
 
 
@@ -208,7 +209,7 @@ def cut(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 0, capac
     """
     ident = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return stored(rows.mapInArrow(_cut(tokenizer or default_path(), end_id, capacity), PIECES.format(id=f"id {ident}")), "packing-pieces")
+    return stored(rows.mapInArrow(_cut(tokenizer or default_path(), end_id, capacity), PIECES.format(id=f"id {ident}")), "packing-pieces", **{"parquet.block.size": str(ROW_GROUP)})
 
 
 def place(pieces: DataFrame, *, written: DataFrame | None = None, capacity: int = CAPACITY) -> DataFrame:
