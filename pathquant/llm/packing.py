@@ -8,7 +8,7 @@ available. What no combination completes is packed by best fit, in falling order
 sequences (few small pieces among many large ones), its packing is taken.
 
 Tasks number the pieces of each length that they make, and one sum over tasks gives a piece its number among all of its length.
-A pattern takes a range of these numbers, so every piece finds its sequence and offset by a search in the patterns; no
+A pattern takes a range of these numbers, so every piece finds its sequence and offset among the ranges of its length; no
 documents are grouped or sent to the driver, and a length that a third of all pieces have is no hot key.
 """
 
@@ -223,28 +223,19 @@ def place(pieces: DataFrame, *, written: DataFrame | None = None, capacity: int
     counts = np.zeros(capacity + 1, np.int64)
     for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row per length, capacity at most
         counts[r["length"]] = r["n"]
-    spark, table = pieces.sparkSession, ranges(plan(counts), capacity)
-    sent = spark.sparkContext.broadcast(table)  # some rows per length: bounded by the capacity
+    table = ranges(plan(counts), capacity)
+    rows = list(zip(*(table[c].tolist() for c in ("length", "low", "copies", "sequence", "offset"))))
+    found = pieces.sparkSession.createDataFrame(rows, "length long, low long, copies long, sequence long, offset long")  # some rows per length: bounded by the capacity
+    found = found.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("low", "copies", "sequence", "offset"))).alias("ranges"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     starts = F.broadcast(starts) if by_part.count() <= BROADCAST_ROWS else starts
-    kept = [c for c in pieces.columns if c not in ("part", "nth")]
-    numbered = pieces.join(starts, ["part", "length"]).select(*kept, (F.col("before") + F.col("nth")).alias("number"))
-
-    def run(batches):
-        t = sent.value
-        firsts = np.searchsorted(t["length"], np.arange(capacity + 2))
-        most = int(t["low"].max(initial=0)) + 1
-        keys = t["length"] * most + t["low"]
-        for batch in batches:
-            length, number = (batch.column(i).to_numpy() for i in (kept.index("length"), len(kept)))
-            at = np.searchsorted(keys, length * most + np.minimum(number, most - 1), side="right") - 1
-            assert len(at) == 0 or (at >= firsts[length]).all()
-            x, copies = number - t["low"][at], t["copies"][at]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(t["sequence"][at] + x // copies), pa.array(t["offset"][at] + x % copies * length)], names=[*kept, "sequence_id", "offset"])
-
-    types = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in kept)
-    return numbered.mapInArrow(run, f"{types}, sequence_id long, offset long")
+    kept = [F.col(f"`{c}`") for c in pieces.columns if c not in ("part", "nth")]
+    numbered = pieces.join(starts, ["part", "length"]).select(*kept, (F.col("before") + F.col("nth")).alias("_number")).join(F.broadcast(found), "length")
+    own = F.element_at("ranges", F.size(F.filter("ranges", lambda r: r["low"] <= F.col("_number"))))
+    placed = numbered.withColumn("_range", own).withColumn("_x", F.col("_number") - F.col("_range.low"))
+    sequence = F.col("_range.sequence") + F.expr("_x div _range.copies")
+    return placed.select(*kept, sequence.alias("sequence_id"), (F.col("_range.offset") + F.col("_x") % F.col("_range.copies") * F.col("length")).alias("offset"))
 
 
 def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
