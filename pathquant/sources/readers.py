@@ -50,16 +50,19 @@ def _with_read_ids(rows: DataFrame, interleaved: bool) -> DataFrame:
 
     A record without a pair id is called by its number in the input (files by name, lines in their order), so equal
     records stay apart and reruns agree; ids that are generated lie above those that are given. Interleaved records
-    are pairs line by line. Only the splits' sizes, one row each, are summed up.
+    are pairs line by line, numbered without gaps from file to file. Only the splits' sizes, one row each, are summed up.
     """
     rows = stored(rows, "records")
     blocks = rows.groupBy("_file", "_block").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"), F.max("pair_id").alias("_pair"))
     order, own = Window.orderBy("_file", "_block"), Window.partitionBy("_file").orderBy("_block")
     before = Window.unboundedPreceding, -1
-    blocks = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(order.rowsBetween(*before)), F.lit(0)).alias("_start"), F.coalesce(F.sum("_n").over(own.rowsBetween(*before)), F.lit(0)).alias("_line"), (F.coalesce(F.max("_pair").over(Window.partitionBy()), F.lit(-1)) + 1).alias("_base"))
+    records, last = F.sum("_n").over(Window.partitionBy("_file")), F.row_number().over(Window.partitionBy("_file").orderBy(F.desc("_block"))) == 1
+    # what a file has of numbers counts at its last split, so before a split are those of the files before
+    blocks = blocks.withColumn("_own", F.when(last, F.ceil(records / 2) if interleaved else records).otherwise(0))
+    blocks = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_own").over(order.rowsBetween(*before)), F.lit(0)).alias("_start"), F.coalesce(F.sum("_n").over(own.rowsBetween(*before)), F.lit(0)).alias("_line"), (F.coalesce(F.max("_pair").over(Window.partitionBy()), F.lit(-1)) + 1).alias("_base"))
     rows = rows.join(blocks, ["_file", "_block"])
     line = F.col("_place") - F.col("_first") + F.col("_line")
-    number = F.col("_start") - F.col("_line") + (F.floor(line / 2) if interleaved else line)
+    number = F.col("_start") + (F.floor(line / 2) if interleaved else line)
     mate = (line % 2 + 1).cast("int") if interleaved else F.lit(1)
     ids = F.coalesce("pair_id", F.col("_base") + number)
     return rows.withColumn("mate", F.coalesce("mate", mate)).withColumn("read_id", ids).drop("_file", "_block", "_place", "_first", "_start", "_line", "_base")

@@ -101,3 +101,20 @@ def test_parts_append_to_one_file(spark, tmp_path):
     sinks.write_tsv(table, f"{tmp_path}/tsv", blocks=True)
     text = gzip.decompress(b"".join(p.read_bytes() for p in sorted(Path(f"{tmp_path}/tsv").glob("part-*")))).decode()
     assert text.splitlines()[0] == "Name\tx" and sorted(text.splitlines()[1:]) == ["a\t1.5", "b\t"]
+
+
+def test_interleaved_pairs_are_numbered_from_file_to_file(spark, tmp_path):
+    """Files of even and odd numbers of records: ids have no gaps, and no pair lies in two files."""
+    sizes, line = [4, 3, 6, 2], 0
+    (tmp_path / "reads").mkdir()
+    for i, n in enumerate(sizes):
+        (tmp_path / "reads" / f"part-{i}.json").write_text("".join(f'{{"sequence": "A", "score": {line + k}}}\n' for k in range(n)))
+        line += n
+    want, line, pair = [], 0, 0
+    for n in sizes:
+        want += [(pair + k // 2, k % 2 + 1, line + k) for k in range(n)]
+        line, pair = line + n, pair + (n + 1) // 2
+    got = readers.read_alignments(spark, f"{tmp_path}/reads", multipath=False, interleaved=True)
+    assert sorted((r["read_id"], r["mate"], r["score"]) for r in got.collect()) == want
+    single = readers.read_alignments(spark, f"{tmp_path}/reads", multipath=False)
+    assert sorted((r["read_id"], r["score"]) for r in single.collect()) == [(i, i) for i in range(sum(sizes))]
