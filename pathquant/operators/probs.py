@@ -158,3 +158,50 @@ def add_noise_and_normalise(probs: DataFrame) -> DataFrame:
 def grouped(probs: DataFrame, members: DataFrame) -> DataFrame:
     """Sums probabilities over groups of paths: members(cluster_id, path_id, group_id)."""
     return probs.join(members, ["cluster_id", "path_id"]).groupBy(*READ, "read_count", "noise_prob", "group_id").agg(F.sum("prob").alias("prob"))
+
+
+def detract_noise(probs: DataFrame) -> DataFrame:
+    """A read's probabilities as shares of 1, and its count without noise; reads that are all noise go. ``estimators.without_noise`` for any size."""
+    total = F.sum("prob").over(Window.partitionBy(*READ))
+    share = F.coalesce(F.col("prob") / F.nullif(total, F.lit(0.0)), F.lit(0.0))
+    return probs.where("noise_prob < 1").withColumn("prob", share).withColumn("read_count", F.col("read_count") * (1 - F.col("noise_prob")))
+
+
+def merge_paths(probs: DataFrame, precision: float = 1e-8) -> DataFrame:
+    """(cluster_id, path_id, kept): paths whose probabilities are equal within the precision at every read become one.
+
+    In the order of their ids a path joins the first one kept to which it is near. A path that is near to another has a
+    probability at the first read of that one, and nearly the same sum, weighted by hashes of the reads: only such pairs
+    are compared read by read. No column is gathered. Paths without any probability have no row.
+    """
+    cells = stored(probs.where("prob != 0").select(*READ, "path_id", "prob"), "merge-cells")
+    weighted = F.col("prob") * (F.xxhash64("read_class_id") / F.lit(2.0**63))
+    facts = cells.groupBy("cluster_id", "path_id").agg(F.sum(weighted).alias("sketch"), F.sum(F.abs("prob")).alias("mass"), F.count("*").alias("n"), F.min(F.when(F.col("prob") >= precision, F.col("read_class_id"))).alias("read_class_id"))
+    facts = stored(facts, "merge-facts")
+    at = facts.where("read_class_id IS NOT NULL").select(*READ, F.col("path_id").alias("a")).join(cells.select(*READ, F.col("path_id").alias("b")), READ)
+    faint = facts.where("read_class_id IS NULL").select("cluster_id", F.col("path_id").alias("b"), F.min("path_id").over(Window.partitionBy("cluster_id")).alias("a"))
+    pairs = at.select("cluster_id", "a", "b").unionByName(faint).where("a != b").select("cluster_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for x in ("a", "b"):
+        pairs = pairs.join(facts.select("cluster_id", F.col("path_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("sketch", "mass", "n")]), ["cluster_id", x])
+    reach = precision * (F.col("n_a") + F.col("n_b")) + 1e-9 * (F.col("mass_a") + F.col("mass_b"))
+    pairs = stored(pairs.where(F.abs(F.col("sketch_a") - F.col("sketch_b")) <= reach).select("cluster_id", "a", "b"), "merge-pairs")
+
+    def apart(x: str, y: str) -> DataFrame:
+        own, other = (cells.select(*READ, F.col("path_id").alias(z), F.col("prob").alias(f"prob_{z}")) for z in (x, y))
+        met = own.join(pairs, ["cluster_id", x]).join(other, [*READ, y], "left")
+        return met.where(F.abs(F.col(f"prob_{x}") - F.coalesce(f"prob_{y}", F.lit(0.0))) >= precision).select("cluster_id", "a", "b")
+
+    near = stored(pairs.join(apart("a", "b").unionByName(apart("b", "a")).distinct(), ["cluster_id", "a", "b"], "left_anti"), "merge-near")
+    left, done = facts.select("cluster_id", "path_id"), None
+    while True:  # paths with no near one before them are kept; what is near to them joins; the rest go on among themselves
+        bound = near.select("cluster_id", F.col("b").alias("path_id")).distinct()
+        kept = left.join(bound, ["cluster_id", "path_id"], "left_anti")
+        joined = near.join(kept.select("cluster_id", F.col("path_id").alias("a")), ["cluster_id", "a"]).groupBy("cluster_id", F.col("b").alias("path_id")).agg(F.min("a").alias("kept"))
+        found = stored(kept.withColumn("kept", F.col("path_id")).unionByName(joined), "merged-paths")
+        done = found if done is None else done.unionByName(found)
+        left = stored(left.join(found, ["cluster_id", "path_id"], "left_anti"), "merge-left")
+        if left.isEmpty():
+            return done
+        for x in ("a", "b"):
+            near = near.join(left.select("cluster_id", F.col("path_id").alias(x)), ["cluster_id", x], "left_semi")
+        near = stored(near, "merge-near")

@@ -390,56 +390,36 @@ def binned_probs(spark, sf):
 CELLS = "cells AS (SELECT l_suppkey % 20 AS cluster_id, l_orderkey AS r, l_linenumber AS p, CAST(max(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3)"
 
 
-def _cluster_arrays(spark, sf, schema: str, f):
-    """f(cluster, reads, lines, matrix) per cluster of suppliers: reads are orders, columns line numbers, cells quantities."""
-    cells = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 20).alias("cluster_id"), F.col("l_orderkey").alias("r"), F.col("l_linenumber").alias("p")).agg(F.max("l_quantity").cast("double").alias("v"))
-
-    def run(key, pdf):
-        wide = pdf.pivot(index="r", columns="p", values="v").fillna(0.0).sort_index(axis=0).sort_index(axis=1)
-        return f(int(key[0]), wide.index.to_numpy(), wide.columns.to_numpy(), wide.to_numpy())
-
-    return cells.groupBy("cluster_id").applyInPandas(run, schema)
+def _cells(spark, sf):
+    """Cells of a cluster of suppliers: reads are orders, paths line numbers, probabilities quantities."""
+    line = table(spark, sf, "lineitem")
+    return line.groupBy((F.col("l_suppkey") % 20).alias("cluster_id"), F.col("l_orderkey").alias("read_class_id"), F.col("l_linenumber").alias("path_id")).agg(F.max("l_quantity").cast("double").alias("prob"))
 
 
 @query("WITH " + CELLS + """, s AS (SELECT cluster_id, r, string_agg(concat(p, ':', CAST(v AS INTEGER)), ' ' ORDER BY p) AS row FROM cells GROUP BY 1, 2) SELECT cluster_id, row, CAST(sum(1 + r % 4) AS DOUBLE) AS n FROM s GROUP BY 1, 2""")
 def read_collapse(spark, sf):
     """Reads with equal rows as one, with their counts."""
-    import pandas as pd
-
-    def f(cluster, reads, lines, matrix):
-        rows, counts = estimators.collapse_reads(matrix, (1 + reads % 4).astype(float))
-        return pd.DataFrame({"cluster_id": cluster, "row": [" ".join(f"{p}:{int(v)}" for p, v in zip(lines, row) if v) for row in rows], "n": counts})
-
-    return _cluster_arrays(spark, sf, "cluster_id long, row string, n double", f)
+    reads = _cells(spark, sf).withColumn("read_count", 1 + F.col("read_class_id") % 4).withColumn("noise_prob", F.lit(0.0))
+    merged = probs.merge_identical(reads).groupBy("cluster_id", "read_class_id").agg(F.array_sort(F.collect_list(F.struct("path_id", F.col("prob").cast("int").alias("v")))).alias("row"), F.first("read_count").cast("double").alias("n"))
+    return merged.select("cluster_id", F.concat_ws(" ", F.transform("row", lambda x: F.concat_ws(":", x["path_id"].cast("string"), x["v"].cast("string")))).alias("row"), "n")
 
 
 @query("WITH " + CELLS + """, w AS (SELECT c.cluster_id, c.p * 2 + b.b AS col, c.r, c.v FROM cells c, (VALUES (0), (1)) b(b)), s AS (SELECT cluster_id, col, string_agg(concat(r, ':', v), ',' ORDER BY r) AS sig FROM w GROUP BY 1, 2)
 SELECT cluster_id, string_agg(col, ',' ORDER BY col) AS members FROM s GROUP BY cluster_id, sig""")
 def path_collapse(spark, sf):
     """Paths with equal columns as one: every line number stands for two paths."""
-    import pandas as pd
-
-    def f(cluster, reads, lines, matrix):
-        _, groups = estimators.collapse_paths(np.repeat(matrix, 2, axis=1))
-        names = np.repeat(lines * 2, 2) + np.tile([0, 1], len(lines))
-        return pd.DataFrame({"cluster_id": cluster, "members": [",".join(str(names[c]) for c in sorted(g)) for g in groups]})
-
-    return _cluster_arrays(spark, sf, "cluster_id long, members string", f)
+    twice = F.explode(F.array(F.col("path_id") * 2, F.col("path_id") * 2 + 1))
+    groups = probs.merge_paths(_cells(spark, sf).withColumn("path_id", twice)).groupBy("cluster_id", "kept").agg(F.array_sort(F.collect_list("path_id")).alias("members"))
+    return groups.select("cluster_id", F.concat_ws(",", F.col("members").cast("array<string>")).alias("members"))
 
 
 @query("WITH " + CELLS + """, n AS (SELECT *, CASE WHEN r % 5 = 0 THEN 1.0::DOUBLE ELSE (r % 5) / 10.0::DOUBLE END AS noise, sum(v) OVER (PARTITION BY cluster_id, r) AS t FROM cells)
 SELECT cluster_id, r, p, round(v / t, 9) AS prob, round((1 + r % 4) * (1 - noise), 9) AS n FROM n WHERE noise < 1""")
 def detract_noise(spark, sf):
     """Rows as shares of the reads that are not noise; reads that are all noise go."""
-    import pandas as pd
-
-    def f(cluster, reads, lines, matrix):
-        noise = np.where(reads % 5 == 0, 1.0, (reads % 5) / 10)
-        rows, counts = estimators.without_noise(matrix, noise, (1 + reads % 4).astype(float))
-        i, j = np.nonzero(rows)
-        return pd.DataFrame({"cluster_id": cluster, "r": reads[noise < 1][i], "p": lines[j], "prob": np.round(rows[i, j], 9), "n": np.round(counts[i], 9)})
-
-    return _cluster_arrays(spark, sf, "cluster_id long, r long, p int, prob double, n double", f)
+    r = F.col("read_class_id")
+    reads = _cells(spark, sf).withColumn("read_count", 1 + r % 4).withColumn("noise_prob", F.when(r % 5 == 0, 1.0).otherwise((r % 5) / 10))
+    return probs.detract_noise(reads).select("cluster_id", r.alias("r"), F.col("path_id").alias("p"), F.round("prob", 9).alias("prob"), F.round("read_count", 9).alias("n"))
 
 
 @query("""WITH h AS (SELECT c_nationkey AS cluster_id, o_custkey AS h, list_sort(list(DISTINCT o_orderpriority)) AS paths FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2) SELECT cluster_id, array_to_string(paths, ',') AS paths, CAST(count(*) AS DOUBLE) AS haplotypes FROM h GROUP BY 1, 2""")

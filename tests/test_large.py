@@ -236,3 +236,32 @@ def test_components_can_be_extended(spark, seed):
     assert sorted(map(tuple, labels.collect())) == want
     assert sorted(map(tuple, extended_components(labels.limit(0), df, "a", "b").collect())) == want
     assert sorted(map(tuple, extended_components(connected_components(df, "a", "b"), df.limit(0), "a", "b").collect())) == want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_paths_merge_without_an_array(spark, seed):
+    """Paths near to the first one kept, chains of near ones, faint ones, and such as have equal sums only."""
+    from pathquant.operators import probs
+
+    rng, precision = random.Random(seed), 0.05
+    columns = {}
+    for c in range(3):
+        base = [[rng.choice([0.0, 0.3, 0.7]) for _ in range(8)] for _ in range(3)]
+        for p in range(12):
+            columns[c, p] = [max(0.0, x + rng.choice([0, 0, 0.03, -0.03])) for x in rng.choice(base)]
+        columns[c, 12], columns[c, 13] = [0.02] * 8, [0.0] * 7 + [0.04]
+        columns[c, 14], columns[c, 15] = columns[c, 0][::-1], columns[c, 0]
+    want = {}
+    for c, p in sorted(columns):
+        if any(columns[c, p]):
+            want[c, p] = next((q for (c2, q), k in want.items() if c2 == c and q == k and all(abs(x - y) < precision for x, y in zip(columns[c, q], columns[c, p]))), p)
+    rows = [(c, r, p, x) for (c, p), own in columns.items() for r, x in enumerate(own) if x]
+    got = probs.merge_paths(spark.createDataFrame(rows, "cluster_id long, read_class_id long, path_id long, prob double"), precision)
+    assert {(r["cluster_id"], r["path_id"]): r["kept"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["read_collapse", "path_collapse", "detract_noise"])
+def test_no_cluster_is_gathered(spark, name):
+    """Rows and columns of a cluster are merged as frames: no function gets a cluster as a group."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan
