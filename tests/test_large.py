@@ -265,3 +265,29 @@ def test_no_cluster_is_gathered(spark, name):
     """Rows and columns of a cluster are merged as frames: no function gets a cluster as a group."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().toString()
     assert "FlatMapGroups" not in plan
+
+
+@pytest.mark.parametrize("cells", [10**6, 12])
+def test_counts_are_sampled_without_an_array(spark, monkeypatch, cells):
+    """Samples of large clusters, in one block or several, have the means that arrays give, and hold all reads; reruns agree."""
+    from pathquant.operators import packed
+
+    probs, members = world(spark, 3)
+    config = EngineConfig(model="transcripts", num_gibbs_samples=12, gibbs_thin_its=2)
+    want = close(inference.infer(probs, members, EngineConfig(model="transcripts")).collect())
+    monkeypatch.setattr(inference, "DENSE_CELLS", 1)
+    monkeypatch.setattr(packed, "BLOCK_CELLS", cells)
+    rows = [r for r in inference.infer(probs, members, config).collect() if r["cluster_id"] < 5]
+    got = close(r for r in rows if r["kind"] != "sample")
+    assert all(got[k][1] == pytest.approx(v[1], rel=1e-4, abs=1e-4) for k, v in want.items() if k[0] < 5)
+    drawn = {}
+    for r in rows:
+        if r["kind"] == "sample":
+            assert sum(r["counts"]) + r["noise_count"] == pytest.approx(r["total_count"])
+            drawn.setdefault((r["cluster_id"], tuple(r["path_ids"])), {})[r["sample"]] = r["counts"]
+    assert {c for c, _ in drawn} == set(range(5)) and all(sorted(x) == list(range(1, 13)) for x in drawn.values())
+    for (c, paths_), own in drawn.items():
+        exact = np.array([want[c, "group", (p,)][1][0] for p in paths_])
+        assert (np.abs(np.mean(list(own.values()), axis=0) - exact) < 25).all()
+    again = [r for r in inference.infer(probs, members, config).collect() if r["kind"] == "sample" and r["cluster_id"] < 5]
+    assert sorted(map(str, again)) == sorted(str(r) for r in rows if r["kind"] == "sample")
