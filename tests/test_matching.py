@@ -244,3 +244,30 @@ def test_the_anchor_is_the_rarest(spark):
     assert (chosen["idx"], chosen["n0"], chosen["n1"], chosen["n2"]) == (2, 6, 8, 10)
     plan = matching.runs(df, steps, 0)._jdf.queryExecution().optimizedPlan().toString()
     assert "CartesianProduct" not in plan and len(matching.runs(df, steps, 0).collect()) == 1
+
+
+def test_paths_of_both_mates(spark, monkeypatch):
+    """Rows of pairs are the same whether paths that one mate hits are left out first or not, and for walks of many places; library ends too."""
+    steps = index(spark, {1: 10, 2: 10, 3: 10}, [1, 2, 3], [1, 3], [2, 3, 1, 2], [1, 2, 1, 2], [3, 2, "rc"])
+    ends = [(1, [m(1, 10)]), (2, [m(-2, 10)]), (1, [m(2, 10)]), (2, [m(-3, 10)]), (1, [m(3, 10)]), (2, [m(3, 10)])]
+    rows = [(i // 2, *single(path, 10, 10, mate=mate)[1:]) for i, (mate, path) in enumerate(ends)]
+    reads = spark.createDataFrame(rows, SCHEMA).drop("start", "subpath")
+    for library in ("fr", "unstranded"):
+        config = EngineConfig(score_not_qual=True, library=library, frag_mean=1.0, frag_sd=1.0)
+        found = []
+        for few, hot in ((1e9, 10_000), (0, 10_000), (0, 2)):
+            monkeypatch.setattr(matching, "FEW_PLACES", few)
+            monkeypatch.setattr(matching, "HOT", hot)
+            found.append(sorted(map(tuple, matching.alignment_rows(reads, steps, config, 100).collect())))
+        assert found[0] and found[0] == found[1] == found[2]
+    walked = matching.walks(reads, config)
+    assert matching.usable_walks(walked, EngineConfig(library="fr", frag_mean=1.0, frag_sd=1.0)).count() * 2 == walked.count()
+
+
+def test_graph_hits_need_bases(spark):
+    """A path that holds one node of a graph is not asked for its walks."""
+    steps = index(spark, {1: 5, 2: 5, 3: 5, 4: 5}, [1, 2, 3], [1, 4, 4], [4, 2, 4, 3])
+    row = (0, 1, [0], [2], [1, 2], [0, 1, 2, 2], [2, 4, 6], [0, 1, 2, 3], [5, 5, 5], 15, 0, 0)
+    graphs = spark.createDataFrame([row], matching.GRAPHS)
+    assert [r["path_id"] for r in matching.graph_hits(graphs, steps, 0).collect()] == [0]
+    assert sorted(r["path_id"] for r in matching.graph_hits(graphs, steps, 3).collect()) == [0, 2]
