@@ -452,10 +452,15 @@ def subset_abundances(probs, noise, counts, group_ids, subsets: dict, settings:
     return {"groups": out, "noise": lost + max(0.0, 1 - used) * total, "samples": samples}
 
 
+def independent_draws(seed: int, cluster: int, group: int, posteriors: np.ndarray, draws: int) -> np.ndarray:
+    """Draws of combinations of a transcript's paths, by number."""
+    return stream(seed, int(cluster), DRAWS, int(group)).choice(len(posteriors), size=draws, p=posteriors / posteriors.sum())
+
+
 def nested(probs, noise, counts, group_ids, sources: list[list], settings: C.EngineConfig, cluster: int) -> dict:
     """Haplotype combinations first, then abundances in each likely path subset."""
     size = settings.ploidy
-    rng = stream(settings.seed, cluster, DRAWS) if settings.num_gibbs_samples or settings.ind_hap_inference else None
+    rng = stream(settings.seed, cluster, DRAWS) if settings.num_gibbs_samples else None
 
     def posteriors(p, n, c, freq, cut, group=0):
         if settings.use_hap_gibbs:
@@ -471,7 +476,7 @@ def nested(probs, noise, counts, group_ids, sources: list[list], settings: C.Eng
             matrix, merged = collapse_reads(with_noise(probs[:, own], noise), counts, settings.prob_precision)
             freq = np.array([max(1, len(sources[i])) for i in own], dtype=float)
             groups, post = posteriors(matrix[:, :-1], matrix[:, -1], merged, freq, settings.min_hap_prob, int(g))
-            for slot, k in zip(picked, rng.choice(len(groups), size=draws, p=post / post.sum())):
+            for slot, k in zip(picked, independent_draws(settings.seed, cluster, g, post, draws)):
                 slot += [own[x] for x in groups[k]]
         subsets: dict = {}
         for slot in picked:

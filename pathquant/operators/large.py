@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pathquant.config import EM_MIN_ABUNDANCE, GIBBS_MIN_ABUNDANCE, HAPLOTYPE_CUT, EngineConfig
 from pathquant.operators import packed
+from pathquant.operators.estimators import independent_draws
 from pathquant.operators.probs import add_noise_and_normalise
 from pathquant.plans.store import stored
 
@@ -24,10 +25,10 @@ CELL = [*READ, "read_count", "noise_prob"]
 
 
 def supported(settings: EngineConfig) -> bool:
-    """Whether the model has a form for large clusters: all but nested ones that sample, and combinations of more than two paths."""
+    """Whether the model has a form for large clusters: all but nested ones that sample counts or haplotypes, and combinations of more than two paths."""
     if settings.model in ("transcripts", "strains"):
         return True
-    return settings.ploidy <= 2 and not (settings.use_hap_gibbs or settings.model == "haplotype-transcripts" and (settings.num_gibbs_samples or settings.ind_hap_inference))
+    return settings.ploidy <= 2 and not (settings.use_hap_gibbs or settings.model == "haplotype-transcripts" and settings.num_gibbs_samples)
 
 
 def infer(probs: DataFrame, members: DataFrame, settings: EngineConfig) -> DataFrame:
@@ -227,8 +228,45 @@ def identical_haplotypes(members: DataFrame) -> DataFrame:
     return merged.withColumn("item", (F.row_number().over(Window.partitionBy("cluster_id").orderBy("paths")) - 1).cast("long"))
 
 
+def independent_subsets(probs: DataFrame, members: DataFrame, settings: EngineConfig) -> DataFrame:
+    """(cluster_id, subset, weight): combinations of the paths of every transcript by itself, then joint draws over the transcripts of a cluster.
+
+    A transcript of a cluster is a cluster of its own to ``posteriors``: reads that hit none of its paths add the same to all its combinations.
+    """
+    units = stored(members.select("cluster_id", "group_id").distinct().withColumn("unit", F.monotonically_increasing_id()), "draw-units")
+    item = (F.row_number().over(Window.partitionBy("unit").orderBy("path_id")) - 1).cast("long")
+    own = members.join(units, ["cluster_id", "group_id"]).select("cluster_id", "group_id", "unit", "path_id", item.alias("item"), F.greatest(F.lit(1), F.size("source_ids")).cast("double").alias("sources"))
+    own = stored(own, "draw-paths")
+    cells = probs.join(own.select("cluster_id", "path_id", "unit", "item"), ["cluster_id", "path_id"]).select(F.col("unit").alias("cluster_id"), "read_class_id", "read_count", "noise_prob", "item", "prob")
+    found = posteriors(add_noise_and_normalise(cells), own.select(F.col("unit").alias("cluster_id"), "item", "sources"), settings.ploidy, settings.min_hap_prob if settings.ploidy == 2 else 0.0)
+    kinds = found.groupBy(F.col("cluster_id").alias("unit")).agg(F.array_sort(F.collect_list(F.struct("i", "j", "posterior"))).alias("kinds")).join(units, "unit")
+    kinds = kinds.join(own.groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("item", "path_id"))), lambda x: x["path_id"]).alias("paths")), "unit")
+    draws, seed, size = int(1 / settings.min_hap_prob), settings.seed, settings.ploidy
+
+    def run(batches):
+        for pdf in batches:
+            for cluster, group, rows, paths in zip(pdf["cluster_id"], pdf["group_id"], pdf["kinds"], pdf["paths"]):
+                picked = independent_draws(seed, cluster, group, np.array([r["posterior"] for r in rows]), draws)
+                combos = [[int(paths[r["i"]])] if size == 1 else [int(paths[r["i"]]), int(paths[r["j"]])] for r in rows]
+                yield pd.DataFrame({"cluster_id": int(cluster), "draw": np.arange(draws, dtype=np.int32), "own": [combos[k] for k in picked]})
+
+    drawn = kinds.select("cluster_id", F.col("group_id").cast("long").alias("group_id"), "kinds", "paths").mapInPandas(run, "cluster_id long, draw int, own array<long>")
+    joint = drawn.groupBy("cluster_id", "draw").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("subset"))
+    return joint.groupBy("cluster_id", "subset").agg((F.count("*") / F.lit(draws)).alias("weight"))
+
+
 def nested(probs: DataFrame, members: DataFrame, settings: EngineConfig) -> DataFrame:
     """Likely combinations of haplotypes first, then expectation-maximisation over the paths of each, every subset a cluster of its own."""
+    if settings.ind_hap_inference:
+        subsets = independent_subsets(probs, members, settings)
+    else:
+        subsets = joint_subsets(probs, members, settings)
+    subsets = stored(subsets.where(F.col("weight") >= settings.min_hap_prob).select(F.monotonically_increasing_id().alias("subset_id"), "cluster_id", "subset", "weight"), "subsets")
+    return subset_rows(probs, members, subsets, settings)
+
+
+def joint_subsets(probs: DataFrame, members: DataFrame, settings: EngineConfig) -> DataFrame:
+    """(cluster_id, subset, weight) of the likely combinations of haplotypes."""
     haps = stored(identical_haplotypes(members), "haplotypes")
     summed = probs.join(haps.select("cluster_id", "item", F.explode("paths").alias("path_id")), ["cluster_id", "path_id"]).groupBy(*CELL, "item").agg(F.sum("prob").alias("prob"))
     found = posteriors(add_noise_and_normalise(summed), haps, settings.ploidy, settings.min_hap_prob if settings.ploidy == 2 else 0.0).where(F.col("posterior") >= settings.min_hap_prob)
@@ -236,9 +274,11 @@ def nested(probs: DataFrame, members: DataFrame, settings: EngineConfig) -> Data
         found = found.join(haps.select("cluster_id", F.col("item").alias(at), F.col("paths").alias(f"paths_{at}")), ["cluster_id", at])
     both = F.array_sort(F.concat("paths_i", "paths_j")) if settings.ploidy == 2 else F.col("paths_i")
     subsets = found.groupBy("cluster_id", both.alias("subset")).agg(F.sum("posterior").alias("p"))
-    subsets = subsets.withColumn("weight", F.col("p") / F.sum("p").over(Window.partitionBy("cluster_id"))).where(F.col("weight") >= settings.min_hap_prob)
-    subsets = stored(subsets.select(F.monotonically_increasing_id().alias("subset_id"), "cluster_id", "subset", "weight"), "subsets")
+    return subsets.select("cluster_id", "subset", (F.col("p") / F.sum("p").over(Window.partitionBy("cluster_id"))).alias("weight"))
+
 
+def subset_rows(probs: DataFrame, members: DataFrame, subsets: DataFrame, settings: EngineConfig) -> DataFrame:
+    """Result rows of subsets (subset_id, cluster_id, subset, weight): counts of each weighted, by the paths of a transcript in it."""
     each = stored(subsets.select("subset_id", "cluster_id", "weight", F.explode("subset").alias("path_id")).groupBy("subset_id", "cluster_id", "weight", "path_id").agg(F.count("*").alias("copies")), "subset-paths")
     reads = probs.select(CELL).distinct().join(subsets.select("subset_id", "cluster_id"), "cluster_id")
     own = probs.join(each.select("subset_id", "cluster_id", "path_id"), ["cluster_id", "path_id"])

@@ -301,3 +301,18 @@ def test_pairs_are_sampled_without_an_array(spark, monkeypatch):
     monkeypatch.setattr(samplers, "_dense", None)
     rows = inference.infer(probs, members, EngineConfig(model="haplotypes", use_hap_gibbs=True)).where("kind = 'group'").collect()
     assert {r["cluster_id"] for r in rows} == set(range(5))
+
+
+def test_transcripts_are_drawn_without_an_array(spark, monkeypatch):
+    """Nested models with every transcript by itself: frames draw the same subsets, and give the same counts, as arrays."""
+    config = EngineConfig(model="haplotype-transcripts", path_info=True, ind_hap_inference=True, min_hap_prob=0.05)
+    assert large.supported(config)
+    probs, members = world(spark, 7)
+    want = close(inference.infer(probs, members, config).collect())
+    monkeypatch.setattr(inference, "DENSE_CELLS", 40)
+    over = inference.large_clusters(probs, members, 40)
+    own = [x.join(over, "cluster_id", "left_semi") for x in (probs, members)]
+    got = close(large.infer(*own, config).collect())
+    assert got and got.keys() == {k for k in want if k[0] in {c for c, *_ in got}}
+    for key, own in got.items():
+        assert own[0] == pytest.approx(want[key][0]) and own[1] == pytest.approx(want[key][1], rel=1e-4, abs=1e-4) and own[2] == pytest.approx(want[key][2], rel=1e-4, abs=1e-4), key
