@@ -316,3 +316,22 @@ def test_transcripts_are_drawn_without_an_array(spark, monkeypatch):
     assert got and got.keys() == {k for k in want if k[0] in {c for c, *_ in got}}
     for key, own in got.items():
         assert own[0] == pytest.approx(want[key][0]) and own[1] == pytest.approx(want[key][1], rel=1e-4, abs=1e-4) and own[2] == pytest.approx(want[key][2], rel=1e-4, abs=1e-4), key
+
+
+@pytest.mark.parametrize("ploidy, listed", [(2, 5_000_000), (3, 5_000_000), (3, 10)])
+def test_combinations_in_tasks_are_those_of_one(spark, monkeypatch, ploidy, listed):
+    from pathquant.operators import multisets
+
+    config = EngineConfig(model="haplotypes", ploidy=ploidy)
+    monkeypatch.setattr(estimators, "LISTED", listed)
+    probs, members = world(spark, 7)
+    want = close(estimated for estimated in inference._infer_dense(probs, members, config).where("cluster_id < 5").collect())
+    monkeypatch.setattr(multisets, "MANY", 0)
+    monkeypatch.setattr(multisets, "DEALT", 5)
+    monkeypatch.setattr(multisets, "CHUNK", 3)
+    assert multisets.many(probs, members, ploidy, 10_000).count() == 5
+    got = close(inference.infer(probs, members, config).where("cluster_id < 5").collect())
+    if listed > 10:
+        assert got.keys() == want.keys()
+    for key, (posterior, counts, noise, total) in got.items():
+        assert posterior == pytest.approx(want[key][0], rel=1e-6, abs=1e-12) and total == pytest.approx(want[key][3]), key
