@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathquant.config import EngineConfig
-from pathquant.operators import estimators, inference, large
+from pathquant.operators import components, estimators, inference, large
 from pathquant.plans.operator_queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -335,3 +335,20 @@ def test_combinations_in_tasks_are_those_of_one(spark, monkeypatch, ploidy, list
         assert got.keys() == want.keys()
     for key, (posterior, counts, noise, total) in got.items():
         assert posterior == pytest.approx(want[key][0], rel=1e-6, abs=1e-12) and total == pytest.approx(want[key][3]), key
+
+
+def test_components_are_dealt_by_their_number(spark, monkeypatch):
+    """Where edges are many, tasks are as many as they need, hubs stay where they are, and components are the same."""
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(1000, x) for x in range(2000, 2100)] + [(7, 7), (9000, 9000), (None, 3)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    want = {tuple(r) for r in components.connected_components(edges, "a", "b").collect()}
+    dealt = []
+    monkeypatch.setattr(components, "TASK_ROWS", 200)
+    monkeypatch.setattr(components, "HOT", 50)
+    real = components._dealt
+    monkeypatch.setattr(components, "_dealt", lambda df, parts, *by: dealt.append(parts) or real(df, parts, *by))
+    assert {tuple(r) for r in components.connected_components(edges, "a", "b").collect()} == want
+    assert set(dealt) == {4}
+    known = components.connected_components(edges.where("a != 1000"), "a", "b").localCheckpoint()
+    assert {tuple(r) for r in components.extended_components(known, edges.where("a = 1000 OR a < 9"), "a", "b").collect()} == want
