@@ -25,8 +25,25 @@ def base_noise(min_mapq: Column, noise_score: Column, min_noise_prob: float, pre
     return F.when(min_mapq <= 0, F.lit(1.0)).otherwise(floor + (1 - floor) * F.exp(F.lit(NOISE_LOG_BASE) * noise_score))
 
 
-def log_probs(rows: DataFrame, dist: FragmentDist, single_end: bool) -> DataFrame:
-    """Best log probability of each (read, path): of the longest rows the most probable. Paths without length are left out."""
+#: Rows that one task takes, about, and members of clusters that every task may hold.
+TASK_ROWS, HELD_MEMBERS = 500_000, 1_000_000
+
+
+def _by_read(rows: DataFrame, size: int | None) -> DataFrame:
+    """Rows dealt by read, so that all that goes read by read needs no further exchange; many rows to tasks by their number.
+
+    size: the number of rows where that is known; else they are counted, so they should be a table.
+    """
+    parts = -(-(rows.count() if size is None else size) // TASK_ROWS)
+    return rows.repartition(parts, *READ) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*READ)
+
+
+def log_probs(rows: DataFrame, dist: FragmentDist, single_end: bool, size: int | None = None) -> DataFrame:
+    """Best log probability of each (read, path): of the longest rows the most probable. Paths without length are left out.
+
+    size: the number of rows, which are counted if it is not given.
+    """
+    rows = _by_read(rows, size)
     score = F.col("score_sum") * F.lit(SCORE_LOG_BASE) - F.ln("effective_length")
     rows = rows.where(F.col("effective_length") > 0)
     if not single_end:
@@ -53,12 +70,12 @@ def normalise(rows: DataFrame) -> DataFrame:
     return shifted.withColumn("prob", F.col("e") / F.sum("e").over(read)).drop("e", "log_prob")
 
 
-def read_path_probs(rows: DataFrame, dist: FragmentDist, *, single_end: bool = False, min_noise_prob: float = 1e-4, precision: float = 1e-8, group: str | None = None) -> DataFrame:
+def read_path_probs(rows: DataFrame, dist: FragmentDist, *, single_end: bool = False, min_noise_prob: float = 1e-4, precision: float = 1e-8, group: str | None = None, size: int | None = None) -> DataFrame:
     """(cluster_id, read_class_id, read_count, noise_prob, path_id, prob), with the probabilities of a read and its noise adding to 1.
 
-    Probabilities under the precision go to the noise. A read that is all noise has one row with a null path.
+    Probabilities under the precision go to the noise. A read that is all noise has one row with a null path. size: the number of rows, if known.
     """
-    found = log_probs(rows, dist, single_end)
+    found = log_probs(rows, dist, single_end, size)
     if group:
         found = collapse(found, group)
     found = normalise(found).withColumn("base", base_noise(F.col("min_mapq"), F.col("noise_score"), min_noise_prob, precision))
@@ -156,7 +173,10 @@ def add_noise_and_normalise(probs: DataFrame) -> DataFrame:
 
 
 def grouped(probs: DataFrame, members: DataFrame) -> DataFrame:
-    """Sums probabilities over groups of paths: members(cluster_id, path_id, group_id)."""
+    """Sums probabilities over groups of paths: members(cluster_id, path_id, group_id). Up to HELD_MEMBERS of them go to the reads, not these to them."""
+    members = members.select("cluster_id", "path_id", "group_id")
+    if members.limit(HELD_MEMBERS + 1).count() <= HELD_MEMBERS:
+        members = F.broadcast(members)
     return probs.join(members, ["cluster_id", "path_id"]).groupBy(*READ, "read_count", "noise_prob", "group_id").agg(F.sum("prob").alias("prob"))
 
 

@@ -72,7 +72,7 @@ def run(alignments: DataFrame, nodes: DataFrame, steps: DataFrame, path_names: D
 
     joined = C.class_clusters(classes, members).select("cluster_id", "read_class_id", "read_count", "min_mapq", "noise_score", F.explode("rows").alias("r"))
     joined = joined.select("cluster_id", "read_class_id", "read_count", "min_mapq", "noise_score", "r.*").join(members.select("path_id", "effective_length", F.col("source_count").cast("long").alias("source_count"), "transcript"), "path_id")
-    found = probs.read_path_probs(joined, dist, single_end=config.single_end, min_noise_prob=config.min_noise_prob, precision=config.prob_precision, group="transcript" if config.collapse else None)
+    found = probs.read_path_probs(joined, dist, single_end=config.single_end, min_noise_prob=config.min_noise_prob, precision=config.prob_precision, group="transcript" if config.collapse else None, size=classes.agg(F.sum(F.size("rows"))).first()[0] or 0)
     if config.collapse:
         ids = members.groupBy("cluster_id", "transcript").agg(F.min("path_id").alias("first"))
         found = found.withColumnRenamed("path_id", "transcript").join(ids, ["cluster_id", "transcript"], "left").withColumnRenamed("first", "path_id").drop("transcript")

@@ -465,3 +465,17 @@ def test_em_on_lists_and_arrays(monkeypatch):
         monkeypatch.setattr(estimators, "SMALL_CELLS", 0)
         two = estimators.em(matrix, counts)
         assert np.allclose(one[0], two[0], atol=1e-6) and one[1] == pytest.approx(two[1], abs=1e-6)
+
+
+def test_reads_are_dealt_once_to_tasks_by_their_number(spark, monkeypatch):
+    """Tasks hold a bounded number of rows, and nothing that goes read by read is exchanged again."""
+    from pathquant.operators import probs as P
+    from pathquant.plans.queries import DIST, align_rows, members
+
+    rows = align_rows(spark, "/root/testdata/sf0.001")
+    want = P.grouped(P.read_path_probs(rows, DIST), members(spark, "/root/testdata/sf0.001")).collect()
+    monkeypatch.setattr(P, "TASK_ROWS", 1000)
+    found = P.grouped(P.read_path_probs(rows, DIST), members(spark, "/root/testdata/sf0.001"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and found.rdd.getNumPartitions() == -(-rows.count() // 1000) > 4
+    assert sorted(map(str, found.collect())) == sorted(map(str, want))
