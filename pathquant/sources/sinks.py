@@ -96,4 +96,6 @@ def probability_lines(probs: DataFrame, members: DataFrame, digits: int = 8) ->
 
 
 def write_probability_lines(lines: DataFrame, path: str) -> None:
-    write_lines(lines.repartitionByRange("cluster_id").sortWithinPartitions("cluster_id", "line_no", "line").select("line"), path)
+    """Parts in the order of clusters; the lines of a large cluster go on in the next part."""
+    order = ["cluster_id", "line_no", "line"]
+    write_lines(lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line"), path)

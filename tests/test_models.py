@@ -479,3 +479,18 @@ def test_reads_are_dealt_once_to_tasks_by_their_number(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and found.rdd.getNumPartitions() == -(-rows.count() // 1000) > 4
     assert sorted(map(str, found.collect())) == sorted(map(str, want))
+
+
+def test_the_lines_of_a_cluster_are_written_in_several_parts(spark, tmp_path):
+    from pathquant.sources import sinks
+
+    lines = spark.range(4000).selectExpr("id % 2 AS cluster_id", "2 AS line_no", "concat('1 0.5 ', lpad(id, 6, '0')) AS line")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would join parts as small as these
+    try:
+        sinks.write_probability_lines(lines.repartition(4), str(tmp_path / "dump"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [[r["value"] for r in spark.read.text(str(p)).collect()] for p in sorted((tmp_path / "dump").glob("part*"))]
+    parts = [p for p in parts if p]
+    assert len(parts) > 2
+    assert [x for p in parts for x in p] == [f"1 0.5 {i:06d}" for c in (0, 1) for i in range(c, 4000, 2)]
