@@ -32,10 +32,12 @@ TASK_ROWS, HELD_MEMBERS = 500_000, 1_000_000
 def _by_read(rows: DataFrame, size: int | None) -> DataFrame:
     """Rows dealt by read, so that all that goes read by read needs no further exchange; many rows to tasks by their number.
 
+    Without a number Spark puts partitions together by their bytes, which are small in an exchange, but not in memory.
     size: the number of rows where that is known; else they are counted, so they should be a table.
     """
-    parts = -(-(rows.count() if size is None else size) // TASK_ROWS)
-    return rows.repartition(parts, *READ) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*READ)
+    spark, parts = rows.sparkSession, -(-(rows.count() if size is None else size) // TASK_ROWS)
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(max(parts, few), *READ) if parts > 1 else rows.repartition(*READ)
 
 
 def log_probs(rows: DataFrame, dist: FragmentDist, single_end: bool, size: int | None = None) -> DataFrame:

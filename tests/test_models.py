@@ -481,6 +481,18 @@ def test_reads_are_dealt_once_to_tasks_by_their_number(spark, monkeypatch):
     assert sorted(map(str, found.collect())) == sorted(map(str, want))
 
 
+def test_more_rows_than_a_task_takes_are_not_put_together_again(spark, monkeypatch):
+    """Where the session has more partitions than the rows need, as with 200 of them, the number of tasks is still given."""
+    from pathquant.operators import probs as P
+    from pathquant.plans.queries import DIST, align_rows
+
+    rows = align_rows(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(P, "TASK_ROWS", -(-rows.count() // 2))
+    assert P.read_path_probs(rows, DIST).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(P, "TASK_ROWS", rows.count())
+    assert P.read_path_probs(rows, DIST).rdd.getNumPartitions() < 4  # few rows: by Spark's own choice
+
+
 def test_the_lines_of_a_cluster_are_written_in_several_parts(spark, tmp_path):
     from pathquant.sources import sinks
 
