@@ -14,8 +14,10 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+import pyarrow as pa
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from pathquant.sources import messages
 
@@ -213,8 +215,12 @@ class _Reader(DataSourceReader):
                 place += members.header(place)[0]
             if place is None or place >= part.end or place >= members.size:
                 return
-            for i, message in enumerate(_Stream(members, place, part.end).messages(self.kind.tag)):
-                yield (*self.kind.row(message), part.name, part.start, i)
+            found, first = _Stream(members, place, part.end).messages(self.kind.tag), 0
+            while held := list(islice(found, GROUP)):
+                n = len(held)
+                own = [pa.array([part.name] * n, pa.string()), pa.array([part.start] * n, pa.int64()), pa.array(range(first, first + n), pa.int64())]
+                yield pa.RecordBatch.from_arrays(self.kind.batch(held) + own, names=[*self.kind.columns, "_file", "_block", "_place"])
+                first += n
 
 
 class _Written(WriterCommitMessage):
@@ -291,13 +297,13 @@ class _TextWriter(_Writer):
             yield member(b"".join(held))
 
 
-class _MessageWriter(_Writer):
+class _MessageWriter(_Writer, DataSourceArrowWriter):
     def __init__(self, options, overwrite, kind: messages.Kind):
         super().__init__(options, overwrite)
         self.kind, self.extension = kind, kind.name
 
     def members(self, rows):
-        for group in groups(self.kind.tag, (self.kind.message(row.asDict(True)) for row in rows)):
+        for group in groups(self.kind.tag, (message for batch in rows for message in self.kind.messages(batch))):
             for low in range(0, len(group), DATA):
                 yield member(group[low : low + DATA], low == 0)
 

@@ -34,6 +34,58 @@ def test_messages_round_trip():
     assert got["start"] == [3, 4] and got["annotation"] == {"n": "5", "t": "true", "x": "0.5"} and got["subpath"] is None
 
 
+def test_messages_by_columns_are_those_by_rows():
+    """Columns of messages, also of a slice, give the bytes and values of single rows; nulls, zeros and empty lists stay apart."""
+    import pyarrow as pa
+
+    rng = random.Random(1)
+
+    def path():
+        edits = [{"from_length": rng.choice([None, 3]), "to_length": 300, "sequence": rng.choice([None, "é"])} for _ in range(rng.randrange(3))]
+        position = {"node_id": rng.choice([1, 2**40, None]), "offset": rng.choice([None, 0, -5]), "is_reverse": rng.choice([None, False, True])}
+        return rng.choice([None, {"mapping": [{"position": rng.choice([None, position]), "edit": edits} for _ in range(rng.randrange(3))]}])
+
+    def subpath():
+        return {"path": path(), "score": rng.choice([None, -2, 9]), "next": rng.choice([None, [0, 300]]), "connection": rng.choice([None, [{"next": 1, "score": -1}]])}
+
+    for kind in (messages.ALIGNMENTS, messages.MULTIPATHS):
+        own = {"path": path, "subpath": lambda: rng.choice([None, [subpath() for _ in range(3)]]), "annotation": lambda: rng.choice([None, {}, {"a": "1", "b": ""}, {"c": None}]), "quality": lambda: rng.choice([None, b"\0\xff"]), "start": lambda: rng.choice([None, [0, 128]])}
+        number, text = lambda: rng.choice([None, 0, 60, -7]), lambda: rng.choice([None, "", "ACé" * 60])
+        rows = [{c: own.get(c, number if c in ("score", "mapping_quality") else text)() for c in kind.columns} for _ in range(300)]
+        fields = [(c, messages._TYPES[c]) for c in kind.columns]
+        columns = [pa.array([list(r[c].items()) if c == "annotation" and r[c] is not None else r[c] for r in rows], t) for c, t in fields]
+        batch = pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+        data = [kind.message(r) for r in rows]
+        assert kind.messages(batch) == data and kind.messages(batch.slice(50, 100)) == data[50:150]
+        want = [kind.row(d) for d in data]
+        assert list(zip(*[a.to_pylist() for a in kind.batch(data)])) == [tuple(_named(x, t, c) for x, (c, t) in zip(r, fields)) for r in want]
+    gone = pa.array([[None]], messages._PATH.field("mapping").type)
+    with pytest.raises(ValueError):
+        messages.ALIGNMENTS.messages(pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([gone], ["mapping"])], ["path"]))
+
+
+def _named(x, t, column=""):
+    """Tuples of a row as Arrow gives them: by the names of their fields."""
+    import pyarrow as pa
+
+    if x is None:
+        return None
+    if column == "annotation":
+        return list(x.items())
+    if pa.types.is_struct(t):
+        return {f.name: _named(v, f.type) for v, f in zip(x, t)}
+    return [_named(v, t.value_type) for v in x] if pa.types.is_list(t) else x
+
+
+def test_messages_of_one_row_group_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from pathquant.plans import operator_queries as O
+
+    monkeypatch.setattr(O, "shared_path", lambda spark, name: str(tmp_path / name))
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert O.QUERIES["message_scan"](spark, "/root/testdata/sf0.001").count() == orders.count()
+    assert len(list((tmp_path / "messages").glob("*.gam"))) > 1
+
+
 def reads(spark, n):
     path = F.expr("named_struct('mapping', array(named_struct('position', named_struct('node_id', id, 'offset', cast(null as bigint), 'is_reverse', id % 2 = 1), 'edit', array(named_struct('from_length', 1, 'to_length', 1, 'sequence', cast(null as string))))))")
     return spark.range(n).select(F.concat(F.lit("read"), F.col("id")).alias("name"), F.expr("repeat(cast(id as string), cast(if(id % 97 = 0, 40000, 5) as int))").alias("sequence"), F.expr("cast(cast(id as string) as binary)").alias("quality"), F.lit(60).alias("mapping_quality"), F.col("id").cast("int").alias("score"), path.alias("path"))
