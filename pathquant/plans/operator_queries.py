@@ -624,11 +624,16 @@ def gibbs_count_moments(spark, sf):
     own = rows.select("cluster_id", "path_id", F.lit(1).alias("source_count"), F.lit(0).cast("long").alias("group_id"), F.lit(None).cast("array<long>").alias("source_ids"))
     out = inference.infer(reads, own, EngineConfig(model="transcripts", num_gibbs_samples=samples, gibbs_thin_its=1)).where("kind = 'sample'")
     drawn = out.select("cluster_id", F.explode(F.arrays_zip("path_ids", "counts")).alias("x")).groupBy("cluster_id", F.col("x.path_ids").alias("path_id")).agg(F.avg("x.counts").alias("drawn"))
+    return _moments(rows, samples).join(drawn, ["cluster_id", "path_id"], "left").select("cluster_id", "path_id", F.round("mean", 6).alias("mean"), (F.abs(F.col("drawn") - F.col("mean")) < 6 * F.col("error")).alias("near"))
+
+
+def _moments(rows, samples: int):
+    """(cluster_id, path_id, mean, error) of sampled counts of rows (cluster_id, path_id, read_count)."""
     whole = rows.withColumn("total", F.sum("read_count").over(Window.partitionBy("cluster_id"))).withColumn("k", F.count("*").over(Window.partitionBy("cluster_id")) + 1)
-    alpha, weight = F.col("read_count") + 1, F.col("total") + F.col("k")
+    alpha, weight = F.col("read_count") + 1.0, (F.col("total") + F.col("k")).cast("double")  # the cube of a few million is no long
     mean = F.col("total").cast("double") * alpha / weight
     error = F.col("total") * F.sqrt(alpha * (weight - alpha) / (weight * weight * (weight + 1)) / F.lit(samples))
-    return whole.join(drawn, ["cluster_id", "path_id"], "left").select("cluster_id", "path_id", F.round(mean, 6).alias("mean"), (F.abs(F.col("drawn") - mean) < 6 * error).alias("near"))
+    return whole.select("cluster_id", "path_id", mean.alias("mean"), error.alias("error"))
 
 
 #: Noise in steps of 1 / 8192 and a precision of 5 of them: values on both sides of any rounding bound, and chains of near ones.

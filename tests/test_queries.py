@@ -78,3 +78,12 @@ def test_queries_without_sql_keep_their_sums(spark):
             p = list(fit)
             p[i] += step * max(1.0, abs(p[i]))
             assert likelihood(*p) <= best + 1e-4 * abs(best)  # the data begin at 0: the likelihood rises without end, ever less, with the shape
+
+
+def test_moments_of_millions_of_reads(spark):
+    """The cube of a cluster's reads is no long."""
+    from pathquant.plans.operator_queries import _moments
+
+    rows = spark.createDataFrame([(0, 1, 4_000_000), (0, 2, 3_200_000)], "cluster_id long, path_id long, read_count long")
+    found = {r["path_id"]: (r["mean"], r["error"]) for r in _moments(rows, 200).collect()}
+    assert found[1][0] == pytest.approx(4_000_000, abs=1) and found[2][1] == pytest.approx(7_200_000 * (4 / 7.2 * 3.2 / 7.2 / 7_200_000 / 200) ** 0.5, rel=1e-3)
