@@ -87,3 +87,13 @@ def test_moments_of_millions_of_reads(spark):
     rows = spark.createDataFrame([(0, 1, 4_000_000), (0, 2, 3_200_000)], "cluster_id long, path_id long, read_count long")
     found = {r["path_id"]: (r["mean"], r["error"]) for r in _moments(rows, 200).collect()}
     assert found[1][0] == pytest.approx(4_000_000, abs=1) and found[2][1] == pytest.approx(7_200_000 * (4 / 7.2 * 3.2 / 7.2 / 7_200_000 / 200) ** 0.5, rel=1e-3)
+
+
+def test_halves_of_posteriors_go_up(spark):
+    """A posterior halfway between two of nine decimals is rounded up, though its last bits say less."""
+    from pathquant.plans.operator_queries import _groups
+
+    half = 7.8125e-6
+    rows = [(0, "group", [i], x) for i, x in enumerate((half, math.nextafter(half, 0), math.nextafter(half, 1), half - 1e-12))]
+    found = _groups(spark.createDataFrame(rows, "cluster_id long, kind string, path_ids array<long>, posterior double"), 1)
+    assert [r["posterior"] for r in found.orderBy("p1").collect()] == [7.813e-6, 7.813e-6, 7.813e-6, 7.812e-6]
