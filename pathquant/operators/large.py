@@ -108,7 +108,8 @@ def path_cover(cells: DataFrame) -> DataFrame:
 
     The greedy cover picks, again and again, the path with the most uncovered count to its weight. A path that beats all
     paths with which it shares uncovered reads is picked before any of them, whatever is picked elsewhere, as counts
-    only fall. So each round takes all such paths, and the cover is that of single picks in far fewer rounds.
+    only fall. So each round takes all such paths, and the cover is that of single picks in far fewer rounds. A path that alone has
+    an uncovered read is picked at some time; where all paths of a cluster that are left are such, their order does not matter.
     """
     weights = stored(cells.groupBy("cluster_id", "path_id").agg((-F.sum(F.ln("prob") * F.col("read_count"))).alias("weight")), "cover-weights")
     open_, chosen = stored(cells.where("read_count > 0").select(*READ, "read_count", "path_id"), "cover-cells"), None
@@ -118,8 +119,10 @@ def path_cover(cells: DataFrame) -> DataFrame:
         ratio = F.when(F.col("weight") > 0, F.col("gain") / F.col("weight")).otherwise(F.lit(float("inf")))
         rated = open_.join(gain.select("cluster_id", "path_id", ratio.alias("ratio")), ["cluster_id", "path_id"])
         order = F.struct("ratio", (-F.col("path_id")).alias("first"))  # of equals the first path
-        best = rated.withColumn("best", order == F.max(order).over(read))
-        picked = stored(best.groupBy("cluster_id", "path_id").agg(F.min("best").alias("all")).where("all").select("cluster_id", "path_id"), "cover-picked")
+        best = rated.withColumn("best", order == F.max(order).over(read)).withColumn("alone", F.count("*").over(read) == 1)
+        best = best.groupBy("cluster_id", "path_id").agg(F.min("best").alias("all"), F.max("alone").alias("alone"))
+        needed = F.min("alone").over(Window.partitionBy("cluster_id"))
+        picked = stored(best.withColumn("needed", needed).where("all OR needed").select("cluster_id", "path_id"), "cover-picked")
         marked = open_.join(picked.withColumn("hit", F.lit(1)), ["cluster_id", "path_id"], "left")
         open_ = stored(marked.withColumn("covered", F.max("hit").over(read)).where("covered IS NULL").select(open_.columns), "cover-cells")
         chosen = picked if chosen is None else chosen.unionByName(picked)

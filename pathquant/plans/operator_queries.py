@@ -537,7 +537,8 @@ SELECT m.cluster_id, m.path_id, 1.0::DOUBLE AS posterior, round(CASE WHEN share
 def strains(spark, sf):
     """The weighted minimum path cover, then EM over its paths."""
     own = members(spark, sf).select("cluster_id", "path_id", "source_count", "group_id", "source_ids")
-    out = inference.path_abundances(inference.infer(path_probs_of(spark, sf), own, EngineConfig(model="strains", prob_precision=EXACT)))
+    rows = stored(path_probs_of(spark, sf), "strain-probs")  # read more than once
+    out = inference.path_abundances(inference.infer(rows, own, EngineConfig(model="strains", prob_precision=EXACT)))
     return out.withColumn("read_count", F.round("read_count", 3))
 
 

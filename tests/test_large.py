@@ -74,6 +74,16 @@ def test_picks_in_rounds_are_the_greedy_cover(spark, seed):
         assert sorted(got[c]) == estimators.min_path_cover(cover, n, weights)
 
 
+def test_paths_that_reads_need_are_picked_at_once(spark, monkeypatch):
+    """Every two of twelve paths share a read, and each has one of its own: one by one, they would take twelve rounds."""
+    rounds = []
+    monkeypatch.setattr(large, "stored", lambda df, name, own=large.stored: rounds.append(name) or own(df, name))
+    pairs = [(i, j) for i in range(12) for j in range(i, 12)]
+    rows = [(0, r, 1.0 + r % 3, p, 0.5) for r, pair in enumerate(pairs) for p in set(pair)]
+    found = large.path_cover(spark.createDataFrame(rows, "cluster_id long, read_class_id long, read_count double, path_id long, prob double")).collect()
+    assert sorted(r["path_id"] for r in found) == list(range(12)) and rounds.count("cover-picked") == 1
+
+
 def test_a_weight_of_zero_is_picked_first():
     probs = np.array([[1.0, 0.0], [0.5, 0.5]])
     assert estimators.strains(probs[:1], np.zeros(1), np.ones(1), 100, 0.001)[3] == [0]
