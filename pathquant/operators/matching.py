@@ -73,6 +73,31 @@ def _chains(start, following: list[list[int]], ends: list[bool]) -> list[tuple[i
     return out
 
 
+def _forms(start, parts, bounds: np.ndarray) -> tuple[list[tuple], np.ndarray]:
+    """The different forms of graphs (starts, following subpaths and number of connections of each subpath), and which one each has.
+
+    Graphs with equal numbers of starts, subpaths and links are rows of a matrix.
+    """
+    links, link_bounds = _list(pc.struct_field(parts, "next"))
+    starts, start_bounds = _list(start)
+    links, starts, connected = _int(links), _int(starts), _int(pc.list_value_length(pc.struct_field(parts, "connection")))
+    degree, count = np.diff(link_bounds), len(bounds) - 1
+    numbers = np.column_stack([np.diff(start_bounds), np.diff(bounds), link_bounds[bounds[1:]] - link_bounds[bounds[:-1]]]) if count else np.zeros((0, 3), np.int64)
+    sizes, of = np.unique(numbers, axis=0, return_inverse=True)
+    forms, which = [], np.zeros(count, np.int64)
+    for i, (n, k, m) in enumerate(sizes.tolist()):
+        own = np.flatnonzero(of.ravel() == i)
+        at = bounds[own][:, None] + np.arange(k)
+        matrix = np.hstack([starts[start_bounds[own][:, None] + np.arange(n)], degree[at], connected[at], links[link_bounds[bounds[own]][:, None] + np.arange(m)]])
+        kinds, kind = np.unique(matrix, axis=0, return_inverse=True) if matrix.shape[1] else (matrix[:1], np.zeros(len(own), np.int64))
+        which[own] = len(forms) + kind.ravel()
+        for row in kinds.tolist():
+            ends = np.cumsum([0, *row[n : n + k]]).tolist()
+            following = row[n + 2 * k :]
+            forms.append((tuple(row[:n]), tuple(tuple(following[x:y]) for x, y in zip(ends, ends[1:])), tuple(row[n + k : n + 2 * k])))
+    return forms, which
+
+
 def _chain_rows(batch: pa.RecordBatch, every: bool, known: dict) -> pa.RecordBatch:
     """Subpath graphs as a row per linear walk: all of graphs with at most DIRECT of them (or of every one), or those of the
     column ``chains``. known: walks of graphs of the same form that were listed before."""
@@ -80,18 +105,18 @@ def _chain_rows(batch: pa.RecordBatch, every: bool, known: dict) -> pa.RecordBat
     if "chains" in batch.schema.names:
         chains = batch.column("chains").to_pylist()
     else:
-        following = [x or [] for x in pc.struct_field(parts, "next").to_pylist()]
-        open_ends = pc.fill_null(pc.list_value_length(pc.struct_field(parts, "connection")), 0).to_pylist()
-        chains = []
-        for start, low, high in zip(batch.column("start").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-            form = (tuple(start or ()), tuple(map(tuple, following[low:high])), tuple(open_ends[low:high]))
+        forms, which = _forms(batch.column("start"), parts, bounds)
+        listed = []
+        for form in forms:
             if form not in known:
                 if len(known) > 1000:
                     known.clear()
-                graph = {"start": start, "subpath": [{"next": n, "connection": [None] * c} for n, c in zip(following[low:high], open_ends[low:high])]}
+                start, following, connected = form
+                graph = {"start": start, "subpath": [{"next": n, "connection": [None] * c} for n, c in zip(following, connected)]}
                 few = every or walk_count(graph) <= DIRECT
-                known[form] = _chains(start or (), following[low:high], [_is_end(part) for part in graph["subpath"]]) if few else []
-            chains.append(known[form])
+                known[form] = _chains(start, following, [_is_end(part) for part in graph["subpath"]]) if few else []
+            listed.append(known[form])
+        chains = [listed[i] for i in which.tolist()]
     count = np.array([len(c) for c in chains], np.int64)
     row = np.repeat(np.arange(len(chains)), count)
     sizes = np.array([len(c) for own in chains for c in own], np.int64)
@@ -111,16 +136,25 @@ def _chain_rows(batch: pa.RecordBatch, every: bool, known: dict) -> pa.RecordBat
 
 def _best_walks(row: np.ndarray, nodes: np.ndarray, bounds: np.ndarray, facts: list[np.ndarray], score: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which walks stay, of those of a read that visit equal nodes and have equal facts the best-scoring one, and their numbers."""
-    best: dict[tuple, int] = {}
-    for i in np.flatnonzero(whole).tolist():
-        key = (row[i], nodes[bounds[i] : bounds[i + 1]].tobytes(), *[f[i] for f in facts])
-        if key not in best or score[best[key]] < score[i]:
-            best[key] = i
-    stays, number = np.zeros(len(row), bool), np.zeros(len(row), np.int64)
-    seen: dict[int, int] = {}
-    for (owner, *_), i in best.items():
-        stays[i], number[i] = True, seen.get(owner, 0)
-        seen[owner] = number[i] + 1
+    own = np.flatnonzero(whole)
+    stays, number, sizes = np.zeros(len(row), bool), np.zeros(len(row), np.int64), np.diff(bounds)[own]
+    if not len(own):
+        return stays, number
+    kind, kinds = np.zeros(len(own), np.int64), 0  # of walks of equal read, nodes and facts
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        walks = own[at]
+        found = np.unique(np.column_stack([row[walks], *[f[walks] for f in facts], nodes[bounds[walks][:, None] + np.arange(size)]]), axis=0, return_inverse=True)[1].ravel()
+        kind[at] = kinds + found
+        kinds += int(found.max()) + 1
+    first = np.unique(kind, return_index=True)[1]  # its first walk
+    order = np.lexsort((own, -score[own], kind))
+    best = own[order[np.append(True, np.diff(kind[order]) > 0)]]  # by kind
+    seen = np.argsort(first)  # reads come in order, so kinds of a read are neighbours
+    owner = row[own[first[seen]]]
+    begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    stays[best] = True
+    number[best[seen]] = np.arange(len(seen)) - np.repeat(begins, np.diff(np.append(begins, len(seen))))
     return stays, number
 
 
@@ -216,7 +250,9 @@ def surviving_chains(alignments: DataFrame, steps: DataFrame, config: EngineConf
 
     Their nodes are joined with the path steps, and a graph is grown along one path at a time. None if there are no such reads.
     """
-    graphs = stored(alignments.select("read_id", "mate", "sequence", "start", "subpath").mapInArrow(_graphs, GRAPHS), "graphs")
+    # a walk is a start and a link of each subpath that it visits, so most graphs are known to have few without a look at them in Python
+    choices = F.aggregate("subpath", F.size("start").cast("double"), lambda n, part: n * F.greatest(F.lit(1), F.size(F.coalesce(part["next"], F.array().cast("array<int>")))))
+    graphs = stored(alignments.where(choices > DIRECT).select("read_id", "mate", "sequence", "start", "subpath").mapInArrow(_graphs, GRAPHS), "graphs")
     if graphs.isEmpty():
         return None
     limit = config.max_partial_offset
