@@ -643,10 +643,11 @@ def met_by_both(walked: DataFrame, found: DataFrame, orders: list[tuple[int, int
     The paths of a walk are an array, and those of mates are intersected in a row. Walks with more than HOT places keep all
     paths of their mate, and of theirs those of it; pairs of two such walks meet all.
     """
-    lists = found.groupBy(*SHAPE).agg(F.count("*").alias("n"), F.min("path_id").alias("any"))
-    few = found.join(lists.where(F.col("n") <= HOT).select(*SHAPE), SHAPE, "left_semi").groupBy(*SHAPE).agg(F.collect_set("path_id").alias("paths"))
-    hot = lists.where(F.col("n") > HOT).select(*SHAPE, F.lit(None).cast("array<bigint>").alias("paths"))
-    own = walked.join(few.withColumn("paths", F.col("paths").cast("array<bigint>")).unionByName(hot), SHAPE).select("read_id", "mate", "strand", "paths")
+    lists = found.groupBy(*SHAPE).agg(F.count("*").alias("n"))
+    few = found.join(lists.where(F.col("n") <= HOT).select(*SHAPE), SHAPE, "left_semi").groupBy(*SHAPE).agg(F.collect_set("path_id").cast("array<bigint>").alias("paths"))
+    hot = lists.where(F.col("n") > HOT)
+    # joined, as a union of the two, equally hashed, is taken for one that is hashed so too, and then has twice the partitions
+    own = walked.join(lists.select(*SHAPE).join(few, SHAPE, "left"), SHAPE).select("read_id", "mate", "strand", "paths")
     a, b = (own.where(F.col("strand") == strand).select("read_id", F.col("mate").alias(f"{x}_mate"), F.col("paths").alias(x)) for x, strand in (("a", "+"), ("b", "-")))
     allowed = F.lit(False)
     for first, second in orders:

@@ -97,3 +97,18 @@ def test_halves_of_posteriors_go_up(spark):
     rows = [(0, "group", [i], x) for i, x in enumerate((half, math.nextafter(half, 0), math.nextafter(half, 1), half - 1e-12))]
     found = _groups(spark.createDataFrame(rows, "cluster_id long, kind string, path_ids array<long>, posterior double"), 1)
     assert [r["posterior"] for r in found.orderBy("p1").collect()] == [7.813e-6, 7.813e-6, 7.813e-6, 7.812e-6]
+
+
+def test_pairs_where_nothing_is_broadcast(spark):
+    """Tables too large to be broadcast: a union of equally hashed ones was taken for one that is hashed so too."""
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "-1")
+    try:
+        found = QUERIES["circular_pairs"](spark, SF).count()
+    finally:
+        spark.conf.set(conf, before)
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    assert found == con.sql(f"SELECT count(*) FROM ({ORACLE['circular_pairs']})").fetchall()[0][0] > 0
