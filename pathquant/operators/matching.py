@@ -443,6 +443,9 @@ def start_in_graph(alignments: DataFrame, nodes: DataFrame) -> DataFrame:
 #: Nodes of an anchor at most, steps of a block of a path at least, and places of one anchor that one task meets.
 ANCHOR, BLOCK, HOT = 3, 64, 10_000
 FEW_PLACES = 4  # of a walk on average, up to which paths that only one mate hits are not sought out first
+#: Nodes of a walk, and places of an anchor, up to which runs are found and kept as sets of paths (``run_sets``).
+SET_NODES, SET_PLACES = 8, 500
+TASK_WALKS = 200_000  # whose sets of paths one task makes rows of, about
 BIN = 8  # longest fragments in a bin of a path, in which mates meet
 SHAPE = ["nodes", "lo", "hi"]
 GRAM = [f"n{i}" for i in range(ANCHOR)]
@@ -562,6 +565,79 @@ def runs(walked: DataFrame, steps: DataFrame, max_partial: int) -> DataFrame:
     return done.unionByName(_extended(met.where(~covered).select(*SHAPE, "path_id", "idx", "first"), steps, length))
 
 
+def _sets(batches):
+    """Rows (nodes, lo, hi, idx, places) as a row per run: its first and last node, and the paths that have it where its suffix may be dropped."""
+    schema = _schema(SETS)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        places, place_bounds = _list(batch.column("places"))
+        walk, walk_bounds = _list(batch.column("nodes"))
+        path, path_bounds = _list(pc.struct_field(places, "path"))
+        walk, path, ids, at = (_int(x) for x in (walk, path, pc.struct_field(places, "path_id"), pc.struct_field(places, "at")))
+        size, lo, hi = np.diff(walk_bounds), _int(batch.column("lo")), _int(batch.column("hi"))
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(place_bounds))
+        idx = _int(batch.column("idx"))[owner]
+        length, widest = np.diff(path_bounds), int(size.max())
+
+        def same(w):
+            """Whether node w of the walk is the path's at its place."""
+            place = at - idx + w
+            inside = (w >= 0) & (w < size[owner]) & (place >= 0) & (place < length)
+            return inside & (path[np.where(inside, path_bounds[:-1] + place, 0)] == walk[np.where(inside, walk_bounds[owner] + w, 0)])
+
+        s, e = idx.copy(), idx.copy()
+        for end, step in ((s, -1), (e, 1)):
+            alive = np.ones(len(owner), bool)
+            for d in range(1, widest):
+                alive &= same(idx + step * d)
+                end[alive] += step
+        kept = np.flatnonzero((s <= lo[owner]) & (e >= hi[owner]))
+        kept = kept[np.lexsort((ids[kept], e[kept], s[kept], owner[kept]))]
+        owner, s, e, ids = owner[kept], s[kept], e[kept], ids[kept]
+        # a suffix may be dropped by runs that start where the earliest run still alive at their end starts
+        known = np.zeros((batch.num_rows, widest, widest), bool)
+        known[owner, s, e] = True
+        alive = np.flip(np.logical_or.accumulate(np.flip(known, 2), axis=2), 2) & (np.arange(widest)[:, None] <= np.arange(widest))
+        uncut = (e == size[owner] - 1) | (s == np.argmax(alive, axis=1)[owner, e])
+        owner, s, e, ids = owner[uncut], s[uncut], e[uncut], ids[uncut]
+        new = np.append(True, (owner[1:] != owner[:-1]) | (s[1:] != s[:-1]) | (e[1:] != e[:-1]))[: len(owner)]
+        once = new | np.append(True, ids[1:] != ids[:-1])[: len(owner)]
+        ids, first = ids[once], np.flatnonzero(new[once])
+        rows = pa.array(owner[once][first])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)).astype(np.int32)), pa.array(ids))
+        columns = [*[batch.column(c).take(rows) for c in SHAPE], pa.array(s[once][first]), pa.array(e[once][first]), lists]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+SETS = "nodes array<long>, lo int, hi int, s int, e int, paths array<long>"
+
+
+def run_sets(walked: DataFrame, steps: DataFrame, max_partial: int) -> DataFrame | None:
+    """The runs of ``runs`` that ``_uncut`` leaves, as (nodes, lo, hi, s, e, paths): a row for all paths that have a run, without its places.
+
+    The places of an anchor come as a list, each with the path around it, so no row is made of a walk and a path. None where a walk has more
+    than SET_NODES nodes or several anchors, or an anchor more than SET_PLACES places.
+    """
+    shapes = stored(shaped(walked, max_partial).select(*SHAPE).distinct(), "shapes")
+    core = F.col("hi") - F.col("lo") + 1
+    facts = shapes.agg(F.collect_set(F.least(F.lit(ANCHOR), core)), F.max(F.size("nodes")), F.max(core > ANCHOR), F.min(core)).first()  # a few numbers
+    if not facts[0] or facts[1] > SET_NODES or facts[3] < 1:
+        return None
+    reach, key = facts[1] - 1, ["k", *GRAM]
+    along, none = Window.partitionBy("path_id").orderBy("ordinal").rowsBetween(-reach, ANCHOR - 1 + reach), F.lit(-1).cast("long")
+    around = steps.select("path_id", F.col("ordinal").cast("long").alias("ordinal"), F.collect_list(F.col("node").cast("long")).over(along).alias("path"))
+    around = around.withColumn("at", F.least("ordinal", F.lit(reach)).cast("int"))
+    each = around.withColumn("k", F.explode(F.array(*[F.lit(k) for k in sorted(facts[0])]))).where(F.col("at") + F.col("k") <= F.size("path"))
+    grams = stored(each.select("k", *[F.when(F.lit(i) < F.col("k"), F.get("path", F.col("at") + i)).otherwise(none).alias(g) for i, g in enumerate(GRAM)], F.struct("path_id", "at", "path").alias("place")), "grams")
+    counts = stored(grams.groupBy(*key).agg(F.count("*").alias("n")), "gram-counts")
+    if (counts.agg(F.max("n")).first()[0] or 0) > SET_PLACES:
+        return None
+    places = grams.groupBy(*key).agg(F.collect_list("place").alias("places"))
+    met = anchors(shapes, counts if facts[2] else None).join(places, key)
+    return met.select(*SHAPE, "idx", "places").mapInArrow(_sets, SETS)
+
+
 def _uncut(found: DataFrame) -> DataFrame:
     """Runs whose suffix may be dropped: those that start where the earliest run still alive at their end starts.
 
@@ -581,12 +657,7 @@ def accepted(found: DataFrame, walked: DataFrame, max_partial: int, whole: bool
     """
     key = ["read_id", "mate", "strand", "walk"]
     r = shaped(walked, max_partial).join(found if whole else _uncut(found), [*SHAPE, "path_id"] if "path_id" in walked.columns else SHAPE)
-    s, e = F.col("s.idx"), F.col("e.idx")
-    last = F.size("nodes") - 1
-    r = r.withColumn("drop_left", F.when(s == 0, 0).otherwise(F.greatest(F.lit(0), F.get("read_pos", s) - F.col("left_clip"))))
-    r = r.withColumn("drop_right", F.when(e == last, 0).otherwise(F.greatest(F.lit(0), F.col("length") - F.col("right_clip") - F.get("read_pos", e + 1))))
-    r = r.withColumn("pen_left", F.when(s == 0, 0).otherwise(F.get("matched", s) - F.col("matched_left")))
-    r = r.withColumn("pen_right", F.when(e == last, 0).otherwise(F.col("matched_right") - F.get("matched", e + 1)))
+    r, s, e, last = _dropped(r, "s.idx", "e.idx")
     plus = F.col("strand") == "+"
     # offsets of reversed walks are counted from the node's other end
     at_start = F.when(s > 0, F.lit(0)).otherwise(F.when(plus, F.col("start_off")).otherwise(F.col("s.node_length") - F.col("start_off")))
@@ -594,11 +665,33 @@ def accepted(found: DataFrame, walked: DataFrame, max_partial: int, whole: bool
     return r.select(
         *key, "path_id", "length", "optimal", "mapq", "multimap",
         F.col("s.ordinal").alias("first_step"), F.col("e.ordinal").alias("last_step"),
-        (F.col("s.cum_offset") + at_start).alias("start_at"), (F.col("e.cum_offset") + at_end).alias("end_at"),
+        (F.col("s.cum_offset") + at_start).alias("start_at"), (F.col("e.cum_offset") + at_end).alias("end_at"), *_kept(),
+    )
+
+
+def accepted_sets(sets: DataFrame, walked: DataFrame, max_partial: int) -> DataFrame:
+    """``accepted`` for rows of ``run_sets``: paths instead of a path, and no places."""
+    r, _, _, _ = _dropped(shaped(walked, max_partial).join(sets, SHAPE), "s", "e")
+    return r.select("read_id", "mate", "strand", "walk", "paths", "length", "optimal", "mapq", "multimap", *_kept())
+
+
+def _kept() -> list:
+    return [
         (F.col("left_clip") + F.col("drop_left")).alias("cut_left"), (F.col("right_clip") + F.col("drop_right")).alias("cut_right"),
         (F.col("score") - F.col("pen_left") - F.col("pen_right")).alias("adjusted"),
         ((F.col("drop_left") > 0) | (F.col("drop_right") > 0)).alias("partial"),
-    )
+    ]
+
+
+def _dropped(r: DataFrame, first: str, final: str):
+    """Rows with the aligned bases that a run drops at each end and what matched there, and the run's first and last index, and the walk's last."""
+    s, e = F.col(first), F.col(final)
+    last = F.size("nodes") - 1
+    r = r.withColumn("drop_left", F.when(s == 0, 0).otherwise(F.greatest(F.lit(0), F.get("read_pos", s) - F.col("left_clip"))))
+    r = r.withColumn("drop_right", F.when(e == last, 0).otherwise(F.greatest(F.lit(0), F.col("length") - F.col("right_clip") - F.get("read_pos", e + 1))))
+    r = r.withColumn("pen_left", F.when(s == 0, 0).otherwise(F.get("matched", s) - F.col("matched_left")))
+    r = r.withColumn("pen_right", F.when(e == last, 0).otherwise(F.col("matched_right") - F.get("matched", e + 1)))
+    return r, s, e, last
 
 
 def score_filter(matches: DataFrame, max_diff: int) -> DataFrame:
@@ -627,14 +720,15 @@ def usable_walks(walked: DataFrame, config: EngineConfig, bidirectional: bool =
     return walked.where("strand = '+'") if config.library == "fr" or bidirectional else walked
 
 
-def single_matches(matches: DataFrame, library: str, bidirectional: bool = False) -> DataFrame:
-    """Alignment rows of single reads, in the orientations that the library allows."""
+def single_matches(matches: DataFrame, library: str, bidirectional: bool = False, path: str = "path_id") -> DataFrame:
+    """Alignment rows of single reads, in the orientations that the library allows. path: the column of the path, or of paths that share a row."""
     if library == "rf":
         matches = matches.where("strand = '-'")
     elif library == "fr" or bidirectional:
         matches = matches.where("strand = '+'")
     fraction = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("adjusted") / F.col("optimal")))
-    return matches.select("read_id", "path_id", F.col("adjusted").alias("score_sum"), (F.col("length") - F.col("cut_left") - F.col("cut_right")).alias("align_length"), F.col("length").alias("frag_length"), F.col("mapq").alias("min_mapq"), fraction.alias("fraction"), "partial", "multimap").distinct()
+    rows = matches.select("read_id", path, F.col("adjusted").alias("score_sum"), (F.col("length") - F.col("cut_left") - F.col("cut_right")).alias("align_length"), F.col("length").alias("frag_length"), F.col("mapq").alias("min_mapq"), fraction.alias("fraction"), "partial", "multimap")
+    return rows.distinct() if path == "path_id" else rows
 
 
 def met_by_both(walked: DataFrame, found: DataFrame, orders: list[tuple[int, int]]) -> DataFrame:
@@ -706,9 +800,16 @@ def alignment_rows(alignments: DataFrame, steps: DataFrame, config: EngineConfig
         alignments = start_in_graph(alignments, nodes)
     limit = config.max_partial_offset
     walked = stored(shaped(usable_walks(walks(alignments, config, steps), config, bidirectional), limit), "walks")
-    found = runs(walked, steps, limit)
-    if walked.where("lo > 0 OR hi < size(nodes) - 1").isEmpty():  # all runs are whole: a walk's score is that of its runs
-        found = stored(found, "found")
+    whole = walked.where("lo > 0 OR hi < size(nodes) - 1").isEmpty()
+    sets = run_sets(walked, steps, limit) if config.single_end and not whole else None
+    if sets is not None:
+        parts = -(-walked.count() // TASK_WALKS)  # given, as sets are small in an exchange, but not the rows that are made of them
+        matches = accepted_sets(sets, walked, limit)
+        matches = matches.repartition(parts, "read_id") if parts > 1 else matches.repartition("read_id")
+        matches = score_filter(matches, config.max_score_diff)
+        return with_read_facts(single_matches(matches, config.library, bidirectional, "paths"), config.filt_best_score, "paths")
+    if whole:  # a walk's score is that of its runs
+        found = stored(runs(walked, steps, limit), "found")
         if "subpath" in alignments.columns:  # else a read end has one walk
             alive = walked.join(found.select(*SHAPE).distinct(), SHAPE, "left_semi").withColumn("adjusted", F.col("score"))
             walked = stored(score_filter(alive, config.max_score_diff).drop("adjusted"), "walks")
@@ -719,19 +820,26 @@ def alignment_rows(alignments: DataFrame, steps: DataFrame, config: EngineConfig
         matches = accepted(found, walked, limit, True)
         matches = matches.repartition("read_id") if config.single_end else matches
     else:
-        matches = accepted(found, walked, limit)
+        matches = accepted(runs(walked, steps, limit), walked, limit)
         # one exchange by read serves the filter and all that comes after it
         matches = score_filter(matches.repartition("read_id") if config.single_end else matches, config.max_score_diff)
     rows = single_matches(matches, config.library, bidirectional) if config.single_end else paired_matches(matches, config.library, max_fragment, bidirectional)
     return with_read_facts(rows, config.filt_best_score)
 
 
-def with_read_facts(rows: DataFrame, filt_best_score: float) -> DataFrame:
-    """Rows with is_simple (one place, whole, one fragment length) and noise_score of their read, without what these were made of."""
+def with_read_facts(rows: DataFrame, filt_best_score: float, path: str = "path_id") -> DataFrame:
+    """Rows with is_simple (one place, whole, one fragment length) and noise_score of their read, without what these were made of.
+
+    path: the column of the path, or of paths that share a row, which then is made a row of each.
+    """
     read = Window.partitionBy("read_id")
     simple = ~F.max("multimap").over(read) & ~F.max("partial").over(read) & (F.min("frag_length").over(read) == F.max("frag_length").over(read))
     noise = F.when(F.max("fraction").over(read) < filt_best_score, 0).otherwise(INT_MIN)
-    return rows.select("read_id", "path_id", "score_sum", "align_length", "frag_length", "min_mapq", simple.alias("is_simple"), noise.alias("noise_score"))
+    rated = rows.withColumn("is_simple", simple).withColumn("noise_score", noise)
+    if path != "path_id":
+        # equal rows of a read become one, so each path is given out once
+        rated = rated.groupBy(*[c for c in rated.columns if c != path]).agg(F.array_distinct(F.flatten(F.collect_list(path))).alias(path)).withColumn("path_id", F.explode(path))
+    return rated.select("read_id", "path_id", "score_sum", "align_length", "frag_length", "min_mapq", "is_simple", "noise_score")
 
 
 def unaligned(alignments: DataFrame, rows: DataFrame) -> DataFrame:

@@ -236,6 +236,34 @@ def test_anchored_runs_are_all_runs(spark, monkeypatch, seed, hot, block):
             assert got.get(shape, set()) == brute_runs(shape, oriented), shape
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_runs_as_sets_of_paths(spark, seed):
+    """No row is made of a walk and a path, and the sets hold the paths of the runs that are left of all."""
+    rng = random.Random(seed)
+    walks = {p: [rng.randint(1, 4) * rng.choice([1, 1, 1, -1]) for _ in range(rng.randint(1, 12))] for p in range(12)}
+    steps = index(spark, {n: n for n in range(1, 5)}, *walks.values())
+    oriented = {p: [abs(n) * 2 + (n < 0) for n in w] for p, w in walks.items()}
+    reads = []
+    for i in range(120):
+        source = oriented[rng.randrange(12)]
+        low = rng.randrange(len(source))
+        nodes = source[low : low + rng.randint(1, 7)]
+        if rng.random() < 0.4:
+            nodes[rng.randrange(len(nodes))] = rng.randint(2, 9)
+        pos = sorted(rng.sample(range(1, 40), len(nodes) - 1)) if len(nodes) > 1 else []
+        reads.append((i, 1, "+", i, nodes, [0, *pos], 40, 0, 0))
+    df = spark.createDataFrame(reads, "read_id long, mate int, strand string, walk long, nodes array<long>, read_pos array<int>, length int, left_clip int, right_clip int")
+    df = matching.shaped(df, 6).where("lo <= hi").drop("lo", "hi")
+    want, got = {}, {}
+    for r in matching._uncut(matching.runs(df, steps, 6)).collect():
+        want.setdefault((tuple(r["nodes"]), r["lo"], r["hi"], r["s"]["idx"], r["e"]["idx"]), set()).add(r["path_id"])
+    for r in matching.run_sets(df, steps, 6).collect():
+        key = (tuple(r["nodes"]), r["lo"], r["hi"], r["s"], r["e"])
+        assert key not in got and len(set(r["paths"])) == len(r["paths"])
+        got[key] = set(r["paths"])
+    assert got == want and any(s or e < len(n) - 1 for n, _, _, s, e in got)
+
+
 def test_the_anchor_is_the_rarest(spark):
     steps = index(spark, {n: 1 for n in range(1, 9)}, [1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 7], [1, 2, 3, 4, 8])
     df = spark.createDataFrame([(0, 1, "+", 0, [2, 4, 6, 8, 10, 12], [0, 1, 2, 3, 4, 5], 6, 0, 0)], "read_id long, mate int, strand string, walk long, nodes array<long>, read_pos array<int>, length int, left_clip int, right_clip int")
