@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pathquant.config import EngineConfig
@@ -299,3 +301,35 @@ def test_graph_hits_need_bases(spark):
     graphs = spark.createDataFrame([row], matching.GRAPHS)
     assert [r["path_id"] for r in matching.graph_hits(graphs, steps, 0).collect()] == [0]
     assert sorted(r["path_id"] for r in matching.graph_hits(graphs, steps, 3).collect()) == [0, 2]
+
+
+def test_forms_of_graphs_are_told_by_arrays():
+    """Missing lists are empty ones; graphs of one form share its walks."""
+    kind = pa.list_(pa.struct([("next", pa.list_(pa.int32())), ("connection", pa.list_(pa.int32()))]))
+    part = {"next": [1, 2], "connection": None}
+    graphs = [[part, {"next": None, "connection": [7]}, {"next": [], "connection": None}], None, [part, {"next": [], "connection": [8]}, {"next": [], "connection": []}], [{"next": [], "connection": None}]]
+    parts, bounds = matching._list(pa.array(graphs, kind))
+    forms, which = matching._forms(pa.array([[0], None, [0], [0]], pa.list_(pa.int32())), parts, bounds)
+    assert [forms[i] for i in which] == [((0,), ((1, 2), (), ()), (0, 1, 0)), ((), (), ()), ((0,), ((1, 2), (), ()), (0, 1, 0)), ((0,), ((),), (0,))]
+    assert len(forms) == 3
+
+
+def test_no_missing_list_is_passed_on(spark):
+    """Those are slow to pass to Python in large batches."""
+    graph = (0, *multi([0], [([m(1, 4)], 4, [1]), ([m(2, 1)], 1, None)], 5)[1:])
+    row = matching.with_lists(spark.createDataFrame([graph], SCHEMA)).first()
+    assert row["annotation"] == {} and [(p["next"], p["connection"]) for p in row["subpath"]] == [([1], []), ([], [])]
+
+
+def test_places_only_of_paths_with_enough_bases(spark):
+    """Places, in either order, are those of paths that give all bases; the second path gives four of twelve."""
+    steps = index(spark, {n: 4 for n in range(1, 4)}, [1, 2, 3], [1], [1, 3, 2])
+    graphs = spark.createDataFrame([(5, 1, 12, 0, 0, [2, 4, 6], [4, 4, 4])], "read_id long, mate int, length int, left int, right int, nodes array<long>, bases array<int>")
+    hits = matching.graph_hits(graphs, steps, 0)
+    assert {r["path_id"]: sorted((h["node"], h["ordinal"]) for h in r["hits"]) for r in hits.collect()} == {0: [(2, 0), (4, 1), (6, 2)], 2: [(2, 0), (4, 2), (6, 1)]}
+
+
+def test_best_walks_by_arrays():
+    row, nodes, bounds = np.array([0, 0, 0, 1]), np.array([1, 2, 1, 2, 3, 1, 2]), np.array([0, 2, 4, 5, 7])
+    stays, number = matching._best_walks(row, nodes, bounds, [np.zeros(4, int)], np.array([3, 5, 1, 2]), np.ones(4, bool))
+    assert stays.tolist() == [False, True, True, True] and number[stays].tolist() == [0, 1, 0]
